@@ -33,6 +33,12 @@ def clip(x: Num | str, low: Num, high: Num) -> Column:
     return F.when(c < _c(low), _c(low)).when(c > _c(high), _c(high)).otherwise(c)
 
 
+def non_negative(x: Num | str) -> Column:
+    """Zero for negative rounding residue; NULL stays NULL."""
+    c = _c(x)
+    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+
+
 def logit(p: Num | str, eps: float = 1e-6) -> Column:
     q = clip(_c(p), eps, 1.0 - eps)
     return F.log(q / (F.lit(1.0) - q))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from foretally.functions.rates import eb, ratio
+from foretally.functions.rates import eb, non_negative, ratio
 from foretally.operators.joins import null_safe_join
 from foretally.operators.ordered import History
 from foretally.roles import Order, days
@@ -194,7 +194,7 @@ def workload(df: DataFrame, entity: str, game: str, day: str,
     variance = ratio(F.col("__q") - ratio(F.col("__s") * F.col("__s"), k), F.when(k > 1, k - 1))
     return (season.withColumns({
         "n_avg_car": ratio("__s", "outing_index"),
-        "n_sd_car": F.sqrt(F.greatest(variance, F.lit(0.0))),
+        "n_sd_car": F.sqrt(non_negative(variance)),
         "season_cum": F.when(F.col("__cum") > 0, F.col("__cum"))})
         .drop("__s", "__q", "__cum", "__season"))
 
@@ -333,7 +333,7 @@ def repeatability(df: DataFrame, entity: str, day: str, season: str,
         for n in values:
             mean = ratio(f"{n}_s__{w}", f"{n}_k__{w}")
             raw = ratio(f"{n}_q__{w}", f"{n}_k__{w}") - mean * mean
-            var = F.when(raw.isNotNull(), F.greatest(raw, F.lit(0.0)))
+            var = non_negative(raw)
             made[f"{n}_sd_{w}"] = F.sqrt(var)
             made[f"{n}_n_{w}"] = F.coalesce(F.col(f"{n}_k__{w}"), F.lit(0))
             joint = joint + var

@@ -23,7 +23,8 @@ def long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float], hot_rows: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per named probability."""
-    cells = value_cells(df.select(*keys, F.col(value).cast("double").alias(value)), keys, value)
+    cells = value_cells(df.select(*keys, F.col(value).cast("double").alias("__x")), keys, "__x")
+    value = "__x"
     ranked = by_value(cells, keys, value, hot_rows).running({"below": F.col("n")}).df
     if keys:
         totals = cells.groupBy(*keys).agg(F.sum("n").alias("__total"))

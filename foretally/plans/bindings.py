@@ -23,6 +23,7 @@ PIT = {
     "disc": "l_discount",
     "tax": "l_tax",
     "tax0": "cast(nullif(cast(l_tax as decimal(4,2)), 0) as double)",
+    "cents": "nullif(round(l_tax * 100), 0e0)",
     "p": "0.25e0 + 1.5e0 * l_tax",
     "p2": "0.30e0 + 0.5e0 * l_discount",
 }

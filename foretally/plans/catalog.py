@@ -61,11 +61,11 @@ def shaped_sql(sql: str, fields: list[tuple[str, str]]) -> str:
     out = []
     for name, kind in fields:
         if kind == "i":
-            out.append(f"CAST({name} AS BIGINT) AS {name}")
+            out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         elif kind == "s":
-            out.append(f"CAST({name} AS VARCHAR) AS {name}")
+            out.append(f'CAST("{name}" AS VARCHAR) AS "{name}"')
         else:
-            out.append(f"round(CAST({name} AS DOUBLE), {_places(kind)}) + 0.0 AS {name}")
+            out.append(f'round(CAST("{name}" AS DOUBLE), {_places(kind)}) + 0.0 AS "{name}"')
     return f"WITH {COMMON_SQL},\nresult AS ({sql})\nSELECT {', '.join(out)} FROM result"
 
 

@@ -45,26 +45,26 @@ def rolling_sql(c: str, w: int, mp: int, fn: str) -> str:
     return f"CASE WHEN count({c}) OVER ({ENTITY_W} {f}) >= {mp} THEN {fn}({c}) OVER ({ENTITY_W} {f}) END"
 
 
-@query("rolling_prior", "W3", KEY + " qty_last20_mean:d tax0_last20_mean:d tax0_last20_std:d dispersion:d usage_r:d", f"""
-SELECT {KEY_SQL}, {rolling_sql('qty', 20, 5, 'avg')} qty_last20_mean, {rolling_sql('tax0', 20, 5, 'avg')} tax0_last20_mean,
- {rolling_sql('tax0', 20, 5, 'stddev_samp')} tax0_last20_std,
- sqrt(pow({rolling_sql('tax0', 20, 5, 'stddev_samp')}, 2) + pow({rolling_sql('disc', 20, 5, 'stddev_samp')}, 2)) dispersion,
+@query("rolling_prior", "W3", KEY + " qty_last20_mean:d cents_last20_mean:d cents_last20_std:d dispersion:d usage_r:d", f"""
+SELECT {KEY_SQL}, {rolling_sql('qty', 20, 5, 'avg')} qty_last20_mean, {rolling_sql('cents', 20, 5, 'avg')} cents_last20_mean,
+ {rolling_sql('cents', 20, 5, 'stddev_samp')} cents_last20_std,
+ sqrt(pow({rolling_sql('cents', 20, 5, 'stddev_samp')}, 2) + pow({rolling_sql('disc', 20, 5, 'stddev_samp')}, 2)) dispersion,
  {rolling_sql('y', 20, 5, 'avg')} usage_r FROM pit""")
 def rolling_prior(spark, sf):
     """Rolling mean and deviation of previous rows with a minimum of known values."""
-    h = hist.rolling(entity_history(spark, sf), ["qty", "tax0", "disc", "y"], 20, 5, ("mean", "std"))
+    h = hist.rolling(entity_history(spark, sf), ["qty", "cents", "disc", "y"], 20, 5, ("mean", "std"))
     return h.df.withColumns({
-        "dispersion": F.sqrt(F.pow("tax0_last20_std", F.lit(2.0)) + F.pow("disc_last20_std", F.lit(2.0))),
+        "dispersion": F.sqrt(F.pow("cents_last20_std", F.lit(2.0)) + F.pow("disc_last20_std", F.lit(2.0))),
         "usage_r": F.col("y_last20_mean")})
 
 
-@query("expanding_mean", "W5", KEY + " y_before:d tax0_before:d", f"""
+@query("expanding_mean", "W5", KEY + " y_before:d cents_before:d", f"""
 SELECT {KEY_SQL}, CASE WHEN count(y) OVER w >= 10 THEN avg(y) OVER w END y_before,
- CASE WHEN count(tax0) OVER w >= 10 THEN avg(tax0) OVER w END tax0_before
+ CASE WHEN count(cents) OVER w >= 10 THEN avg(cents) OVER w END cents_before
 FROM pit WINDOW w AS ({ENTITY_W} {PAST})""")
 def expanding_mean(spark, sf):
     """Mean of all earlier rows once ten are known."""
-    return hist.expanding_mean(entity_history(spark, sf), ["y", "tax0"], 10).df
+    return hist.expanding_mean(entity_history(spark, sf), ["y", "cents"], 10).df
 
 
 @query("leverage_index", "W6", KEY + " leverage:d leverage_class:s", f"""
