@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("eb_queries", "history_queries", "audit_queries", "score_queries", "profile_queries")
+MODULES = ("eb_queries", "history_queries", "audit_queries", "score_queries", "profile_queries", "row_queries")
 
 
 def load_all() -> None:
