@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("eb_queries", "history_queries", "audit_queries", "score_queries", "profile_queries", "row_queries")
+MODULES = ("eb_queries", "history_queries", "audit_queries", "score_queries", "profile_queries",
+           "row_queries", "entity_queries")
 
 
 def load_all() -> None:

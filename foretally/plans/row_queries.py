@@ -38,7 +38,7 @@ TRAIN = {
     "asof_pitcher_prev5_game_success_rate": "case when l_linenumber > 3 then 0.3e0 + l_discount * 0.9871235e0 * 2e0 end",
     "asof_pitcher_prev1_game_middle_rate": "case when l_linenumber > 1 then 0.05e0 + l_tax * 1.0123457e0 end",
     "asof_pitcher_prev3_game_middle_rate": "case when l_linenumber > 2 then 0.06e0 + l_discount * 0.9871235e0 end",
-    "asof_pitcher_prev5_game_middle_rate": "case when l_linenumber > 3 then 0.07e0 + l_tax * 1.0123457e0 end",
+    "asof_pitcher_prev5_game_middle_rate": "case when l_linenumber > 3 then 0.0712345e0 + l_tax * 1.1034567e0 end",
     "y": "cast(case when l_returnflag = 'R' then 1 else 0 end as int)",
     "k1": "l_orderkey", "k2": "l_linenumber", "k3": "l_partkey", "k4": "l_suppkey",
 }
