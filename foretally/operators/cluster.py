@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foretally import session
 from foretally.functions.rates import entropy, ratio
 from foretally.operators.joins import null_safe_join
-from foretally.operators.ranks import exact_quantiles
+from foretally.operators.ranks import exact_quantiles, metric_quantiles
 
 
 def kmeans(df: DataFrame, dims: Sequence[str], k: int, seed: int, label: str = "cluster",
@@ -97,12 +97,12 @@ def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, step
 
 def stable_numbers(df: DataFrame, label: str, keys: Sequence[str], k: int) -> DataFrame:
     """Renumber clusters by the medians of the key columns (at most ``k`` rows collected)."""
-    medians = df.select(label).distinct()
-    for c in keys:
-        medians = medians.join(exact_quantiles(df, [label], c, {c: 0.5}), label, "left")
-    got = sorted(medians.collect(), key=lambda r: tuple(
-        (float("-inf") if r[c] is None else r[c]) for c in keys) + (r[label],))
-    new = {int(r[label]): i for i, r in enumerate(got[:k])}
+    table: dict[int, dict[str, float]] = {}
+    for r in metric_quantiles(df, [label], keys, {"m": 0.5}).collect():
+        table.setdefault(r[label], {})[r["metric"]] = r["m"]
+    low = float("-inf")
+    order = sorted(table, key=lambda v: (*(table[v].get(c, low) for c in keys), v))
+    new = {int(v): i for i, v in enumerate(order[:k])}
     pick = F.create_map(*[F.lit(x) for pair in new.items() for x in pair])
     return df.withColumn(label, pick[F.col(label)])
 

@@ -130,7 +130,8 @@ def embedding(df: DataFrame, columns: Sequence[str], dim: int, prefix: str = "pc
     names = [f"__{c}" for c in kept]
     work = scaled.withColumnsRenamed(dict(zip(kept, names)))
     out, info = principal_components(work, names, dim, prefix)
-    return out.withColumnsRenamed(dict(zip(names, kept))), info
+    # Fitted transforms are cut here: later steps read entity rows, not the raw log again.
+    return session.checkpoint(out.withColumnsRenamed(dict(zip(names, kept)))), info
 
 
 def two_view_embedding(df: DataFrame, first: Sequence[str], second: Sequence[str], dims: tuple[int, int],

@@ -27,7 +27,7 @@ TRAIN = {
     "asof_pitcher_pitchmix_n": "cast(l_orderkey % 3000 as int)",
     "asof_pitcher_success_rate": "case when l_linenumber < 7 then 0.3e0 + l_tax * 1.0123457e0 * 3e0 end",
     "asof_pitcher_reverse_rate": "case when l_linenumber < 7 then 0.1e0 + l_discount * 0.9871235e0 end",
-    "asof_pitcher_middle_rate": "case when l_linenumber < 7 then 0.1e0 + l_tax * 1.0123457e0 end",
+    "asof_pitcher_middle_rate": "case when l_linenumber < 7 then 0.100012373e0 + l_tax * 1.0123457e0 end",
     "asof_pitcher_ball_rate": "0.3e0 + l_discount * 0.9871235e0 * 2e0", "asof_pitcher_strike_rate": "0.4e0 + l_tax * 1.0123457e0 * 2e0",
     "asof_pitcher_fastball_rate": "0.5e0 + l_tax * 1.0123457e0", "asof_pitcher_breaking_rate": "0.3e0 - l_tax * 1.0123457e0",
     "asof_pitcher_offspeed_rate": "case when l_linenumber > 1 then 0.2e0 - l_tax * 1.0123457e0 end",
@@ -38,7 +38,7 @@ TRAIN = {
     "asof_pitcher_prev5_game_success_rate": "case when l_linenumber > 3 then 0.3e0 + l_discount * 0.9871235e0 * 2e0 end",
     "asof_pitcher_prev1_game_middle_rate": "case when l_linenumber > 1 then 0.05e0 + l_tax * 1.0123457e0 end",
     "asof_pitcher_prev3_game_middle_rate": "case when l_linenumber > 2 then 0.06e0 + l_discount * 0.9871235e0 end",
-    "asof_pitcher_prev5_game_middle_rate": "case when l_linenumber > 3 then 0.0712345e0 + l_tax * 1.1034567e0 end",
+    "asof_pitcher_prev5_game_middle_rate": "case when l_linenumber > 3 then 0.071234567e0 + l_tax * 1.1034567e0 end",
     "y": "cast(case when l_returnflag = 'R' then 1 else 0 end as int)",
     "k1": "l_orderkey", "k2": "l_linenumber", "k3": "l_partkey", "k4": "l_suppkey",
 }
