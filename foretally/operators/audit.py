@@ -104,9 +104,8 @@ def transfer_clip_audit(df: DataFrame, season: str, metrics: Sequence[str],
     later = F.filter(F.array(*[F.lit(int(t)) for t in targets]), lambda t: t > F.col(season))
     past = cells.withColumn("target", F.explode(later)).groupBy("target", "metric", "value").agg(
         F.sum("n").alias("n"))
-    ranked = by_value(past, ["target", "metric"], "value").running({"below": F.col("n")}).df
-    total = past.groupBy("target", "metric").agg(F.sum("n").alias("t"))
-    ranked = ranked.join(total, ["target", "metric"])
+    ranked = by_value(past, ["target", "metric"], "value").running(
+        {"below": F.col("n")}, totals={"t": F.col("n")}).df
     bounds, picks = [], []
     for name, p in (("past_low", low), ("past_high", high)):
         spot = F.lit(p) * (F.col("t") - 1)

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foretally.operators.joins import null_safe_join
+from foretally.operators.joins import small_join
 
 MAX_MEMBERS = 20
 
@@ -60,7 +60,7 @@ def centred_weights(moments: DataFrame, keys: Sequence[str], cols: Sequence[str]
 def apply_centred(df: DataFrame, weights: DataFrame, keys: Sequence[str],
                   cols: Sequence[str]) -> DataFrame:
     """base + sum of w * (forecast - base)."""
-    rows = null_safe_join(df, weights, keys) if keys else df.withColumns(
+    rows = small_join(df, weights, keys) if keys else df.withColumns(
         {c: weights.select(c).scalar() for c in ["base", *[f"w_{x}" for x in cols]]})
     blend: Column = F.col("base")
     for c in cols:

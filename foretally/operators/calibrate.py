@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foretally import session
 from foretally.functions.rates import clip, half_life, logit, ratio, reliability, sigmoid
-from foretally.operators.joins import null_safe_join, spread_to_cutoffs
+from foretally.operators.joins import null_safe_join, sized, small_join, spread_to_cutoffs
 from foretally.operators.ordered import History
 from foretally.operators.ranks import metric_quantiles
 from foretally.roles import Order
@@ -30,7 +30,7 @@ def logit_cells(df: DataFrame, keys: Sequence[str], y: str, z: Column) -> DataFr
 
 
 def with_params(cells: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return (null_safe_join(cells, params, keys) if keys
+    return (small_join(cells, params, keys) if keys
             else cells.withColumns({c: params.select(c).scalar() for c in params.columns}))
 
 
@@ -77,7 +77,7 @@ def shrunk_platt(df: DataFrame, keys: Sequence[str], y: str, z: Column, weight:
     """Segment slope and intercept moved by ``weight`` away from (1, 0), relative to global."""
     whole = platt(df, [], y, z)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
-    local = platt(null_safe_join(df, big, keys, "left_semi"), keys, y, z)
+    local = platt(null_safe_join(df, sized(big), keys, "left_semi"), keys, y, z)
     ag, bg = whole.select("a").scalar(), whole.select("b").scalar()
     return local.select(*keys, (F.lit(1.0) + weight * (F.col("a") - ag)).alias("a"),
                         (F.lit(weight) * (F.col("b") - bg)).alias("b"))
@@ -213,7 +213,7 @@ def walk_forward_rate(df: DataFrame, season: str, y: str, p: str,
     cells = df.groupBy(season).agg(F.sum(y).alias("k"), F.sum(p).alias("sp"), F.count(F.lit(1)).alias("n"))
     past = spread_to_cutoffs(cells, season, seasons).groupBy("cutoff").agg(
         (logit(F.sum("k") / F.sum("n")) - logit(F.sum("sp") / F.sum("n"))).alias("__gap"))
-    rows = df.join(past.withColumnRenamed("cutoff", season), season)
+    rows = df.join(sized(past.withColumnRenamed("cutoff", season)), season)
     return rows.withColumn("calibrated", sigmoid(logit(F.col(p)) + F.col("__gap"))).drop("__gap")
 
 
@@ -286,7 +286,7 @@ def additive_offsets(df: DataFrame, axes: Sequence[Sequence[str]], season: str,
     for i, keys in enumerate(axes):
         t = shrunk_offsets(df, keys, season, y, [target], strength).select(
             *keys, (F.col("offset") - F.col("global_offset")).alias(f"__x{i}"))
-        rows = null_safe_join(rows, t, keys)
+        rows = small_join(rows, t, keys)
         total = total + F.coalesce(F.col(f"__x{i}"), F.lit(0.0))
     return rows.withColumn("offset", total).drop(*[f"__x{i}" for i in range(len(axes))])
 
@@ -362,7 +362,7 @@ def past_rate_gaps(df: DataFrame, season: str, y: str, rate: str, fallback: floa
 
 def recalibrated_rates(df: DataFrame, gaps: DataFrame, season: str, rate: str, n: str) -> DataFrame:
     """Cumulative rates moved by the past gap and smoothed to past season priors."""
-    rows = df.join(gaps, season, "left")
+    rows = df.join(sized(gaps), season, "left")
     raw = F.coalesce(F.col(rate), F.col("prior_last"))
     count = F.greatest(F.col(n), F.lit(0)).cast("double")
     adjusted = sigmoid(logit(raw) + F.col("gap_logit"))
@@ -412,9 +412,9 @@ def apply_corrections(rows: DataFrame, base: str, types: Sequence[tuple[DataFram
     """
     out = rows
     for table, keys, column, label in types:
-        out = out.join(table, list(keys), "left").withColumn(column, F.coalesce(F.col(column), F.lit(label)))
-    out = out.join(pair.withColumnRenamed("correction", "__pair"), list(pair_keys), "left")
-    out = null_safe_join(out, context.withColumnRenamed("correction", "__ctx"), context_keys)
+        out = out.join(sized(table), list(keys), "left").withColumn(column, F.coalesce(F.col(column), F.lit(label)))
+    out = out.join(sized(pair.withColumnRenamed("correction", "__pair")), list(pair_keys), "left")
+    out = small_join(out, context.withColumnRenamed("correction", "__ctx"), context_keys)
     extra = F.coalesce("__ctx", F.lit(0.0))
     for local, ref, w in experts:
         extra = extra + F.lit(w) * (F.col(local) - F.col(ref))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally import session
 from foretally.functions.rates import entropy, ratio
-from foretally.operators.joins import null_safe_join
+from foretally.operators.joins import sized, small_join
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
 
 
@@ -109,7 +109,7 @@ def stable_numbers(df: DataFrame, label: str, keys: Sequence[str], k: int) -> Da
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """Attach the size of the row's cluster."""
-    return df.join(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size")), label)
+    return df.join(sized(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))), label)
 
 
 def silhouette(df: DataFrame, ident: str, dims: Sequence[str], label: str, chunk: int = 2048) -> DataFrame:
@@ -179,7 +179,7 @@ def safe_types(df: DataFrame, n: str, dims: Sequence[str], k: int, min_n: int, s
 def cluster_features(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hand: str,
                      clusters: Mapping[int, int], cohorts: Sequence[str]) -> DataFrame:
     """Availability, id with fallback, hand-by-cluster and cohort indicators per row."""
-    out = null_safe_join(rows, lookup, keys)
+    out = small_join(rows, lookup, keys)
     known = F.col("cluster").isNotNull()
     made = {"cluster_available": known.cast("int"),
             "cluster_id": F.col(hand) * 100 + F.coalesce(F.col("cluster"), F.lit(99)),

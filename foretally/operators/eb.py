@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.functions.rates import clip, eb, half_life, ratio, reliability
-from foretally.operators.joins import null_safe_join
+from foretally.operators.joins import small_join
 from foretally.operators.ranks import metric_quantiles
 
 
@@ -142,12 +142,12 @@ def context_residual(df: DataFrame, y: str, mode: str, season: str,
     """Residual of the target against a reference: season mean, season-context mean, or an
     as-of rate that falls back to the season mean; references bounded to [.01, .99]."""
     season_mean = df.groupBy(season).agg(F.avg(y).alias("__season"))
-    out = null_safe_join(df, season_mean, [season])
+    out = small_join(df, season_mean, [season])
     if mode == "season":
         ref = F.col("__season")
     elif mode == "context":
         keys = [season, *context]
-        out = null_safe_join(out, df.groupBy(*keys).agg(F.avg(y).alias("__ctx")), keys)
+        out = small_join(out, df.groupBy(*keys).agg(F.avg(y).alias("__ctx")), keys)
         ref = F.coalesce(F.col("__ctx"), F.col("__season"))
     elif mode == "asof":
         ref = F.coalesce(F.col(asof), F.col("__season"))
@@ -166,7 +166,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], y: str, season: str, m: fl
     """
     total = cells(df, keys, y, keep_null=True)
     season_mean = df.groupBy(season).agg(F.avg(y).alias("__mu"))
-    out = null_safe_join(null_safe_join(df, total, keys), season_mean, [season])
+    out = small_join(small_join(df, total, keys), season_mean, [season])
     return out.withColumn(name, (F.col("s") - F.col(y) + F.lit(m) * F.col("__mu"))
                           / (F.col("n") - 1 + m)).drop("s", "n", "__mu")
 
@@ -174,7 +174,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], y: str, season: str, m: fl
 def group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Group aggregates attached to every row through a joined table."""
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return null_safe_join(df, table, keys)
+    return small_join(df, table, keys)
 
 
 def logit_offset(df: DataFrame, keys: Sequence[str], y: str, p: str, strength: float,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally import session
 from foretally.functions.rates import half_life
+from foretally.operators.joins import sized
 from foretally.operators.prepare import robust_scaled, standard_scaled
 
 MAX_DIMS = 512
@@ -116,7 +117,7 @@ def pair_scores(rows: DataFrame, left: DataFrame, right: DataFrame, a: str, b: s
     """Dot product and norms of both sides' vectors, 0 when either side is unknown."""
     l = left.select(a, F.array(*dims).alias("__l"))
     r = right.select(b, F.array(*dims).alias("__r"))
-    out = rows.join(l, a, "left").join(r, b, "left")
+    out = rows.join(sized(l), a, "left").join(sized(r), b, "left")
     known = F.col("__l").isNotNull() & F.col("__r").isNotNull()
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     made = {"pair_score": dot("__l", "__r"), "left_norm": F.sqrt(dot("__l", "__l")), "right_norm": F.sqrt(dot("__r", "__r"))}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from foretally.functions.rates import eb, non_negative, ratio
-from foretally.operators.joins import null_safe_join
+from foretally.operators.joins import null_safe_join, small_join
 from foretally.operators.ordered import History
 from foretally.roles import Order, days
 
@@ -231,11 +231,11 @@ def forward_filled_std(df: DataFrame, entity: str, order: Order, subset: Column,
 
     The rolling deviation runs on subset rows only; other rows take the last known value.
     """
-    part = rolling(History(df.filter(subset), [entity], order, hot_rows), columns, window,
+    inside = F.coalesce(subset, F.lit(False))
+    part = rolling(History(df.filter(inside), [entity], order, hot_rows), columns, window,
                    min_periods, ("std",)).df
     names = [f"{c}_last{window}_std" for c in columns]
-    rows = null_safe_join(df, part.select(*order.cols, *names),
-                          list(order.cols))
+    rows = part.unionByName(df.filter(~inside), allowMissingColumns=True)
     h = History(rows, [entity], order, hot_rows).last_known(
         {f"{n}_ff": F.col(n) for n in names})
     return h.df.drop(*names)
@@ -254,7 +254,7 @@ def prequential_ratio(df: DataFrame, state: Sequence[str], delta: str, fit: Colu
     base = F.coalesce(ratio("__gs", "__gn"), F.lit(prior) if not isinstance(prior, Column) else prior)
     frozen = df.filter(fit).groupBy(*state).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("__fs"),
                                                 F.sum(seen).alias("__fn"))
-    out = null_safe_join(both, frozen, state)
+    out = small_join(both, frozen, state)
     past = ratio(eb("__s", "__n", strength, base), base)
     table = ratio(eb("__fs", "__fn", strength, mean_all), mean_all)
     value = F.coalesce(F.when(fit, past).otherwise(table), F.lit(1.0))

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from foretally import session
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -22,14 +24,33 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
         *[f"__r_{k}" for k in keys])
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """Store a lookup table once and broadcast it only if its measured size is small.
+
+    The table is cut through the checkpoint folder, so measuring it does not compute it
+    twice. A larger table is returned without a hint: the join then shuffles both sides and
+    adaptive execution splits skewed keys.
+    """
+    kept = session.checkpoint(table)
+    size = F.lit(0)
+    for f in kept.schema.fields:
+        text = isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        size = size + (F.length(F.coalesce(F.to_json(F.struct(f.name)), F.lit(""))) if text else F.lit(8))
+    total = kept.agg(F.sum(size + 16)).first()[0] or 0
+    return F.broadcast(kept) if total <= session.broadcast_bytes(table.sparkSession) else kept
+
+
+def small_join(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe left join of many rows with a table that is usually small."""
+    return null_safe_join(rows, sized(table), keys)
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str],
                 defaults: Mapping[str, Any] | None = None,
                 null_safe: bool = False) -> DataFrame:
-    """Left join a keyed table and fill unmatched values.
-
-    No broadcast hint: adaptive execution broadcasts the table when its measured size is
-    below the session threshold and otherwise splits skewed keys of a shuffled join.
-    """
+    """Left join a keyed table and fill unmatched values; rows are not shuffled when the
+    measured table is small."""
+    table = sized(table)
     joined = (null_safe_join(rows, table, keys) if null_safe
               else rows.join(table, list(keys), "left"))
     if not defaults:
@@ -67,8 +88,7 @@ def season_version_join(rows: DataFrame, versions: DataFrame, entity: str, seaso
                         cutoff: str = "cutoff",
                         flag: str = "available") -> DataFrame:
     """As-of join: a row of season S reads the table built with cutoff S."""
-    table = (versions.withColumnRenamed(cutoff, season)
-             .withColumn(f"__{flag}", F.lit(1)))
+    table = sized(versions.withColumnRenamed(cutoff, season).withColumn(f"__{flag}", F.lit(1)))
     return (rows.join(table, [entity, season], "left")
             .withColumn(flag, F.coalesce(f"__{flag}", F.lit(0))).drop(f"__{flag}"))
 

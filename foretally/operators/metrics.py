@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foretally.functions.buckets import digitize
 from foretally.functions.rates import clip, ratio
 from foretally.operators.audit import auc_cells
-from foretally.operators.joins import null_safe_join
+from foretally.operators.joins import null_safe_join, sized, small_join
 from foretally.operators.ordered import by_value
 from foretally.operators.ranks import metric_quantiles
 
@@ -39,7 +39,7 @@ def skill_variants(df: DataFrame, keys: Sequence[str], y: str, p: str,
     work = df.withColumn("__p", clip(F.col(p), eps, 1.0 - eps))
     means = work.groupBy(*keys).agg(F.avg(y).alias("rate"), F.avg("__p").alias("pred_mean"))
     if keys:
-        both = null_safe_join(work, means, keys)
+        both = small_join(work, means, keys)
     else:
         both = work.withColumns({c: means.select(c).scalar() for c in ("rate", "pred_mean")})
     offset = F.col("pred_mean") - F.col("rate")
@@ -160,11 +160,10 @@ def gain_decomposition(df: DataFrame, group: str, y: str, before: str, after: st
     """Each group's contribution to the total Brier change."""
     sq = lambda c: (F.col(c) - F.col(y)) * (F.col(c) - F.col(y))
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(sq(after) - sq(before)).alias("delta"))
-    t = Window.partitionBy()
-    share = F.col("n") / F.sum("n").over(t)
-    gain = share * F.col("delta")
-    return g.select(group, "n", "delta", share.alias("share"), gain.alias("contribution")).withColumn(
-        "share_of_gain", ratio("contribution", F.sum("contribution").over(t)))
+    share = F.col("n") / g.agg(F.sum("n")).scalar()
+    total = g.agg(F.sum(F.col("n") * F.col("delta"))).scalar()
+    return g.select(group, "n", "delta", share.alias("share"), (share * F.col("delta")).alias("contribution"),
+                    ratio(F.col("n") * F.col("delta"), total).alias("share_of_gain"))
 
 
 def slice_residual(df: DataFrame, cell: str, y: str, p: str, parity: Column,
@@ -190,7 +189,7 @@ def slice_residual(df: DataFrame, cell: str, y: str, p: str, parity: Column,
         fit = halves.groupBy(*keys, "__h").agg(
             F.count(F.lit(1)).alias("__n"), F.avg(F.col(y) - F.col(p)).alias("__o")).filter(
             F.col("__n") >= max(min_n // 2, 1)).withColumn("__h", 1 - F.col("__h")).drop("__n")
-        rows = null_safe_join(halves, fit, [*keys, "__h"])
+        rows = small_join(halves, fit, [*keys, "__h"])
         new = clip(F.col(p) + F.coalesce("__o", F.lit(0.0)), EPS, 1 - EPS)
         old = (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
         return rows.agg(F.avg(old - (new - F.col(y)) * (new - F.col(y)))).scalar()
@@ -223,29 +222,30 @@ def noise_floor(long: DataFrame, season: str, seed: str, y: str, p: str) -> Data
 
 def threshold_table(df: DataFrame, fit: Column, y: str, p: str, low: float = 0.30,
                     high: float = 0.95, steps: int = 60) -> DataFrame:
-    """F1-best quantile threshold on the fit rows, scored on the other rows."""
+    """F1-best quantile threshold on the fit rows, scored on the other rows.
+
+    Thresholds are literals and their counts columns of one aggregation.
+    """
     names = {f"t{i}": low + (high - low) * i / (steps - 1) for i in range(steps)}
     quant = metric_quantiles(df.filter(fit), [], [p], names)
-    thresholds = quant.select(F.explode(F.array_distinct(F.array(*names))).alias("threshold"))
-    cells = score_cells(df.withColumn("__fit", fit.cast("int")), ["__fit"], y, p)
-
-    def confusion(c: DataFrame) -> DataFrame:
-        # Thresholds are at most ``steps`` rows; forecasts are pre-counted cells.
-        hit = F.col(p) >= F.col("threshold")
-        pairs = c.withColumn("threshold", F.explode(thresholds.agg(F.collect_list("threshold")).scalar()))
-        return pairs.groupBy("threshold").agg(
-            F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
-            F.sum(F.when(hit, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"),
-            F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum("n").alias("n"))
-
-    f1 = ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn"))
-    best = confusion(cells.filter("__fit = 1")).withColumn("f1", F.coalesce(f1, F.lit(0.0))).agg(
-        F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("t"))
-    test = confusion(cells.filter("__fit = 0")).join(best, F.col("threshold") == F.col("t"))
-    return test.select("threshold", f1.alias("f1"), ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
-                       ratio("tp", F.col("tp") + F.col("fn")).alias("recall"),
-                       ratio(F.col("n") - F.col("fp") - F.col("fn"), "n").alias("accuracy"),
-                       ratio(F.col("tp") + F.col("fp"), "n").alias("predicted_rate"))
+    levels = sorted(set(quant.select(*names).first()))
+    hit = {i: F.col(p) >= F.lit(t) for i, t in enumerate(levels)}
+    wide = df.groupBy(fit.cast("int").alias("__fit")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("all_pos"),
+        *[F.sum(F.when(h, F.col(y)).otherwise(0)).alias(f"tp{i}") for i, h in hit.items()],
+        *[F.count_if(h).alias(f"called{i}") for i, h in hit.items()])
+    table = wide.select("__fit", "n", "all_pos", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"called{i}").alias("called"))
+        for i, t in enumerate(levels)])).alias("r")).select("__fit", "n", "all_pos", "r.*")
+    tp = F.col("tp")
+    f1 = ratio(tp * 2, F.col("called") + F.col("all_pos"))
+    best = table.filter("__fit = 1").agg(F.max_by("threshold", F.struct(
+        F.coalesce(f1, F.lit(0.0)), -F.col("threshold")))).scalar()
+    hits = F.col("n") - F.col("called") - F.col("all_pos") + 2 * tp
+    return table.filter(F.col("__fit") == 0).filter(F.col("threshold") == best).select(
+        "threshold", f1.alias("f1"), ratio("tp", "called").alias("precision"),
+        ratio("tp", "all_pos").alias("recall"), ratio(hits, "n").alias("accuracy"),
+        ratio("called", "n").alias("predicted_rate"))
 
 
 def correction_moments(df: DataFrame, keys: Sequence[str], y: str, p: str,
@@ -289,7 +289,7 @@ def baselines(train: DataFrame, test: DataFrame, y: str, context: Sequence[str],
     ctx = train.groupBy(*context).agg(F.avg(y).alias("__ctx"))
     ent = train.groupBy(entity).agg(
         ((F.sum(y) + strength * league) / (F.count(y) + strength)).alias("__ent"))
-    rows = test.join(ctx, list(context), "left").join(ent, entity, "left")
+    rows = test.join(sized(ctx), list(context), "left").join(sized(ent), entity, "left")
     named = rows.select(F.col(y).alias("y"), league.alias("league_mean"),
                         F.coalesce("__ctx", league).alias("context_only"),
                         F.coalesce("__ent", league).alias("entity_encoding"))
@@ -313,5 +313,5 @@ def bucket_blend(df: DataFrame, bucket: str, weights: DataFrame, a: str, b: str,
                  default: float = 0.5) -> DataFrame:
     """q = w*a + (1-w)*b with the weight of the row's bucket."""
     w = F.coalesce("weight", F.lit(default))
-    return null_safe_join(df, weights, [bucket]).withColumn(
+    return small_join(df, weights, [bucket]).withColumn(
         "blend", w * F.col(a) + (1 - w) * F.col(b)).drop("weight")

@@ -21,7 +21,7 @@ from foretally.operators.joins import null_safe_join
 from foretally.roles import Order
 
 MAX_CUTS = 4096
-BLOCK, POS, SLICE, HALO = "__block", "__pos", "__slice", "__halo"
+BLOCK, POS, SLICE, HALO, GROUP = "__block", "__pos", "__slice", "__halo", "__group"
 
 
 def hot_cuts(df: DataFrame, keys: Sequence[str], position: str,
@@ -66,30 +66,56 @@ class History:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order.columns())
 
-    def running(self, sums: Mapping[str, Column | str], inclusive: bool = False) -> "History":
-        """Add the sum of each measure over strictly earlier rows (0 before the first)."""
+    def _blocks(self) -> DataFrame:
+        """Rows with their block and one group key; struct fields compare NULL equal NULL."""
+        key = F.struct(*self.keys) if self.keys else F.struct(F.lit(0).alias("all"))
+        return assign_block(self.df, self.order.position, self.cuts).withColumn(GROUP, key)
+
+    def _scan(self, inside: Mapping[str, Column], cells: Mapping[str, Column],
+              carry: Callable[[WindowSpec, WindowSpec], Mapping[str, Column]],
+              last: int) -> DataFrame:
+        """Window columns inside blocks joined with what earlier blocks contribute.
+
+        The window and the join share one partitioning by group and block, so rows are
+        shuffled once; the carried table holds one row per group and block.
+        """
+        rows = self._blocks()
+        table = rows.groupBy(GROUP, BLOCK).agg(*[e.alias(n) for n, e in cells.items()])
+        earlier = (Window.partitionBy(GROUP).orderBy(BLOCK)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        whole = Window.partitionBy(GROUP)
+        table = table.select(GROUP, BLOCK, *[
+            e.alias(n) for n, e in carry(earlier, whole).items()])
+        frame = (Window.partitionBy(GROUP, BLOCK).orderBy(*self.order.columns())
+                 .rowsBetween(Window.unboundedPreceding, last))
+        local = rows.withColumns({n: e.over(frame) for n, e in inside.items()})
+        return local.join(table, [GROUP, BLOCK])
+
+    def running(self, sums: Mapping[str, Column | str], inclusive: bool = False,
+                totals: Mapping[str, Column] | None = None) -> "History":
+        """Add the sum of each measure over strictly earlier rows (0 before the first).
+
+        ``totals`` adds sums over the whole group under the same partitioning.
+        """
         sums = {n: (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}
+        totals = dict(totals or {})
         last = 0 if inclusive else -1
         if self.cuts is None:
             frame = self.window.rowsBetween(Window.unboundedPreceding, last)
-            return self._next(self.df.withColumns(
-                {n: F.coalesce(F.sum(e).over(frame), F.lit(0)) for n, e in sums.items()}))
-        rows = assign_block(self.df, self.order.position, self.cuts)
-        cells = rows.groupBy(*self.keys, BLOCK).agg(
-            *[F.sum(e).alias(f"__c_{n}") for n, e in sums.items()])
-        before = (Window.partitionBy(*self.keys).orderBy(BLOCK)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = cells.select(*self.keys, BLOCK, *[
-            F.coalesce(F.sum(f"__c_{n}").over(before), F.lit(0)).alias(f"__c_{n}")
-            for n in sums])
-        inside = (Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order.columns())
-                  .rowsBetween(Window.unboundedPreceding, last))
-        local = rows.withColumns(
-            {n: F.coalesce(F.sum(e).over(inside), F.lit(0)) for n, e in sums.items()})
-        joined = null_safe_join(local, carry, [*self.keys, BLOCK])
-        return self._next(joined.withColumns(
-            {n: F.col(n) + F.col(f"__c_{n}") for n in sums}).drop(
-                BLOCK, *[f"__c_{n}" for n in sums]))
+            whole = Window.partitionBy(*self.keys)
+            return self._next(self.df.withColumns({
+                **{n: F.coalesce(F.sum(e).over(frame), F.lit(0)) for n, e in sums.items()},
+                **{n: F.sum(e).over(whole) for n, e in totals.items()}}))
+        out = self._scan(
+            {n: F.sum(e) for n, e in sums.items()},
+            {f"__c_{n}": F.sum(e) for n, e in {**sums, **totals}.items()},
+            lambda earlier, whole: {
+                **{f"__c_{n}": F.sum(f"__c_{n}").over(earlier) for n in sums},
+                **{n: F.sum(f"__c_{n}").over(whole) for n in totals}}, last)
+        zero = F.lit(0)
+        return self._next(out.withColumns({
+            n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__c_{n}"), zero) for n in sums}
+        ).drop(GROUP, BLOCK, *[f"__c_{n}" for n in sums]))
 
     def position(self, name: str = "seq") -> "History":
         """Add the 0-based position of the row in its group."""
@@ -129,41 +155,25 @@ class History:
             frame = self.window.rowsBetween(Window.unboundedPreceding, last)
             return self._next(self.df.withColumns(
                 {n: F.last(e, ignorenulls=True).over(frame) for n, e in columns.items()}))
-        rows = assign_block(self.df, self.order.position, self.cuts)
-        key = F.struct(*self.order.cols)
-        cells = rows.groupBy(*self.keys, BLOCK).agg(*[
-            F.max_by(e, F.when(e.isNotNull(), key)).alias(f"__c_{n}")
-            for n, e in columns.items()])
-        before = (Window.partitionBy(*self.keys).orderBy(BLOCK)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = cells.select(*self.keys, BLOCK, *[
-            F.last(f"__c_{n}", ignorenulls=True).over(before).alias(f"__c_{n}")
-            for n in columns])
-        inside = (Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order.columns())
-                  .rowsBetween(Window.unboundedPreceding, last))
-        local = rows.withColumns(
-            {n: F.last(e, ignorenulls=True).over(inside) for n, e in columns.items()})
-        joined = null_safe_join(local, carry, [*self.keys, BLOCK])
-        return self._next(joined.withColumns(
+        place = F.struct(*self.order.cols)
+        out = self._scan(
+            {n: F.last(e, ignorenulls=True) for n, e in columns.items()},
+            {f"__c_{n}": F.max_by(e, F.when(e.isNotNull(), place)) for n, e in columns.items()},
+            lambda earlier, _: {f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(earlier)
+                                for n in columns}, last)
+        return self._next(out.withColumns(
             {n: F.coalesce(n, f"__c_{n}") for n in columns}).drop(
-                BLOCK, *[f"__c_{n}" for n in columns]))
+                GROUP, BLOCK, *[f"__c_{n}" for n in columns]))
 
     def running_max(self, name: str, value: Column) -> "History":
         """Add the maximum over strictly earlier rows (NULL before the first)."""
         if self.cuts is None:
             frame = self.window.rowsBetween(Window.unboundedPreceding, -1)
             return self._next(self.df.withColumn(name, F.max(value).over(frame)))
-        rows = assign_block(self.df, self.order.position, self.cuts)
-        before = (Window.partitionBy(*self.keys).orderBy(BLOCK)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = (rows.groupBy(*self.keys, BLOCK).agg(F.max(value).alias("__m"))
-                 .select(*self.keys, BLOCK, F.max("__m").over(before).alias("__m")))
-        inside = (Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order.columns())
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        joined = null_safe_join(rows.withColumn(name, F.max(value).over(inside)), carry,
-                                [*self.keys, BLOCK])
-        return self._next(joined.withColumn(
-            name, F.greatest(F.col(name), F.col("__m"))).drop(BLOCK, "__m"))
+        out = self._scan({name: F.max(value)}, {"__m": F.max(value)},
+                         lambda earlier, _: {"__m": F.max("__m").over(earlier)}, -1)
+        return self._next(out.withColumn(name, F.greatest(F.col(name), F.col("__m"))).drop(
+            GROUP, BLOCK, "__m"))
 
 
 def value_cells(df: DataFrame, keys: Sequence[str], value: str,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.functions.rates import clip, eb, entropy, half_life, ratio, reliability
-from foretally.operators.joins import null_safe_join, spread_to_cutoffs
+from foretally.operators.joins import sized, small_join, spread_to_cutoffs
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
 
 
@@ -54,7 +54,7 @@ def recency_profile(cells: DataFrame, keys: Sequence[str], season: str, columns:
 def eligible(df: DataFrame, entity: str, season: str, min_n: int) -> DataFrame:
     """Rows of entity seasons with enough volume, with the season size."""
     size = df.groupBy(entity, season).agg(F.count(F.lit(1)).alias("season_n"))
-    return df.join(size.filter(F.col("season_n") >= min_n), [entity, season])
+    return df.join(sized(size.filter(F.col("season_n") >= min_n)), [entity, season])
 
 
 def metric_profiles(df: DataFrame, entity: str, season: str, metrics: Sequence[str], label: str,
@@ -145,7 +145,7 @@ def robust_z(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], fit: Co
     wide = q.groupBy(*keys).agg(*[
         F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"__{m}_{c}")
         for m in metrics for c in ("q1", "q2", "q3")])
-    rows = null_safe_join(df, wide, keys)
+    rows = small_join(df, wide, keys)
     made = {}
     for m in metrics:
         spread = F.col(f"__{m}_q3") - F.col(f"__{m}_q1")

@@ -25,12 +25,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Linearly interpolated quantiles per group, one column per named probability."""
     cells = value_cells(df.select(*keys, F.col(value).cast("double").alias("__x")), keys, "__x")
     value = "__x"
-    ranked = by_value(cells, keys, value, hot_rows).running({"below": F.col("n")}).df
-    if keys:
-        totals = cells.groupBy(*keys).agg(F.sum("n").alias("__total"))
-        ranked = null_safe_join(ranked, totals, keys)
-    else:
-        ranked = ranked.withColumn("__total", cells.agg(F.sum("n")).scalar())
+    ranked = by_value(cells, keys, value, hot_rows).running(
+        {"below": F.col("n")}, totals={"__total": F.col("n")}).df
     picks, final = [], []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("__total") - 1)
@@ -59,16 +55,9 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str,
     cells = value_cells(df, keys, value)
     ordered = by_value(cells.withColumn("__v", F.col(value) * (-1 if descending else 1)),
                        keys, "__v", hot_rows)
-    ranked = ordered.running({"below": F.col("n")}).df
+    ranked = ordered.running({"below": F.col("n")}, totals={"__total": F.col("n")}).df
     rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
-    table = ranked.withColumn(name, rank).select(*keys, value, name)
-    if percent:
-        if keys:
-            totals = cells.groupBy(*keys).agg(F.sum("n").alias("__total"))
-            table = null_safe_join(table, totals, keys)
-        else:
-            table = table.withColumn("__total", cells.agg(F.sum("n")).scalar())
-        table = table.withColumn(name, F.col(name) / F.col("__total")).drop("__total")
+    table = ranked.select(*keys, value, (rank / F.col("__total") if percent else rank).alias(name))
     return null_safe_join(df, table, [*keys, value])
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foretally.functions.rates import logit
-from foretally.operators.joins import lookup_join, null_safe_join
+from foretally.operators.joins import lookup_join, small_join
 
 Apply = Callable[[DataFrame, Column], tuple[DataFrame, list[str], list[str]]]
 
@@ -112,7 +112,7 @@ class FeatureSpec:
     def attach(self, df: DataFrame, fit: Column) -> DataFrame:
         if (self.make is None) == (self.make_table is None):
             raise ValueError("give either make or make_table")
-        out = self.make(df) if self.make else null_safe_join(df, self.make_table(df.filter(fit)), self.keys)
+        out = self.make(df) if self.make else small_join(df, self.make_table(df.filter(fit)), self.keys)
         missing = [c for c in self.columns if c not in out.columns]
         if missing:
             raise ValueError(f"{self.name} lacks {missing}")
@@ -131,8 +131,8 @@ def cell_contribution(df: DataFrame, keys: Sequence[str], strength: float) -> Da
     from foretally.operators.ordered import by_value
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     share = cells.withColumn("w", F.lit(1.0) / (F.col("rows") + strength)).groupBy("w").agg(F.sum("rows").alias("n"))
-    ranked = by_value(share, [], "w").running({"below": F.col("n")}).df
-    total = share.agg(F.sum("n")).scalar()
+    ranked = by_value(share, [], "w").running({"below": F.col("n")}, totals={"t": F.col("n")}).df
+    total = F.col("t")
     at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("w")))
     return ranked.agg(((at(F.floor((total - 1) / 2)) + at(F.ceil((total - 1) / 2))) / 2.0).alias("median_contribution"))
 

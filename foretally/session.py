@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS = "spark.foretally.hotGroupRows"
 HOT_ROWS_DEFAULT = 4_000_000
+BROADCAST_BYTES = "spark.foretally.broadcastBytes"
+BROADCAST_BYTES_DEFAULT = 64 * 1024 * 1024
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -15,6 +17,11 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS, str(HOT_ROWS_DEFAULT)))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Measured size up to which a lookup table is sent to every executor."""
+    return int(spark.conf.get(BROADCAST_BYTES, str(BROADCAST_BYTES_DEFAULT)))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names."""
     context = df.sparkSession.sparkContext
