@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foretally import session
 from foretally.operators import cluster as cl, eb, embed, metrics, model, prepare, registry as reg
 from foretally.plans.bindings import LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, pit, table
 from foretally.plans.catalog import query
@@ -432,3 +433,51 @@ def state_classes(spark, sf):
     rows = pit(spark, sf).withColumns({"m": (F.col("qty") > 30).cast("int"), "r": (F.col("disc") > 0.05).cast("int")})
     out = rows.withColumns(failure_classes(F.col("y"), F.col("m"), F.col("r")))
     return out.groupBy("class4", "class5").agg(F.count("*").alias("n"))
+
+
+@query("narrowed_cache", "S2 S1", "season:i n:i qty_sum:d2 kinds:s", """
+SELECT season, count(*) n, sum(qty) qty_sum, 'int/float' kinds FROM pit GROUP BY 1""")
+def narrowed_cache(spark, sf):
+    """A narrowed Parquet cache written once and read back."""
+    rows = pit(spark, sf).select(F.col("season").cast("long").alias("season"), "qty")
+    cached = files.build_cache(rows, session.scratch(spark), {"season": "int", "qty": "float"})
+    kinds = "/".join(t for _, t in cached.dtypes)
+    return cached.groupBy("season").agg(F.count("*").alias("n"), F.sum("qty").alias("qty_sum")).withColumn("kinds", F.lit(kinds))
+
+
+@query("saved_dataset", "S8 P29", "split:s n:i first_season:i last_season:i", """
+SELECT CASE WHEN season < 2000 THEN 'train' WHEN season = 2000 THEN 'test' ELSE 'unused' END AS split, count(*) n, min(season) first_season, max(season) last_season FROM pit GROUP BY 1""")
+def saved_dataset(spark, sf):
+    """A dataset written by split with its schema beside it, read back."""
+    from foretally.functions.buckets import split_label
+    rows = pit(spark, sf).select("season", "entity", "qty").withColumn("split", split_label(F.col("season"), range(1995, 2000), [2000]))
+    path = session.scratch(spark)
+    files.save_dataset(rows, path)
+    return spark.read.parquet(f"{path}/data").groupBy("split").agg(
+        F.count("*").alias("n"), F.min("season").alias("first_season"), F.max("season").alias("last_season"))
+
+
+@query("saved_versions", "S9", "cutoff:i n:i last_season:i total:i", """
+SELECT cutoff, count(DISTINCT entity) n, max(season) last_season, count(*) total FROM pit, (VALUES (1999), (2001)) v(cutoff) WHERE season < cutoff AND (cutoff <> 1999 OR entity % 2 = 0) GROUP BY 1""")
+def saved_versions(spark, sf):
+    """Cutoff-versioned profiles; rewriting one cutoff leaves the others."""
+    from foretally.operators.joins import spread_to_cutoffs
+    cells = pit(spark, sf).groupBy("entity", "season").agg(F.count("*").alias("n"))
+    prof = spread_to_cutoffs(cells, "season", [1999, 2001]).groupBy("entity", "cutoff").agg(
+        F.sum("n").alias("n"), F.max("season").alias("last_season"))
+    path = session.scratch(spark)
+    files.save_version(prof, path)
+    files.save_version(prof.filter("cutoff = 1999 AND entity % 2 = 0"), path)
+    return spark.read.parquet(path).groupBy("cutoff").agg(
+        F.count("*").alias("n"), F.max("last_season").alias("last_season"), F.sum("n").alias("total"))
+
+
+@query("written_submission", "S13", "rows:i p_sum:d4 header:s", "SELECT count(*) AS \"rows\", sum(p) p_sum, 'row_id,p' header FROM pit WHERE season = 2001")
+def written_submission(spark, sf):
+    """Two-column forecasts written in row order and read back."""
+    rows = pit(spark, sf).filter(F.col("season") == LAST_SEASON).withColumns({
+        "row_id": F.concat_ws("-", "game", "ctx", "opp", "entity"), "seq": F.col("game")})
+    path = session.scratch(spark)
+    files.write_submission(rows, path, "row_id", "p", "seq")
+    back = spark.read.csv(path, header=True)
+    return back.agg(F.count("*").alias("rows"), F.sum(F.col("p").cast("double")).alias("p_sum")).withColumn("header", F.lit(",".join(back.columns)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretally.functions import buckets, physics, rowfeatures as rf, situation
-from foretally.plans.bindings import pit, table
+from foretally.plans.bindings import spread, table
 from foretally.plans.catalog import query
 
 # The pitch table's columns derived from line items; the same text serves Spark and SQL.
@@ -48,7 +48,7 @@ KS = "season, k1, k2, k3, k4"
 
 
 def train(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in TRAIN.items()])
+    return spread(table(spark, sf, "lineitem")).selectExpr(*[f"{e} AS {n}" for n, e in TRAIN.items()])
 
 
 def spec(cols: dict[str, str], ints: set[str] = frozenset(), texts: set[str] = frozenset()) -> str:

@@ -34,5 +34,16 @@ def days_then(col: str, second: str, span: float = 2.0**36) -> str:
 
 
 def seconds(col: str) -> str:
-    """Seconds since the epoch of a timestamp column, as a SQL expression."""
+    """Seconds since the epoch of an instant, as a SQL expression."""
     return f"cast(unix_micros(cast({col} as timestamp)) as double) / 1e6"
+
+
+def wall_seconds(col: str) -> str:
+    """Seconds of a zoneless timestamp; never decreases where clocks are set forward."""
+    return (f"{days(col)} * 86400D + hour({col}) * 3600D + minute({col}) * 60D"
+            f" + cast(extract(second from {col}) as double)")
+
+
+def text_rank(col: str) -> str:
+    """Number that never decreases along the order of a text column (its first six bytes)."""
+    return f"cast(conv(rpad(substr(hex({col}), 1, 12), 12, '0'), 16, 10) as double)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +23,21 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_BYTES, str(BROADCAST_BYTES_DEFAULT)))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the session names."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; one of our own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder the session names."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path beside the checkpoints, reachable by every executor."""
+    return f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from foretally.operators.joins import small_join
 from foretally.operators.ordered import History
 from foretally.roles import Order
 
@@ -125,12 +126,26 @@ def unpivoted(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataF
 
 def capped_sample(df: DataFrame, keys: Sequence[str], ident: Sequence[str], cap: int, seed: int,
                   hot_rows: int | None = None) -> DataFrame:
-    """Fixed-seed sample of at most ``cap`` rows per key, by smallest digest of the row id."""
+    """Fixed-seed sample of at most ``cap`` rows per key, by smallest digest of the row id.
+
+    Rows are first counted per leading digest digits; only rows up to the digits where the
+    count reaches the cap are ordered, so the full table is never sorted.
+    """
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident])
-    rows = df.withColumn("__h", F.md5(text))
+    rows = df.withColumn("__h", F.md5(text)).withColumn("__b", F.substring("__h", 1, 4))
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = by_digits(counts, keys)
+    last = before.filter(F.col("__below") < cap).groupBy(*keys).agg(F.max("__b").alias("__last"))
+    near = small_join(rows, last, keys).filter(F.col("__b") <= F.col("__last"))
     order = Order(("__h", *ident), "cast(conv(substr(__h, 1, 12), 16, 10) as double)")
-    return History(rows, list(keys), order, hot_rows).position("__r").df.filter(
-        F.col("__r") < cap).drop("__h", "__r")
+    return History(near, list(keys), order, hot_rows).position("__r").df.filter(
+        F.col("__r") < cap).drop("__h", "__b", "__last", "__r")
+
+
+def by_digits(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with smaller leading digits per key (at most 16^4 cells a key)."""
+    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
 
 
 def write_submission(df: DataFrame, path: str, row_id: str, p: str, seq: str) -> None:
