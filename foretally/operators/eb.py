@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foretally import session
 from foretally.functions.rates import clip, eb, half_life, ratio, reliability
 from foretally.operators.joins import small_join
 from foretally.operators.ranks import metric_quantiles
@@ -206,16 +207,13 @@ def kernel_neighbours(profiles: DataFrame, entity: str, dims: Sequence[str], s:
     at most ``chunk`` entities; an entity meets each chunk once and keeps two running sums,
     so no pair rows are produced and memory is bounded by the chunk.
     """
-    bounds = metric_quantiles(profiles, [], dims, {"lo": 0.01, "hi": 0.99})
-    limits = bounds.groupBy().pivot("metric", list(dims)).agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    limit = {d: (limits.select(f"{d}_lo").scalar(), limits.select(f"{d}_hi").scalar())
-             for d in dims}
-    capped = profiles.select(entity, s, n, *[
-        clip(F.col(d), *limit[d]).alias(d) for d in dims])
-    moments = {d: (capped.agg(F.avg(d)).scalar(), capped.agg(F.stddev_pop(d)).scalar())
-               for d in dims}
-    vec = F.array(*[F.coalesce(F.try_divide(F.col(d) - moments[d][0], moments[d][1]), F.lit(0.0))
+    profiles = session.checkpoint(profiles.select(entity, s, n, *dims))
+    bounds = {r["metric"]: (r["lo"], r["hi"]) for r in metric_quantiles(
+        profiles, [], dims, {"lo": 0.01, "hi": 0.99}).collect()}
+    capped = profiles.select(entity, s, n, *[clip(F.col(d), *bounds[d]).alias(d) for d in dims])
+    row = capped.agg(*[F.avg(d).alias(f"m_{d}") for d in dims],
+                     *[F.stddev_pop(d).alias(f"s_{d}") for d in dims]).first()
+    vec = F.array(*[F.coalesce((F.col(d) - F.lit(row[f"m_{d}"])) / F.lit(row[f"s_{d}"] or 1.0), F.lit(0.0))
                     for d in dims])
     points = capped.select(entity, s, n, vec.alias("v"))
     count = profiles.count()

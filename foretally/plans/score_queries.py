@@ -325,7 +325,27 @@ def platt_fit(spark, sf):
     return cal.platt(pit(spark, sf), [], "y", logit(F.col("p2")))
 
 
-@query("beta_calibration", "E23", "n:i brier:d logloss:d")
+def beta_sql(steps: int) -> str:
+    """Newton steps of a three-weight logistic fit, each solved by Cramer's rule."""
+    out = ["s0 AS (SELECT 0.0::DOUBLE w0, 0.0::DOUBLE w1, 0.0::DOUBLE w2)"]
+    x = ["lp", "lq", "1.0"]
+    for i in range(steps):
+        sums = ", ".join(f"sum({x[j]} * (k - n * q)) g{j}" for j in range(3)) + ", " + ", ".join(
+            f"sum({x[a]} * {x[b]} * n * q * (1 - q)) h{a}{b}" for a in range(3) for b in range(a, 3))
+        h = lambda a, b: f"h{min(a, b)}{max(a, b)}"
+        col = lambda c, r, j: f"g{r}" if c == j else h(r, c)
+        det = lambda j: " + ".join(
+            f"({sgn}) * {col(p[0], 0, j)} * {col(p[1], 1, j)} * {col(p[2], 2, j)}" for p, sgn in (
+                ((0, 1, 2), 1), ((1, 2, 0), 1), ((2, 0, 1), 1), ((0, 2, 1), -1), ((1, 0, 2), -1), ((2, 1, 0), -1)))
+        out.append(f"""s{i + 1} AS (SELECT {', '.join(f'w{j} + ({det(j)}) / ({det(9)}) w{j}' for j in range(3))} FROM
+ (SELECT any_value(w0) w0, any_value(w1) w1, any_value(w2) w2, {sums} FROM (SELECT ce.*, w0, w1, w2, {sg('w0 * lp + w1 * lq + w2')} q FROM ce, s{i})))""")
+    return ", ".join(out)
+
+
+@query("beta_calibration", "E23", "n:i brier:d logloss:d", f"""
+WITH ce AS (SELECT ln(p2) lp, ln(1 - p2) lq, count(*) n, sum(y) k FROM pit WHERE season < {LAST_SEASON} GROUP BY 1, 2), {beta_sql(9)},
+v AS (SELECT y, {sg('w0 * ln(p2) + w1 * ln(1 - p2) + w2')} q FROM pit, s9 WHERE season = {LAST_SEASON})
+SELECT count(*) n, avg(pow(q - y, 2)) brier, -avg(y * ln(q) + (1 - y) * ln(1 - q)) logloss FROM v""")
 def beta_calibration(spark, sf):
     """Beta calibration fitted on past seasons and scored on the last."""
     rows = pit(spark, sf)
@@ -356,7 +376,15 @@ def walk_forward_rate(spark, sf):
     return cal.walk_forward_rate(pit(spark, sf), "season", "y", "p", [1999, 2000, 2001])
 
 
-@query("walk_forward_isotonic", "E25 E23", "season:i n:i rate:d brier:d")
+# Isotonic least squares is the max over starts of the min over ends of weighted means.
+ISO = """t AS (SELECT * FROM (VALUES (2000), (2001)) v(t)), c AS (SELECT t, p3 x, count(*) w, sum(y) s FROM b, t WHERE season < t GROUP BY 1, 2),
+r AS (SELECT t, x, row_number() OVER o i, sum(w) OVER o cw, sum(s) OVER o cs, w, s FROM c WINDOW o AS (PARTITION BY t ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT a.t, a.i ai, z.i zi, (z.cs - a.cs + a.s) / (z.cw - a.cw + a.w) v FROM r a JOIN r z ON a.t = z.t AND z.i >= a.i),
+k AS (SELECT t, ai, i, min(v) v FROM m JOIN (SELECT DISTINCT i FROM r) q ON q.i >= ai AND zi >= q.i GROUP BY 1, 2, 3), g AS (SELECT r.t, r.x, max(k.v) v FROM r JOIN k ON k.t = r.t AND k.i = r.i GROUP BY 1, 2)"""
+
+
+@query("walk_forward_isotonic", "E25 E23", "season:i n:i rate:d brier:d", f"""
+WITH {B}, {ISO} SELECT season, count(*) n, avg(y) rate, avg(pow(v - y, 2)) brier FROM b JOIN g ON g.t = season AND g.x = p3 GROUP BY 1""")
 def walk_forward_isotonic(spark, sf):
     """Seasons calibrated by a monotone map of earlier seasons."""
     out = cal.walk_forward_isotonic(rows3(spark, sf), "season", "y", "p3", [2000, 2001])
