@@ -52,7 +52,7 @@ def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
             F.greatest(*[F.abs(update[n] - F.col(n)) for n in start],
                        F.lit(0.0)).alias("__move")))
         params = moved.drop("__move")
-        if moved.agg(F.max("__move")).first()[0] < tolerance:
+        if (moved.agg(F.max("__move")).first()[0] or 0.0) < tolerance:
             break
     return params
 

@@ -21,7 +21,7 @@ from foretally.operators.joins import null_safe_join
 from foretally.roles import Order
 
 MAX_CUTS = 4096
-BLOCK, POS, SLICE, HALO, GROUP = "__block", "__pos", "__slice", "__halo", "__group"
+BLOCK, POS, SLICE, HALO, GROUP = "__cut_block", "__cut_pos", "__cut_slice", "__cut_halo", "__cut_group"
 
 
 def hot_cuts(df: DataFrame, keys: Sequence[str], position: str,
@@ -134,19 +134,19 @@ class History:
         if self.cuts is None:
             return self._next(self.df.withColumns(dict(build(self.window))))
         span = max(self.limit, back, ahead)
-        seq = self.position("__seq").df.withColumn(
-            SLICE, F.floor(F.col("__seq") / span).cast("long"))
-        inside = F.col("__seq") - F.col(SLICE) * span
+        seq = self.position("__cut_seq").df.withColumn(
+            SLICE, F.floor(F.col("__cut_seq") / span).cast("long"))
+        inside = F.col("__cut_seq") - F.col(SLICE) * span
         copies = F.filter(F.array(
             F.lit(0),
             F.when(inside >= span - back, 1),
             F.when((inside < ahead) & (F.col(SLICE) > 0), -1)), lambda c: c.isNotNull())
-        spread = (seq.withColumn("__to", F.explode(copies))
-                  .withColumn(SLICE, F.col(SLICE) + F.col("__to"))
-                  .withColumn(HALO, F.col("__to") != 0).drop("__to"))
-        w = Window.partitionBy(*self.keys, SLICE).orderBy("__seq")
+        spread = (seq.withColumn("__cut_to", F.explode(copies))
+                  .withColumn(SLICE, F.col(SLICE) + F.col("__cut_to"))
+                  .withColumn(HALO, F.col("__cut_to") != 0).drop("__cut_to"))
+        w = Window.partitionBy(*self.keys, SLICE).orderBy("__cut_seq")
         out = spread.withColumns(dict(build(w))).filter(~F.col(HALO))
-        return self._next(out.drop("__seq", SLICE, HALO))
+        return self._next(out.drop("__cut_seq", SLICE, HALO))
 
     def last_known(self, columns: Mapping[str, Column], inclusive: bool = True) -> "History":
         """Add the latest non-null value of each expression up to the row."""

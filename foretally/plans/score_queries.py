@@ -356,7 +356,7 @@ def beta_calibration(spark, sf):
 
 
 @query("segment_platt", "E24", "ctx:i a:d b:d", f"""
-WITH fit AS (SELECT *, {lg('p2')} - avg({lg('p2')}) OVER () z0 FROM pit WHERE season < {LAST_SEASON}), cg AS (SELECT z0 z, count(*) n, sum(y) k FROM fit GROUP BY 1), cl AS (SELECT ctx, z0 z, count(*) n, sum(y) k FROM fit GROUP BY 1, 2),
+WITH fit AS (SELECT *, {lg('p2')} - avg({lg('p2')}) OVER () z0 FROM pit WHERE season < {LAST_SEASON}), cg AS (SELECT z0 z, count(*) n, sum(y) k FROM fit GROUP BY 1), cl AS (SELECT ctx, z0 z, count(*) n, sum(y) k FROM fit WHERE ctx IN (SELECT ctx FROM fit GROUP BY 1 HAVING count(*) >= 1000) GROUP BY 1, 2),
 {platt_sql('', 14, 'cg', 'g')}, {platt_sql('ctx', 14, 'cl', 'l')},
 gl AS (SELECT least(greatest(a, 0.3), 2.0) a, least(greatest(b, -0.6), 0.6) b FROM g14), lo AS (SELECT ctx, least(greatest(a, 0.3), 2.0) a, least(greatest(b, -0.6), 0.6) b FROM l14)
 SELECT ctx, 1 + 0.25 * (lo.a - gl.a) a, 0.25 * (lo.b - gl.b) b FROM lo, gl""")
@@ -518,7 +518,7 @@ def applied_corrections(spark, sf):
 @query("segment_slope_grid", "E41", "ctx:i n:i slope:d brier:d8", f"""
 WITH m AS (SELECT avg({lg('p')}) c FROM pit), ce AS (SELECT ctx, {lg('p')} - c z, c, count(*) n, sum(y) k FROM pit, m GROUP BY ALL),
 g AS (SELECT ctx, a, sum(n) n, sum(n * q * q - 2 * q * k + k) / sum(n) b FROM (SELECT ce.*, a, {sg('a * z + c')} q FROM ce, (SELECT 0.4 + 0.02 * i a FROM range(71) t(i))) GROUP BY 1, 2)
-SELECT ctx, n, min_by(a, (round(b, 12), a)) slope, min(round(b, 12)) brier FROM g GROUP BY 1, 2""")
+SELECT ctx, n, min_by(a, (round(b, 12), a)) slope, min(round(b, 12)) brier FROM g WHERE n >= 2000 GROUP BY 1, 2""")
 def segment_slope_grid(spark, sf):
     """Brier-best slope over 71 values per segment."""
     rows = pit(spark, sf)

@@ -32,6 +32,30 @@ def test_query(spark, sf, duck, name):
     assert message == ""
 
 
+WINDOWED = [
+    "lagged_values", "count_before", "rolling_prior", "leverage_index", "times_faced", "outing_workload",
+    "history_rates", "expanding_target_encoding", "game_flow", "opponent_history", "command_forward_fill",
+    "recovered_labels", "outing_segments", "order_violations", "row_decile", "order_diagnostics",
+    "univariate_signal", "probability_scores", "transfer_clip_audit", "concentration_curve", "quantile_match",
+    "repeatability_index", "grouped_folds", "category_codes", "capped_sample", "user_history", "robust_z",
+]
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_hot_group_plan(spark, sf, duck, name):
+    """The same rows when every window is cut into blocks and no lookup is broadcast."""
+    spark.conf.set("spark.foretally.hotGroupRows", "40")
+    spark.conf.set("spark.foretally.broadcastBytes", "0")
+    try:
+        got = QUERIES[name](spark, sf)
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.foretally.hotGroupRows")
+        spark.conf.unset("spark.foretally.broadcastBytes")
+    cur = duck.execute(SQL[name])
+    assert compare(got.columns, rows, [d[0] for d in cur.description], cur.fetchall()) == ""
+
+
 def test_entry_matches_published_numbers(spark):
     from foretally.plans.catalog import CATALOG
     rows = {r["hand"]: r for r in CATALOG["split_forecast_skill"].run(spark, "/root/testdata/sf0.01").collect()}
