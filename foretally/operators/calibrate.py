@@ -42,11 +42,15 @@ def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
     Parameters stay a DataFrame with one row per group; each step cuts its lineage.
     """
     cells = session.checkpoint(cells)
-    params = cells.groupBy(*keys).agg(F.lit(1)).select(
-        *keys, *[F.lit(float(v)).alias(n) for n, v in start.items()])
+    params = session.checkpoint(cells.groupBy(*keys).agg(F.lit(1)).select(
+        *keys, *[F.lit(float(v)).alias(n) for n, v in start.items()]))
+    groups = params.count()
+    # A generous width per row decides whether the parameters still fit a broadcast.
+    most = session.broadcast_bytes(cells.sparkSession) // (64 + 256 * len(keys) + 16 * len(start))
     for _ in range(steps):
-        sums = with_params(cells, params, keys).groupBy(*keys, *start).agg(
-            *[F.sum(m).alias(n) for n, m in moments.items()])
+        table = F.broadcast(params) if groups <= most else params
+        joined = null_safe_join(cells, table, keys) if keys else with_params(cells, params, keys)
+        sums = joined.groupBy(*keys, *start).agg(*[F.sum(m).alias(n) for n, m in moments.items()])
         moved = session.checkpoint(sums.select(
             *keys, *[update[n].alias(n) for n in start],
             F.greatest(*[F.abs(update[n] - F.col(n)) for n in start],

@@ -9,7 +9,7 @@ from foretally.functions.rates import wilson
 from foretally.operators import audit
 from foretally.operators.history import game_table
 from foretally.operators.ordered import History
-from foretally.plans.bindings import (EV_ORDER, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit,
+from foretally.plans.bindings import (LATEST, EV_ORDER, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit,
                                       table)
 from foretally.plans.catalog import query
 
@@ -356,7 +356,7 @@ FROM j, (VALUES (1), (3), (5), (8)) v(threshold) GROUP BY 1""")
 def threshold_coverage(spark, sf):
     """Target rows owned by entities with enough base rows."""
     rows = pit(spark, sf)
-    return audit.coverage_by_threshold(rows.filter("season = 2000"), rows.filter(F.col("season") == LAST_SEASON), "opp", [1, 3, 5, 8])
+    return audit.coverage_by_threshold(rows.filter("season = 2000"), rows.filter(LATEST), "opp", [1, 3, 5, 8])
 
 
 @query("by_prior_volume", "D29 P22 J1", "bucket:s n:i rate:d", f"""
@@ -367,7 +367,7 @@ def by_prior_volume(spark, sf):
     """Target rows grouped by the entity's previous-season volume."""
     rows = pit(spark, sf)
     prior = rows.filter("season = 2000").groupBy("opp").agg(F.count("*").alias("base_n"))
-    out = rows.filter(F.col("season") == LAST_SEASON).join(prior, "opp", "left").na.fill(0, ["base_n"])
+    out = rows.filter(LATEST).join(prior, "opp", "left").na.fill(0, ["base_n"])
     label = buckets.cut(F.col("base_n"), [-1, 0, 3, 6, float("inf")], ["0", "1-3", "4-6", "7+"])
     return out.groupBy(label.alias("bucket")).agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
 

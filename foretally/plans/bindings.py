@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foretally.roles import Order, days_then, wall_seconds
 
 PIT = {
+    "shipped": "l_shipdate",
     "season": "cast(year(l_shipdate) as int)",
     "month": "cast(month(l_shipdate) as int)",
     "day": "cast(l_shipdate as date)",
@@ -43,6 +44,10 @@ PIT_ORDER = Order(("day", "game", "ctx", "opp", "entity"), days_then("day", "gam
 EV_ORDER = Order(("ts", "event_id"), wall_seconds("ts"))
 PIT_SQL_ORDER = "day, game, ctx, opp, entity"
 LAST_SEASON = 2001
+# Season predicates on the stored column, so that they reach the scan.
+PAST = f"shipped < timestamp_ntz'{LAST_SEASON}-01-01 00:00:00'"
+LATEST = (f"shipped >= timestamp_ntz'{LAST_SEASON}-01-01 00:00:00' AND "
+          f"shipped < timestamp_ntz'{LAST_SEASON + 1}-01-01 00:00:00'")
 
 
 def _select(table: str, exprs: dict[str, str]) -> str:

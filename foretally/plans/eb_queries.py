@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally.functions.rates import clip, half_life
 from foretally.operators import asof, eb, joins, metrics
-from foretally.plans.bindings import LAST_SEASON, ev, pit
+from foretally.plans.bindings import LATEST, PAST, LAST_SEASON, ev, pit
 from foretally.plans.catalog import query
 
 FIT = f"season < {LAST_SEASON}"
@@ -35,9 +35,9 @@ SELECT hand, count(*) n, avg(y) rate, avg((y - p) * (y - p)) brier,
 def split_forecast_skill(spark, sf):
     """Fit splits on past seasons, look them up for the last one, score the forecast."""
     rows = pit(spark, sf)
-    fit = rows.filter(FIT)
+    fit = rows.filter(PAST)
     table = eb.nested_split(fit, ["entity"], ["entity", "hand"], "y", 300.0)
-    scored = joins.lookup_join(rows.filter(F.col("season") == LAST_SEASON), table,
+    scored = joins.lookup_join(rows.filter(LATEST), table,
                                ["entity", "hand"], {"split": 0.0, "rel": 0.0})
     p = clip(eb.mean_of(fit, "y") + F.col("split") * F.col("rel"), 1e-6, 1 - 1e-6)
     return metrics.skill(scored.withColumn("forecast", p), ["hand"], "y", "forecast")
@@ -56,7 +56,7 @@ SELECT {lower}, {eb_sql('a.s', 'a.n', k, 'm')} - {eb_sql('u.s', 'u.n', k, 'm')}
        split_sql("entity", "entity, hand", 300.0))
 def hand_split_table(spark, sf):
     """EB(entity, hand) - EB(entity) on the fit seasons."""
-    return eb.nested_split(pit(spark, sf).filter(FIT), ["entity"], ["entity", "hand"], "y", 300.0)
+    return eb.nested_split(pit(spark, sf).filter(PAST), ["entity"], ["entity", "hand"], "y", 300.0)
 
 
 @query("count_split_table", "A4 P21", "entity:i hand:s bucket:i split:d rel:d",
@@ -64,7 +64,7 @@ def hand_split_table(spark, sf):
                  "(SELECT *, CASE WHEN ctx < 3 THEN 0 WHEN ctx > 4 THEN 2 ELSE 1 END bucket FROM fit)"))
 def count_split_table(spark, sf):
     """Two-level subtraction by count bucket."""
-    rows = pit(spark, sf).filter(FIT).withColumn(
+    rows = pit(spark, sf).filter(PAST).withColumn(
         "bucket", F.when(F.col("ctx") < 3, 0).when(F.col("ctx") > 4, 2).otherwise(1))
     return eb.nested_split(rows, ["entity", "hand"], ["entity", "hand", "bucket"], "y", 300.0)
 
@@ -75,7 +75,7 @@ def count_split_table(spark, sf):
 def inning_split_table(spark, sf):
     """Two-level subtraction by left-closed inning bucket."""
     from foretally.functions.buckets import digitize
-    rows = pit(spark, sf).filter(FIT).withColumn("bucket", digitize(F.col("qty"), [4, 7, 10]))
+    rows = pit(spark, sf).filter(PAST).withColumn("bucket", digitize(F.col("qty"), [4, 7, 10]))
     return eb.nested_split(rows, ["entity", "hand"], ["entity", "hand", "bucket"], "y", 300.0)
 
 
@@ -101,7 +101,7 @@ SELECT opp, hand, {outs}, n_y / (n_y + 300.0) rel FROM a JOIN u USING (opp), mu"
 def component_splits(spark, sf):
     """Opponent splits of the target and of two components with unknown labels."""
     parts = {t: F.expr(e) for t, e in COMPONENTS.items()}
-    return eb.component_splits(pit(spark, sf).filter(FIT), "opp", "hand", "y", parts, 300.0)
+    return eb.component_splits(pit(spark, sf).filter(PAST), "opp", "hand", "y", parts, 300.0)
 
 
 AXES = {"load": "CASE WHEN qty < 10 THEN 0 WHEN qty < 30 THEN 1 ELSE 2 END",
@@ -120,7 +120,7 @@ sp AS (SELECT entity, axis, "level", {eb_sql('a.s', 'a.n', 200, 'm')} - {eb_sql(
        f'WITH {FIT_CTE}, {AXES_SQL}, {AXES_SPLIT} SELECT entity, axis, "level", split, rel, split * rel split_w FROM sp')
 def reactivity_axes(spark, sf):
     """Splits along workload, leverage and month axes in long form."""
-    rows = pit(spark, sf).filter(FIT).selectExpr("*", *[f"{e} AS {n}" for n, e in AXES.items()])
+    rows = pit(spark, sf).filter(PAST).selectExpr("*", *[f"{e} AS {n}" for n, e in AXES.items()])
     return eb.axis_splits(rows, "entity", list(AXES), "y", 200.0)
 
 
@@ -131,7 +131,7 @@ g AS (SELECT axis, sum(n) n_rows, sqrt(greatest(sum(n * split * split) / sum(n)
 SELECT axis, n_rows, sd, CASE WHEN sd > 0.005 THEN 1 ELSE 0 END kept FROM g""")
 def axis_screening(spark, sf):
     """Spread of every axis over reliable rows against a floor."""
-    rows = pit(spark, sf).filter(FIT).selectExpr("*", *[f"{e} AS {n}" for n, e in AXES.items()])
+    rows = pit(spark, sf).filter(PAST).selectExpr("*", *[f"{e} AS {n}" for n, e in AXES.items()])
     splits = eb.axis_splits(rows, "entity", list(AXES), "y", 200.0)
     return eb.screened_axes(rows, splits, "entity", list(AXES), 0.005, 0.2)
 
@@ -143,7 +143,7 @@ SELECT entity, ctx, {eb_sql('p.s', 'p.n', 150, 'm')} - {eb_sql('a.s', 'a.n', 150
        p.n / (p.n + 150.0) rel FROM p JOIN a USING (entity) JOIN b USING (ctx), mu""")
 def pair_interaction(spark, sf):
     """Part of a pair not explained by either side."""
-    return eb.interaction(pit(spark, sf).filter(FIT), "entity", "ctx", "y", 150.0)
+    return eb.interaction(pit(spark, sf).filter(PAST), "entity", "ctx", "y", 150.0)
 
 
 @query("matchup_deviation", "A35", "entity:i opp:i hand:s deviation:d rel:d", f"""
@@ -154,7 +154,7 @@ SELECT entity, opp, hand, {eb_sql('l.s', 'l.n', 30, 'm')} - {eb_sql('u.s', 'u.n'
 FROM b JOIN l USING (entity, opp) JOIN u USING (entity, hand), mu""")
 def matchup_deviation(spark, sf):
     """Individual pair against the entity-hand level, keys that do not nest."""
-    return eb.crossed_deviation(pit(spark, sf).filter(FIT), ["entity", "opp"],
+    return eb.crossed_deviation(pit(spark, sf).filter(PAST), ["entity", "opp"],
                                 ["entity", "hand"], "y", 30.0)
 
 
@@ -176,7 +176,7 @@ m AS (SELECT entity, s, n, sum(w * bs) / sum(w * bn) mu FROM w GROUP BY 1, 2, 3)
 SELECT entity, mu, (s + 300 * mu) / (n + 300) - mu dev FROM m""")
 def kernel_shrink(spark, sf):
     """Shrink entities to the rate of entities with similar profiles."""
-    prof = pit(spark, sf).filter(FIT).groupBy("entity").agg(
+    prof = pit(spark, sf).filter(PAST).groupBy("entity").agg(
         F.sum("y").alias("s"), F.count("y").alias("n"), F.avg("qty").alias("d0"),
         F.avg("disc").alias("d1"), F.avg("tax").alias("d2"))
     return eb.kernel_neighbours(prof, "entity", ["d0", "d1", "d2"], "s", "n", 1.0, 300.0)
@@ -306,7 +306,7 @@ SELECT opp, hand, sum(w * r) / (sum(w) + 50) AS value, sum(w) / (sum(w) + 50) re
  sum(w) weight_n, count(*) raw_n FROM r GROUP BY 1, 2""")
 def residual_table(spark, sf):
     """Recency-weighted shrunken residuals per opponent and hand."""
-    rows = eb.context_residual(pit(spark, sf).filter(FIT), "y", "season", "season")
+    rows = eb.context_residual(pit(spark, sf).filter(PAST), "y", "season", "season")
     return eb.shrink_table(rows, ["opp", "hand"], "residual", "y", 50.0,
                            eb.recency_weight("season", LAST_SEASON, 2.0))
 
@@ -337,13 +337,13 @@ SELECT season, day, game, ctx, opp, entity, coalesce(v, 0) matchup, coalesce(rel
 def matchup_pair_table(spark, sf):
     """Residual table of entity type and opponent type looked up with defaults."""
     rows = pit(spark, sf).withColumns({"pt": F.col("entity") % 6, "bt": F.col("opp") % 8})
-    fit = eb.context_residual(rows.filter(FIT), "y", "season", "season")
+    fit = eb.context_residual(rows.filter(PAST), "y", "season", "season")
     table = eb.shrink_table(fit, ["pt", "bt"], "residual", "y", 200.0,
                             eb.recency_weight("season", LAST_SEASON, 3.0))
     table = table.filter((F.col("pt") + F.col("bt")) % 5 != 0).select(
         "pt", "bt", F.col("value").alias("matchup"), F.col("rel").alias("matchup_rel"),
         F.lit(1).alias("known"))
-    return joins.lookup_join(rows.filter(F.col("season") == LAST_SEASON), table, ["pt", "bt"],
+    return joins.lookup_join(rows.filter(LATEST), table, ["pt", "bt"],
                              {"matchup": 0.0, "matchup_rel": 0.0, "known": 0})
 
 
@@ -361,9 +361,9 @@ FROM v LEFT JOIN t ON v.hand IS NOT DISTINCT FROM t.hand AND v.cx IS NOT DISTINC
 def context_history(spark, sf):
     """Residual history by context for one type, read with NULL matching NULL."""
     rows = pit(spark, sf).withColumn("cx", F.when(F.col("ctx") != 7, F.col("ctx")))
-    fit = eb.context_residual(rows.filter(FIT), "y", "season", "season").filter("hand = 'O'")
+    fit = eb.context_residual(rows.filter(PAST), "y", "season", "season").filter("hand = 'O'")
     table = asof.context_history(fit, ["hand", "cx"], "season", "residual", LAST_SEASON, 500.0, 0.5)
-    now = rows.filter(F.col("season") == LAST_SEASON).groupBy("hand", "cx").agg(F.count("*").alias("n"))
+    now = rows.filter(LATEST).groupBy("hand", "cx").agg(F.count("*").alias("n"))
     return joins.lookup_join(now, table, ["hand", "cx"], {"value": 0.0, "effective_n": 0.0}, True)
 
 
@@ -374,7 +374,7 @@ SELECT entity, n, k AS strength, CASE WHEN n >= 100 THEN o * n / (n + k) ELSE 0
 FROM g, (VALUES (50.0), (200.0), (800.0)) t(k)""")
 def entity_logit_offset(spark, sf):
     """Shrunken logit offsets per entity over a grid of strengths."""
-    fit = pit(spark, sf).filter(FIT)
+    fit = pit(spark, sf).filter(PAST)
     table = eb.logit_offset(fit, ["entity"], "y", "p", 0.0, 100,
                             weight=eb.recency_weight("season", LAST_SEASON, 2.0))
     grid = table.withColumn("strength", F.explode(F.array(*[F.lit(k) for k in (50.0, 200.0, 800.0)])))
@@ -386,7 +386,7 @@ SELECT entity, count(*) n, least(greatest(count(*) / (count(*) + 100.0) * (sum(y
 FROM pit WHERE {FIT} GROUP BY 1 HAVING count(*) >= 30""")
 def entity_logit_shift(spark, sf):
     """Earlier-fold residuals of an entity as a bounded logit shift."""
-    return eb.entity_logit_shift(pit(spark, sf).filter(FIT), "entity", "y", "p", 100.0)
+    return eb.entity_logit_shift(pit(spark, sf).filter(PAST), "entity", "y", "p", 100.0)
 
 
 @query("prior_history_counts", "A31 P30", "entity:i cutoff:i prior_n:i previous_n:i best_season_n:i cohort:s", f"""
@@ -459,7 +459,7 @@ def semi_anti_coverage(spark, sf):
     """Rows of entities seen and not seen in the first season."""
     rows = pit(spark, sf)
     past = rows.filter("season = 1995").select("opp").distinct()
-    now = rows.filter(F.col("season") == LAST_SEASON)
+    now = rows.filter(LATEST)
     part = lambda how, kind: now.join(past, "opp", how).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
     return part("left_semi", "matched").unionByName(part("left_anti", "new"))
 
@@ -481,6 +481,6 @@ WITH w AS (SELECT *, 0.5 ** (greatest({LAST_SEASON} - season, 1) / 3.0) w FROM p
 SELECT season, day, game, ctx, opp, entity, w / (SELECT avg(w) FROM w) weight FROM w""")
 def recency_sample_weights(spark, sf):
     """Half-life weights scaled to mean one."""
-    rows = pit(spark, sf).filter(FIT).withColumn(
+    rows = pit(spark, sf).filter(PAST).withColumn(
         "w", half_life(F.greatest(LAST_SEASON - F.col("season"), F.lit(1)), 3.0))
     return rows.withColumn("weight", F.col("w") / rows.agg(F.avg("w")).scalar())

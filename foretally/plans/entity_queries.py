@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally import session
 from foretally.operators import cluster as cl, eb, embed, metrics, model, prepare, registry as reg
-from foretally.plans.bindings import LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, pit, table
+from foretally.plans.bindings import LATEST, PAST, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, pit, table
 from foretally.plans.catalog import query
 from foretally.plans.eb_queries import TE_KEYS
 from foretally.sources import files
@@ -22,7 +22,7 @@ SELECT {KEY_SQL}, (least(greatest(coalesce(cents, am), al), ah) - amean) / asd z
 def fold_preprocessing(spark, sf):
     """Log, impute, clip and standardise with parameters of the fit rows."""
     rows = pit(spark, sf)
-    fitted = prepare.fit_columns(rows.filter(F.col("season") < LAST_SEASON), ["cents", "price", "qty"], ["qty"])
+    fitted = prepare.fit_columns(rows.filter(PAST), ["cents", "price", "qty"], ["qty"])
     return prepare.apply_columns(rows, fitted)
 
 
@@ -30,7 +30,7 @@ ENT = "e AS (SELECT entity, avg(qty) a, avg(price) b, avg(tax0) c, count(*) n, a
 
 
 def entities(spark, sf):
-    return pit(spark, sf).filter("season < 2001").groupBy("entity").agg(
+    return pit(spark, sf).filter(PAST).groupBy("entity").agg(
         F.avg("qty").alias("a"), F.avg("price").alias("b"), F.avg("tax0").alias("c"), F.count("*").alias("n"), F.avg("y").alias("r"))
 
 
@@ -67,7 +67,7 @@ def principal_components(spark, sf):
 def residual_svd(spark, sf):
     """Truncated SVD of long response residuals per entity."""
     from foretally.operators.profiles import response_residuals, usage_residuals
-    rows = pit(spark, sf).filter("season < 2001")
+    rows = pit(spark, sf).filter(PAST)
     long = usage_residuals(rows, "entity", "season", "lab", ["ctx", "hand"], 200.0).unionByName(
         response_residuals(rows, "entity", "season", "lab", ["ctx"], ["qty"], 200.0))
     flat = long.groupBy("entity", "feature").agg(F.avg("resid").alias("resid"))
@@ -78,10 +78,10 @@ def residual_svd(spark, sf):
 def pair_svd_scores(spark, sf):
     """Joint SVD of pair residuals scored on the last season's pairs."""
     rows = pit(spark, sf)
-    fit = eb.context_residual(rows.filter(F.col("season") < LAST_SEASON), "y", "season", "season")
+    fit = eb.context_residual(rows.filter(PAST), "y", "season", "season")
     cells = embed.interaction_cells(fit, "entity", "opp", "residual", 20.0, "season", LAST_SEASON, 2.0, 20.0, 2.0)
     left, right, _ = embed.truncated_svd(cells, "entity", "opp", "value", 3)
-    pairs = rows.filter(F.col("season") == LAST_SEASON).select("entity", "opp").distinct()
+    pairs = rows.filter(LATEST).select("entity", "opp").distinct()
     dims = ["svd00", "svd01", "svd02"]
     return embed.pair_scores(pairs, left, right, "entity", "opp", dims)
 
@@ -232,7 +232,7 @@ def stacked_class_scores(spark, sf):
 def staged_ablation(spark, sf):
     """Scores after each added feature group."""
     rows = pit(spark, sf)
-    return model.staged_ablation(rows.filter("season < 2001"), rows.filter("season = 2001"),
+    return model.staged_ablation(rows.filter(PAST), rows.filter(LATEST),
                                  {"context": ["ctx"], "metrics": ["qty", "disc"], "history": ["cents"]}, "y")
 
 
@@ -243,7 +243,7 @@ SELECT source, count(*) n, avg(y) base, avg(pow(p - y, 2)) brier, -avg(y * ln(p)
 def entity_or_global(spark, sf):
     """Own estimates for entities with volume, global for others, scored by source."""
     rows = pit(spark, sf)
-    out = model.entity_or_global(rows.filter("season = 2000"), rows.filter("season = 2001"), "opp", "y", 20.0, 5)
+    out = model.entity_or_global(rows.filter("season = 2000"), rows.filter(LATEST), "opp", "y", 20.0, 5)
     return metrics.probability_scores(out, ["source"], "y", "forecast")
 
 
@@ -256,8 +256,8 @@ def batch_scoring(spark, sf):
     from foretally.functions.rates import clip
     from foretally.operators.joins import lookup_join
     rows = pit(spark, sf)
-    table_ = eb.nested_split(rows.filter("season < 2001"), ["entity"], ["entity", "hand"], "y", 300.0)
-    out = lookup_join(rows.filter("season = 2001"), table_, ["entity", "hand"], {"split": 0.0, "rel": 0.0})
+    table_ = eb.nested_split(rows.filter(PAST), ["entity"], ["entity", "hand"], "y", 300.0)
+    out = lookup_join(rows.filter(LATEST), table_, ["entity", "hand"], {"split": 0.0, "rel": 0.0})
     return out.withColumn("forecast", clip(0.7 * F.col("p") + 0.3 * F.col("p2") + F.col("split") * F.col("rel"), 1e-6, 1 - 1e-6))
 
 
@@ -265,7 +265,7 @@ def batch_scoring(spark, sf):
 def segmented_experts(spark, sf):
     """One model per segment, recombined and scored by segment."""
     rows = pit(spark, sf)
-    out = model.segmented_experts(rows.filter("season < 2001"), rows.filter("season = 2001"), "hand", ["F", "O"], FEATURES, "y")
+    out = model.segmented_experts(rows.filter(PAST), rows.filter(LATEST), "hand", ["F", "O"], FEATURES, "y")
     return metrics.probability_scores(out, ["hand"], "y", "forecast")
 
 
@@ -475,7 +475,7 @@ def saved_versions(spark, sf):
 @query("written_submission", "S13", "rows:i p_sum:d4 header:s", "SELECT count(*) AS \"rows\", sum(p) p_sum, 'row_id,p' header FROM pit WHERE season = 2001")
 def written_submission(spark, sf):
     """Two-column forecasts written in row order and read back."""
-    rows = pit(spark, sf).filter(F.col("season") == LAST_SEASON).withColumns({
+    rows = pit(spark, sf).filter(LATEST).withColumns({
         "row_id": F.concat_ws("-", "game", "ctx", "opp", "entity"), "seq": F.col("game")})
     path = session.scratch(spark)
     files.write_submission(rows, path, "row_id", "p", "seq")

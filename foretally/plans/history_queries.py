@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from foretally.functions.rates import eb
 from foretally.operators import history as hist
 from foretally.operators.ordered import History
-from foretally.plans.bindings import EV_ORDER, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit
+from foretally.plans.bindings import PAST, EV_ORDER, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit
 from foretally.plans.catalog import query
 from foretally.roles import Order
 
@@ -16,7 +16,7 @@ KEY_SQL = "season, day, game, ctx, opp, entity"
 ENTITY_W = f"PARTITION BY entity ORDER BY {PIT_SQL_ORDER}"
 GAME_W = f"PARTITION BY game, entity ORDER BY {PIT_SQL_ORDER}"
 USER_W = "PARTITION BY user_id ORDER BY ts, event_id"
-PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def entity_history(spark, sf) -> History:
@@ -61,7 +61,7 @@ def rolling_prior(spark, sf):
 @query("expanding_mean", "W5", KEY + " y_before:d cents_before:d", f"""
 SELECT {KEY_SQL}, CASE WHEN count(y) OVER w >= 10 THEN avg(y) OVER w END y_before,
  CASE WHEN count(cents) OVER w >= 10 THEN avg(cents) OVER w END cents_before
-FROM pit WINDOW w AS ({ENTITY_W} {PAST})""")
+FROM pit WINDOW w AS ({ENTITY_W} {BEFORE})""")
 def expanding_mean(spark, sf):
     """Mean of all earlier rows once ten are known."""
     return hist.expanding_mean(entity_history(spark, sf), ["y", "cents"], 10).df
@@ -70,7 +70,7 @@ def expanding_mean(spark, sf):
 @query("leverage_index", "W6", KEY + " leverage:d leverage_class:s", f"""
 WITH d AS (SELECT *, CASE WHEN season < {LAST_SEASON} THEN tax0 END x, {PIT_SQL_ORDER.split(',')[0]} FROM pit),
 g AS (SELECT *, sum(x) OVER a s, count(x) OVER a n, sum(x) OVER b gs, count(x) OVER b gn FROM d
-  WINDOW a AS (PARTITION BY ctx, hand ORDER BY {PIT_SQL_ORDER} {PAST}), b AS (ORDER BY {PIT_SQL_ORDER} {PAST})),
+  WINDOW a AS (PARTITION BY ctx, hand ORDER BY {PIT_SQL_ORDER} {BEFORE}), b AS (ORDER BY {PIT_SQL_ORDER} {BEFORE})),
 f AS (SELECT ctx, hand, sum(x) fs, count(x) fn FROM d GROUP BY 1, 2), m AS (SELECT avg(x) m FROM d),
 v AS (SELECT g.*, coalesce(gs / nullif(gn, 0), 0.05) base, fs, fn, m FROM g JOIN f USING (ctx, hand), m),
 r AS (SELECT {KEY_SQL}, least(greatest(coalesce(CASE WHEN season < {LAST_SEASON} THEN (coalesce(s, 0) + 50 * base) / (n + 50) / base
@@ -121,13 +121,13 @@ def history_sql() -> str:
     daily = ", ".join(f"sum({e}) {n}" for n, e in sums.items())
     win = []
     for n, e in sums.items():
-        win.append(f"sum({e}) OVER ({GAME_W} {PAST}) {n}__day")
+        win.append(f"sum({e}) OVER ({GAME_W} {BEFORE}) {n}__day")
         for k in (100, 500):
             win.append(f"sum({e}) OVER ({ENTITY_W} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) {n}__l{k}")
     near = ", ".join(
         f"sum({n}) OVER (PARTITION BY entity ORDER BY date_diff('day', DATE '1970-01-01', day) RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING) {n}__near, "
-        f"sum({n}) OVER (PARTITION BY entity ORDER BY day {PAST}) {n}__car, "
-        f"sum({n}) OVER (PARTITION BY entity, season ORDER BY day {PAST}) {n}__szn" for n in sums)
+        f"sum({n}) OVER (PARTITION BY entity ORDER BY day {BEFORE}) {n}__car, "
+        f"sum({n}) OVER (PARTITION BY entity, season ORDER BY day {BEFORE}) {n}__szn" for n in sums)
     pszn = ", ".join(f"sum({e}) {n}__pszn" for n, e in sums.items())
     out = []
     for w in WINS:
@@ -157,7 +157,7 @@ WITH b AS (SELECT *, CASE WHEN lab = 'R' THEN 1 ELSE 0 END m FROM pit),
 d AS (SELECT entity, season, day, sum(m * qty) v, sum(m) c, count(*) t FROM b GROUP BY ALL),
 w AS (SELECT entity, season, day, {', '.join(f"sum({x}) OVER n {x}n, sum({x}) OVER s {x}s, sum({x}) OVER k {x}k" for x in 'vct')} FROM d
  WINDOW n AS (PARTITION BY entity ORDER BY date_diff('day', DATE '1970-01-01', day) RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING),
- s AS (PARTITION BY entity, season ORDER BY day {PAST}), k AS (PARTITION BY entity ORDER BY day {PAST})),
+ s AS (PARTITION BY entity, season ORDER BY day {BEFORE}), k AS (PARTITION BY entity ORDER BY day {BEFORE})),
 p AS (SELECT entity, season + 1 season, sum(m * qty) vp, sum(m) cp, count(*) tp FROM b GROUP BY ALL)
 SELECT entity, day, vn / nullif(cn, 0) velo_near, vs / nullif(cs, 0) velo_szn, vk / nullif(ck, 0) velo_car, vp / nullif(cp, 0) velo_pszn,
  cs / nullif(ts, 0) usage_szn, cp / nullif(tp, 0) usage_pszn, vs / nullif(cs, 0) - vp / nullif(cp, 0) velo_trend
@@ -178,7 +178,7 @@ def arsenal_windows(spark, sf):
 @query("release_repeatability", "W13", "entity:i day:s sd_szn:d5 sd_pszn:d5 repeat_szn:d5 n_szn:i miss_szn:i", f"""
 WITH b AS (SELECT *, CASE WHEN lab = 'R' THEN qty END x FROM pit),
 d AS (SELECT entity, season, day, coalesce(sum(x), 0) s, coalesce(sum(x * x), 0) q, count(x) n FROM b GROUP BY ALL),
-w AS (SELECT entity, season, day, sum(s) OVER k s, sum(q) OVER k q, sum(n) OVER k n FROM d WINDOW k AS (PARTITION BY entity, season ORDER BY day {PAST})),
+w AS (SELECT entity, season, day, sum(s) OVER k s, sum(q) OVER k q, sum(n) OVER k n FROM d WINDOW k AS (PARTITION BY entity, season ORDER BY day {BEFORE})),
 p AS (SELECT entity, season + 1 season, sum(x) sp, sum(x * x) qp, count(x) np FROM b GROUP BY ALL)
 SELECT entity, day, sqrt(CASE WHEN n > 0 THEN greatest(q / nullif(n, 0) - pow(s / nullif(n, 0), 2), 0) END) sd_szn,
  sqrt(CASE WHEN np > 0 THEN greatest(qp / nullif(np, 0) - pow(sp / nullif(np, 0), 2), 0) END) sd_pszn,
@@ -196,11 +196,11 @@ def release_repeatability(spark, sf):
 WITH m AS (SELECT avg(y) m FROM pit WHERE season < {LAST_SEASON})
 SELECT {KEY_SQL}, (coalesce(sum(y) OVER a, 0) + 200 * m) / (count(*) OVER a + 200) entity_te,
  (coalesce(sum(y) OVER b, 0) + 200 * m) / (count(*) OVER b + 200) opp_te FROM pit, m
-WINDOW a AS ({ENTITY_W} {PAST}), b AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {PAST})""")
+WINDOW a AS ({ENTITY_W} {BEFORE}), b AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {BEFORE})""")
 def expanding_target_encoding(spark, sf):
     """Shrunken past mean per key inside the key's own order."""
     rows = pit(spark, sf)
-    mu = rows.filter(F.col("season") < LAST_SEASON).agg(F.avg("y")).scalar()
+    mu = rows.filter(PAST).agg(F.avg("y")).scalar()
     one = F.lit(1)
     h = hist.expanding_rate(History(rows, ["entity"], PIT_ORDER), {"entity_te": (F.col("y"), one, 200.0, mu)})
     return hist.expanding_rate(History(h.df, ["opp"], PIT_ORDER), {"opp_te": (F.col("y"), one, 200.0, mu)}).df
@@ -211,7 +211,7 @@ SELECT {KEY_SQL}, (coalesce(sum(CASE WHEN lab = 'R' THEN 1 ELSE 0 END) OVER b, 0
  (coalesce(sum(CASE WHEN lab = 'A' AND hand = 'O' THEN 1 ELSE 0 END) OVER b, 0) + 100 * 0.3) / (coalesce(sum(CASE WHEN hand = 'O' THEN 1 ELSE 0 END) OVER b, 0) + 100) whiff_A,
  coalesce(sum(CASE WHEN hand = 'O' THEN 1 ELSE 0 END) OVER b, 0) whiff_A_n,
  (coalesce(sum(CASE WHEN lab = 'N' THEN 1 ELSE 0 END) OVER b, 0) + 200 / 3.0) / (count(*) OVER b + 200) faced_N, count(*) OVER b faced_N_n
-FROM pit WINDOW b AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {PAST})""")
+FROM pit WINDOW b AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {BEFORE})""")
 def opponent_scouting(spark, sf):
     """Past shrunken class rates of the opponent."""
     is_ = lambda v: (F.col("lab") == v).cast("int")
@@ -265,7 +265,7 @@ SELECT season, day, game, ctx, opp, entity, (coalesce(sum(y) OVER s, 0) + 100) /
  (coalesce(ps, 0) + 100) / (coalesce(pn, 0) + 300) pszn, coalesce(pn, 0) pszn_n,
  (coalesce(sum(CASE WHEN hand = 'O' THEN y ELSE 0 END) OVER c, 0) + 66) / (coalesce(sum(CASE WHEN hand = 'O' THEN 1 ELSE 0 END) OVER c, 0) + 200) vs_o
 FROM pit LEFT JOIN p USING (opp, season)
-WINDOW s AS (PARTITION BY opp, season ORDER BY {PIT_SQL_ORDER} {PAST}), c AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {PAST}),
+WINDOW s AS (PARTITION BY opp, season ORDER BY {PIT_SQL_ORDER} {BEFORE}), c AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {BEFORE}),
  l AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)""")
 def opponent_history(spark, sf):
     """Opponent rates by season, career, last 200 and previous season, and by hand."""
@@ -287,9 +287,9 @@ def opponent_history(spark, sf):
 WITH g AS (SELECT entity, game, min(day) game_day, count(*) game_n FROM pit GROUP BY 1, 2)
 SELECT entity, game, game_day, game_n, count(*) OVER c outing_index, avg(game_n) OVER c n_avg_car, stddev_samp(game_n) OVER c n_sd_car,
  avg(game_n) OVER l n_avg_l5, lag(game_n) OVER o prev_game_n, sum(game_n) OVER s season_cum FROM g
-WINDOW o AS (PARTITION BY entity ORDER BY game_day, game), c AS (PARTITION BY entity ORDER BY game_day, game {PAST}),
+WINDOW o AS (PARTITION BY entity ORDER BY game_day, game), c AS (PARTITION BY entity ORDER BY game_day, game {BEFORE}),
  l AS (PARTITION BY entity ORDER BY game_day, game ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
- s AS (PARTITION BY entity, year(game_day) ORDER BY game_day, game {PAST})""")
+ s AS (PARTITION BY entity, year(game_day) ORDER BY game_day, game {BEFORE})""")
 def outing_workload(spark, sf):
     """Past outing sizes per entity and game."""
     return hist.workload(pit(spark, sf), "entity", "game", "day")
@@ -297,7 +297,7 @@ def outing_workload(spark, sf):
 
 @query("workload_features", "W20", KEY + " today:i workload_ratio:d workload_excess:d over_usual:i workload_ratio_l5:d", f"""
 WITH g AS (SELECT entity, game, min(day) game_day, count(*) game_n FROM pit GROUP BY 1, 2),
-h AS (SELECT entity, game, avg(game_n) OVER (PARTITION BY entity ORDER BY game_day, game {PAST}) a,
+h AS (SELECT entity, game, avg(game_n) OVER (PARTITION BY entity ORDER BY game_day, game {BEFORE}) a,
  avg(game_n) OVER (PARTITION BY entity ORDER BY game_day, game ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) a5 FROM g),
 r AS (SELECT *, row_number() OVER ({GAME_W}) - 1 today FROM pit)
 SELECT season, day, game, ctx, opp, entity, today, today / a workload_ratio, today - a workload_excess,
@@ -336,8 +336,8 @@ def command_forward_fill(spark, sf):
 @query("both_side_history", "W23", KEY + " e_exp:d e_l100:d o_exp:d o_l100:d", f"""
 SELECT {KEY_SQL}, CASE WHEN count(*) OVER a >= 20 THEN avg(y) OVER a END e_exp, CASE WHEN count(*) OVER b >= 20 THEN avg(y) OVER b END e_l100,
  CASE WHEN count(*) OVER c >= 20 THEN avg(y) OVER c END o_exp, CASE WHEN count(*) OVER d >= 20 THEN avg(y) OVER d END o_l100 FROM pit
-WINDOW a AS ({ENTITY_W} {PAST}), b AS ({ENTITY_W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING),
- c AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {PAST}), d AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)""")
+WINDOW a AS ({ENTITY_W} {BEFORE}), b AS ({ENTITY_W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING),
+ c AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {BEFORE}), d AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)""")
 def both_side_history(spark, sf):
     """Expanding and last-100 means of both sides."""
     def side(df, key, tag):
@@ -351,7 +351,7 @@ def both_side_history(spark, sf):
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 seq,
  (coalesce(sum(y) OVER a, 0) + 20 * 0.2) / (count(*) OVER a + 20) te,
  CASE WHEN count(*) OVER b >= 5 THEN avg(value) OVER b END mean20 FROM ev
-WINDOW a AS ({USER_W} {PAST}), b AS ({USER_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+WINDOW a AS ({USER_W} {BEFORE}), b AS ({USER_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def user_history(spark, sf):
     """Position, past rate and rolling mean per user of the event log."""
     h = History(ev(spark, sf), ["user_id"], EV_ORDER).position("seq")
@@ -360,7 +360,7 @@ def user_history(spark, sf):
 
 
 CUM = f"""SELECT *, row_number() OVER ({ENTITY_W}) - 1 + CASE WHEN row_number() OVER ({ENTITY_W}) > 50 THEN 1 ELSE 0 END n,
- coalesce(sum(y) OVER ({ENTITY_W} {PAST}), 0) cs FROM pit"""
+ coalesce(sum(y) OVER ({ENTITY_W} {BEFORE}), 0) cs FROM pit"""
 
 
 @query("recovered_labels", "W24", KEY + " n:i label:i y:i agree:i", f"""
@@ -389,7 +389,7 @@ def outing_segments(spark, sf):
 
 @query("smoothed_hand_rate", "W27", KEY + " hand_rate:d", f"""
 WITH h AS (SELECT *, coalesce(sum(y) OVER a, 0) hs, count(*) OVER a hn, coalesce(sum(y) OVER b, 0) cs, count(*) OVER b cn FROM pit
- WINDOW a AS (PARTITION BY entity, hand ORDER BY {PIT_SQL_ORDER} {PAST}), b AS ({ENTITY_W} {PAST}))
+ WINDOW a AS (PARTITION BY entity, hand ORDER BY {PIT_SQL_ORDER} {BEFORE}), b AS ({ENTITY_W} {BEFORE}))
 SELECT {KEY_SQL}, (hs + 20 * coalesce(cs / nullif(cn, 0), 0.33)) / (hn + 20) hand_rate FROM h""")
 def smoothed_hand_rate(spark, sf):
     """Past hand rate shrunk to the entity's own past rate."""
@@ -402,12 +402,12 @@ def smoothed_hand_rate(spark, sf):
 @query("row_asof_split", "W26", KEY + " split:d rel:d", f"""
 WITH m AS (SELECT avg(y) m FROM pit WHERE season < {LAST_SEASON}),
 h AS (SELECT *, coalesce(sum(y) OVER a, 0) hs, count(*) OVER a hn, coalesce(sum(y) OVER b, 0) cs, count(*) OVER b cn FROM pit
- WINDOW a AS (PARTITION BY entity, hand ORDER BY {PIT_SQL_ORDER} {PAST}), b AS ({ENTITY_W} {PAST}))
+ WINDOW a AS (PARTITION BY entity, hand ORDER BY {PIT_SQL_ORDER} {BEFORE}), b AS ({ENTITY_W} {BEFORE}))
 SELECT {KEY_SQL}, (hs + 300 * m) / (hn + 300) - (cs + 300 * m) / (cn + 300) split, hn / (hn + 300.0) rel FROM h, m""")
 def row_asof_split(spark, sf):
     """Past-only EB(entity, hand) - EB(entity) for every row."""
     rows = pit(spark, sf)
-    mu = rows.filter(F.col("season") < LAST_SEASON).agg(F.avg("y")).scalar()
+    mu = rows.filter(PAST).agg(F.avg("y")).scalar()
     a = History(rows, ["entity", "hand"], PIT_ORDER).running({"hs": F.col("y"), "hn": F.lit(1)})
     b = History(a.df, ["entity"], PIT_ORDER).running({"cs": F.col("y"), "cn": F.lit(1)}).df
     return b.withColumns({"split": eb("hs", "hn", 300.0, mu) - eb("cs", "cn", 300.0, mu),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally.functions.buckets import digitize, mixed_radix
 from foretally.operators import crosswalk as cw, eb, history as hist, profiles as prof
-from foretally.plans.bindings import PIT_ORDER, PIT_SQL_ORDER, LAST_SEASON, pit
+from foretally.plans.bindings import LATEST, PAST, PIT_ORDER, PIT_SQL_ORDER, LAST_SEASON, pit
 from foretally.plans.catalog import query
 from foretally.plans.eb_queries import TE_KEYS
 
@@ -85,7 +85,7 @@ SELECT entity, sum((hand = 'O')::INT) far_n, avg(CASE WHEN hand = 'O' THEN y END
  sum((qty > 45)::INT) heavy_n, avg(CASE WHEN qty > 45 THEN y END) - any_value(m) heavy_resid, avg(CASE WHEN hand = 'O' THEN y END) - avg(CASE WHEN hand = 'F' THEN y END) gap FROM f, m GROUP BY 1""")
 def split_residuals(spark, sf):
     """Residuals of an entity under several predicates."""
-    out = prof.split_residuals(pit(spark, sf).filter("season < 2001"), "entity", "y", {
+    out = prof.split_residuals(pit(spark, sf).filter(PAST), "entity", "y", {
         "far": F.col("hand") == "O", "near": F.col("hand") == "F", "heavy": F.col("qty") > 45})
     return out.withColumn("gap", F.col("far_resid") - F.col("near_resid"))
 
@@ -125,7 +125,7 @@ SELECT opp, hand, count(*) n, sum(r) / (count(*) + 50) overall, sum(CASE WHEN la
  sum(CASE WHEN lab = 'R' THEN r END) / (sum((lab = 'R')::INT) + 50) vs_lab_R, ln(1 + nullif(sum((lab = 'R')::INT), 0)) logn_lab_R FROM r GROUP BY 1, 2""")
 def opponent_profile(spark, sf):
     """Shrunken residuals of an opponent overall and per class."""
-    rows = eb.context_residual(pit(spark, sf).filter("season < 2001"), "y", "season", "season")
+    rows = eb.context_residual(pit(spark, sf).filter(PAST), "y", "season", "season")
     return prof.opponent_profile(rows, ["opp", "hand"], "residual", 50.0, {"lab": ["A", "R"]})
 
 
@@ -240,7 +240,7 @@ SELECT count(DISTINCT entity) a_ids, (SELECT count(DISTINCT opp) FROM pit WHERE
 def id_overlap(spark, sf):
     """Ids two logs share as text."""
     rows = pit(spark, sf)
-    return cw.id_overlap(rows.filter("season < 1998"), rows.filter(F.col("season") == LAST_SEASON), "entity", "opp")
+    return cw.id_overlap(rows.filter("season < 1998"), rows.filter(LATEST), "entity", "opp")
 
 
 @query("crosswalk_quality", "D41 J6", "season:i n:i covered:i coverage:d rate_covered:d rate_other:d", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretally.functions.rates import clip, logit, sigmoid
 from foretally.operators import blend, calibrate as cal, eb, joins, metrics
-from foretally.plans.bindings import LAST_SEASON, pit
+from foretally.plans.bindings import LATEST, PAST, LAST_SEASON, pit
 from foretally.plans.catalog import query
 from foretally.plans.eb_queries import TE_KEYS
 
@@ -71,7 +71,7 @@ SELECT model, n, base, auc, ap, logloss, brier, ece FROM ba JOIN au USING (model
 def baseline_scores(spark, sf):
     """League mean, context lookup and entity encoding on the last season."""
     rows = pit(spark, sf)
-    return metrics.baselines(rows.filter(F.col("season") < LAST_SEASON), rows.filter(F.col("season") == LAST_SEASON),
+    return metrics.baselines(rows.filter(PAST), rows.filter(LATEST),
                              "y", ["ctx", "hand"], "entity", 200.0)
 
 
@@ -277,7 +277,7 @@ w AS (SELECT *, (qq * py - pq * qy) / (pp * qq - pq * pq) c1, (pp * qy - pq * py
 SELECT 'p' part, c1 coefficient FROM w UNION ALL SELECT 'p2', c2 FROM w UNION ALL SELECT 'intercept', f - c1 * a - c2 * b FROM w""")
 def composition_coefficients(spark, sf):
     """Least-squares composition of component probabilities on past rows."""
-    rows = pit(spark, sf).filter("season < 2001").withColumn("f", 1 - F.col("y"))
+    rows = pit(spark, sf).filter(PAST).withColumn("f", 1 - F.col("y"))
     return spark.createDataFrame(list(blend.composition_coefficients(rows, "f", ["p", "p2"]).items()), "part string, coefficient double")
 
 
@@ -350,8 +350,8 @@ def beta_calibration(spark, sf):
     """Beta calibration fitted on past seasons and scored on the last."""
     rows = pit(spark, sf)
     f = cal.beta_features("p2")
-    w = cal.fit_logistic(rows.filter(F.col("season") < LAST_SEASON), "y", f)
-    out = rows.filter(F.col("season") == LAST_SEASON).withColumn("q", cal.apply_logistic(w, f))
+    w = cal.fit_logistic(rows.filter(PAST), "y", f)
+    out = rows.filter(LATEST).withColumn("q", cal.apply_logistic(w, f))
     return metrics.probability_scores(out, [], "y", "q")
 
 
@@ -362,7 +362,7 @@ gl AS (SELECT least(greatest(a, 0.3), 2.0) a, least(greatest(b, -0.6), 0.6) b FR
 SELECT ctx, 1 + 0.25 * (lo.a - gl.a) a, 0.25 * (lo.b - gl.b) b FROM lo, gl""")
 def segment_platt(spark, sf):
     """Segment calibration moved a quarter of the way from the global one."""
-    rows = pit(spark, sf).filter(F.col("season") < LAST_SEASON)
+    rows = pit(spark, sf).filter(PAST)
     z = logit(F.col("p2"))
     rows = rows.withColumn("z0", F.round(z - rows.agg(F.avg(z)).scalar(), 12))
     return cal.shrunk_platt(rows, ["ctx"], "y", F.col("z0"), 0.25, 1000)
@@ -494,7 +494,7 @@ SELECT {KEY_SQL}, least(greatest(w1 * (coalesce(cents, mc) - m1) / s1 + w2 * (qt
 def ridge_correction(spark, sf):
     """Ridge residual correction fitted one season earlier."""
     rows = pit(spark, sf).withColumn("r", F.col("y") - F.col("p"))
-    return cal.ridge_correction(rows.filter("season = 2000"), rows.filter("season = 2001"), ["cents", "qty"], "r", 100.0)
+    return cal.ridge_correction(rows.filter("season = 2000"), rows.filter(LATEST), ["cents", "qty"], "r", 100.0)
 
 
 @query("applied_corrections", "E33 J8", TE_KEYS + " etype:s corrected:d", f"""
@@ -506,7 +506,7 @@ FROM r LEFT JOIN pr ON pr.etype = et AND pr.otype = ot LEFT JOIN cx ON cx.cx IS
 def applied_corrections(spark, sf):
     """Type, pair, context and expert corrections on scored rows."""
     every = pit(spark, sf)
-    rows = every.filter(F.col("season") == LAST_SEASON).withColumn("cx", F.when(F.col("ctx") != 7, F.col("ctx")))
+    rows = every.filter(LATEST).withColumn("cx", F.when(F.col("ctx") != 7, F.col("ctx")))
     et = every.filter("entity % 10 <> 0").select("entity").distinct().withColumn("etype", F.concat(F.lit("T"), F.col("entity") % 4))
     ot = every.filter("opp % 7 <> 0").select("opp").distinct().withColumn("otype", F.concat(F.lit("B"), F.col("opp") % 3))
     pair = spark.createDataFrame([(f"T{a}", f"B{b}", 0.001 * (a - b)) for a in range(4) for b in range(2)], "etype string, otype string, correction double")
@@ -548,10 +548,10 @@ SELECT {KEY_SQL}, {sg('(1 + 0.3 * (b - 1)) * (' + lg('p') + ' - c) + c')} sharpe
 def sharpened_by_history(spark, sf):
     """Slopes of earlier seasons, damped, applied to the last one."""
     rows = pit(spark, sf)
-    past, z = rows.filter("season < 2001"), logit(F.col("p"))
+    past, z = rows.filter(PAST), logit(F.col("p"))
     c = past.agg(F.avg(z)).scalar()
     b = cal.fixed_slope(past, ["ctx"], "y", z, c)
-    out = joins.lookup_join(rows.filter("season = 2001"), b, ["ctx"], {"b": 1.0})
+    out = joins.lookup_join(rows.filter(LATEST), b, ["ctx"], {"b": 1.0})
     return out.withColumn("sharpened", sigmoid((1 + 0.3 * (F.col("b") - 1)) * (z - c) + c))
 
 
