@@ -21,7 +21,7 @@ def eb_sql(s: str, n: str, k: float, mu: str) -> str:
 FIT_CTE = f"fit AS (SELECT * FROM pit WHERE {FIT}), mu AS (SELECT avg(y) m FROM fit)"
 
 
-@query("split_forecast_skill", "A2 J1 E1 E4 P2 S1", "hand:s n:i rate:d brier:d bss:d", f"""
+@query("split_forecast_skill", "A2 J1 E1 E4", "hand:s n:i rate:d brier:d bss:d", f"""
 WITH {FIT_CTE},
 a AS (SELECT entity, hand, sum(y) s, count(*) n FROM fit GROUP BY 1, 2),
 u AS (SELECT entity, sum(s) s, sum(n) n FROM a GROUP BY 1),

@@ -320,7 +320,7 @@ def deduplicated_keys(spark, sf):
     return files.deduplicated(pit(spark, sf), ["game", "ctx"], ["day", "opp", "entity"], "last")
 
 
-@query("tolerant_union", "U-all S3", "k:i a:i b:i n:i", """
+@query("tolerant_union", "U-all", "k:i a:i b:i n:i", """
 SELECT k, a, b, count(*) n FROM (SELECT season AS k, ctx a, NULL b FROM pit UNION ALL SELECT year(o_orderdate), NULL, length(o_orderstatus) FROM orders) GROUP BY 1, 2, 3""")
 def tolerant_union(spark, sf):
     """Frames with different columns stacked by name."""
@@ -435,7 +435,7 @@ def state_classes(spark, sf):
     return out.groupBy("class4", "class5").agg(F.count("*").alias("n"))
 
 
-@query("narrowed_cache", "S2 S1", "season:i n:i qty_sum:d2 kinds:s", """
+@query("narrowed_cache", "S2", "season:i n:i qty_sum:d2 kinds:s", """
 SELECT season, count(*) n, sum(qty) qty_sum, 'int/float' kinds FROM pit GROUP BY 1""")
 def narrowed_cache(spark, sf):
     """A narrowed Parquet cache written once and read back."""
@@ -481,3 +481,31 @@ def written_submission(spark, sf):
     files.write_submission(rows, path, "row_id", "p", "seq")
     back = spark.read.csv(path, header=True)
     return back.agg(F.count("*").alias("rows"), F.sum(F.col("p").cast("double")).alias("p_sum")).withColumn("header", F.lit(",".join(back.columns)))
+
+
+@query("typed_csv_scan", "S1", "season:i n:i missing:i qty_sum:d2", """
+SELECT season, count(*) n, count(*) - count(tax0) AS missing, sum(qty) qty_sum FROM pit GROUP BY 1""")
+def typed_csv_scan(spark, sf):
+    """A CSV with a header read by declared types with column projection."""
+    from pyspark.sql import types as T
+    path = session.scratch(spark)
+    pit(spark, sf).select("entity", "season", "qty", "tax0").write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField("season", T.IntegerType()), T.StructField("qty", T.DoubleType()),
+                           T.StructField("tax0", T.DoubleType()), T.StructField("entity", T.LongType())])
+    rows = files.read_csv(spark, path, schema, ["season", "qty", "tax0"])
+    return rows.groupBy("season").agg(F.count("*").alias("n"), F.count_if(F.col("tax0").isNull()).alias("missing"),
+                                      F.sum("qty").alias("qty_sum"))
+
+
+@query("chunk_union", "S3", "season:i n:i with_tax:i with_label:i", """
+SELECT season, count(*) n, sum(CASE WHEN season >= 1998 THEN 1 ELSE 0 END) with_tax, 0 with_label FROM pit GROUP BY 1""")
+def chunk_union(spark, sf):
+    """Chunks with different columns read as one table with typed NULLs."""
+    from pyspark.sql import types as T
+    base, rows = session.scratch(spark), pit(spark, sf)
+    rows.filter("season < 1998").select("season", "qty").write.parquet(f"{base}/early")
+    rows.filter("season >= 1998").select("season", "qty", "tax").write.parquet(f"{base}/late")
+    schema = T.StructType([T.StructField("season", T.IntegerType()), T.StructField("tax", T.DoubleType()),
+                           T.StructField("label", T.StringType())])
+    out = files.read_chunks(spark, [f"{base}/early", f"{base}/late"], schema)
+    return out.groupBy("season").agg(F.count("*").alias("n"), F.count("tax").alias("with_tax"), F.count("label").alias("with_label"))
