@@ -48,7 +48,7 @@ def expanding_mean(h: History, columns: Sequence[str], min_periods: int) -> Hist
     for c in columns:
         sums[f"__s_{c}"], sums[f"__n_{c}"] = F.col(c), F.col(c).isNotNull().cast("long")
     out = h.running(sums)
-    return out._next(out.df.withColumns(
+    return out.replace(out.df.withColumns(
         {f"{c}_before": F.when(F.col(f"__n_{c}") >= max(min_periods, 1),
                                ratio(f"__s_{c}", f"__n_{c}")) for c in columns}
     ).drop(*sums))
@@ -65,7 +65,7 @@ def expanding_rate(h: History, rates: Mapping[str, tuple[Column, Column, float,
     for name, (_, _, strength, prior) in rates.items():
         made[name] = eb(f"__s_{name}", f"__d_{name}", strength, prior)
         made[f"{name}_n"] = F.col(f"__d_{name}")
-    return out._next(out.df.withColumns(made).drop(*sums))
+    return out.replace(out.df.withColumns(made).drop(*sums))
 
 
 def last_n_sums(h: History, sums: Mapping[str, Column], reach: int) -> History:
@@ -77,7 +77,7 @@ def last_n_sums(h: History, sums: Mapping[str, Column], reach: int) -> History:
                 for n in sums}
 
     out = running.frames(reach, build)
-    return out._next(out.df.drop(*[f"__t_{n}" for n in sums]))
+    return out.replace(out.df.drop(*[f"__t_{n}" for n in sums]))
 
 
 def daily_windows(df: DataFrame, entity: str, day: str, season: str,
@@ -123,7 +123,7 @@ def history_rates(df: DataFrame, entity: str, game: str, day: str, season: str,
         sums[f"{m}_n"], sums[f"{m}_d"] = num, den
     within = History(df, [game, entity], order, hot_rows).running(
         {f"{n}__day": e for n, e in sums.items()})
-    recent = History(within.df, [entity], order, hot_rows)
+    recent = within.regroup([entity])
     for reach in last_n:
         recent = last_n_sums(recent, {f"{n}__l{reach}": e for n, e in sums.items()}, reach)
     out = (recent.df
@@ -189,7 +189,7 @@ def workload(df: DataFrame, entity: str, game: str, day: str,
          .frames(5, lambda w: {
              "n_avg_l5": F.avg("game_n").over(w.rowsBetween(-5, -1)),
              "prev_game_n": F.lag("game_n", 1).over(w)}))
-    season = History(h.df, [entity, "__season"], h.order, hot_rows).running({"__cum": n}).df
+    season = h.regroup([entity, "__season"]).running({"__cum": n}).df
     k = F.col("outing_index")
     variance = ratio(F.col("__q") - ratio(F.col("__s") * F.col("__s"), k), F.when(k > 1, k - 1))
     return (season.withColumns({
@@ -248,8 +248,8 @@ def prequential_ratio(df: DataFrame, state: Sequence[str], delta: str, fit: Colu
     ratio by state (other rows); clipped to [0, 10] and classed low/medium/high."""
     x = F.when(fit, F.col(delta))
     seen = x.isNotNull().cast("long")
-    by_state = History(df, list(state), order, hot_rows).running({"__s": x, "__n": seen}).df
-    both = History(by_state, [], order, hot_rows).running({"__gs": x, "__gn": seen}).df
+    by_state = History(df, list(state), order, hot_rows).running({"__s": x, "__n": seen})
+    both = by_state.regroup([]).running({"__gs": x, "__gn": seen}).df
     mean_all = df.agg(F.avg(x)).scalar()
     base = F.coalesce(ratio("__gs", "__gn"), F.lit(prior) if not isinstance(prior, Column) else prior)
     frozen = df.filter(fit).groupBy(*state).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("__fs"),

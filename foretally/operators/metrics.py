@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.functions.buckets import digitize
 from foretally.functions.rates import clip, ratio
@@ -266,6 +266,24 @@ def scale_grid(moments: DataFrame, correction: str, scales: Sequence[float]) ->
         "delta", s * 2 * F.col(f"ec_{correction}") + s * s * F.col(f"cc_{correction}_{correction}"))
 
 
+def two_way_grid(df: DataFrame, segment: str, levels: tuple, y: str, base: str, other: str,
+                 weights: Sequence[float]) -> DataFrame:
+    """Brier change of moving two segments by separate weights towards another forecast.
+
+    Both axes come from one row of moments, so the grid never touches the log.
+    """
+    e, d = F.col(base) - F.col(y), F.col(other) - F.col(base)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, v in enumerate(levels):
+        hit = F.col(segment) == v
+        aggs += [F.coalesce(F.sum(F.when(hit, c)), F.lit(0.0)).alias(f"{n}{i}")
+                 for n, c in (("ec", e * d), ("cc", d * d))]
+    steps = F.array(*[F.lit(float(w)) for w in weights])
+    grid = df.agg(*aggs).withColumn("w0", F.explode(steps)).withColumn("w1", F.explode(steps))
+    part = lambda i: (F.col(f"w{i}") * 2 * F.col(f"ec{i}") + F.col(f"w{i}") * F.col(f"w{i}") * F.col(f"cc{i}"))
+    return grid.select("w0", "w1", ((part(0) + part(1)) / F.col("n")).alias("delta"))
+
+
 def constrained_best(grid: DataFrame, key: str, season: str, value: str = "delta") -> DataFrame:
     """Best key by mean value among keys that improve in every season, else among all."""
     g = grid.groupBy(key).agg(F.avg(value).alias("objective"), F.max(value).alias("__worst"))

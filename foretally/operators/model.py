@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from foretally.functions.rates import clip, entropy
 from foretally.operators.joins import lookup_join

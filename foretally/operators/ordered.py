@@ -42,25 +42,36 @@ def hot_cuts(df: DataFrame, keys: Sequence[str], position: str,
 def assign_block(df: DataFrame, position: str, cuts: Sequence[float]) -> DataFrame:
     """Number the block of each row; monotone in ``position``."""
     if not cuts:
-        return df.withColumn(BLOCK, F.lit(0.0))
+        return df.withColumn(BLOCK, F.lit(0))
     edges = [float("-inf"), *[c for c in cuts if math.isfinite(c)], float("inf")]
     placed = df.withColumn(POS, F.coalesce(F.expr(position), F.lit(float("-inf"))))
-    return Bucketizer(splits=edges, inputCol=POS, outputCol=BLOCK,
-                      handleInvalid="keep").transform(placed).drop(POS)
+    return Bucketizer(splits=edges, inputCol=POS, outputCol=BLOCK, handleInvalid="keep").transform(
+        placed).drop(POS).withColumn(BLOCK, F.col(BLOCK).cast("int"))
 
 
 class History:
-    """Rows with an order inside groups, to which past-only columns are added."""
+    """Rows with an order inside groups, to which past-only columns are added.
+
+    Group sizes are measured on the rows the first step started from, so regrouping does not
+    run the steps in between again.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Order,
-                 hot_rows: int | None = None, cuts: list[float] | None | str = "measure"):
+                 hot_rows: int | None = None, cuts: list[float] | None | str = "measure",
+                 base: DataFrame | None = None):
         self.df, self.keys, self.order = df, list(keys), order
+        self.base = df if base is None else base
         self.limit = hot_rows or session.hot_rows(df.sparkSession)
-        self.cuts = (hot_cuts(df, self.keys, order.position, self.limit)
+        self.cuts = (hot_cuts(self.base, self.keys, order.position, self.limit)
                      if cuts == "measure" else cuts)
 
-    def _next(self, df: DataFrame) -> "History":
-        return History(df, self.keys, self.order, self.limit, self.cuts)
+    def replace(self, df: DataFrame) -> "History":
+        """The same keys and order over a frame with more columns."""
+        return History(df, self.keys, self.order, self.limit, self.cuts, self.base)
+
+    def regroup(self, keys: Sequence[str]) -> "History":
+        """The same rows and order under other keys, which the starting rows must have."""
+        return History(self.df, keys, self.order, self.limit, base=self.base)
 
     @property
     def window(self) -> WindowSpec:
@@ -103,7 +114,7 @@ class History:
         if self.cuts is None:
             frame = self.window.rowsBetween(Window.unboundedPreceding, last)
             whole = Window.partitionBy(*self.keys)
-            return self._next(self.df.withColumns({
+            return self.replace(self.df.withColumns({
                 **{n: F.coalesce(F.sum(e).over(frame), F.lit(0)) for n, e in sums.items()},
                 **{n: F.sum(e).over(whole) for n, e in totals.items()}}))
         out = self._scan(
@@ -113,14 +124,14 @@ class History:
                 **{f"__c_{n}": F.sum(f"__c_{n}").over(earlier) for n in sums},
                 **{n: F.sum(f"__c_{n}").over(whole) for n in totals}}, last)
         zero = F.lit(0)
-        return self._next(out.withColumns({
+        return self.replace(out.withColumns({
             n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__c_{n}"), zero) for n in sums}
         ).drop(GROUP, BLOCK, *[f"__c_{n}" for n in sums]))
 
     def position(self, name: str = "seq") -> "History":
         """Add the 0-based position of the row in its group."""
         if self.cuts is None:
-            return self._next(self.df.withColumn(
+            return self.replace(self.df.withColumn(
                 name, (F.row_number().over(self.window) - 1).cast("long")))
         return self.running({name: F.lit(1).cast("long")})
 
@@ -132,7 +143,7 @@ class History:
         ``lag(c, 1).over(w)`` or ``avg(c).over(w.rowsBetween(-20, -1))``.
         """
         if self.cuts is None:
-            return self._next(self.df.withColumns(dict(build(self.window))))
+            return self.replace(self.df.withColumns(dict(build(self.window))))
         span = max(self.limit, back, ahead)
         seq = self.position("__cut_seq").df.withColumn(
             SLICE, F.floor(F.col("__cut_seq") / span).cast("long"))
@@ -146,14 +157,14 @@ class History:
                   .withColumn(HALO, F.col("__cut_to") != 0).drop("__cut_to"))
         w = Window.partitionBy(*self.keys, SLICE).orderBy("__cut_seq")
         out = spread.withColumns(dict(build(w))).filter(~F.col(HALO))
-        return self._next(out.drop("__cut_seq", SLICE, HALO))
+        return self.replace(out.drop("__cut_seq", SLICE, HALO))
 
     def last_known(self, columns: Mapping[str, Column], inclusive: bool = True) -> "History":
         """Add the latest non-null value of each expression up to the row."""
         last = 0 if inclusive else -1
         if self.cuts is None:
             frame = self.window.rowsBetween(Window.unboundedPreceding, last)
-            return self._next(self.df.withColumns(
+            return self.replace(self.df.withColumns(
                 {n: F.last(e, ignorenulls=True).over(frame) for n, e in columns.items()}))
         place = F.struct(*self.order.cols)
         out = self._scan(
@@ -161,7 +172,7 @@ class History:
             {f"__c_{n}": F.max_by(e, F.when(e.isNotNull(), place)) for n, e in columns.items()},
             lambda earlier, _: {f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(earlier)
                                 for n in columns}, last)
-        return self._next(out.withColumns(
+        return self.replace(out.withColumns(
             {n: F.coalesce(n, f"__c_{n}") for n in columns}).drop(
                 GROUP, BLOCK, *[f"__c_{n}" for n in columns]))
 
@@ -169,10 +180,10 @@ class History:
         """Add the maximum over strictly earlier rows (NULL before the first)."""
         if self.cuts is None:
             frame = self.window.rowsBetween(Window.unboundedPreceding, -1)
-            return self._next(self.df.withColumn(name, F.max(value).over(frame)))
+            return self.replace(self.df.withColumn(name, F.max(value).over(frame)))
         out = self._scan({name: F.max(value)}, {"__m": F.max(value)},
                          lambda earlier, _: {"__m": F.max("__m").over(earlier)}, -1)
-        return self._next(out.withColumn(name, F.greatest(F.col(name), F.col("__m"))).drop(
+        return self.replace(out.withColumn(name, F.greatest(F.col(name), F.col("__m"))).drop(
             GROUP, BLOCK, "__m"))
 
 

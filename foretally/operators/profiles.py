@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foretally.functions.rates import clip, eb, entropy, half_life, ratio, reliability
+from foretally.functions.rates import entropy, half_life, ratio, reliability
 from foretally.operators.joins import sized, small_join, spread_to_cutoffs
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from foretally.functions import buckets
-from foretally.functions.rates import wilson
 from foretally.operators import audit
-from foretally.operators.history import game_table
 from foretally.operators.ordered import History
-from foretally.plans.bindings import (LATEST, EV_ORDER, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit,
+from foretally.plans.bindings import (LATEST, LAST_SEASON, PIT_ORDER, PIT_SQL_ORDER, ev, pit,
                                       table)
 from foretally.plans.catalog import query
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from foretally.functions.rates import eb
 from foretally.operators import history as hist
@@ -37,7 +37,7 @@ SELECT {KEY_SQL}, row_number() OVER ({GAME_W}) - 1 in_game, row_number() OVER ({
 def count_before(spark, sf):
     """0-based running index in the game and in the career."""
     h = History(pit(spark, sf), ["game", "entity"], PIT_ORDER).position("in_game")
-    return History(h.df, ["entity"], PIT_ORDER).position("in_career").df
+    return h.regroup(["entity"]).position("in_career").df
 
 
 def rolling_sql(c: str, w: int, mp: int, fn: str) -> str:
@@ -203,7 +203,7 @@ def expanding_target_encoding(spark, sf):
     mu = rows.filter(PAST).agg(F.avg("y")).scalar()
     one = F.lit(1)
     h = hist.expanding_rate(History(rows, ["entity"], PIT_ORDER), {"entity_te": (F.col("y"), one, 200.0, mu)})
-    return hist.expanding_rate(History(h.df, ["opp"], PIT_ORDER), {"opp_te": (F.col("y"), one, 200.0, mu)}).df
+    return hist.expanding_rate(h.regroup(["opp"]), {"opp_te": (F.col("y"), one, 200.0, mu)}).df
 
 
 @query("opponent_scouting", "W15", KEY + " faced_R:d faced_R_n:i whiff_A:d whiff_A_n:i faced_N:d faced_N_n:i", f"""
@@ -231,7 +231,7 @@ def game_flow(spark, sf):
     """Last flags in the game and recent shares of the entity."""
     g = History(pit(spark, sf).withColumn("o", (F.col("hand") == "O").cast("int")), ["game", "entity"], PIT_ORDER)
     flags = g.frames(3, lambda w: hist.lag_columns(w, ["y"], [1, 2, 3]))
-    h = History(flags.df, ["entity"], PIT_ORDER)
+    h = flags.regroup(["entity"])
     return h.frames(15, lambda w: {
         "l5_r": F.avg("y").over(w.rowsBetween(-5, -1)), "l15_r": F.avg("y").over(w.rowsBetween(-15, -1)),
         "l15_o": F.avg("o").over(w.rowsBetween(-15, -1))}).df
@@ -272,7 +272,7 @@ def opponent_history(spark, sf):
     rows, one, y = pit(spark, sf), F.lit(1), F.col("y")
     far = (F.col("hand") == "O").cast("int")
     a = hist.expanding_rate(History(rows, ["opp", "season"], PIT_ORDER), {"szn": (y, one, 300.0, 1 / 3)})
-    career = History(a.df, ["opp"], PIT_ORDER)
+    career = a.regroup(["opp"])
     b = hist.expanding_rate(career, {"car": (y, one, 300.0, 1 / 3), "vs_o": (y * far, far, 200.0, 0.33)})
     c = hist.last_n_sums(b, {"__ls": y, "__ln": one}, 200)
     d = c.df.join(hist.previous_season(rows, "opp", "season", {"ps": y, "pn": one}), ["opp", "season"], "left")
@@ -340,11 +340,11 @@ WINDOW a AS ({ENTITY_W} {BEFORE}), b AS ({ENTITY_W} ROWS BETWEEN 100 PRECEDING A
  c AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} {BEFORE}), d AS (PARTITION BY opp ORDER BY {PIT_SQL_ORDER} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)""")
 def both_side_history(spark, sf):
     """Expanding and last-100 means of both sides."""
-    def side(df, key, tag):
-        h = hist.expanding_mean(History(df, [key], PIT_ORDER), ["y"], 20)
-        h = hist.rolling(h, ["y"], 100, 20)
-        return h.df.withColumnsRenamed({"y_before": f"{tag}_exp", "y_last100_mean": f"{tag}_l100"})
-    return side(side(pit(spark, sf), "entity", "e"), "opp", "o")
+    def side(h, tag):
+        h = hist.rolling(hist.expanding_mean(h, ["y"], 20), ["y"], 100, 20)
+        return h.replace(h.df.withColumnsRenamed({"y_before": f"{tag}_exp", "y_last100_mean": f"{tag}_l100"}))
+    first = side(History(pit(spark, sf), ["entity"], PIT_ORDER), "e")
+    return side(first.regroup(["opp"]), "o").df
 
 
 @query("user_history", "W3 W5 W14", "event_id:i user_id:i seq:i te:d mean20:d", f"""
@@ -395,7 +395,7 @@ def smoothed_hand_rate(spark, sf):
     """Past hand rate shrunk to the entity's own past rate."""
     from foretally.functions.rates import ratio
     a = History(pit(spark, sf), ["entity", "hand"], PIT_ORDER).running({"hs": F.col("y"), "hn": F.lit(1)})
-    b = History(a.df, ["entity"], PIT_ORDER).running({"cs": F.col("y"), "cn": F.lit(1)}).df
+    b = a.regroup(["entity"]).running({"cs": F.col("y"), "cn": F.lit(1)}).df
     return b.withColumn("hand_rate", eb("hs", "hn", 20.0, F.coalesce(ratio("cs", "cn"), F.lit(0.33))))
 
 
@@ -409,7 +409,7 @@ def row_asof_split(spark, sf):
     rows = pit(spark, sf)
     mu = rows.filter(PAST).agg(F.avg("y")).scalar()
     a = History(rows, ["entity", "hand"], PIT_ORDER).running({"hs": F.col("y"), "hn": F.lit(1)})
-    b = History(a.df, ["entity"], PIT_ORDER).running({"cs": F.col("y"), "cn": F.lit(1)}).df
+    b = a.regroup(["entity"]).running({"cs": F.col("y"), "cn": F.lit(1)}).df
     return b.withColumns({"split": eb("hs", "hn", 300.0, mu) - eb("cs", "cn", 300.0, mu),
                           "rel": F.col("hn") / (F.col("hn") + 300.0)})
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretally.functions.buckets import digitize, mixed_radix
-from foretally.operators import crosswalk as cw, eb, history as hist, profiles as prof
-from foretally.plans.bindings import LATEST, PAST, PIT_ORDER, PIT_SQL_ORDER, LAST_SEASON, pit
+from foretally.operators import crosswalk as cw, eb, profiles as prof
+from foretally.plans.bindings import LATEST, PAST, pit
 from foretally.plans.catalog import query
 from foretally.plans.eb_queries import TE_KEYS
 
@@ -254,3 +254,13 @@ def crosswalk_quality(spark, sf):
     hit = F.col("hit").isNotNull()
     return rows.groupBy("season").agg(F.count("*").alias("n"), F.count_if(hit).alias("covered"), F.avg(hit.cast("double")).alias("coverage"),
                                       F.avg(F.when(hit, F.col("y"))).alias("rate_covered"), F.avg(F.when(~hit, F.col("y"))).alias("rate_other"))
+
+
+@query("crosswalk_match_fields", "D41", "metric:s p10:d p50:d p90:d", f"""
+WITH {TWO}, ac AS (SELECT x.sim AS similarity, x.sim - coalesce(z.sim, -1) margin, x.an::DOUBLE a_n FROM rk x LEFT JOIN rk z ON z.season = x.season AND z.h = x.h AND z.a = x.a AND z.r = 2 WHERE x.r = 1)
+""" + " UNION ALL ".join(f"SELECT '{c}' metric, quantile_cont({c}, 0.1) p10, quantile_cont({c}, 0.5) p50, quantile_cont({c}, 0.9) p90 FROM ac" for c in ("similarity", "margin", "a_n")))
+def crosswalk_match_fields(spark, sf):
+    """Spread of similarity, margin and volume of the best matches."""
+    from foretally.operators.ranks import metric_quantiles
+    best = matches(spark, sf, 2).filter("rank = 1").withColumn("margin", F.col("similarity") - F.col("second"))
+    return metric_quantiles(best, [], ["similarity", "margin", "a_n"], {"p10": 0.1, "p50": 0.5, "p90": 0.9})

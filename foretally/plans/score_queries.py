@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foretally.functions.rates import clip, logit, sigmoid
-from foretally.operators import blend, calibrate as cal, eb, joins, metrics
+from foretally.functions.rates import logit, sigmoid
+from foretally.operators import blend, calibrate as cal, joins, metrics
 from foretally.plans.bindings import LATEST, PAST, LAST_SEASON, pit
 from foretally.plans.catalog import query
 from foretally.plans.eb_queries import TE_KEYS
@@ -565,3 +565,12 @@ def seed_stability(spark, sf):
     pairs = [("m_s0", "m_s1", "s0~s1"), ("m_s0", "m_s2", "s0~s2"), ("m_s1", "m_s2", "s1~s2")]
     return wide.groupBy("season").agg(*[F.corr(a, b).alias(n) for a, b, n in pairs]).unpivot(
         ["season"], [n for _, _, n in pairs], "pair", "corr")
+
+
+@query("two_way_weight_grid", "E19 E13", "w0:d w1:d delta:d8", """
+WITH g AS (SELECT i / 10.0::DOUBLE w FROM range(11) t(i)), m AS (SELECT count(*) n, sum(CASE WHEN hand = 'O' THEN (p - y) * (p2 - p) END) e0, sum(CASE WHEN hand = 'O' THEN pow(p2 - p, 2) END) c0,
+ sum(CASE WHEN hand = 'F' THEN (p - y) * (p2 - p) END) e1, sum(CASE WHEN hand = 'F' THEN pow(p2 - p, 2) END) c1 FROM pit)
+SELECT a.w w0, b.w w1, (2 * a.w * e0 + a.w * a.w * c0 + 2 * b.w * e1 + b.w * b.w * c1) / n AS delta FROM g a, g b, m""")
+def two_way_weight_grid(spark, sf):
+    """Separate weights for two row types over a grid, from moments."""
+    return metrics.two_way_grid(pit(spark, sf), "hand", ("O", "F"), "y", "p", "p2", [i / 10.0 for i in range(11)])
