@@ -47,15 +47,23 @@ PROFILE_PROBS = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, missing, distinct, and numeric summary."""
+    """One row per column: type, rows, missing, distinct, samples and numeric summary.
+
+    Samples are the three smallest distinct values as text.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot(
         [], df.columns, "column", "text")
-    distinct = (texts.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("column").agg(
-                    F.sum("n").alias("rows"),
-                    F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("missing_n"),
-                    F.count("text").alias("nunique")))
+    values = texts.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
+    distinct = values.groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("missing_n"),
+        F.count("text").alias("nunique"))
+    first = Window.partitionBy("column").orderBy("text")
+    samples = (values.filter(F.col("text").isNotNull()).withColumn("r", F.row_number().over(first))
+               .filter("r <= 3").groupBy("column").agg(
+                   F.concat_ws(" | ", F.array_sort(F.collect_list("text"))).alias("samples")))
+    distinct = distinct.join(samples, "column", "left")
     dtype = F.create_map(*[x for c, t in types.items() for x in (F.lit(c), F.lit(t.simpleString()))])
     out = distinct.withColumn("dtype", dtype[F.col("column")]).withColumn(
         "missing_pct", F.col("missing_n") / F.col("rows") * 100.0)

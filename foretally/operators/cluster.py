@@ -107,6 +107,14 @@ def stable_numbers(df: DataFrame, label: str, keys: Sequence[str], k: int) -> Da
     return df.withColumn(label, pick[F.col(label)])
 
 
+def style_medians(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
+    """Attach the cluster's median of each style column to its members."""
+    q = metric_quantiles(df, [label], columns, {"m": 0.5})
+    wide = q.groupBy(label).agg(*[
+        F.max(F.when(F.col("metric") == c, F.col("m"))).alias(f"style_{c}") for c in columns])
+    return df.join(sized(wide), label, "left")
+
+
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """Attach the size of the row's cluster."""
     return df.join(sized(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))), label)

@@ -41,15 +41,19 @@ def outcome_by_groups(spark, sf):
 PROFILE_COLS = ["qty", "price", "tax0", "ctx"]
 
 
+def samples_sql(c: str) -> str:
+    return f"(SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR v FROM pit WHERE {c} IS NOT NULL ORDER BY v LIMIT 3))"
+
+
 def numeric_summary_sql(c: str) -> str:
     q = ", ".join(f"quantile_cont({c}::DOUBLE, {p}) {n}" for n, p in audit.PROFILE_PROBS.items())
-    return f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) missing_n, count(DISTINCT {c}) nunique,
+    return f"""SELECT '{c}' AS "column", {samples_sql(c)} samples, count(*) AS "rows", count(*) - count({c}) missing_n, count(DISTINCT {c}) nunique,
  min({c})::DOUBLE AS "min", max({c})::DOUBLE AS "max", avg({c}) mean, stddev_samp({c}) std, {q} FROM pit"""
 
 
-@query("column_profile", "D2 D36", "column:s rows:i missing_n:i nunique:i missing_pct:d min:d max:d mean:d4 std:d4 p01:d4 p25:d4 median:d4 p75:d4 p99:d4",
+@query("column_profile", "D2 D36", "column:s rows:i missing_n:i nunique:i missing_pct:d samples:s min:d max:d mean:d4 std:d4 p01:d4 p25:d4 median:d4 p75:d4 p99:d4",
        "SELECT *, 100.0 * missing_n / \"rows\" missing_pct FROM (" + " UNION ALL ".join(numeric_summary_sql(c) for c in PROFILE_COLS)
-       + """ UNION ALL SELECT 'hand', count(*), count(*) - count(hand), count(DISTINCT hand), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pit)""")
+       + f""" UNION ALL SELECT 'hand', {samples_sql('hand')}, count(*), count(*) - count(hand), count(DISTINCT hand), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pit)""")
 def column_profile(spark, sf):
     """Type, missing, distinct and quantiles per column."""
     return audit.schema_profile(pit(spark, sf).select(*PROFILE_COLS, "hand"))

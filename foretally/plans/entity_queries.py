@@ -96,6 +96,14 @@ def soft_clusters(spark, sf):
     return cl.cluster_sizes(cl.stable_numbers(soft, "cluster", ["pc00", "pc01"], 4), "cluster")
 
 
+@query("cluster_style_medians", "M7 M11", "entity:i cluster:i style_a:d5 style_b:d4 style_c:d6", f"""
+WITH {ENT}, k AS (SELECT *, entity % 4 cluster FROM e), m AS (SELECT cluster, quantile_cont(a, 0.5) style_a, quantile_cont(b, 0.5) style_b, quantile_cont(c, 0.5) style_c FROM k GROUP BY 1)
+SELECT entity, cluster, style_a, style_b, style_c FROM k JOIN m USING (cluster)""")
+def cluster_style_medians(spark, sf):
+    """Median style of the cluster attached to its members."""
+    return cl.style_medians(entities(spark, sf).withColumn("cluster", F.col("entity") % 4), "cluster", ["a", "b", "c"])
+
+
 @query("mixture_clusters", "M7", "vec_id:i cluster:i member_0:d4 member_1:d4 member_2:d4")
 def mixture_clusters(spark, sf):
     """Diagonal Gaussian mixture by repeated aggregation."""

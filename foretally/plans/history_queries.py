@@ -379,6 +379,20 @@ def recovered_labels(spark, sf):
     return out.withColumns({"label": label, "agree": F.when(label.isNotNull(), (label == F.col("y")).cast("int"))})
 
 
+@query("tolerant_labels", "W24", KEY + " label:i", f"""
+WITH c AS ({CUM}), r AS (SELECT *, round(cs / nullif(n, 0), 4) rate FROM c),
+l AS (SELECT *, lead(n) OVER ({ENTITY_W}) n1, lead(rate) OVER ({ENTITY_W}) r1 FROM r),
+s AS (SELECT *, n1 * r1 - coalesce(n * rate, 0) raw FROM l)
+SELECT {KEY_SQL}, CASE WHEN n1 - n = 1 AND abs(raw - round_even(raw, 0)) <= 0.05 AND round_even(raw, 0) IN (0, 1) THEN round_even(raw, 0) END AS label FROM s""")
+def tolerant_labels(spark, sf):
+    """Labels from rounded rates, known only where the step is near an integer."""
+    h = entity_history(spark, sf).position("pos").running({"cs": F.col("y")})
+    rows = h.df.withColumn("n", F.col("pos") + F.when(F.col("pos") >= 50, 1).otherwise(0)).withColumn(
+        "rate", F.round(F.try_divide(F.col("cs").cast("double"), F.col("n")), 4))
+    out = hist.recovered_labels(rows, "entity", PIT_ORDER, "n", ["rate"], 0.05)
+    return out.withColumnRenamed("label_rate", "label")
+
+
 @query("outing_segments", "W4 A32", KEY + " segment:i", f"""
 WITH c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR NOT (tax0 IS NOT DISTINCT FROM lag(tax0) OVER w) THEN 1 ELSE 0 END nw FROM pit WINDOW w AS ({ENTITY_W}))
 SELECT {KEY_SQL}, sum(nw) OVER ({ENTITY_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) segment FROM c""")

@@ -136,3 +136,13 @@ def test_segment_without_rows_raises(spark, sf):
     rows = pit(spark, sf)
     with pytest.raises(ValueError):
         model.segmented_experts(rows.filter("hand = 'F'"), rows, "hand", ["F", "O"], ["qty"], "y")
+
+
+def test_config_scores_and_safe_types(spark, points):
+    reg = spark.createDataFrame([("x", 1, 12, 0.3, 0.8), ("x", 2, 4, 0.5, 0.6), ("y", 1, 20, 0.9, 0.9)],
+                                "config string, cutoff int, min_size int, silhouette double, ari double")
+    top = cl.config_scores(reg, "config").collect()
+    assert [r["config"] for r in top] == ["y", "x"]
+    assert top[1]["score"] == pytest.approx(0.4 + 0.25 * 0.7 + 0.02 * 4)
+    typed = cl.safe_types(points.withColumn("n", F.col("id")), "n", ["a", "b"], 3, 20, 1)
+    assert typed.filter("n < 20 AND type <> -1").isEmpty() and typed.count() == 120
