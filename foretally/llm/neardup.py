@@ -4,8 +4,9 @@ A document is the set of its word shingles, its sketch the ``k`` least hashes of
 equal sets are one class from the start. Inverted lists of retained values bring classes together: two
 sets alike enough share so many retained values that the rarest ones of each sketch must meet. A pair
 from a list is estimated from the union of its sketches, then confirmed on the full sets. Long lists are
-settled by their own links: members meet one representative, classes already linked are not compared
-again, and only what is still apart is paired.
+settled by their own links: members meet one representative, and classes already linked are not compared
+again. Where members stay apart, their full sets are listed anew, by the hashes that a link must rest on,
+and only what is still apart in those lists is paired.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.llm import tokens
 from foretally.llm.components import connected
 from foretally.llm.store import stored
 
 K = 64
+#: Size bands of the full sets' lists in the range that the threshold leaves to a partner.
+BANDS = 8
 #: Rounds in which lists meet a representative before the rest is paired, and pairs per list entry that end them.
 ROUNDS = 4
 ENOUGH = 2
@@ -60,7 +63,7 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     Sizes of alike sets differ by the threshold at most, which splits lists into overlapping bands.
     """
     values = classes.select("node", "n", F.explode("hashes").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    often = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     whole = F.col("n") * 100 <= F.lit(k * percent)
     need = F.when(whole, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(F.least("n", F.lit(k)) - k // 2 + 1)
     rare = (values.join(often, "value").groupBy("node", "n")
@@ -71,8 +74,7 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
             .select("node", "n", F.col("x.value").alias("value")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
     banded = rare.select("value", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
-    full = banded.groupBy("value", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value", "band")
-    return stored(banded.join(full, ["value", "band"]))
+    return stored(banded)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
@@ -102,7 +104,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int) -> DataFrame:
+def _exact_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(value, band, gap, side, place, node, n): lists of full sets, kept as far as a link can need them, stored.
+
+    With a set's hashes in the order rarest first, two sets that share c hashes must meet within the
+    first n - c + 1 of each. c follows from both sizes, so a hash is listed once for each band of sizes
+    that a partner may have, if it stands early enough for that band. Lists of two bands (gap over 0)
+    bring members of the one (side 0) to members of the other (1).
+    """
+    often = stored(sets.select(F.explode("hashes").alias("value")).groupBy("value")
+                   .agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    step = math.log(100 / percent) / BANDS
+    n, n_known, other = F.col("n"), F.size("known"), F.col("band") + F.col("off")
+    ranked = (sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("value"))
+              .join(often, "value").groupBy("node", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("known"))
+              .withColumn("band", F.floor(F.log(n.cast("double")) / step).cast("int"))
+              .withColumn("off", F.explode(F.sequence(F.lit(-BANDS), F.lit(BANDS)))))
+    least = F.greatest(F.ceil(n * percent / 100), F.floor(F.exp(other * step) - 1e-6).cast("long"))
+    common = F.ceil((n + least) * percent / (100 + percent))
+    return stored(ranked.withColumn("first", (n_known - common + 1).cast("int")).filter("first > 0")
+                  .select(F.posexplode(F.slice("known", F.lit(1), F.col("first"))).alias("at", "x"), n_known.alias("k"),
+                          F.least("band", other).alias("band"), F.abs("off").alias("gap"),
+                          (F.col("off") < 0).cast("int").alias("side"), "node", "n")
+                  .select("x.value", "band", "gap", "side", (n - F.col("k") + F.col("at")).alias("place"), "node", "n"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int) -> DataFrame | None:
     """(node, label): components of the classes that are linked with others, stored."""
     lists = _lists(classes, k, percent)
     nodes = lists.select("node").distinct()
@@ -110,46 +138,70 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     mine = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = stored(_sets(mine, width, None).select(F.col("doc_id").alias("node"), "hashes"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        return _confirmed(_estimated(pairs, sketches, k, percent), sets, percent)
-
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        now = lists if labels is None else lists.join(labels, "node", "left")
-        now = now.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
-        # Lists whose members are all linked are settled.
-        heads = now.groupBy("value", "band").agg(
-            F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), "node", "n", "label")).alias("head")
-        ).filter("low < high")
-        if turn:
-            now = stored(now.join(heads.select("value", "band"), ["value", "band"]))
-            apart = now.groupBy("value", "band", "label").agg(F.count(F.lit(1)).alias("m"))
-            main = apart.groupBy("value", "band").agg(
-                F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("total"))
-            left = main.agg(F.sum((F.col("total") - F.col("main.m")) * F.col("total")), F.sum("total")).first()
-            if left[0] is None:
-                return labels
-            if turn == ROUNDS or left[0] <= ENOUGH * left[1]:
-                pairs = _apart(now, main, percent)
-                links = stored(links.union(checked(pairs)))
-                return connected(links)
-        near = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
-        pairs = (now.join(heads, ["value", "band"]).filter(near).filter(F.col("label") != F.col("head.label"))
-                 .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct())
-        found = checked(pairs)
-        links = stored(found if links is None else links.union(found))
+    def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        found = _confirmed(_estimated(pairs, sketches, k, percent), sets, percent)
+        return stored(found if links is None else links.union(found))
+
+    key = ["value", "band", "gap"]
+    lists = lists.select("value", "band", F.lit(0).alias("gap"), F.lit(0).alias("side"), F.lit(0).alias("place"), "node", "n")
+    links = linked(_to_heads(lists.withColumn("label", F.col("node")), key, 0, percent), None)
+    labels = connected(links)
+    # Only members of lists that hold several components still can be linked anew.
+    apart = _unsettled(_labelled(lists, labels), key)
+    open_nodes = stored(apart.select("node").distinct())
+    lists = _exact_lists(sets.join(open_nodes, "node"), percent)
+    for turn in range(1, ROUNDS + 1):
+        apart = stored(_unsettled(_labelled(lists, labels), key))
+        main = (apart.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(*key)
+                .agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("total")))
+        work, size = main.agg(F.sum((F.col("total") - F.col("main.m")) * F.col("total")), F.sum("total")).first()
+        if not size:
+            return labels
+        last = turn == ROUNDS or work <= ENOUGH * size
+        links = linked(_apart(apart, main, key, percent) if last else _to_heads(apart, key, turn, percent), links)
         labels = connected(links)
+        if last:
+            return labels
+
+
+def _reach(n: str, place: str, m: str, other: str, percent: int) -> Column:
+    """Whether two sets can be alike if nothing before these places of their orders is common."""
+    most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
+    return most * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _unsettled(lists: DataFrame, key: list[str]) -> DataFrame:
+    """Entries of the lists whose members are not all in one component yet."""
+    several = (lists.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                       (F.max("side") - F.min("side") + 1).alias("sides"))
+               .filter("low < high and (gap = 0 or sides = 2)"))
+    return lists.join(stored(several.select(*key)), key)
+
+
+def _to_heads(lists: DataFrame, key: list[str], turn: int, percent: int) -> DataFrame:
+    """Pairs of each list's members with one of them, another one in each turn."""
+    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    heads = stored(lists.groupBy(*key).agg(F.min(F.struct(order.alias("order"), "node", "n", "label", "side", "place")).alias("head")))
+    meet = (F.col("gap") == 0) | (F.col("side") != F.col("head.side"))
+    near = _reach("n", "place", "head.n", "head.place", percent)
+    return (lists.join(heads, key).filter(near & meet).filter(F.col("label") != F.col("head.label"))
+            .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct())
 
 
-def _apart(lists: DataFrame, main: DataFrame, percent: int) -> DataFrame:
+def _apart(lists: DataFrame, main: DataFrame, key: list[str], percent: int) -> DataFrame:
     """Pairs of a list that no link joins yet: members outside the list's largest component with all others."""
-    few = (lists.join(main.select("value", "band", F.col("main.label").alias("most")), ["value", "band"])
-           .filter("label <> most").select("value", "band", F.col("node").alias("p"), F.col("n").alias("pn"),
-                                           F.col("label").alias("pl"), "most"))
-    near = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
+    few = (lists.join(stored(main.select(*key, F.col("main.label").alias("most"))), key)
+           .filter("label <> most").select(*key, F.col("node").alias("p"), F.col("n").alias("pn"),
+                                           F.col("label").alias("pl"), F.col("side").alias("ps"),
+                                           F.col("place").alias("pp"), "most"))
+    near = _reach("n", "place", "pn", "pp", percent)
     once = (F.col("label") == F.col("most")) | (F.col("p") < F.col("node"))
-    return (few.join(lists, ["value", "band"]).filter(F.col("pl") != F.col("label")).filter(near & once)
+    meet = (F.col("gap") == 0) | (F.col("side") != F.col("ps"))
+    return (few.join(lists, key).filter(F.col("pl") != F.col("label")).filter(near & once & meet)
             .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
 
 

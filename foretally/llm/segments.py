@@ -115,7 +115,8 @@ def segments(docs: DataFrame, coder: Coder, window: int, k: int) -> DataFrame:
 def shared(docs: DataFrame, coder: Coder, window: int, k: int) -> DataFrame:
     """The segments whose k-mer rules another segment too, stored; no other can hold a repeated window."""
     found = segments(docs, coder, window, k)
-    often = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+    # Stored, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    often = stored(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
     return stored(found.join(often, "h1"))
 
 
@@ -141,7 +142,7 @@ def by_document(spans: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, starts, sizes) of every row; rows without spans or without a doc_id have none."""
-    listed = by_document(spans)
+    listed = stored(by_document(spans))
     return (docs.select(F.col("doc_id").cast("long"), "text").join(listed, "doc_id", "left")
             .select("doc_id", "text", F.col("spans.first").alias("starts"), F.col("spans.windows").alias("sizes")))
 

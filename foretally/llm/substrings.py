@@ -77,9 +77,9 @@ def later_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> Data
              .filter("doc_id <> source_doc or first <> source_first")
              .select("doc_id", "first", F.col("run").alias("windows")))
     edges = _edges(docs, alike, window)
-    sources = (edges.groupBy("h1", "edge").agg(F.count(F.lit(1)).alias("n"),
-                                               F.min(F.struct("doc_id", "first")).alias("source"))
-               .filter("n > 1").select("h1", "edge", "source"))
+    sources = stored(edges.groupBy("h1", "edge").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.min(F.struct("doc_id", "first")).alias("source"))
+                     .filter("n > 1").select("h1", "edge", "source"))
     single = (edges.join(sources, ["h1", "edge"])
               .filter("struct(doc_id, first) <> source")
               .select("doc_id", "first", F.lit(1).cast("long").alias("windows")))

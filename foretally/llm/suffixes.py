@@ -117,7 +117,7 @@ def _window_spans(strings: DataFrame, length: int) -> DataFrame:
 
     each = strings.select("h1", "n", "doc_id", "first", "part").mapInArrow(
         run, "h1 long, hash long, n long, doc_id long, first long")
-    often = each.groupBy("h1", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h1", "hash")
+    often = stored(each.groupBy("h1", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h1", "hash"))
     return each.filter("n = 1").join(often, ["h1", "hash"]).select(
         "doc_id", "first", F.lit(1).cast("long").alias("windows"))
 
