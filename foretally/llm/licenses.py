@@ -53,9 +53,10 @@ _COPYRIGHT = r"^(portions )?(copyright( c)?|c) [0-9]{4}( .*)?$|^all rights reser
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line with something left in it; none of a null text."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit(" c "))
+    plain = F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " ")
     plain = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, plain)
-    lines = F.transform(F.split(plain, "\n"), F.trim)
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(_COPYRIGHT))
 
 
@@ -89,7 +90,7 @@ def license_matches(docs: DataFrame, texts=KNOWN) -> DataFrame:
 
 
 def _sql_form(text: str) -> str:
-    plain = f"regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    plain = f"regexp_replace(replace(lower(coalesce({text}, '')), '©', ' c '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for old, new in SPELLINGS:
         plain = f"replace({plain}, '{old}', '{new}')"
     lines = f"list_transform(string_split({plain}, chr(10)), lambda x: trim(x, ' '))"
