@@ -86,6 +86,8 @@ def numeric_audit(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     long = long_metrics(df, keys, metrics)
     v = F.col("value")
     odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    finite = df.withColumns({m: F.when(~F.isnan(m) & (F.abs(F.col(m).cast("double")) != float("inf")), F.col(m))
+                             for m in metrics})
     clean = long.withColumn("value", F.when(~odd, v))
     cells = clean.groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
     basics = long.groupBy(*keys, "metric").agg(
@@ -93,7 +95,7 @@ def numeric_audit(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
         F.avg(F.coalesce(odd, F.lit(False)).cast("double")).alias("nonfinite_rate"),
         F.avg(F.coalesce(v == 0, F.lit(False)).cast("double")).alias("zero_rate"),
         F.avg(F.coalesce(v < 0, F.lit(False)).cast("double")).alias("negative_rate"))
-    quant = metric_quantiles(df, keys, metrics, probs)
+    quant = metric_quantiles(finite, keys, metrics, probs)
     spread = (F.col("q0750") - F.col("q0250")) * 3.0
     outside = (null_safe_join(cells.filter(F.col("value").isNotNull()), quant, [*keys, "metric"])
                .withColumn("out", ((F.col("value") < F.col("q0250") - spread)
@@ -235,7 +237,7 @@ def concentration_curve(profile: DataFrame, entity: str, n: str,
     """Entities by volume with cumulative share of rows and of entities."""
     total, count = profile.agg(F.sum(n)).scalar(), profile.agg(F.count(F.lit(1))).scalar()
     h = History(profile.withColumn("__d", -F.col(n)), [],
-                Order(("__d", entity), "cast(__d as double)"), hot_rows)
+                Order(("__d", entity)), hot_rows)
     out = h.running({"__cum": F.col(n), "__r": F.lit(1).cast("long")}, inclusive=True).df
     return out.select(entity, n, F.col("__r").alias("rank"), (F.col("__cum") / total).alias("cum_share"),
                       (F.col("__r") / count).alias("entity_share"))
@@ -303,7 +305,7 @@ def order_diagnostics(df: DataFrame, entity: str, order: Order, n: str, rate: st
 def sequence_gaps(df: DataFrame, keys: Sequence[str], seq: str,
                   hot_rows: int | None = None) -> DataFrame:
     """Number of places where the sequence jumps by more than one."""
-    h = History(df, list(keys), Order((seq,), f"cast({seq} as double)"), hot_rows).frames(
+    h = History(df, list(keys), Order((seq,)), hot_rows).frames(
         1, lambda w: {"__step": F.col(seq) - F.lag(seq, 1).over(w)})
     return h.df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(seq).alias("seq_min"), F.max(seq).alias("seq_max"),

@@ -315,7 +315,7 @@ def matched(df: DataFrame, source: str, reference: str) -> DataFrame:
 def quantile_matched(df: DataFrame, row: Sequence[str], source: str, reference: str,
                      hot_rows: int | None = None) -> DataFrame:
     """k-th smallest source takes the k-th smallest reference value (ties by row key)."""
-    order = lambda c: Order((c, *row), f"cast({c} as double)")
+    order = lambda c: Order((c, *row))
     left = History(df, [], order(source), hot_rows).position("__k").df
     right = History(df.select(reference, *row), [], order(reference), hot_rows).position("__k").df
     return left.join(right.select("__k", F.col(reference).alias("quantile_match")), "__k").drop("__k")

@@ -96,13 +96,18 @@ def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, step
 
 
 def stable_numbers(df: DataFrame, label: str, keys: Sequence[str], k: int) -> DataFrame:
-    """Renumber clusters by the medians of the key columns (at most ``k`` rows collected)."""
+    """Renumber clusters by the medians of the key columns; ``k`` is the most labels that may occur.
+
+    One row for each label is collected, so more labels than ``k`` raise ValueError.
+    """
     table: dict[int, dict[str, float]] = {}
-    for r in metric_quantiles(df, [label], keys, {"m": 0.5}).collect():
+    for r in metric_quantiles(df, [label], keys, {"m": 0.5}).limit(len(keys) * (k + 1)).collect():
         table.setdefault(r[label], {})[r["metric"]] = r["m"]
     low = float("-inf")
     order = sorted(table, key=lambda v: (*(table[v].get(c, low) for c in keys), v))
-    new = {int(v): i for i, v in enumerate(order[:k])}
+    if len(order) > k:
+        raise ValueError(f"more than {k} labels")
+    new = {int(v): i for i, v in enumerate(order)}
     pick = F.create_map(*[F.lit(x) for pair in new.items() for x in pair])
     return df.withColumn(label, pick[F.col(label)])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from foretally.functions.rates import eb, non_negative, ratio
 from foretally.operators.joins import null_safe_join, small_join
 from foretally.operators.ordered import History
-from foretally.roles import Order, days
+from foretally.roles import Order
 
 # Shrink strength per rate.
 RATE_STRENGTH = {"csw": 200, "whiff": 150, "called": 150, "zone": 200, "chase": 120, "fps": 100}
@@ -148,14 +148,14 @@ def times_faced(df: DataFrame, game: str, entity: str, opponent: str, turn: str)
     """Number of earlier turns of the same pair in the game."""
     keys = [game, entity, opponent]
     turns = df.select(*keys, turn).distinct()
-    h = History(turns, keys, Order((turn,), f"cast({turn} as double)"))
+    h = History(turns, keys, Order((turn,)))
     return null_safe_join(df, h.position("times_faced").df, [*keys, turn])
 
 
 def turn_slot(df: DataFrame, game: str, side: str, turn: str, slots: int = 9) -> DataFrame:
     """Cyclic slot of a turn among the turns of its side."""
     turns = df.select(game, side, turn).distinct()
-    h = History(turns, [game, side], Order((turn,), f"cast({turn} as double)"))
+    h = History(turns, [game, side], Order((turn,)))
     slot = h.position("__t").df.withColumn("slot", F.pmod(F.col("__t"), F.lit(slots)) + 1)
     return null_safe_join(df, slot.drop("__t"), [game, side, turn])
 
@@ -166,7 +166,7 @@ def game_table(df: DataFrame, entity: str, game: str, day: str) -> DataFrame:
 
 
 def _game_history(games: DataFrame, entity: str, game: str, hot_rows: int | None) -> History:
-    return History(games, [entity], Order(("game_day", game), days("game_day")), hot_rows)
+    return History(games, [entity], Order(("game_day", game)), hot_rows)
 
 
 def previous_game(df: DataFrame, entity: str, game: str, day: str,
@@ -220,7 +220,7 @@ def previous_turn_value(df: DataFrame, group: Sequence[str], turn: str, value: s
     last = df.groupBy(*group, turn).agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order.cols)))
         .alias("__v"))
-    h = History(last, list(group), Order((turn,), f"cast({turn} as double)"))
+    h = History(last, list(group), Order((turn,)))
     return h.frames(1, lambda w: {f"prev_turn_{value}": F.lag("__v", 1).over(w)}).df.drop("__v")
 
 

@@ -26,7 +26,7 @@ def forward_folds(df: DataFrame, season: str, folds: Sequence[int]) -> DataFrame
 def grouped_folds(df: DataFrame, group: str, k: int, hot_rows: int | None = None) -> DataFrame:
     """Whole groups dealt to folds by size, back and forth, so folds stay balanced."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__d", -F.col("__n"))
-    order = Order(("__d", group), "cast(__d as double)")
+    order = Order(("__d", group))
     ranked = History(sizes, [], order, hot_rows).position("__r").df
     turn = F.pmod(F.col("__r"), F.lit(2 * k))
     return ranked.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))

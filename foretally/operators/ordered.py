@@ -10,43 +10,69 @@ positions that also carry the last rows of the block before. Both ways give the
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from foretally import session
 from foretally.operators.joins import null_safe_join
 from foretally.roles import Order
 
-MAX_CUTS = 4096
-BLOCK, POS, SLICE, HALO, GROUP = "__cut_block", "__cut_pos", "__cut_slice", "__cut_halo", "__cut_group"
+BLOCK, SLICE, HALO, GROUP = "__cut_block", "__cut_slice", "__cut_halo", "__cut_group"
+#: Sampled rows for each block, and blocks for each full one, so that sampling leaves none above the limit.
+SAMPLED, FINER = 64, 2
 
+Cut = tuple[str | None, ...]
 
-def hot_cuts(df: DataFrame, keys: Sequence[str], position: str,
-             limit: int) -> list[float] | None:
-    """Position values that cut hot groups into blocks, or None when no group is hot."""
+
+def hot_cuts(df: DataFrame, keys: Sequence[str], order: Order, limit: int) -> list[Cut] | None:
+    """Order tuples (as text) that cut hot groups into blocks, or None when no group is hot.
+
+    The tuples are quantiles of a sample of the hot groups' rows, so they follow every order
+    column: equal first columns, long common prefixes and any size of number are cut alike.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = sizes.filter(F.col("__n") > limit)
     total = hot.agg(F.sum("__n")).first()[0]
     if not total:
         return None
     rows = null_safe_join(df, hot, keys, "left_semi") if keys else df
-    blocks = min(MAX_CUTS, math.ceil(total / limit) + 1)
-    probs = [i / blocks for i in range(1, blocks)]
-    cuts = rows.agg(F.percentile_approx(F.expr(position), probs, 10 * blocks)).first()[0]
-    return sorted({float(c) for c in cuts or [] if c is not None})
-
-
-def assign_block(df: DataFrame, position: str, cuts: Sequence[float]) -> DataFrame:
-    """Number the block of each row; monotone in ``position``."""
+    blocks = math.ceil(FINER * total / limit)
+    share = min(1.0, SAMPLED * blocks / total)
+    drawn = rows.filter(F.rand(7) < share).select(*order.cols)
+    # The sample has a bounded number of rows for each block; its quantiles are one row for each.
+    turn = Window.orderBy(*order.columns())
+    every = max(1, round(total * share / blocks))
+    picked = drawn.withColumn("__at", F.row_number().over(turn)).filter(F.col("__at") % every == 0)
+    return [tuple(r) for r in picked.orderBy("__at").select(*[F.col(c).cast("string") for c in order.cols]).collect()]
+
+
+def assign_block(df: DataFrame, order: Order, cuts: Sequence[Cut]) -> DataFrame:
+    """Number the block of each row: the cuts at or before it, monotone along the order."""
     if not cuts:
         return df.withColumn(BLOCK, F.lit(0))
-    edges = [float("-inf"), *[c for c in cuts if math.isfinite(c)], float("inf")]
-    placed = df.withColumn(POS, F.coalesce(F.expr(position), F.lit(float("-inf"))))
-    return Bucketizer(splits=edges, inputCol=POS, outputCol=BLOCK, handleInvalid="keep").transform(
-        placed).drop(POS).withColumn(BLOCK, F.col(BLOCK).cast("int"))
+    row = F.struct(*order.cols)
+    wide = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i:i + wide] for i in range(0, len(cuts), wide)]
+
+    def tuples(nested: list, depth: int) -> Column:
+        """One constant for any number of cuts: read as text, cast to the columns' types."""
+        text = T.StructType([T.StructField(c, T.StringType()) for c in order.cols])
+        own = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order.cols])
+        for _ in range(depth):
+            text, own = T.ArrayType(text), T.ArrayType(own)
+        return F.from_json(F.lit(json.dumps(nested)), text).cast(own)
+
+    def named(cut: Cut) -> dict[str, str | None]:
+        return dict(zip(order.cols, cut))
+
+    # First the run of cuts, then the place in it.
+    run = F.size(F.filter(tuples([named(r[0]) for r in runs], 1), lambda e: e <= row))
+    mine = F.element_at(tuples([[named(c) for c in r] for r in runs], 2), F.greatest(run, F.lit(1)))
+    inside = F.size(F.filter(mine, lambda e: e <= row))
+    return df.withColumn(BLOCK, F.greatest(run - 1, F.lit(0)) * wide + inside)
 
 
 class History:
@@ -57,12 +83,12 @@ class History:
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Order,
-                 hot_rows: int | None = None, cuts: list[float] | None | str = "measure",
+                 hot_rows: int | None = None, cuts: list[Cut] | None | str = "measure",
                  base: DataFrame | None = None):
         self.df, self.keys, self.order = df, list(keys), order
         self.base = df if base is None else base
         self.limit = hot_rows or session.hot_rows(df.sparkSession)
-        self.cuts = (hot_cuts(self.base, self.keys, order.position, self.limit)
+        self.cuts = (hot_cuts(self.base, self.keys, order, self.limit)
                      if cuts == "measure" else cuts)
 
     def replace(self, df: DataFrame) -> "History":
@@ -80,7 +106,7 @@ class History:
     def _blocks(self) -> DataFrame:
         """Rows with their block and one group key; struct fields compare NULL equal NULL."""
         key = F.struct(*self.keys) if self.keys else F.struct(F.lit(0).alias("all"))
-        return assign_block(self.df, self.order.position, self.cuts).withColumn(GROUP, key)
+        return assign_block(self.df, self.order, self.cuts).withColumn(GROUP, key)
 
     def _scan(self, inside: Mapping[str, Column], cells: Mapping[str, Column],
               carry: Callable[[WindowSpec, WindowSpec], Mapping[str, Column]],
@@ -197,4 +223,4 @@ def value_cells(df: DataFrame, keys: Sequence[str], value: str,
 def by_value(cells: DataFrame, keys: Sequence[str], value: str,
              hot_rows: int | None = None) -> History:
     """Order value cells by the value itself (totals inside a group follow the value)."""
-    return History(cells, keys, Order((value,), f"cast({value} as double)"), hot_rows)
+    return History(cells, keys, Order((value,)), hot_rows)

@@ -5,22 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.functions.rates import clip
 from foretally.operators.joins import lookup_join
 from foretally.operators.ordered import History
 from foretally.operators.ranks import average_rank, metric_quantiles
-from foretally.roles import Order, text_rank
+from foretally.roles import Order
 
 
 def category_codes(fit: DataFrame, column: str, start: int = 0,
                    hot_rows: int | None = None) -> DataFrame:
     """Levels of the fit rows with consecutive codes in sorted order."""
     levels = fit.filter(F.col(column).isNotNull()).select(column).distinct()
-    text = isinstance(fit.schema[column].dataType, T.StringType)
-    order = Order((column,), text_rank(column) if text else f"cast({column} as double)")
-    return History(levels, [], order, hot_rows).position("__p").df.select(
+    return History(levels, [], Order((column,)), hot_rows).position("__p").df.select(
         column, (F.col("__p") + start).cast("int").alias("__code"))
 
 

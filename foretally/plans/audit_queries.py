@@ -59,34 +59,41 @@ def column_profile(spark, sf):
     return audit.schema_profile(pit(spark, sf).select(*PROFILE_COLS, "hand"))
 
 
+# Values with NaN and both infinities among them.
+ODD_SQL = ("CASE event_id % 97 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) "
+           "WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE value * 1.0037e0 END")
+
+
 def audit_sql(cols: list[str], keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     parts = []
     for c in cols:
-        q = ", ".join(f"quantile_cont({c}::DOUBLE, {p}) {n}" for n, p in audit.AUDIT_PROBS.items())
+        f = f"(CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DOUBLE END)"
+        q = ", ".join(f"quantile_cont({f}, {p}) {n}" for n, p in audit.AUDIT_PROBS.items())
         join_ = "USING (" + keys + ")" if keys else "ON true"
-        parts.append(f"""SELECT {k}'{c}' metric, n, missing_rate, 0.0 nonfinite_rate, zero_rate, negative_rate, {', '.join(audit.AUDIT_PROBS)},
- o / k::DOUBLE outside_3iqr_rate FROM (SELECT {k}count(*) n, avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) missing_rate, avg(CASE WHEN {c} = 0 THEN 1 ELSE 0 END) zero_rate,
- avg(CASE WHEN {c} < 0 THEN 1 ELSE 0 END) negative_rate, count({c}) k, {q} FROM b {'GROUP BY ' + keys if keys else ''}) s JOIN
- (SELECT {k}sum(CASE WHEN {c} < q0250 - 3 * (q0750 - q0250) OR {c} > q0750 + 3 * (q0750 - q0250) THEN 1 ELSE 0 END) o FROM b JOIN
-  (SELECT {k}quantile_cont({c}::DOUBLE, 0.25) q0250, quantile_cont({c}::DOUBLE, 0.75) q0750 FROM b {'GROUP BY ' + keys if keys else ''}) z {join_} {'GROUP BY ' + keys if keys else ''}) w {join_}""")
-    return "WITH b AS (SELECT *, pow(value, 3) cube FROM ev) " + " UNION ALL ".join(parts)
+        parts.append(f"""SELECT {k}'{c}' metric, n, missing_rate, nonfinite_rate, zero_rate, negative_rate, {', '.join(audit.AUDIT_PROBS)},
+ o / k::DOUBLE outside_3iqr_rate FROM (SELECT {k}count(*) n, avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) missing_rate, avg(CASE WHEN NOT isfinite({c}::DOUBLE) THEN 1 ELSE 0 END) nonfinite_rate, avg(CASE WHEN {c} = 0 THEN 1 ELSE 0 END) zero_rate,
+ avg(CASE WHEN {c} < 0 THEN 1 ELSE 0 END) negative_rate, count({f}) k, {q} FROM b {'GROUP BY ' + keys if keys else ''}) s JOIN
+ (SELECT {k}sum(CASE WHEN {f} < q0250 - 3 * (q0750 - q0250) OR {f} > q0750 + 3 * (q0750 - q0250) THEN 1 ELSE 0 END) o FROM b JOIN
+  (SELECT {k}quantile_cont({f}, 0.25) q0250, quantile_cont({f}, 0.75) q0750 FROM b {'GROUP BY ' + keys if keys else ''}) z {join_} {'GROUP BY ' + keys if keys else ''}) w {join_}""")
+    return f"WITH b AS (SELECT *, pow(value, 3) cube, {ODD_SQL} odd FROM ev) " + " UNION ALL ".join(parts)
 
 
 AUDIT_OUT = "metric:s n:i missing_rate:d nonfinite_rate:d zero_rate:d negative_rate:d " + " ".join(
     f"{n}:d2" for n in audit.AUDIT_PROBS) + " outside_3iqr_rate:d"
 
 
-@query("numeric_audit", "D3", AUDIT_OUT, audit_sql(["value", "cube"]))
+@query("numeric_audit", "D3", AUDIT_OUT, audit_sql(["value", "cube", "odd"]))
 def numeric_audit(spark, sf):
     """Nine quantiles, rates of odd values and share outside three IQR."""
-    return audit.numeric_audit(ev(spark, sf).withColumn("cube", F.pow("value", F.lit(3.0))), [], ["value", "cube"])
+    return audit.numeric_audit(ev(spark, sf).withColumns({"cube": F.pow("value", F.lit(3.0)), "odd": F.expr(ODD_SQL)}), [],
+                               ["value", "cube", "odd"])
 
 
-@query("metric_profile_by_type", "D4", "event_type:s " + AUDIT_OUT, audit_sql(["value"], "event_type"))
+@query("metric_profile_by_type", "D4", "event_type:s " + AUDIT_OUT, audit_sql(["value", "odd"], "event_type"))
 def metric_profile_by_type(spark, sf):
     """The numeric audit per event type."""
-    return audit.numeric_audit(ev(spark, sf), ["event_type"], ["value"])
+    return audit.numeric_audit(ev(spark, sf).withColumn("odd", F.expr(ODD_SQL)), ["event_type"], ["value", "odd"])
 
 
 @query("transfer_clip_audit", "D5", "target:i metric:s past_low:d2 past_high:d2 below_rate:d above_rate:d clipped_rate:d", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretally.roles import Order, days_then, wall_seconds
+from foretally.roles import Order
 
 PIT = {
     "shipped": "l_shipdate",
@@ -40,8 +40,8 @@ EV = {
 }
 
 # The order of pitches inside a group, and of events inside a user.
-PIT_ORDER = Order(("day", "game", "ctx", "opp", "entity"), days_then("day", "game"))
-EV_ORDER = Order(("ts", "event_id"), wall_seconds("ts"))
+PIT_ORDER = Order(("day", "game", "ctx", "opp", "entity"))
+EV_ORDER = Order(("ts", "event_id"))
 PIT_SQL_ORDER = "day, game, ctx, opp, entity"
 LAST_SEASON = 2001
 # Season predicates on the stored column, so that they reach the scan.
@@ -62,15 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores when the input has too few splits for row-wise work.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def pit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items in the role of an event log."""
     return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in PIT.items()])

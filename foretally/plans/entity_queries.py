@@ -352,7 +352,7 @@ def multi_key_ranking(spark, sf):
     from foretally.operators.ordered import History
     from foretally.roles import Order
     e = pit(spark, sf).groupBy("entity").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
-    h = History(e.withColumn("d", -F.col("n")), [], Order(("d", "rate", "entity"), "cast(d as double)")).position("r")
+    h = History(e.withColumn("d", -F.col("n")), [], Order(("d", "rate", "entity"))).position("r")
     return h.df.withColumn("position", F.col("r") + 1)
 
 
@@ -484,7 +484,7 @@ def saved_versions(spark, sf):
 def written_submission(spark, sf):
     """Two-column forecasts written in row order and read back."""
     rows = pit(spark, sf).filter(LATEST).withColumns({
-        "row_id": F.concat_ws("-", "game", "ctx", "opp", "entity"), "seq": F.col("game")})
+        "row_id": F.concat_ws("-", "game", "ctx", "opp", "entity"), "seq": F.struct("game", "day", "ctx", "opp", "entity")})
     path = session.scratch(spark)
     files.write_submission(rows, path, "row_id", "p", "seq")
     back = spark.read.csv(path, header=True)

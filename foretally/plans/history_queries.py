@@ -434,7 +434,7 @@ WITH r AS (SELECT entity, max(season * 12 + month) OVER (PARTITION BY entity ORD
 SELECT entity, count(*) n, sum(CASE WHEN m > v THEN 1 ELSE 0 END) violations FROM r GROUP BY 1""")
 def order_violations(spark, sf):
     """Rows that precede the latest month seen before them in another order."""
-    order = Order(("game", "day", "ctx", "opp"), "cast(game as double)")
+    order = Order(("game", "day", "ctx", "opp"))
     out = hist.order_violations(pit(spark, sf), "entity", order, F.col("season") * 12 + F.col("month"))
     return out.groupBy("entity").agg(F.count("*").alias("n"), F.sum("violation").alias("violations"))
 

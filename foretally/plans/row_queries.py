@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretally.functions import buckets, physics, rowfeatures as rf, situation
-from foretally.plans.bindings import spread, table
+from foretally.plans.bindings import table
 from foretally.plans.catalog import query
 
 # The pitch table's columns derived from line items; the same text serves Spark and SQL.
@@ -48,7 +48,7 @@ KS = "season, k1, k2, k3, k4"
 
 
 def train(spark, sf):
-    return spread(table(spark, sf, "lineitem")).selectExpr(*[f"{e} AS {n}" for n, e in TRAIN.items()])
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in TRAIN.items()])
 
 
 def spec(cols: dict[str, str], ints: set[str] = frozenset(), texts: set[str] = frozenset()) -> str:
@@ -380,11 +380,17 @@ def one_hot_with_missing(spark, sf):
     return one_hot(feed(spark, sf), "pitch_type", ["FF", "SL"])
 
 
+KNOWN_BEFORE = ("season", "k1", "k2", "k3", "k4", "balls", "strikes", "inning", "on_1b", "on_2b", "on_3b", "bat_score",
+                "fld_score", "home_score", "away_score", "p_throws", "stand")
+
+
 @query("leakage_projection", "P27", "column:s", """
 SELECT * FROM (VALUES ('season'), ('k1'), ('k2'), ('k3'), ('k4'), ('balls'), ('strikes'), ('inning'), ('on_1b'), ('on_2b'), ('on_3b'), ('bat_score'), ('fld_score'), ('home_score'), ('away_score'), ('p_throws'), ('stand')) t("column"), (SELECT min(1) FROM lineitem)""")
 def leakage_projection(spark, sf):
-    """Columns that remain after the banned ones are dropped."""
+    """Columns left of a feed with results of the current event: all but those known before it are banned."""
     from foretally.operators.prepare import without_banned
-    left = without_banned(feed(spark, sf), situation.CURRENT_PITCH)
+    late = ("launch_speed", "post_bat_score", "delta_run_exp", "bb_type", "woba_value", "label")
+    rows = feed(spark, sf).withColumns({c: F.col("k4") for c in late})
+    left = without_banned(rows, [c for c in rows.columns if c not in KNOWN_BEFORE])
     seen = left.agg(*[F.count(F.lit(1)).alias(c) for c in left.columns])
     return seen.unpivot([], left.columns, "column", "n").select("column")

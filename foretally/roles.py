@@ -11,39 +11,10 @@ from pyspark.sql import Column, functions as F
 class Order:
     """Total order of events inside a group.
 
-    ``cols`` must be unique within every group it is used on. ``position`` is a SQL
-    expression giving a number that never decreases along ``cols``; it only decides where
-    a hot group is cut into blocks, so ties in it are harmless.
+    ``cols`` must be unique within every group it is used on. NULL comes first.
     """
 
     cols: tuple[str, ...]
-    position: str
 
     def columns(self) -> list[Column]:
         return [F.col(c).asc_nulls_first() for c in self.cols]
-
-
-def days(col: str) -> str:
-    """Day number of a date or timestamp column, as a SQL expression."""
-    return f"cast(unix_date(cast({col} as date)) as double)"
-
-
-def days_then(col: str, second: str, span: float = 2.0**36) -> str:
-    """Day number refined by a non-negative second order column below ``span``."""
-    return f"{days(col)} + cast({second} as double) / {span!r}D"
-
-
-def seconds(col: str) -> str:
-    """Seconds since the epoch of an instant, as a SQL expression."""
-    return f"cast(unix_micros(cast({col} as timestamp)) as double) / 1e6"
-
-
-def wall_seconds(col: str) -> str:
-    """Seconds of a zoneless timestamp; never decreases where clocks are set forward."""
-    return (f"{days(col)} * 86400D + hour({col}) * 3600D + minute({col}) * 60D"
-            f" + cast(extract(second from {col}) as double)")
-
-
-def text_rank(col: str) -> str:
-    """Number that never decreases along the order of a text column (its first six bytes)."""
-    return f"cast(conv(rpad(substr(hex({col}), 1, 12), 12, '0'), 16, 10) as double)"

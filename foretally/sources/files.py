@@ -137,7 +137,7 @@ def capped_sample(df: DataFrame, keys: Sequence[str], ident: Sequence[str], cap:
     before = by_digits(counts, keys)
     last = before.filter(F.col("__below") < cap).groupBy(*keys).agg(F.max("__b").alias("__last"))
     near = small_join(rows, last, keys).filter(F.col("__b") <= F.col("__last"))
-    order = Order(("__h", *ident), "cast(conv(substr(__h, 1, 12), 16, 10) as double)")
+    order = Order(("__h", *ident))
     return History(near, list(keys), order, hot_rows).position("__r").df.filter(
         F.col("__r") < cap).drop("__h", "__b", "__last", "__r")
 

@@ -28,15 +28,3 @@ PITCHES = _struct([
      + ["asof_batter_success_rate", "asof_batter_middle_rate"]),
     (_INT, ["control_success"]),
 ])
-MEASUREMENTS = _struct([
-    (_STR, ["trackman_id", "trackman_game_id"]),
-    (_INT, ["season", "game_month", "game_dayofweek", "pitch_no", "inning", "balls_before",
-            "strikes_before", "outs_before", "pitch_of_pa"]),
-    (_STR, ["game_date", "top_bottom"]),
-    (_INT, ["pitcher_trackman_id", "batter_trackman_id"]),
-    (_STR, ["pitcher_hand", "batter_hand", "pitcher_team", "batter_team", "tagged_pitch_type",
-            "auto_pitch_type", "pitch_type_group"]),
-    (_DBL, ["rel_speed", "spin_rate", "induced_vert_break", "horz_break", "extension", "rel_height",
-            "rel_side", "zone_speed"]),
-])
-EVENT_KEY = ("game_date", "game_pk", "at_bat_number", "pitch_number")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foretally.operators import history as hist
 from foretally.operators import ranks
-from foretally.operators.ordered import History, hot_cuts
+from foretally.operators.ordered import BLOCK, History, hot_cuts
 from foretally.plans.bindings import PIT_ORDER, pit
 from foretally.roles import Order
 
@@ -85,7 +85,22 @@ def test_history_rates_hot(rows):
 
 
 def test_group_sizes_decide(rows):
-    assert hot_cuts(rows, ["entity"], PIT_ORDER.position, 10**6) is None
-    order = Order(("qty",), "cast(qty as double)")
+    assert hot_cuts(rows, ["entity"], PIT_ORDER, 10**6) is None
+    order = Order(("qty",))
     cells = rows.groupBy("qty").agg(F.count("*").alias("n"))
-    assert hot_cuts(cells, [], order.position, 10) is not None
+    assert hot_cuts(cells, [], order, 10) is not None
+
+
+@pytest.mark.parametrize("build", [
+    lambda r: r.withColumn("game", F.col("game") + 600_000_000_000),
+    lambda r: r.withColumn("game", -F.col("game")),
+    lambda r: r.withColumn("day", F.lit("2000-01-01").cast("date")),
+    lambda r: r.withColumn("day", F.concat(F.lit("a long common prefix "), F.col("day").cast("string"))),
+])
+def test_cuts_follow_the_whole_order(rows, build):
+    """Large and negative keys, one day for all rows, texts with a common prefix: equal rows, bounded blocks."""
+    odd = build(rows)
+    both(odd, ["entity"], lambda h: h.running({"s": F.col("qty")}))
+    cut = History(odd, ["entity"], PIT_ORDER, hot_rows=150)
+    most = cut._blocks().groupBy("entity", BLOCK).count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 150
