@@ -21,7 +21,7 @@ from foretally.llm.store import stored
 LENGTH = 200
 KMER = 40
 #: Different segments of one k-mer that a bucket takes, and segments of a bucket on average.
-GROUP = 1024
+GROUP = 4096
 BUCKET = 768
 #: Steps of the window's place around its k-mer at which strings without a partner are left out.
 STEPS = 8
