@@ -62,26 +62,47 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _descend(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Subword shares of the rows learned from; only the rows in use are spread to all buckets."""
+
+    ends: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
+        for i, row in enumerate(rows):
+            inside = slice(self.ends[row], self.ends[row + 1])
+            out[i, self.at[inside]] = self.share[inside]
+        return out
+
+    def times(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        blocks = [self.dense(rows[i:i + ROWS_AT_ONCE]) @ table for i in range(0, len(rows), ROWS_AT_ONCE)]
+        return np.concatenate(blocks) if blocks else np.zeros((0, table.shape[1]), np.float32)
+
+
+def _descend(x: Sparse, chosen: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
-    embed = rng.normal(0, 0.1, (x.shape[1], DIMENSION)).astype(np.float32)
+    embed = rng.normal(0, 0.1, (1 << BITS, DIMENSION)).astype(np.float32)
     layer = rng.normal(0, 0.1, (DIMENSION, k)).astype(np.float32)
     bias = np.zeros(k, dtype=np.float32)
-    steps, done = max(1, EPOCHS * -(-len(x) // BATCH)), 0
+    steps, done = max(1, EPOCHS * -(-len(y) // BATCH)), 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), BATCH):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), BATCH):
             rows = order[at:at + BATCH]
+            block = x.dense(chosen[rows])
             rate = RATE * (1 - done / steps)
-            mean = x[rows] @ embed
+            mean = block @ embed
             slope = softmax(mean @ layer + bias)
             slope[np.arange(len(rows)), y[rows]] -= 1
             slope /= len(rows)
             back = slope @ layer.T
             layer -= rate * mean.T @ slope
             bias -= rate * slope.sum(axis=0)
-            used = np.flatnonzero(x[rows].any(axis=0))
-            embed[used] -= rate * 64 * (x[rows][:, used].T @ back)
+            used = np.flatnonzero(block.any(axis=0))
+            embed[used] -= rate * 64 * (block[:, used].T @ back)
             done += 1
     return embed @ layer, bias
 
@@ -107,36 +128,36 @@ def learn(docs: DataFrame, most: int = ROWS) -> Model | None:
 
     def run(batches):
         for batch in batches:
-            parts = [np.flatnonzero(row) for block in counts(batch.column(0)) for row in block]
-            values = [row[row > 0] for block in counts(batch.column(0)) for row in block]
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            flat = np.concatenate(values) if values else np.zeros(0, np.float32)
+            parts, values = [], []
+            for block in counts(batch.column(0)):
+                for row in block:
+                    parts.append(np.flatnonzero(row).astype(np.int32))
+                    values.append(row[parts[-1]])
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32())
+            flat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((parts, np.int32), (values, np.float32))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), tokens.lists(np.concatenate(parts) if parts else np.zeros(0, np.int64), ends),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float32()))],
+                [batch.column(1), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in flat)],
                 names=["lang", "at", "share"])
 
     rows = (known.select("text", F.col("lang").cast("string"), "doc_id")
-            .mapInArrow(run, "lang string, at array<long>, share array<float>").toArrow())
+            .mapInArrow(run, "lang string, at array<int>, share array<float>").toArrow())
     if not rows.num_rows:
         return None
-    lang = np.array(rows.column("lang").to_pylist())
-    order = np.argsort([hash_of(a, s) for a, s in zip(rows.column("at"), rows.column("share"))], kind="stable")
-    langs, y = np.unique(lang, return_inverse=True)
-    x = np.zeros((len(y), 1 << BITS), dtype=np.float32)
-    for i, (at, share) in enumerate(zip(rows.column("at"), rows.column("share"))):
-        x[i, at.values.to_numpy(zero_copy_only=False)] = share.values.to_numpy(zero_copy_only=False)
-    x, y = x[order], y[order]
-    left = len(y) // 5
-    table, bias = _descend(x[left:], y[left:], len(langs))
-    heat, threshold = _calibrated(x[:left] @ table + bias, y[:left])
+    langs, y = np.unique(np.array(rows.column("lang").to_pylist()), return_inverse=True)
+    at, share = (rows.column(c).combine_chunks() for c in ("at", "share"))
+    ends = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))))
+    x = Sparse(ends, at.flatten().to_numpy(), share.flatten().to_numpy())
+    del rows
+    order = np.argsort([hash_of(x.at[a:b], x.share[a:b]) for a, b in zip(ends[:-1], ends[1:])], kind="stable")
+    y, left = y[order], len(order) // 5
+    table, bias = _descend(x, order[left:], y[left:], len(langs))
+    heat, threshold = _calibrated(x.times(order[:left], table) + bias, y[:left])
     return Model(langs.tolist(), table, bias, heat, threshold)
 
 
-def hash_of(at: pa.Scalar, share: pa.Scalar) -> int:
+def hash_of(at: np.ndarray, share: np.ndarray) -> int:
     """A repeatable order of rows that does not depend on how they were dealt."""
-    values = at.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return int(tokens.mixed(values + share.values.to_numpy(zero_copy_only=False).view(np.uint32)).sum() >> np.uint64(1))
+    return int(tokens.mixed(at.astype(np.uint64) + share.view(np.uint32)).sum() >> np.uint64(1))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
