@@ -28,3 +28,15 @@ def connected(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links``, stored: only the components that these join are walked again."""
+    at = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    bt = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(at, "a", "left").join(bt, "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    low = connected(ends)
+    joined = low.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    known = labels.join(joined, "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+    return stored(known.union(low.join(labels.select("node"), "node", "left_anti").select("node", "label")))

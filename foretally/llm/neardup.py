@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.llm import tokens
-from foretally.llm.components import connected
+from foretally.llm.components import connected, extended
 from foretally.llm.store import stored
 
 K = 64
 #: Size bands of the full sets' lists in the range that the threshold leaves to a partner.
 BANDS = 8
-#: Rounds in which lists meet a representative before the rest is paired, and pairs per list entry that end them.
+#: Rounds at most in which lists meet a representative before the rest is paired, and pairs per list entry that end them.
 ROUNDS = 4
 ENOUGH = 2
+#: Share of the work left by a round from which on no further round is worth it.
+GAIN = 0.5
 
 
 def _sets(docs: DataFrame, width: int, k: int | None) -> DataFrame:
@@ -138,18 +140,17 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     mine = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = stored(_sets(mine, width, None).select(F.col("doc_id").alias("node"), "hashes"))
 
-    def linked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        found = _confirmed(_estimated(pairs, sketches, k, percent), sets, percent)
-        return stored(found if links is None else links.union(found))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(_confirmed(_estimated(pairs, sketches, k, percent), sets, percent))
 
     key = ["value", "band", "gap"]
     lists = lists.select("value", "band", F.lit(0).alias("gap"), F.lit(0).alias("side"), F.lit(0).alias("place"), "node", "n")
-    links = linked(_to_heads(lists.withColumn("label", F.col("node")), key, 0, percent), None)
-    labels = connected(links)
+    labels = connected(linked(_to_heads(lists.withColumn("label", F.col("node")), key, 0, percent)))
     # Only members of lists that hold several components still can be linked anew.
     apart = _unsettled(_labelled(lists, labels), key)
     open_nodes = stored(apart.select("node").distinct())
     lists = _exact_lists(sets.join(open_nodes, "node"), percent)
+    before = math.inf
     for turn in range(1, ROUNDS + 1):
         apart = stored(_unsettled(_labelled(lists, labels), key))
         main = (apart.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(*key)
@@ -157,9 +158,10 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
         work, size = main.agg(F.sum((F.col("total") - F.col("main.m")) * F.col("total")), F.sum("total")).first()
         if not size:
             return labels
-        last = turn == ROUNDS or work <= ENOUGH * size
-        links = linked(_apart(apart, main, key, percent) if last else _to_heads(apart, key, turn, percent), links)
-        labels = connected(links)
+        # A representative that leaves most of the work has little to settle: the rest is paired.
+        last = turn == ROUNDS or work <= ENOUGH * size or work > before * GAIN
+        before = work
+        labels = extended(labels, linked(_apart(apart, main, key, percent) if last else _to_heads(apart, key, turn, percent)))
         if last:
             return labels
 
