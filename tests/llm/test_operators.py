@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretally.llm import (bwt, decontaminate, fingerprint, langid, licenses, linededup, mixing, neardup, quality, queries,
+from foretally.llm import (bwt, components, decontaminate, fingerprint, langid, licenses, linededup, mixing, neardup, quality, queries,
                            substrings, suffixes)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, label string, hashes string"
@@ -111,6 +111,17 @@ def brute_spans(pairs, size):
     return out
 
 
+def test_components_extended(spark):
+    """Further links join known components and new nodes as walking all links does."""
+    make = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first, more = [(5, 9), (9, 7), (2, 3), (20, 21)], [(7, 3), (30, 31), (31, 20), (9, 5), (40, 1), (50, 50)]
+    got = components.extended(components.connected(make(first)), make(more))
+    want = components.connected(make(first + more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    none = components.extended(components.connected(make(first)), make([]))
+    assert sorted(map(tuple, none.collect())) == [(2, 2), (3, 2), (5, 5), (7, 5), (9, 5), (20, 20), (21, 20)]
+
+
 def test_repeated_spans(docs, odd, empty):
     for df in (docs, odd):
         pairs = {r.doc_id: r.text for r in df.collect() if r.doc_id is not None}.items()
