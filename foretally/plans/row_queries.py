@@ -288,7 +288,11 @@ P3 = {"score_diff_bat": "bat_score - fld_score", "base_state": f"{_b[0]} + 2 * {
 @query("situation_columns", "P3", spec(P3, set(P3) - {"count_state", "matchup"}, {"count_state", "matchup"}), fsql(P3))
 def situation_columns(spark, sf):
     """Score, base, count and handedness state."""
-    return situation.situation(feed(spark, sf))
+    scores = {"score_diff_bat": ("bat_score", "fld_score"), "score_diff_home": ("home_score", "away_score")}
+    return feed(spark, sf).withColumns(
+        situation.occupancy(["on_1b", "on_2b", "on_3b"]) | situation.count_flags("balls", "strikes")
+        | situation.margins(scores, {"close_game": ("score_diff_bat", 2)}) | situation.sides("p_throws", "stand")
+        | situation.reached("inning", {"late_inning": 7, "extra_inning": 10}))
 
 
 _sw = "coalesce(description IN ('swinging_strike', 'foul', 'hit_into_play', 'foul_tip'), false)::INT"
