@@ -2,21 +2,30 @@
 
 A source's documents form blocks. Block j of a source of weight w is released at slot floor((j - 1) / w)
 and due by slot ceil(j / w); in each slot, the released block with the earliest deadline goes next. No
-source is ever a whole block ahead of or behind its weight. The schedule repeats, so one period is
-planned on the driver and every document finds its slot by arithmetic. When a source runs out, a new
-phase begins, in which the others share the slots by their weights, so no document is left out.
+source is ever a whole block ahead of or behind its weight, whatever the length of the mixture: both
+are found from the exact weights. Blocks are planned on the driver, three numbers each, and documents
+find their block in the plan. When a source runs out, a new phase begins, in which the others share the
+slots by their weights, so no document is left out.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BLOCK = 32
-#: Slots of a period at least; weights are rounded to this resolution.
+#: Blocks of a source that a row of the plan holds.
 PERIOD = 1000
+#: Blocks of a plan that is sent to every executor; a longer one is shuffled.
+SENT = 4_000_000
+#: Deadlines beyond the largest long are that one.
+LAST = (1 << 63) - 1
 #: Sources that one mixture may have: the plan of the phases is held by the driver.
 SOURCES = 4096
 #: Documents ordered together, on average.
@@ -24,52 +33,72 @@ ROWS = 20_000
 
 
 def rounded(weights: dict, period: int) -> dict:
-    """Slots of a period for each source: proportional, at least one, by largest remainder."""
+    """Slots of a period for each source, to read a mixture by: proportional by largest remainder, at least one.
+
+    No plan rests on them: slots are as exact as the period allows, weights are exact.
+    """
     period = max(period, 2 * len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    slots = {s: 1 + math.floor(x) for s, x in exact.items()}
-    short = sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], str(s)))
-    for s in short[:period - sum(slots.values())]:
-        slots[s] += 1
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total * period for s, w in weights.items()}
+    slots = {s: max(1, math.floor(x)) for s, x in share.items()}
+    while (short := period - sum(slots.values())) != 0:
+        step = 1 if short > 0 else -1
+        free = [s for s in slots if step > 0 or slots[s] > 1]
+        slots[max(free, key=lambda s: (step * (share[s] - slots[s]), str(s)))] += step
     return slots
 
 
-def period_plan(slots: dict) -> dict:
-    """The slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    whole = sum(slots.values())
-    waiting = [(0, -(-whole // p), str(s), s, 1) for s, p in slots.items()]
-    heapq.heapify(waiting)
-    ready, plan = [], {s: [] for s in slots}
-    for now in range(whole):
-        while waiting and waiting[0][0] <= now:
-            _, due, name, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, name, s, j))
-        _, name, s, j = heapq.heappop(ready)
-        plan[s].append(now)
-        p = slots[s]
-        if j < p:
-            heapq.heappush(waiting, (j * whole // p, -(-(j + 1) * whole // p), name, s, j + 1))
-    return plan
+def exact(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of the weights; where all are zero, all the same."""
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    if any(r < 0 for r in ratios.values()):
+        raise ValueError("negative weight")
+    scale = math.lcm(*(r.denominator for r in ratios.values()))
+    whole = {s: int(r * scale) for s, r in ratios.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()} if common else dict.fromkeys(whole, 1)
+
 
+def schedule(blocks: dict, weights: dict) -> dict:
+    """(slots, releases, deadlines) of each source's blocks: earliest deadline first among released blocks.
 
-def phases(blocks: dict, weights: dict, period: int) -> list[tuple]:
-    """(source, first block, end block, first slot, period, slots of its blocks in it) of each phase."""
-    left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    A phase lasts until a source has run out. Its releases and deadlines count from its first slot and
+    are whole numbers found from the exact weights of the sources left, so errors do not add up.
+    """
+    left, now = {s: n for s, n in blocks.items() if n}, 0
+    plan = {s: (array("q"), array("q"), array("q")) for s in blocks}
     while left:
-        slots = rounded({s: weights[s] for s in left}, period)
-        plan, whole = period_plan(slots), sum(slots.values())
-        last = min((n - 1) // slots[s] * whole + plan[s][(n - 1) % slots[s]] for s, n in left.items())
-        for s in list(left):
-            rounds, rest = divmod(last + 1, whole)
-            took = rounds * slots[s] + sum(p < rest for p in plan[s])
-            out.append((s, done[s], done[s] + took, start, whole, plan[s]))
-            done[s] += took
-            left[s] -= took
-            if not left[s]:
-                del left[s]
-        start += last + 1
-    return out
+        share = {s: w for s, w in exact({s: weights[s] for s in left}).items() if w}
+        whole, start, out = sum(share.values()), now, None
+        waiting = [(0, -(-whole // w), str(s), s, 1) for s, w in share.items()]
+        heapq.heapify(waiting)
+        ready = []
+        while out is None:
+            while waiting and waiting[0][0] <= now - start:
+                release, due, name, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, name, s, j, release))
+            due, _, s, j, release = heapq.heappop(ready)
+            for column, value in zip(plan[s], (now, start + release, min(start + due, LAST))):
+                column.append(value)
+            now += 1
+            if j == left[s]:
+                out = s
+            else:
+                w = share[s]
+                heapq.heappush(waiting, (j * whole // w, -(-(j + 1) * whole // w), str(s), s, j + 1))
+        # What the others took in this phase is no longer left to them.
+        left = {s: blocks[s] - len(plan[s][0]) for s in left if s != out}
+    return plan
+
+
+def _plan_table(spark: SparkSession, plan: dict, size: int) -> DataFrame:
+    """(_of, _row, _slots, _releases, _deadlines): the plan, ``size`` blocks of a source to a row."""
+    cuts = [(s, i) for s, columns in plan.items() for i in range(0, len(columns[0]), size)]
+    held = [pa.array([np.frombuffer(plan[s][c], np.int64)[i:i + size] for s, i in cuts], pa.list_(pa.int64()))
+            for c in range(3)]
+    return spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array([s for s, _ in cuts], pa.string()), pa.array([i // size for _, i in cuts], pa.int64()), *held],
+        names=["_of", "_row", "_slots", "_releases", "_deadlines"]))
 
 
 def _numbered(docs: DataFrame, group: str) -> DataFrame:
@@ -94,8 +123,9 @@ def mixed_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5
     ``power`` (weights tempered towards equality). block is the source's block, slot its place among
     all blocks, release and deadline the slots between which it was due, position the document's order.
     Every document is kept once; a null source is a source of its own; rows of equal doc_id follow each
-    other; columns of the added names are replaced. An empty table gives an empty result. More than
-    ``SOURCES`` sources raise ValueError.
+    other; columns of the added names are replaced. Sources of weight zero come after all others. The plan
+    is handed out ``period`` blocks of a source at a time. An empty table gives an empty result. More than
+    ``SOURCES`` sources, or a negative or infinite weight, raise an error.
     """
     added = ("block", "slot", "release", "deadline", "position")
     base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
@@ -105,19 +135,16 @@ def mixed_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5
         raise ValueError(f"more than {SOURCES} sources")
     given = {("0" if s is None else f"1{s}"): w for s, w in (weights or {}).items()}
     weight = {s: given.get(s, n ** power) for s, n in counts.items()}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weight, period)
-    table = docs.sparkSession.createDataFrame(
-        [(s, a, b, start, whole, slots) for s, a, b, start, whole, slots in plan if b > a],
-        "_source string, _a long, _b long, _start long, _whole long, _slots array<long>")
+    plan = schedule({s: -(-n // block) for s, n in counts.items()}, weight)
+    table = _plan_table(docs.sparkSession, plan, period)
     ranked = _numbered(base, "_source").withColumn("block", F.floor(F.col("_rank") / block))
-    # The plan has a row for each source and phase: at most the square of the bounded number of sources.
-    found = ranked.join(F.broadcast(table.withColumnRenamed("_source", "_of")),
-                        (F.col("_source") == F.col("_of")) & (F.col("block") >= F.col("_a")) & (F.col("block") < F.col("_b")))
-    share, nth = F.size("_slots"), F.col("block") - F.col("_a")
-    slot = (F.col("_start") + F.floor(nth / share) * F.col("_whole")
-            + F.element_at("_slots", (nth % share + 1).cast("int")))
-    out = (found.withColumn("slot", slot)
-           .withColumn("release", F.col("_start") + F.floor(nth * F.col("_whole") / share))
-           .withColumn("deadline", F.col("_start") + F.ceil((nth + 1) * F.col("_whole") / share))
+    # The plan has each block once; beyond the bound both sides are shuffled, a row's blocks at a time.
+    small = sum(len(slots) for slots, _, _ in plan.values()) <= SENT
+    found = ranked.join(F.broadcast(table) if small else table,
+                        (F.col("_source") == F.col("_of")) & (F.floor(F.col("block") / period) == F.col("_row")))
+    at = (F.col("block") % period + 1).cast("int")
+    out = (found.withColumn("slot", F.element_at("_slots", at))
+           .withColumn("release", F.element_at("_releases", at))
+           .withColumn("deadline", F.element_at("_deadlines", at))
            .withColumn("position", F.col("slot") * block + F.col("_rank") % block))
-    return out.drop("_source", "_of", "_a", "_b", "_start", "_whole", "_slots", "_rank")
+    return out.drop("_source", "_of", "_row", "_slots", "_releases", "_deadlines", "_rank")
