@@ -1,12 +1,16 @@
 """Cases in which an operator once did less than its whole job."""
 
+import json
+import re
+import textwrap
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from foretally.llm import mixing
+from foretally.llm import licenses, mixing
 
 
 def test_mixing_keeps_to_the_weights_asked_for(spark):
@@ -40,3 +44,27 @@ def test_mixing_of_weights_of_any_size(spark, monkeypatch):
     assert parts == whole
     with pytest.raises(ValueError):
         mixing.mixed_order(df, {"a": -1.0})
+
+
+def test_whole_licences_match_as_they_are_found(spark):
+    known = json.loads((Path(licenses.__file__).parent / "license_texts.json").read_text(encoding="utf-8"))
+    assert {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+            "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} <= known.keys()
+    found = []
+    for name, entry in known.items():
+        text = entry["texts"][0]
+        found += [(name, text), (name, text.upper()), (name, " ".join(text.split()))]
+        own = [x for x in text.split("\n") if not re.match(r"\s*Copyright (\(C\)|©) \d{4}", x)]
+        for width in (30, 77):  # lines start in the middle of sentences on copyright
+            found.append((name, "\n".join(textwrap.wrap(" ".join(own), width, break_long_words=False))))
+        for line in ("Copyright The Authors", "Copyright (c) <year> <holder>", "(c) Someone", "© Someone, all rights reserved",
+                     "Copyright © Holders & Sons", "  * Copyright (C) 2001, 2003 X"):
+            for title in ["", *entry["titles"]]:
+                found.append((name, f"{title}\n\n{line}\n{text}"))
+    mit = known["MIT"]["texts"][0]
+    other = ["C is a language\n" + mit, "Copyrighted by nobody\n" + mit, mit + "\nand more", mit[:-20], "Copyright Me"]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(found)] + [(-i, t) for i, t in enumerate(other, 1)],
+                                 "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.license_id) for r in licenses.license_matches(docs).filter("unit = 'text'").collect()}
+    want = {(i, name) for i, (name, _) in enumerate(found)}
+    assert got == want, ([(found[i][0], repr(found[i][1][:90])) for i, _ in sorted(want - got)], sorted(got - want))
