@@ -25,18 +25,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", changed).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, stored so that it stays the same: ids may be null or repeated."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each group of near duplicates."""
-    told = neardup.near_duplicates(docs, width=5, percent=80)
-    gone = told.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row, the one of least doc_id, of each group of near duplicates; rows without doc_id come last.
+
+    Rows are told apart whatever their doc_id, so of rows alike in all columns one stays.
+    """
+    keyed = _keyed(docs)
+    told = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = (told.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+            .groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")))
+    return keyed.join(kept, keyed["_row"] == F.col("_kept"), "left_semi").drop("_row")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contained_items(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("_leak"), "left_anti")
+    """Rows that contain no benchmark item, whatever their doc_id."""
+    keyed, items = _keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontaminate.contained_items(keyed.select(F.col("_row").alias("doc_id"), "text"), items)
+    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
+    return keyed.join(leaks, keyed["_row"] == F.col("_leak"), "left_anti").drop("_row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foretally.llm import licenses, mixing
 
 
@@ -68,3 +69,38 @@ def test_whole_licences_match_as_they_are_found(spark):
     got = {(r.doc_id, r.license_id) for r in licenses.license_matches(docs).filter("unit = 'text'").collect()}
     want = {(i, name) for i, (name, _) in enumerate(found)}
     assert got == want, ([(found[i][0], repr(found[i][1][:90])) for i, _ in sorted(want - got)], sorted(got - want))
+
+
+def test_pipeline_stages_row_by_row(spark, tmp_path):
+    # Null and repeated ids among copies, near copies and leaks, against brute force over rows.
+    names = [f"w{i}" for i in range(300)]
+    copy, near = names[:80], [*names[:40], "changed", *names[41:80]]
+    leak = names[100:130]
+    rows = [(5, copy), (None, copy), (None, near), (3, near), (3, near), (None, names[200:260]), (None, names[200:260]),
+            (8, names[130:180]), (8, [*names[130:180]]), (8, names[180:200]), (None, leak), (9, [*names[260:300], *leak]),
+            (None, []), (None, []), (7, ["one"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, " ".join(t), None, "s", len(" ".join(t))) for i, t in rows], schema).repartition(3)
+    spark.createDataFrame([(1, " ".join(leak))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def alike(a, b):
+        x, y = shingles(a), shingles(b)
+        return bool(x) and bool(y) and len(x & y) * 100 >= 80 * len(x | y)
+
+    before = sorted(((i, " ".join(t)) for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0))
+    want = []
+    for row in before:  # no chains here: each copy is alike to the first of its group
+        if not any(alike(row[1], kept[1]) for kept in want):
+            want.append(row)
+    copies = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    assert copies.dtypes == docs.dtypes
+    assert Counter((r.doc_id, r.text) for r in copies.collect()) == Counter(want)
+    clean = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    part = shingles(" ".join(leak))
+    assert clean.dtypes == docs.dtypes
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(
+        r for r in before if len(part & shingles(r[1])) * 100 < 80 * len(part))
