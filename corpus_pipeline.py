@@ -13,8 +13,14 @@ def _learned(docs: DataFrame, spark: SparkSession, sf_dir: str):
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.7 or more)."""
-    scored = quality.scored(docs, _learned(docs, spark, sf_dir))
+    """Documents that the quality classifier does not reject (score of 0.7 or more).
+
+    Without labels of both classes to learn from there is no classifier, and no document is rejected.
+    """
+    model = _learned(docs, spark, sf_dir)
+    if model is None:
+        return docs
+    scored = quality.scored(docs, model)
     return scored.filter(F.col("quality_score") >= quality.GOOD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -71,6 +71,15 @@ def test_whole_licences_match_as_they_are_found(spark):
     assert got == want, ([(found[i][0], repr(found[i][1][:90])) for i, _ in sorted(want - got)], sorted(got - want))
 
 
+def test_pipeline_without_a_classifier(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, some in (("none", labels.limit(0)), ("one", labels.withColumn("quality", F.lit(1).cast(labels.schema["quality"].dataType)))):
+        some.write.parquet(str(tmp_path / name / "labels.parquet"))
+        kept = corpus_pipeline.keep_good(spark, docs, str(tmp_path / name))
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
 def test_pipeline_stages_row_by_row(spark, tmp_path):
     # Null and repeated ids among copies, near copies and leaks, against brute force over rows.
     names = [f"w{i}" for i in range(300)]
