@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foretally.llm import (decontaminate, fingerprint, langid, licenses, linededup, mixing, neardup, quality,
-                           sampling, substrings, suffixes)
+from foretally.llm import (alignment, decontaminate, fingerprint, langid, licenses, linededup, mixing, neardup, packing,
+                           quality, sampling, substrings, suffixes, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "block", "slot", "release", "deadline", "position")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    # The exact sum may need more digits than a long has; it is null there rather than wrong.
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_fingerprints, op3_substrings, op4_licenses, op5_language, op6_contamination, op7_lines,
-    op8_quality, op9_suffixes, op10_mixing)}
+    op8_quality, op9_suffixes, op10_mixing, op11_alignment, op12_packing, op13_whitening)}
 SQL = {"op4_licenses": licenses.matches_sql(), "op6_contamination": decontaminate.contained_sql(),
        "op7_lines": linededup.pages_sql()}
