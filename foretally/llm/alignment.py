@@ -13,7 +13,7 @@ import functools
 import hashlib
 import os
 import re
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,13 @@ BLOCK = 1 << 21
 #: Characters of distinct chunks, and their id pairs, that a worker keeps worked out.
 KEPT = 1 << 24
 KEPT_PAIRS = 1 << 22
+#: Characters of chunks tokenized together.
+ROW = 1 << 14
 
 #: A chunk: a blank or line end, more white space, then all up to the next blank or line end after something else.
 _CHUNK = re.compile(r"[ \n][\t-\r ]*(?:[^\t-\r ]+(?:[\t\x0b-\r][\t-\r ]*)?)*")
 #: White space beyond ASCII, of which runs may not be cut: such texts are one chunk.
+_ENDS = " \t\n\x0b\x0c\r"
 _RARE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -40,6 +43,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places begin .. begin + count - 1 of each entry, one entry after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Aligner:
     """Aligned chunks; ``add`` works out the ones not met before, arrays hold the measures of all of them."""
 
@@ -51,73 +59,112 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
-        ids = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = {i: bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
-                        for word, i in ids.items()}
+        names = {i: w for w, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.bytes_a = [bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode()
+                        for w in (names.get(i, "") for i in range(max(names) + 1))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
         # Pieces with a blank after something else, or with a line end, would run over the ends of chunks.
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.before = self.b.encode("\n")
+        self.sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b)]
+        # Each id as it is written inside its group and at the end of its side of it.
+        self.written = [np.array([f"{i}{sign}" for sign in signs for i in range(len(side))], dtype=object)
+                        for side, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.size, self.sums, self.texts = 0, [], []
+        self.size, self.texts = 0, []
+        self.sums = array("q")
         self.pair_at: dict[int, int] = {}
-        self.pair_ends, self.pair_index, self.pair_times = [0], [], []
+        self.pair_ends, self.pair_index, self.pair_times = array("q", [0]), array("q"), array("q")
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of a blank and the text that both tokenizers take one by one."""
         whole = " " + text
         return [whole] if not self.cuts or _RARE.search(text) else _CHUNK.findall(whole)
 
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for one or several chunks in a row; None where a side does not give the text's bytes."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        # A line end in front keeps the tokenizer from adding its own blank; its tokens are taken off again.
+        b = self.b.encode("\n" + text)[len(self.before):]
+        whole = text.encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if same else None
+
     def add(self, chunks: list[str]) -> None:
-        if not chunks:
+        """Chunks that may stand in a row are tokenized together, some thousand characters at a time."""
+        row, size = [], 0
+        for chunk in chunks:
+            if chunk[-1] in _ENDS or "▁" in chunk or _RARE.search(chunk):
+                self._learn([chunk])
+                continue
+            row.append(chunk)
+            size += len(chunk)
+            if size > ROW:
+                self._learn(row)
+                row, size = [], 0
+        if row:
+            self._learn(row)
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids = self.encode("".join(chunks))
+        if ids is None and len(chunks) > 1:
+            for chunk in chunks:
+                self._learn([chunk])
             return
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        left = [e.ids for e in encode(chunks, add_special_tokens=False)]
-        # A line end in front keeps the tokenizer from adding its own blank; its tokens are taken off again.
-        right = [ids[len(self.before):] for ids in self.b.encode(["\n" + c for c in chunks], num_threads=1)]
-        for chunk, a, b in zip(chunks, left, right):
-            self.at[chunk] = len(self.texts)
+        for chunk in chunks:
+            self.at[chunk] = len(self.at)
             self.size += len(chunk)
-            groups = self._groups(chunk.encode(), a, b)
-            pairs: Counter = Counter()
-            for x, y in groups or ():
-                if len(x) == len(y) == 1:
-                    pairs[x[0] << 32 | y[0]] += 1
-                else:
-                    times = Counter(y)
-                    for i, m in Counter(x).items():
-                        for j, n in times.items():
-                            pairs[i << 32 | j] += m * n
-            fits = groups is not None
-            self.sums.append((1, len(a), len(b), len(groups), sum(pairs.values())) if fits else (0, 0, 0, 0, 0))
-            self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups) if fits else "")
-            known = self.pair_at
-            self.pair_index += [known.setdefault(p, len(known)) for p in pairs]
-            self.pair_times += pairs.values()
+        if ids is None:
+            self.texts.append("")
+            self.sums.extend((0, 0, 0, 0, 0))
             self.pair_ends.append(len(self.pair_index))
-
-    def _groups(self, text: bytes, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Ids between the byte offsets where both sides end a token; None where a side's bytes are not the text's."""
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(left) != text or b"".join(right) != text:
-            return None
-        out, i, j, begun, started, at, to = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at <= to and i < len(a):
-                at += len(left[i])
-                i += 1
-            else:
-                to += len(right[j])
-                j += 1
-            if at == to:
-                out.append((a[begun:i], b[started:j]))
-                begun, started = i, j
-        return out
+            return
+        n = len(chunks)
+        sides = [np.array(side, dtype=np.int64) for side in ids]
+        ends = [np.cumsum(sizes[side]) for sizes, side in zip(self.sizes, sides)]
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        bounds = np.cumsum([len(c.encode()) for c in chunks])
+        group = [np.searchsorted(cuts, e) for e in ends]
+        counts = [np.bincount(g, minlength=len(cuts)) for g in group]
+        owner = np.searchsorted(bounds, cuts)
+        # What is written: each side's ids of a group, A before B, each group after the other.
+        written = []
+        for texts, side, g in zip(self.written, sides, group):
+            last = np.append(g[1:] != g[:-1], True)
+            written.append(texts[side + last * (len(texts) // 2)])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        written = np.concatenate(written)[order].tolist()
+        tokens = counts[0] + counts[1]
+        upto = np.concatenate(([0], np.cumsum(np.bincount(owner, weights=tokens, minlength=n)))).astype(np.int64).tolist()
+        self.texts += ["".join(written[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+        links = counts[0] * counts[1]
+        told = [np.bincount(owner, weights=w, minlength=n).astype(np.int64) for w in (counts[0], counts[1], np.ones(len(cuts)), links)]
+        self.sums.extend(np.stack([np.ones(n, dtype=np.int64), *told], axis=1).reshape(-1).tolist())
+        # Ids that repeat in a group stand once with their number, so a long group costs its different ids.
+        once = []
+        for side, g in zip(sides, group):
+            pair, times = np.unique(g << 32 | side, return_counts=True)
+            once.append((pair >> 32, pair & 0xFFFFFFFF, times))
+        (ga, a, ta), (gb, b, tb) = once
+        first = np.searchsorted(gb, ga)
+        many = np.searchsorted(gb, ga, side="right") - first
+        mate = _spread(first, many)
+        code = np.repeat(a, many) << 32 | b[mate]
+        times = np.repeat(ta, many) * tb[mate]
+        chunk = np.repeat(owner[ga], many)
+        order = np.lexsort((code, chunk))
+        code, times, chunk = code[order], times[order], chunk[order]
+        head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])))
+        known = self.pair_at
+        self.pair_index.extend([known.setdefault(p, len(known)) for p in code[head].tolist()])
+        self.pair_times.extend(np.add.reduceat(times, head).tolist())
+        base = self.pair_ends[-1]
+        self.pair_ends.extend((base + np.searchsorted(chunk[head], np.arange(n), side="right")).tolist())
 
     def block(self, texts: list[str]) -> dict:
         """Measures of each text, its id pairs as places in the block's list of pairs, and that list."""
@@ -126,28 +173,31 @@ class Aligner:
         cut = [self.chunks(t) for t in texts]
         self.add(list(set().union(*cut).difference(self.at)))
         index = [np.fromiter(map(self.at.__getitem__, c), dtype=np.int64, count=len(c)) for c in cut]
-        sums = np.array(self.sums, dtype=np.int64).reshape(-1, 5)
+        sums = np.frombuffer(self.sums, dtype=np.int64).reshape(-1, 5)
         fits = np.array([bool(sums[i, 0].all()) for i in index])
         told = np.array([sums[i, 1:].sum(axis=0) for i in index]).reshape(-1, 4) * fits[:, None]
-        digests = [hashlib.sha256(";".join(map(self.texts.__getitem__, i.tolist())).encode()).hexdigest() if ok else ""
+        digests = [hashlib.sha256("".join(map(self.texts.__getitem__, i.tolist()))[:-1].encode()).hexdigest() if ok else ""
                    for i, ok in zip(index, fits)]
         index = [i if ok else i[:0] for i, ok in zip(index, fits)]
         row = np.repeat(np.arange(len(texts)), [len(i) for i in index])
         used, times = np.unique(row * len(self.texts) + np.concatenate([*index, np.zeros(0, np.int64)]).astype(np.int64),
                                 return_counts=True)
         row, chunk = used // max(1, len(self.texts)), used % max(1, len(self.texts))
-        ends = np.array(self.pair_ends)
+        ends = np.frombuffer(self.pair_ends, dtype=np.int64)
         count = ends[chunk + 1] - ends[chunk]
-        place = np.repeat(ends[chunk] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        pair = np.array(self.pair_index, dtype=np.int64)[place]
-        many = np.array(self.pair_times, dtype=np.int64)[place] * np.repeat(times, count)
-        known = max(1, len(self.pair_at))
-        links, back = np.unique(np.repeat(row, count) * known + pair, return_inverse=True)
-        occurrences = np.zeros(len(links), dtype=np.int64)
-        np.add.at(occurrences, back, many)
-        listed, at = np.unique(links % known, return_inverse=True)
+        place = _spread(ends[chunk], count)
+        pair = np.frombuffer(self.pair_index, dtype=np.int64)[place] if len(place) else place
+        many = np.frombuffer(self.pair_times, dtype=np.int64)[place] * np.repeat(times, count) if len(place) else place
+        # Pairs by text, added up where several chunks have one.
+        key = np.repeat(row, count) * max(1, len(self.pair_at)) + pair
+        order = np.argsort(key, kind="stable")
+        key, many = key[order], many[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        occurrences = np.add.reduceat(many, head) if len(key) else many
+        links = key[head]
+        listed, at = np.unique(links % max(1, len(self.pair_at)), return_inverse=True)
         codes = np.fromiter(self.pair_at, dtype=np.int64, count=len(self.pair_at))
-        return {"told": told, "digests": digests, "owner": links // known, "at": at, "times": occurrences,
+        return {"told": told, "digests": digests, "owner": links // max(1, len(self.pair_at)), "at": at, "times": occurrences,
                 "pairs": codes[listed] if len(listed) else np.zeros(0, np.int64)}
 
 

@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,15 @@ PART = 1 << 25
 K1, B = 1.2, 0.75
 #: The id after each document.
 END = 1
-#: Bytes of distinct words that a worker keeps tokenized, and the longest of them.
+#: Bytes of distinct words and their ids that a worker keeps.
 KEPT = 1 << 25
-WORD = 256
+
+
+#: What the vocabulary's words are made of in printable ASCII: endings, letters, single digits, other signs.
+_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTABLE = re.compile(r"[!-~]+")
+#: Stands between words that are tokenized together; words that hold it are tokenized alone.
+_BETWEEN = "\x01"
 
 
 class WordTokenizer:
@@ -45,38 +53,76 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.inner = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.between = self._whole(_BETWEEN)
         self.vocabulary = self.inner.get_vocab_size(with_added_tokens=True)
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.size, self.ids, self.ends = 0, [], [0]
+        self.plain: dict[str, list[int]] = {}
+        self.size, self.ids, self.ends = 0, array("q"), array("q", [0])
+
+    def _whole(self, text: str) -> list[int]:
+        return self.inner.encode(text, add_special_tokens=False).ids
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word from one call."""
+        if len(self.between) != 1:
+            return [self._whole(w) for w in words]
+        flat = np.array(self._whole(f" {_BETWEEN} ".join(words)), dtype=np.int64)
+        return [part[k > 0:].tolist() for k, part in enumerate(np.split(flat, np.flatnonzero(flat == self.between[0])))]
+
+    def _printable(self, word: str) -> list[int]:
+        """Ids of a word of printable ASCII: of its runs of letters and signs, each worked out once."""
+        out = []
+        for part in _PLAIN.findall(word.lower()):
+            ids = self.plain.get(part)
+            if ids is None:
+                ids = self.plain[part] = [t.id for t in self.inner.model.tokenize(part)]
+                self.size += len(part) + 8 * len(ids)
+            out += ids
+        return out
 
     def add(self, words: list[bytes]) -> None:
-        encode = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
-        for word, got in zip(words, encode([w.decode() for w in words], add_special_tokens=False)):
-            self.at[word] = len(self.ends) - 1
-            self.size += len(word) + 8 * len(got.ids)
-            self.ids += got.ids
+        found, other = {}, []
+        for raw in words:
+            word = raw.decode()
+            if any(t in word for t in self.special) or _BETWEEN in word:
+                found[raw] = self._whole(word)
+            elif _PRINTABLE.fullmatch(word):
+                found[raw] = self._printable(word)
+            else:
+                other.append(raw)
+        if other:
+            found.update(zip(other, self._together([w.decode() for w in other])))
+        for raw, ids in found.items():
+            self.at[raw] = len(self.ends) - 1
+            self.size += len(raw) + 8 * len(ids)
+            self.ids.extend(ids)
             self.ends.append(len(self.ids))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text and ``END``."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text (UTF-8 bytes between offsets) and ``END``."""
         if self.size > KEPT:
             self.reset()
-        words = [t.split() for t in texts]
-        fresh = set().union(*words).difference(self.at)
-        self.add(list(fresh))
-        ids, ends = np.array(self.ids, dtype=np.int64), np.array(self.ends)
-        out = []
-        for split in words:
-            index = np.fromiter(map(self.at.__getitem__, split), dtype=np.int64, count=len(split))
-            count = ends[index + 1] - ends[index]
-            place = np.repeat(ends[index] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            out.append(np.append(ids[place], END))
-        if any(len(w) > WORD for w in fresh):
-            self.reset()
-        return out
+        starts, stops, rows = tokens.word_bounds(data, offsets)
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[starts] += 1
+        inside[stops] -= 1
+        solid = data[np.cumsum(inside[:-1]).astype(bool)]
+        ends = np.concatenate(([0], np.cumsum(stops - starts)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.add([w for w in names if w not in self.at])
+        at = np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))[coded.indices.to_numpy()]
+        ids, ends = np.frombuffer(self.ids, dtype=np.int64), np.frombuffer(self.ends, dtype=np.int64)
+        count = ends[at + 1] - ends[at]
+        before = np.concatenate(([0], np.cumsum(count)))
+        flat = ids[np.repeat(ends[at] - before[:-1], count) + np.arange(before[-1])]
+        cuts = before[rows]
+        return [np.append(flat[a:b], END) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -115,10 +161,8 @@ def _coded(docs: DataFrame, path: str, window: int) -> DataFrame:
         for batch in batches:
             names = batch.column(0).to_pylist()
             for lo, hi, data, offsets in tokens.chunks(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 rows = []
-                for doc_id, ids in zip(names[lo:hi], tokenizer.encode(texts)):
+                for doc_id, ids in zip(names[lo:hi], tokenizer.encode(data, offsets)):
                     holders[np.unique(ids)] += 1
                     documents, total, size = documents + 1, total + len(ids), len(ids)
                     for start in range(0, size - window + 1, window):
