@@ -36,7 +36,7 @@ _ENDS = " \t\n\x0b\x0c\r"
 _RARE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next free one."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -58,7 +58,7 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
-        letters = _byte_letters()
+        letters = byte_letters()
         names = {i: w for w, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.bytes_a = [bytes(letters[c] for c in w) if all(c in letters for c in w) else w.encode()
                         for w in (names.get(i, "") for i in range(max(names) + 1))]

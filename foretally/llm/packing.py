@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import math
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foretally.llm import tokens
+from foretally.llm.alignment import byte_letters
 from foretally.llm.store import stored
 
 WINDOW = 2048
@@ -35,32 +35,42 @@ PART = 1 << 25
 K1, B = 1.2, 0.75
 #: The id after each document.
 END = 1
-#: Bytes of distinct words and their ids that a worker keeps.
-KEPT = 1 << 25
+#: Bytes of distinct units and their ids that a worker keeps.
+KEPT = 1 << 24
 
 
-#: What the vocabulary's words are made of in printable ASCII: endings, letters, single digits, other signs.
-_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTABLE = re.compile(r"[!-~]+")
 #: Stands between words that are tokenized together; words that hold it are tokenized alone.
 _BETWEEN = "\x01"
+#: Kinds of bytes: white space, letters, digits, other printable signs of ASCII, all others.
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KIND[0x27] = _OTHER  # an apostrophe may begin an ending
 
 
 class WordTokenizer:
-    """Ids of texts from ids of their words: the tokenizer's pieces never reach over ASCII white space."""
+    """Ids of texts from ids of their units, each worked out once.
+
+    The tokenizer's pieces never reach over ASCII white space. Inside a word of plain letters, digits and
+    signs, a unit is a run of letters, one digit or a run of signs; any other word is a unit.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.inner = Tokenizer.from_file(path)
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.begin = {tuple(t.encode()[:2]) for t in self.special}
         self.between = self._whole(_BETWEEN)
         self.vocabulary = self.inner.get_vocab_size(with_added_tokens=True)
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.plain: dict[str, list[int]] = {}
         self.size, self.ids, self.ends = 0, array("q"), array("q", [0])
 
     def _whole(self, text: str) -> list[int]:
@@ -73,54 +83,79 @@ class WordTokenizer:
         flat = np.array(self._whole(f" {_BETWEEN} ".join(words)), dtype=np.int64)
         return [part[k > 0:].tolist() for k, part in enumerate(np.split(flat, np.flatnonzero(flat == self.between[0])))]
 
-    def _printable(self, word: str) -> list[int]:
-        """Ids of a word of printable ASCII: of its runs of letters and signs, each worked out once."""
-        out = []
-        for part in _PLAIN.findall(word.lower()):
-            ids = self.plain.get(part)
-            if ids is None:
-                ids = self.plain[part] = [t.id for t in self.inner.model.tokenize(part)]
-                self.size += len(part) + 8 * len(ids)
-            out += ids
-        return out
-
-    def add(self, words: list[bytes]) -> None:
-        found, other = {}, []
-        for raw in words:
-            word = raw.decode()
-            if any(t in word for t in self.special) or _BETWEEN in word:
-                found[raw] = self._whole(word)
-            elif _PRINTABLE.fullmatch(word):
-                found[raw] = self._printable(word)
+    def _plain(self, unit: bytes) -> list[int]:
+        """Ids of a run of lowered letters or of signs: what the tokenizer's model makes of it."""
+        text = unit.decode("ascii") if unit.isascii() else "".join(map(self.letters.__getitem__, unit))
+        return [t.id for t in self.inner.model.tokenize(text)]
+
+    def _keep(self, unit: bytes, ids: list[int]) -> None:
+        self.at[unit] = len(self.ends) - 1
+        self.size += len(unit) + 8 * len(ids)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def _learn(self, units: list[bytes], plain: np.ndarray) -> None:
+        other = []
+        for unit, easy in zip(units, plain.tolist()):
+            if easy:
+                self._keep(unit, self._plain(unit))
+            elif unit[1:].find(_BETWEEN.encode()) >= 0 or any(t in unit[1:].decode() for t in self.special):
+                self._keep(unit, self._whole(unit[1:].decode()))
             else:
-                other.append(raw)
+                other.append(unit)
         if other:
-            found.update(zip(other, self._together([w.decode() for w in other])))
-        for raw, ids in found.items():
-            self.at[raw] = len(self.ends) - 1
-            self.size += len(raw) + 8 * len(ids)
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
+            for unit, ids in zip(other, self._together([u[1:].decode() for u in other])):
+                self._keep(unit, ids)
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start and stop of each unit, units before each text); letters of plain words are lowered."""
+        starts, stops, rows = tokens.word_bounds(data, offsets)
+        kind, lower = _KIND[data], tokens.lowered(data)
+        after = np.append(data[1:], np.uint8(0))
+        # Letters from a with grave to y with diaeresis: a lead byte and one that is neither times nor division.
+        lead = np.flatnonzero((data == 0xC3) & (after != 0x97) & (after != 0xB7) & (after >= 0x80))
+        kind[lead] = kind[lead + 1] = _LETTER
+        capital = lead[after[lead] < 0x9F] + 1
+        lower[capital] += 0x20
+        for first, second in self.begin:
+            kind[(data == first) & (after == second)] = _OTHER
+        odd = np.concatenate(([0], np.cumsum(kind == _OTHER)))
+        odd = odd[stops] > odd[starts]
+        inner = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1 if len(kind) else np.zeros(0, np.int64)
+        inner = inner[(kind[inner] != _BLANK) & (kind[inner - 1] != _BLANK)]
+        word = np.searchsorted(starts, inner, side="right") - 1
+        inner = inner[(inner > starts[word]) & ~odd[word]] if len(starts) else inner[:0]
+        whole = starts[odd]
+        at = np.repeat(whole - (np.cumsum(stops[odd] - whole) - (stops[odd] - whole)), stops[odd] - whole)
+        at = at + np.arange(len(at))
+        lower[at] = data[at]
+        begin, end = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([stops, inner]))
+        # A unit that is a whole odd word is told from a plain one of the same bytes by a blank in front.
+        marked = np.zeros(len(begin), dtype=bool)
+        marked[np.searchsorted(begin, whole)] = True
+        return lower, begin, end, marked, np.searchsorted(begin, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text (UTF-8 bytes between offsets) and ``END``."""
         if self.size > KEPT:
             self.reset()
-        starts, stops, rows = tokens.word_bounds(data, offsets)
-        inside = np.zeros(len(data) + 1, dtype=np.int8)
-        inside[starts] += 1
-        inside[stops] -= 1
-        solid = data[np.cumsum(inside[:-1]).astype(bool)]
-        ends = np.concatenate(([0], np.cumsum(stops - starts)))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
-        coded = words.dictionary_encode()
+        lower, begin, end, marked, rows = self.units(data, offsets)
+        sizes = end - begin + marked
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        solid = np.full(ends[-1], 0x20, dtype=np.uint8)
+        taken = np.ones(ends[-1], dtype=bool)
+        taken[ends[:-1][marked]] = False
+        solid[taken] = lower[_KIND[data] != _BLANK]
+        named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+        coded = named.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self.add([w for w in names if w not in self.at])
+        fresh = [u for u in names if u not in self.at]
+        self._learn(fresh, np.array([u[0] != 0x20 for u in fresh], dtype=bool))
         at = np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))[coded.indices.to_numpy()]
         ids, ends = np.frombuffer(self.ids, dtype=np.int64), np.frombuffer(self.ends, dtype=np.int64)
         count = ends[at + 1] - ends[at]
         before = np.concatenate(([0], np.cumsum(count)))
-        flat = ids[np.repeat(ends[at] - before[:-1], count) + np.arange(before[-1])]
+        flat = ids[np.repeat(ends[at] - before[:-1], count) + np.arange(before[-1])] if before[-1] else ids[:0]
         cuts = before[rows]
         return [np.append(flat[a:b], END) for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -135,6 +170,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def narrow(vocabulary: int) -> str:
+    """The shortest whole numbers that hold every id."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -156,21 +196,23 @@ def _coded(docs: DataFrame, path: str, window: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         tokenizer = _tokenizer(path)
-        holders = np.zeros(tokenizer.vocabulary, dtype=np.int64)
+        holders, seen = np.zeros(tokenizer.vocabulary, dtype=np.int64), np.full(tokenizer.vocabulary, -1)
+        kind = narrow(tokenizer.vocabulary)
         number, documents, total = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for lo, hi, data, offsets in tokens.chunks(batch.column(1)):
                 rows = []
                 for doc_id, ids in zip(names[lo:hi], tokenizer.encode(data, offsets)):
-                    holders[np.unique(ids)] += 1
+                    holders[ids] += seen[ids] != documents
+                    seen[ids] = documents
                     documents, total, size = documents + 1, total + len(ids), len(ids)
                     for start in range(0, size - window + 1, window):
                         rows.append((doc_id, start, window, checksum(ids[start:start + window]), size, 2 * number + 1, 0, None))
                         number += 1
                     start = size - size % window
                     if start < size:
-                        rows.append((doc_id, start, size - start, None, size, None, None, ids[start:].astype("<u4").tobytes()))
+                        rows.append((doc_id, start, size - start, None, size, None, None, ids[start:].astype(kind).tobytes()))
                 none = [None] * len(rows)
                 yield _batch(_CODED, [*zip(*rows), none, none, none, none])
         some = np.flatnonzero(holders)
@@ -196,9 +238,12 @@ class Statistics:
 def _terms(pieces: list[np.ndarray], known: Statistics) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, term, weight) of each piece's distinct terms, by piece."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    pair, times = np.unique(owner << 32 | np.concatenate([*pieces, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-    piece, term = pair >> 32, pair & 0xFFFFFFFF
+    flat = np.concatenate([np.sort(p, kind="stable") for p in pieces]) if pieces else np.zeros(0, np.int64)
+    head = np.append(True, flat[1:] != flat[:-1])[:len(flat)]
+    head[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(head)
+    piece = np.repeat(np.arange(len(pieces)), sizes)[at]
+    term, times = flat[at].astype(np.int64), np.diff(np.append(at, len(flat)))
     return piece, term, known.weights(term, times, sizes[piece])
 
 
@@ -287,7 +332,7 @@ def _powers(parts: list, window: int) -> Iterator[list]:
         yield out
 
 
-def _packed(rests: DataFrame, known: Statistics, window: int, shard: int) -> DataFrame:
+def _packed(rests: DataFrame, known: Statistics, kind: str, window: int, shard: int) -> DataFrame:
     """Pieces of the sequences of each task's rows, a shard of the index at a time."""
     def run(batches):
         from pyspark import TaskContext
@@ -317,8 +362,8 @@ def _packed(rests: DataFrame, known: Statistics, window: int, shard: int) -> Dat
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in ("doc_id", "start", "ids", "doc_tokens")]
             for doc_id, start, ids, size in zip(*columns):
-                pool.append((doc_id, start, np.frombuffer(ids, "<u4").astype(np.int64), size))
-                held += len(ids) // 4
+                pool.append((doc_id, start, np.frombuffer(ids, kind), size))
+                held += len(pool[-1][2])
                 if held >= shard:
                     if (out := flushed(False)) is not None:
                         yield out
@@ -329,13 +374,13 @@ def _packed(rests: DataFrame, known: Statistics, window: int, shard: int) -> Dat
     return rests.mapInArrow(run, _PIECES)
 
 
-def _ordered(rests: DataFrame, known: Statistics, parts: int) -> DataFrame:
+def _ordered(rests: DataFrame, known: Statistics, kind: str, parts: int) -> DataFrame:
     """Rests of documents by their most telling terms, those on one matter in one task and side by side."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("ids").to_pylist()]
+            ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             piece, term, weight = _terms(ids, known)
             order = np.lexsort((term, -weight, piece))
             first = np.searchsorted(piece, np.arange(len(ids)))
@@ -371,8 +416,9 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard
     holders = {r["term"]: r["n"] for r in counted.select(F.explode(F.arrays_zip("terms", "holders")).alias("x"))
                .groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.holders").alias("n")).collect()}
     sums = counted.agg(F.sum("documents").alias("documents"), F.sum("total").alias("total")).first()
+    kind = narrow(_tokenizer(path).vocabulary)
     known = Statistics(holders, sums["documents"] or 0, sums["total"] or 0)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums["total"] or 0) // PART))
-    rests = _ordered(coded.filter("ids is not null"), known, parts)
+    rests = _ordered(coded.filter("ids is not null"), known, kind, parts)
     whole = coded.filter("sequence_id is not null").select(*(part.split()[0] for part in _PIECES.split(", ")))
-    return whole.unionByName(_packed(rests, known, window, shard))
+    return whole.unionByName(_packed(rests, known, kind, window, shard))

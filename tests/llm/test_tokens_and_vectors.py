@@ -35,7 +35,7 @@ def brute_alignment(rows):
     a = Tokenizer.from_file(path_a)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    letters = alignment._byte_letters()
+    letters = alignment.byte_letters()
     names = {i: w for w, i in a.get_vocab().items()}
     linked = []
     for _, text in rows:
@@ -88,6 +88,19 @@ def test_chunks_give_the_tokens_of_whole_texts():
         assert a == aligner.a.encode(" " + text, add_special_tokens=False).ids and b == aligner.b.encode(text), repr(text)
 
 
+def test_units_give_the_ids_of_whole_texts(docs):
+    rng = random.Random(5)
+    signs = [" ", " ", "\n", "\t", "a", "The", "É", "ß", "ÿ", "×", "÷", "À", "日", "1", "23", ".", "'s", "'LL", "'", "<|endoftext|>",
+             "<|ENDOFTEXT|>", "<|", "<", "|", "\x00", "\x01", "\xa0", "　", "e\u0301", "\u0301", "İ", "K", "ſ", "\xbd", "\x1f", "x_y", "~", "€"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)] + [r.text or "" for r in docs.limit(100).collect()]
+    mine, plain = packing.WordTokenizer(packing.default_path()), Tokenizer.from_file(packing.default_path())
+    for at in range(0, len(texts), 50):
+        raw = [t.encode() for t in texts[at:at + 50]]
+        got = mine.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for text, ids in zip(texts[at:at + 50], got):
+            assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
 def check_packing(rows, out, window):
     plain = Tokenizer.from_file(packing.default_path())
     ids = [(i, [*plain.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows]
