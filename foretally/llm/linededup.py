@@ -45,27 +45,27 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     other pages, not a page around boilerplate. Repeated rows count as pages. An empty table gives an
     empty result.
     """
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("n_lines", "n_removed", text)]
-    base = pages.select(*rest, F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n").alias("_lines"))
-    said = F.array_distinct(F.transform(F.filter("_lines", lambda x: _line(x) != ""), lambda x: F.xxhash64(_line(x))))
-    known = base.filter(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("_host"), said.alias("_said"))
-    total = known.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    often = (known.select("_host", F.explode("_said").alias("_code")).groupBy("_host", "_code")
-             .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least))
+    # The caller's columns stand in one struct, so none of their names meets one of ours.
+    base = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(f"`{host}`").alias("site"),
+                        F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n").alias("lines"))
+    said = F.array_distinct(F.transform(F.filter("lines", lambda x: _line(x) != ""), lambda x: F.xxhash64(_line(x))))
+    known = base.filter("site is not null").select("site", said.alias("said"))
+    total = known.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    often = (known.select("site", F.explode("said").alias("code")).groupBy("site", "code")
+             .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least))
     # A host has at most (lines of a page on average / ratio) such lines, so its list is bounded.
-    listed = stored(often.join(total, "_host").filter(F.col("_n") > F.col("_pages") * ratio)
-                    .groupBy("_host").agg(F.collect_set("_code").alias("_codes")))
-    marked = base.join(listed, F.col(f"`{host}`") == F.col("_host"), "left")
-    stays = F.filter("_lines", lambda x: (_line(x) == "") | ~F.array_contains("_codes", F.xxhash64(_line(x))))
-    full = F.size(F.filter("_lines", lambda x: _line(x) != ""))
-    marked = marked.withColumn("_left", F.when(F.col("_codes").isNull(), F.col("_lines")).otherwise(stays))
-    marked = marked.withColumn("n_lines", full.cast("long"))
-    left = F.size(F.filter("_left", lambda x: _line(x) != ""))
+    listed = stored(often.join(total, "site").filter(F.col("n") > F.col("pages") * ratio)
+                    .groupBy("site").agg(F.collect_set("code").alias("codes")))
+    marked = base.join(listed, "site", "left")
+    stays = F.filter("lines", lambda x: (_line(x) == "") | ~F.array_contains("codes", F.xxhash64(_line(x))))
+    full = F.size(F.filter("lines", lambda x: _line(x) != ""))
+    marked = marked.withColumn("left", F.when(F.col("codes").isNull(), F.col("lines")).otherwise(stays))
+    left = F.size(F.filter("left", lambda x: _line(x) != ""))
     if spare:
-        marked = marked.withColumn("_left", F.when(left == 0, F.col("_lines")).otherwise(F.col("_left")))
-    return marked.select(*rest, F.array_join("_left", "\n").alias(text), "n_lines",
-                         (F.col("n_lines") - left).alias("n_removed")).select(
-        *(F.col(f"`{c}`") for c in pages.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+        marked = marked.withColumn("left", F.when(left == 0, F.col("lines")).otherwise(F.col("left")))
+    kept = [c for c in pages.columns if c not in ("n_lines", "n_removed")]
+    return marked.select(*(F.array_join("left", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept),
+                         full.cast("long").alias("n_lines"), (full - left).cast("long").alias("n_removed"))
 
 
 def pages_sql(ratio: float = RATIO, least: int = PAGES) -> str:

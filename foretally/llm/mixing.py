@@ -92,27 +92,26 @@ def schedule(blocks: dict, weights: dict) -> dict:
 
 
 def _plan_table(spark: SparkSession, plan: dict, size: int) -> DataFrame:
-    """(_of, _row, _slots, _releases, _deadlines): the plan, ``size`` blocks of a source to a row."""
+    """(of, run, slots, releases, deadlines): the plan, ``size`` blocks of a source to a row."""
     cuts = [(s, i) for s, columns in plan.items() for i in range(0, len(columns[0]), size)]
     held = [pa.array([np.frombuffer(plan[s][c], np.int64)[i:i + size] for s, i in cuts], pa.list_(pa.int64()))
             for c in range(3)]
     return spark.createDataFrame(pa.Table.from_arrays(
         [pa.array([s for s, _ in cuts], pa.string()), pa.array([i // size for _, i in cuts], pa.int64()), *held],
-        names=["_of", "_row", "_slots", "_releases", "_deadlines"]))
+        names=["of", "run", "slots", "releases", "deadlines"]))
 
 
 def _numbered(docs: DataFrame, group: str) -> DataFrame:
-    """Add _rank: place in a repeatable shuffled order of each group, found without gathering a group."""
+    """Add rank: place in a repeatable shuffled order of each group by ``code``, found without gathering a group."""
     total = docs.count()
     parts = max(1, total // ROWS)
-    code = F.xxhash64("doc_id", F.lit(3))
-    spread = docs.withColumn("_code", code).withColumn("_part", F.pmod("_code", F.lit(parts)))
-    sizes = spread.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    inside = Window.partitionBy(group, "_part").orderBy("_code", "doc_id", F.xxhash64("text"))
-    return (spread.join(sizes, [group, "_part"]).withColumn("_rank", F.row_number().over(inside) - 1 + F.col("_before"))
-            .drop("_code", "_part", "_before"))
+    spread = docs.withColumn("part", F.pmod("code", F.lit(parts)))
+    sizes = spread.groupBy(group, "part").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    inside = Window.partitionBy(group, "part").orderBy("code")
+    return (spread.join(sizes, [group, "part"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("before"))
+            .drop("part", "before"))
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block: int = BLOCK,
@@ -122,29 +121,32 @@ def mixed_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5
     Needs doc_id, text and source. Sources without a given weight take their number of documents to
     ``power`` (weights tempered towards equality). block is the source's block, slot its place among
     all blocks, release and deadline the slots between which it was due, position the document's order.
-    Every document is kept once; a null source is a source of its own; rows of equal doc_id follow each
-    other; columns of the added names are replaced. Sources of weight zero come after all others. The plan
+    Every document is kept once; a null source is a source of its own; rows of equal doc_id and text follow
+    each other; columns of the added names are replaced. Sources of weight zero come after all others. The plan
     is handed out ``period`` blocks of a source at a time. An empty table gives an empty result. More than
     ``SOURCES`` sources, or a negative or infinite weight, raise an error.
     """
     added = ("block", "slot", "release", "deadline", "position")
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
-    base = base.withColumn("_source", F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source")))
-    counts = {r["_source"]: r["n"] for r in base.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
+    kept = [c for c in docs.columns if c not in added]
+    # The caller's columns stand in one struct, so none of their names meets one of ours. The code follows
+    # all of a row, so rows without doc_id, or of one doc_id, are spread like others.
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
+                       F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source")).alias("origin"),
+                       F.xxhash64("doc_id", "text", F.lit(3)).alias("code"))
+    counts = {r["origin"]: r["n"] for r in base.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
     if len(counts) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     given = {("0" if s is None else f"1{s}"): w for s, w in (weights or {}).items()}
     weight = {s: given.get(s, n ** power) for s, n in counts.items()}
     plan = schedule({s: -(-n // block) for s, n in counts.items()}, weight)
     table = _plan_table(docs.sparkSession, plan, period)
-    ranked = _numbered(base, "_source").withColumn("block", F.floor(F.col("_rank") / block))
+    ranked = _numbered(base, "origin").withColumn("block", F.floor(F.col("rank") / block))
     # The plan has each block once; beyond the bound both sides are shuffled, a row's blocks at a time.
     small = sum(len(slots) for slots, _, _ in plan.values()) <= SENT
     found = ranked.join(F.broadcast(table) if small else table,
-                        (F.col("_source") == F.col("_of")) & (F.floor(F.col("block") / period) == F.col("_row")))
+                        (F.col("origin") == F.col("of")) & (F.floor(F.col("block") / period) == F.col("run")))
     at = (F.col("block") % period + 1).cast("int")
-    out = (found.withColumn("slot", F.element_at("_slots", at))
-           .withColumn("release", F.element_at("_releases", at))
-           .withColumn("deadline", F.element_at("_deadlines", at))
-           .withColumn("position", F.col("slot") * block + F.col("_rank") % block))
-    return out.drop("_source", "_of", "_row", "_slots", "_releases", "_deadlines", "_rank")
+    slot = F.element_at("slots", at)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in kept), "block", slot.alias("slot"),
+                        F.element_at("releases", at).alias("release"), F.element_at("deadlines", at).alias("deadline"),
+                        (slot * block + F.col("rank") % block).alias("position"))

@@ -5,8 +5,10 @@ equal sets are one class from the start. Inverted lists of retained values bring
 sets alike enough share so many retained values that the rarest ones of each sketch must meet. A pair
 from a list is estimated from the union of its sketches, then confirmed on the full sets. Long lists are
 settled by their own links: members meet one representative, and classes already linked are not compared
-again. Where members stay apart, their full sets are listed anew, by the hashes that a link must rest on,
-and only what is still apart in those lists is paired.
+again. Where members stay apart, their full sets are listed anew, by the hashes that a link must rest on.
+What is still apart in those lists meets block by block inside a task, as bit fields of the full sets: bits
+that one side alone has bound the overlap from above, and only pairs that the bound lets through leave
+the task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,15 @@ ROUNDS = 4
 ENOUGH = 2
 #: Share of the work left by a round from which on no further round is worth it.
 GAIN = 0.5
+#: Members of a list that meet others in one step, about, and bits of a field: at least and at most.
+BLOCK = 512
+FIELD = (1 << 8, 1 << 16)
+
+
+def least_common(percent: int, k: int) -> float:
+    """Share of the union's k least hashes that two sets at the threshold have in common, less six deviations."""
+    p = percent / 100
+    return max(0.0, p - 6 * math.sqrt(p * (1 - p) / k))
 
 
 def _sets(docs: DataFrame, width: int, k: int | None) -> DataFrame:
@@ -60,14 +71,16 @@ def _lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(value, band, node, n): inverted lists of the rarest retained values of each class, stored.
 
     A set so small that no partner's sketch is cut keeps just enough values for the threshold to force
-    a common one. Larger sketches of alike sets share at least half of the union's k least values (the
-    chance of fewer is below 1e-7 at 80 %), so more than half of the values, rarest first, must meet.
+    a common one. Larger sketches of alike sets share at least a part of the union's k least values that
+    follows from the threshold (half at 80 %; the chance of fewer is below 1e-7), so all but that part of
+    the values, rarest first, must meet.
     Sizes of alike sets differ by the threshold at most, which splits lists into overlapping bands.
     """
     values = classes.select("node", "n", F.explode("hashes").alias("value"))
     often = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     whole = F.col("n") * 100 <= F.lit(k * percent)
-    need = F.when(whole, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(F.least("n", F.lit(k)) - k // 2 + 1)
+    need = F.when(whole, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(
+        F.least("n", F.lit(k)) - max(1, math.floor(k * least_common(percent, k) + 1e-9)) + 1)
     rare = (values.join(often, "value").groupBy("node", "n")
             .agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("known"))
             .withColumn("first", need - (F.least("n", F.lit(k)) - F.size("known")))
@@ -85,7 +98,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> D
     b = sketches.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("least", F.slice(F.array_sort(F.array_union("x", "y")), 1, k))
     common = F.size(F.array_intersect(F.array_intersect("least", "x"), F.col("y")))
-    return both.filter(common * 100 >= F.size("least") * (percent - 30)).select("a", "b")
+    return both.filter(common >= F.size("least") * (least_common(percent, k) - 1e-9)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,6 +163,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     apart = _unsettled(_labelled(lists, labels), key)
     open_nodes = stored(apart.select("node").distinct())
     lists = _exact_lists(sets.join(open_nodes, "node"), percent)
+    fields = stored(_fields(sets.join(open_nodes, "node")))
     before = math.inf
     for turn in range(1, ROUNDS + 1):
         apart = stored(_unsettled(_labelled(lists, labels), key))
@@ -161,7 +175,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
         # A representative that leaves most of the work has little to settle: the rest is paired.
         last = turn == ROUNDS or work <= ENOUGH * size or work > before * GAIN
         before = work
-        labels = extended(labels, linked(_apart(apart, main, key, percent) if last else _to_heads(apart, key, turn, percent)))
+        labels = extended(labels, linked(_apart(apart, main, fields, key, percent) if last else _to_heads(apart, key, turn, percent)))
         if last:
             return labels
 
@@ -194,17 +208,81 @@ def _to_heads(lists: DataFrame, key: list[str], turn: int, percent: int) -> Data
             .select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct())
 
 
-def _apart(lists: DataFrame, main: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs of a list that no link joins yet: members outside the list's largest component with all others."""
-    few = (lists.join(stored(main.select(*key, F.col("main.label").alias("most"))), key)
-           .filter("label <> most").select(*key, F.col("node").alias("p"), F.col("n").alias("pn"),
-                                           F.col("label").alias("pl"), F.col("side").alias("ps"),
-                                           F.col("place").alias("pp"), "most"))
-    near = _reach("n", "place", "pn", "pp", percent)
-    once = (F.col("label") == F.col("most")) | (F.col("p") < F.col("node"))
-    meet = (F.col("gap") == 0) | (F.col("side") != F.col("ps"))
-    return (few.join(lists, key).filter(F.col("pl") != F.col("label")).filter(near & once & meet)
-            .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
+def _fields(sets: DataFrame) -> DataFrame:
+    """(node, bits): a bit for each hash of a set, in a field a few times the set's size."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for hashes in batch.column(1):
+                values = hashes.values.to_numpy(zero_copy_only=False)
+                size = min(max(FIELD[0], 1 << (4 * len(values)).bit_length()), FIELD[1])
+                field = np.zeros(size, dtype=bool)
+                field[values & (size - 1)] = True
+                out.append(np.packbits(field).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "bits"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, bits binary")
+
+
+def _folded(fields: list[bytes], size: int) -> np.ndarray:
+    """Fields of ``size`` bytes as rows of words; longer ones are laid over themselves."""
+    out = np.empty((len(fields), size), dtype=np.uint8)
+    for i, field in enumerate(fields):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(field, dtype=np.uint8).reshape(-1, size), axis=0)
+    return out.view(np.uint64)
+
+
+def _survivors(left: dict, right: dict, crossing: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block's odd members with another block's members that the bounds let through."""
+    size = min(map(len, [*left["bits"], *right["bits"]]))
+    mine, theirs = _folded(left["bits"], size), _folded(right["bits"], size)
+    a, b = [], []
+    for x in np.flatnonzero(left["few"]):
+        n, m = left["n"][x], right["n"]
+        most = np.minimum(n - left["place"][x], m - right["place"])
+        meet = (left["label"][x] != right["label"]) & (most * (100 + percent) >= (n + m) * percent)
+        meet &= ~right["few"] | (left["node"][x] < right["node"])
+        if crossing:
+            meet &= left["side"][x] != right["side"]
+        at = np.flatnonzero(meet)
+        if len(at):
+            other, m = theirs[at], m[at]
+            # A bit that one side alone has stands for a hash, at least, that the other lacks.
+            common = np.minimum(n - np.bitwise_count(mine[x] & ~other).sum(axis=1, dtype=np.int64),
+                                m - np.bitwise_count(other & ~mine[x]).sum(axis=1, dtype=np.int64))
+            at = at[common * (100 + percent) >= (n + m) * percent]
+            a.append(np.full(len(at), left["node"][x]))
+            b.append(right["node"][at])
+    none = np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _apart(lists: DataFrame, main: DataFrame, fields: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs that may be alike of a list's members that no link joins yet, seen from those outside its largest component.
+
+    Members are dealt to bounded blocks; each block with odd members meets each block of its list.
+    """
+    most = stored(main.select(*key, F.col("main.label").alias("most"), F.ceil(F.col("total") / BLOCK).alias("blocks")))
+    member = F.struct("node", "n", "label", "side", "place", (F.col("label") != F.col("most")).alias("few"), "bits")
+    blocks = stored(lists.join(most, key).join(fields, "node")
+                    .groupBy(*key, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+                    .agg(F.max((F.col("label") != F.col("most")).cast("int")).alias("odd"), F.collect_list(member).alias("members")))
+    odd = blocks.filter("odd = 1").select(*key, F.col("members").alias("rest"))
+
+    def columns(members: pa.Array) -> dict:
+        flat = members.flatten()
+        out = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("node", "n", "label", "side", "place", "few")}
+        return out | {"bits": flat.field("bits").to_pylist()}
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                a, b = _survivors(columns(one.column("rest")), columns(one.column("members")), one.column("gap")[0].as_py() > 0, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return odd.join(blocks, key).select("gap", "rest", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:

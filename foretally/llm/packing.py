@@ -17,6 +17,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +95,10 @@ class WordTokenizer:
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
 
-    def _learn(self, units: list[bytes], plain: np.ndarray) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         other = []
-        for unit, easy in zip(units, plain.tolist()):
-            if easy:
+        for unit in units:
+            if unit[0] != 0x20:
                 self._keep(unit, self._plain(unit))
             elif unit[1:].find(_BETWEEN.encode()) >= 0 or any(t in unit[1:].decode() for t in self.special):
                 self._keep(unit, self._whole(unit[1:].decode()))
@@ -148,10 +149,16 @@ class WordTokenizer:
         solid[taken] = lower[_KIND[data] != _BLANK]
         named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
         coded = named.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        fresh = [u for u in names if u not in self.at]
-        self._learn(fresh, np.array([u[0] != 0x20 for u in fresh], dtype=bool))
-        at = np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))[coded.indices.to_numpy()]
+        # Slices of the buffer's bytes are made faster than Arrow makes its values one by one.
+        cut = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int64)[:len(coded.dictionary) + 1].tolist()
+        raw = (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        names = [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        at = np.fromiter(map(self.at.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn([names[i] for i in new.tolist()])
+            at[new] = [self.at[names[i]] for i in new.tolist()]
+        at = at[coded.indices.to_numpy()]
         ids, ends = np.frombuffer(self.ids, dtype=np.int64), np.frombuffer(self.ends, dtype=np.int64)
         count = ends[at + 1] - ends[at]
         before = np.concatenate(([0], np.cumsum(count)))

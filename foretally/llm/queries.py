@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foretally.llm import (alignment, decontaminate, fingerprint, langid, licenses, linededup, mixing, neardup, packing,
                            quality, sampling, substrings, suffixes, whitening)
+from foretally.llm.store import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,8 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select(
         "page_id", linededup.page_host(F.col("url")).alias("host"), linededup.page_text(F.col("html")).alias("text"))
-    out = linededup.drop_boilerplate(pages, "host", "text")
+    # Texts are taken out of the HTML once; counting lines and dropping them read what was stored.
+    out = linededup.drop_boilerplate(stored(pages), "host", "text")
     return out.select("page_id", "host", "n_lines", "n_removed",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
