@@ -32,8 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of its own for each row, stored so that it stays the same: ids may be null or repeated."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """(row, key): each row as one struct and a key of its own, stored so that it stays the same: ids may be null or repeated."""
+    return stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                              F.monotonically_increasing_id().alias("key")))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,19 +47,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart whatever their doc_id, so of rows alike in all columns one stays.
     """
     keyed = _keyed(docs)
-    told = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    kept = (told.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
-            .groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")))
-    return keyed.join(kept, keyed["_row"] == F.col("_kept"), "left_semi").drop("_row")
+    told = neardup.near_duplicates(_texts(keyed), width=5, percent=80).select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = (told.join(keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+            .groupBy("component_id").agg(F.min(order)["key"].alias("key")))
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item, whatever their doc_id."""
     keyed, items = _keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contained_items(keyed.select(F.col("_row").alias("doc_id"), "text"), items)
-    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return keyed.join(leaks, keyed["_row"] == F.col("_leak"), "left_anti").drop("_row")
+    leaks = decontaminate.contained_items(_texts(keyed), items).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaks, "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
