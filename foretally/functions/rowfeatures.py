@@ -3,7 +3,8 @@ constants only, so scoring one row or all rows gives the same values."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -154,43 +155,6 @@ def shrunk_profile(df: DataFrame, medians: Mapping[str, float], strength: float
     return df.withColumns(made)
 
 
-def interactions(df: DataFrame) -> DataFrame:
-    """Deterministic context interactions, differences, trends and joint reliability."""
-    pr = reliability(F.greatest(F.col("asof_pitcher_n"), F.lit(0)).cast("double"), 100.0 + 1e-6)
-    br = reliability(F.greatest(F.col("asof_batter_n"), F.lit(0)).cast("double"), 100.0 + 1e-6)
-    late = flag(F.col("inning") >= 7)
-    return df.withColumns({
-        "fx_count": F.col("balls_before") * 3 + F.col("strikes_before"),
-        "fx_same_hand": flag(F.col("pitcher_hand") == F.col("batter_hand")),
-        "fx_high_leverage": flag(F.col("li") >= 2),
-        "fx_li_late": F.col("li") * late, "fx_li_runners": F.col("li") * F.col("num_runners_on"),
-        "fx_side_gap": career("success") - career("success", "batter"),
-        "fx_failure": 1.0 - career("success"), "fx_middle_reverse_sum": career("middle") + career("reverse"),
-        "fx_middle_reverse_gap": career("middle") - career("reverse"),
-        "fx_ball_strike_gap": career("ball") - career("strike"),
-        "fx_fast_break_gap": career("fastball") - career("breaking"),
-        **{f"fx_{kind}_trend_{k}v5": recent(kind, k) - recent(kind, 5) for kind in ("success", "middle") for k in (1, 3)},
-        "fx_pitcher_reliability": pr, "fx_batter_reliability": br, "fx_joint_reliability": F.sqrt(pr * br)})
-
-
-def direct_products(df: DataFrame) -> DataFrame:
-    """Products, differences and floored ratios of history and context."""
-    balls, strikes, li = F.col("balls_before"), F.col("strikes_before"), F.col("li")
-    close = flag(F.abs("score_diff_pitcher_team") <= 1)
-    ps, bs = career("success"), career("success", "batter")
-    logn = F.log1p(F.coalesce(F.col("asof_pitcher_n"), F.lit(0)).cast("double"))
-    return df.withColumns({
-        "dp_success": ps * bs, "dp_middle": career("middle") * career("middle", "batter"),
-        "dp_success_li": ps * li, "dp_reverse_fast": career("reverse") * career("fastball"),
-        "dp_success_logn": ps * logn, "dp_side_gap": ps - bs,
-        "dp_side_ratio": ps / F.when(bs < 1e-3, 1e-3).otherwise(bs),
-        "dp_count_margin": balls - strikes, "dp_two_strike": flag(strikes == 2), "dp_three_ball": flag(balls == 3),
-        "dp_full": flag((balls == 3) & (strikes == 2)), "dp_close": close,
-        "dp_late_close": flag(F.col("inning") >= 7) * close, "dp_li_close": li * close,
-        "dp_li_margin": li * (balls - strikes), "dp_reverse_two": career("reverse") * flag(strikes == 2),
-        "dp_ball_three": career("ball") * flag(balls == 3), "dp_prev5_balls": recent("success", 5) * balls})
-
-
 def second_order(df: DataFrame, squares: Sequence[str] = (),
                  products: Sequence[tuple[str, str]] = (),
                  differences: Sequence[tuple[str, str]] = (),
@@ -233,36 +197,47 @@ def context_flags(df: DataFrame, adjusted: Mapping[str, str]) -> DataFrame:
         "late_middle": flag(F.col("inning") >= 7) * F.col(adjusted["middle"])})
 
 
-def demo_block(df: DataFrame, prior: float = 0.5, pitcher_strength: float = 200.0,
-               batter_strength: float = 200.0, recent_weight: float = 0.6, close: int = 2,
-               late: int = 7, leverage: float = 2.0) -> DataFrame:
-    """A compact block of normalised counts, game pressure, shrunken and blended rates."""
-    balls, strikes = F.col("balls_before"), F.col("strikes_before")
-    diff, inning = F.col("score_diff_pitcher_team"), F.col("inning")
-    n = F.greatest(F.coalesce(F.col("asof_pitcher_n"), F.lit(0)), F.lit(0)).cast("double")
-    m = F.greatest(F.coalesce(F.col("asof_batter_n"), F.lit(0)), F.lit(0)).cast("double")
-    unit = lambda c: clip(F.coalesce(c, F.lit(prior)), 0.0, 1.0)
-    ps = eb(n * unit(career("success")), n, pitcher_strength, prior)
-    bs = eb(m * unit(career("success", "batter")), m, batter_strength, prior)
-    now = unit(F.coalesce(recent("success", 5), recent("success", 3), career("success")))
-    on = [F.coalesce(F.col(f"runner_on_{b}b"), F.lit(0)) for b in (1, 2, 3)]
-    near = F.abs(diff) <= close
-    return df.withColumns({
-        "demo_balls": balls / 3.0, "demo_strikes": strikes / 2.0, "demo_count_diff": balls - strikes,
-        "demo_full": flag((balls == 3) & (strikes == 2)), "demo_two_strike": flag(strikes == 2),
-        "demo_abs_score": F.abs(diff), "demo_close": flag(near), "demo_trailing": flag(diff < 0),
-        "demo_late": flag(inning >= late), "demo_late_close": flag((inning >= late) & near),
-        "demo_pressure": on[0] + on[1] * 2 + on[2] * 3, "demo_risp": F.greatest(on[1], on[2]),
-        "demo_loaded": on[0] * on[1] * on[2], "demo_leverage": flag(F.col("li") >= leverage),
-        "demo_same_hand": flag(F.col("pitcher_hand") == F.col("batter_hand")),
-        "demo_pitcher_log": F.log1p(n), "demo_batter_log": F.log1p(m),
-        "demo_confidence": reliability(n, pitcher_strength),
-        "demo_pitcher_missing": career("success").isNull().cast("int"),
-        "demo_batter_missing": career("success", "batter").isNull().cast("int"),
-        "demo_pitcher_rate": ps, "demo_batter_rate": bs,
-        "demo_recent": F.lit(recent_weight) * now + F.lit(1 - recent_weight) * ps,
-        "demo_recent_gap": now - ps,
-        "demo_risk": F.coalesce(career("reverse"), F.lit(0.0)) + F.coalesce(career("middle"), F.lit(0.0))})
+def _compared(column: str, sign: str, bound: float) -> Column:
+    c = F.col(column)
+    return flag({"=": c == bound, "<": c < bound, "<=": c <= bound, ">": c > bound, ">=": c >= bound}[sign])
+
+
+def _times(*columns: str) -> Column:
+    return reduce(lambda a, b: a * b, [F.col(c) for c in columns])
+
+
+def _counted(n: str) -> Column:
+    return F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(0)).cast("double")
+
+
+#: Ways to derive a column, by name; arguments are column names and numbers.
+KINDS: Mapping[str, Callable[..., Column]] = {
+    "alike": lambda a, b: flag(F.col(a) == F.col(b)),
+    "any": lambda *flags: F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in flags]),
+    "bounded": lambda c, low, high: clip(F.col(c), low, high),
+    "flag": _compared,
+    "known": lambda *columns: F.coalesce(*[F.lit(c) if isinstance(c, float) else F.col(c) for c in columns]),
+    "log": lambda n: F.log1p(_counted(n)),
+    "missing": lambda c: F.col(c).isNull().cast("int"),
+    "product": _times,
+    "quotient": lambda a, b, least=1e-3: F.col(a) / F.when(F.col(b) < least, least).otherwise(F.col(b)),
+    "reliability": lambda n, strength: reliability(_counted(n), strength),
+    "root": lambda *columns: F.sqrt(_times(*columns)),
+    "shrunk": lambda rate, n, strength, prior: eb(_counted(n) * F.col(rate), _counted(n), strength, prior),
+    "size": lambda c: F.abs(F.col(c)),
+    "weighted": lambda weights, start=0: reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()], F.lit(start)),
+}
+
+
+def derived(df: DataFrame, steps: Sequence[tuple[str, Mapping[str, Sequence]]]) -> DataFrame:
+    """``df`` with columns derived step by step: (kind, {name: arguments}).
+
+    A step may use the columns of earlier steps. All kinds depend on their row alone. Flags are 0 where
+    what they compare is NULL; counts below zero or NULL are 0; other results of NULL are NULL.
+    """
+    for kind, made in steps:
+        df = df.withColumns({name: KINDS[kind](*args) for name, args in made.items()})
+    return df
 
 
 def mix_and_situation(df: DataFrame, priors: Mapping[str, float], strength: float = 200.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -143,6 +145,71 @@ def violations(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
                      / F.greatest(F.col("__n"), F.lit(1))).alias("violation_pct")))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule that rows must keep: its kind and the kind's arguments (column names, bounds, patterns)."""
+
+    name: str
+    kind: str
+    args: tuple = ()
+
+
+def _sum(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+
+
+def _missing_or(c: Column) -> Column:
+    """Whether a condition is broken, a NULL one counted as broken."""
+    return ~F.coalesce(c, F.lit(False))
+
+
+#: When a row breaks a rule of a kind.
+ROW_RULES: Mapping[str, Callable[..., Column]] = {
+    "known": lambda c: F.col(c).isNull(),
+    "matches": lambda c, pattern: _missing_or(F.col(c).rlike(pattern)),
+    "one_of": lambda c, *values: _missing_or(F.col(c).isin(*values)),
+    "within": lambda c, low, high: _missing_or(F.col(c).between(low, high)),
+    "within_if_known": lambda c, low, high: ~F.col(c).between(low, high),
+    "not_below": lambda c, low: F.col(c) < low,
+    "same": lambda a, b: ~F.col(a).eqNullSafe(F.col(b)),
+    "adds_up": lambda total, parts, by=0.0: F.abs(F.col(total) - _sum(parts)) > by,
+    "adds_up_to": lambda parts, value, by=0.0: F.abs(_sum(parts) - value) > by,
+    "is_expression": lambda c, text: ~F.col(c).eqNullSafe(F.expr(text)),
+    "null_iff_zero": lambda c, n: F.col(c).isNull() != (F.coalesce(F.col(n), F.lit(0)) == 0),
+}
+#: Kinds that look at all rows of a key: how many rows of a key break the rule.
+KEY_RULES = ("unique", "agree")
+
+
+def rule_violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(check, kind, violations, denominator) of every rule: rows are read by one aggregation for all row kinds
+    and one over the keys of all key kinds.
+
+    ``unique`` (key columns) counts all rows of keys that occur more than once; ``agree`` (column, key columns)
+    those of keys on which the column has several values, NULL apart.
+    """
+    by_row = [r for r in rules if r.kind not in KEY_RULES]
+    by_key = [r for r in rules if r.kind in KEY_RULES]
+    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[
+        F.count_if(F.coalesce(ROW_RULES[r.kind](*r.args), F.lit(False))).alias(r.name) for r in by_row])
+    if by_key:
+        keys = {r.name: tuple(r.args[0] if r.kind == "unique" else r.args[1]) for r in by_key}
+        every = sorted({c for k in keys.values() for c in k})
+        values = sorted({r.args[0] for r in by_key if r.kind == "agree"})
+        cube = df.groupingSets([[F.col(c) for c in k] for k in dict.fromkeys(keys.values())], *every).agg(
+            F.count(F.lit(1)).alias("__rows"), F.grouping_id(*every).alias("__set"),
+            *[f(F.col(v)).alias(f"__{e}_{v}") for v in values for e, f in (("low", F.min), ("high", F.max))])
+        number = {k: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in k) for k in keys.values()}
+        broken = {r.name: (F.col("__rows") > 1 if r.kind == "unique"
+                           else F.coalesce(F.col(f"__low_{r.args[0]}") != F.col(f"__high_{r.args[0]}"), F.lit(False))) for r in by_key}
+        told = cube.agg(*[F.coalesce(F.sum(F.when((F.col("__set") == number[keys[r.name]]) & broken[r.name], F.col("__rows"))), F.lit(0)).alias(r.name)
+                          for r in by_key])
+        counts = counts.crossJoin(told)
+    kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.kind)])
+    return counts.unpivot(["__n"], [r.name for r in rules], "check", "violations").select(
+        "check", kinds[F.col("check")].alias("kind"), "violations", F.col("__n").alias("denominator"))
+
+
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of rows beyond the first of each key."""
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

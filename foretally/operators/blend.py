@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.operators.joins import small_join
 
-MAX_MEMBERS = 20
+#: Members whose second moments one aggregation holds.
+MAX_MEMBERS = 64
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -68,27 +68,55 @@ def apply_centred(df: DataFrame, weights: DataFrame, keys: Sequence[str],
     return rows.withColumn("blend", blend).drop("base", *[f"w_{c}" for c in cols])
 
 
-def simplex_weights(s: np.ndarray, t: np.ndarray, ridge: float) -> np.ndarray:
-    """Minimise w'Sw - 2t'w + ridge*|w - 1/m|^2 with w >= 0 and sum 1, by support."""
+def simplex_gap(s: np.ndarray, t: np.ndarray, ridge: float, w: np.ndarray) -> float:
+    """By how much ``w`` misses the optimality conditions of ``simplex_weights``; 0 at the optimum.
+
+    The sum is 1, no weight is negative, the slope is the same for all members with weight and not lower
+    for the others.
+    """
+    m = len(t)
+    slope = 2 * ((s + ridge * np.eye(m)) @ w - t - ridge / m)
+    level = float(w @ slope)
+    return max(abs(float(w.sum()) - 1), -float(w.min()), level - float(slope.min()),
+               float(np.abs(slope - level)[w > 1e-12].max()))
+
+
+def simplex_weights(s: np.ndarray, t: np.ndarray, ridge: float, rounds: int | None = None) -> np.ndarray:
+    """Minimise w'Sw - 2t'w + ridge*|w - 1/m|^2 with w >= 0 and sum 1, by an active set.
+
+    Members with weight are solved for exactly. Where the solution leaves the simplex, the step is cut at
+    the first weight that reaches zero and that member goes; at a solution inside, the member whose slope
+    is lowest comes in. Every solution lowers the value, so no set of members comes twice. Raises where
+    the optimality conditions are not met in the end.
+    """
     m = len(t)
-    if m > 12:
-        raise ValueError("at most 12 members")
     a, b = s + ridge * np.eye(m), t + ridge / m
-    best, arg = np.inf, None
-    for size in range(1, m + 1):
-        for sup in combinations(range(m), size):
-            idx = list(sup)
-            kkt = np.block([[2 * a[np.ix_(idx, idx)], np.ones((size, 1))],
-                            [np.ones((1, size)), np.zeros((1, 1))]])
-            w = np.linalg.lstsq(kkt, np.append(2 * b[idx], 1.0), rcond=None)[0][:size]
-            if (w < -1e-12).any():
-                continue
-            value = w @ a[np.ix_(idx, idx)] @ w - 2 * b[idx] @ w
-            if value < best - 1e-15:
-                best, arg = value, (idx, w)
-    out = np.zeros(m)
-    out[arg[0]] = np.clip(arg[1], 0, None)
-    return out / out.sum()
+    scale = max(float(np.abs(a).max()), float(np.abs(b).max()), 1e-300)
+    w = np.zeros(m)
+    w[int(np.argmin(np.diag(a) - 2 * b))] = 1.0
+    free = w > 0
+    for _ in range(rounds or 50 * (m + 1)):
+        idx = np.flatnonzero(free)
+        kkt = np.block([[2 * a[np.ix_(idx, idx)], np.ones((len(idx), 1))], [np.ones((1, len(idx))), np.zeros((1, 1))]])
+        goal = np.zeros(m)
+        goal[idx] = np.linalg.lstsq(kkt, np.append(2 * b[idx], 1.0), rcond=None)[0][:len(idx)]
+        out = idx[goal[idx] <= 0]
+        if len(out):
+            step = w[out] / np.maximum(w[out] - goal[out], 1e-300)
+            w = w + step.min() * (goal - w)
+            gone = out[step <= step.min()]
+            w[gone], free[gone] = 0.0, False
+            continue
+        w = goal
+        slope = 2 * (a @ w - b)
+        spare = np.where(free, np.inf, slope - w @ slope)
+        if spare.min() >= -1e-12 * scale:
+            break
+        free[int(np.argmin(spare))] = True
+    w = np.clip(w, 0, None) / np.clip(w, 0, None).sum()
+    if simplex_gap(s, t, ridge, w) > 1e-7 * scale:
+        raise ArithmeticError("simplex weights did not reach the optimality conditions")
+    return w
 
 
 def simplex_blend(df: DataFrame, y: str, cols: Sequence[str], ridge: float) -> dict[str, float]:

@@ -7,10 +7,11 @@ checkpoint folder; each Newton step then aggregates those cells.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foretally import session
@@ -35,11 +36,13 @@ def with_params(cells: DataFrame, params: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
-           moments: Mapping[str, Column], update: Mapping[str, Column], steps: int = 25,
-           tolerance: float = 1e-10) -> DataFrame:
+           moments: Mapping[str, Column], update: Mapping[str, Column], steps: int = 100,
+           tolerance: float = 1e-10, within: float = 30.0) -> DataFrame:
     """Iterate per-group parameters: aggregate ``moments`` over cells, then ``update``.
 
-    Parameters stay a DataFrame with one row per group; each step cuts its lineage.
+    Parameters stay a DataFrame with one row per group; each step cuts its lineage. A parameter that runs
+    beyond ``within`` has no finite optimum (a group of one outcome) and is held there. Raises
+    ArithmeticError where ``steps`` leave a parameter moving.
     """
     cells = session.checkpoint(cells)
     params = session.checkpoint(cells.groupBy(*keys).agg(F.lit(1)).select(
@@ -51,14 +54,15 @@ def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
         table = F.broadcast(params) if groups <= most else params
         joined = null_safe_join(cells, table, keys) if keys else with_params(cells, params, keys)
         sums = joined.groupBy(*keys, *start).agg(*[F.sum(m).alias(n) for n, m in moments.items()])
+        held = {n: F.when(F.isnan(update[n]), F.col(n)).otherwise(clip(update[n], -within, within)) for n in start}
         moved = session.checkpoint(sums.select(
-            *keys, *[update[n].alias(n) for n in start],
-            F.greatest(*[F.abs(update[n] - F.col(n)) for n in start],
+            *keys, *[held[n].alias(n) for n in start],
+            F.greatest(*[F.abs(held[n] - F.col(n)) for n in start],
                        F.lit(0.0)).alias("__move")))
         params = moved.drop("__move")
         if (moved.agg(F.max("__move")).first()[0] or 0.0) < tolerance:
-            break
-    return params
+            return params
+    raise ArithmeticError(f"parameters still move after {steps} steps")
 
 
 def platt(df: DataFrame, keys: Sequence[str], y: str, z: Column) -> DataFrame:
@@ -152,8 +156,11 @@ def shift_to_mean(df: DataFrame, p: str, target: Column | float) -> DataFrame:
                   {"shift": F.col("shift") + F.col("g") / F.col("h")})
 
 
-def fit_logistic(df: DataFrame, y: str, features: Mapping[str, Column], steps: int = 30) -> dict[str, float]:
-    """Maximum-likelihood weights of a few features and an intercept (k-by-k on the driver)."""
+def fit_logistic(df: DataFrame, y: str, features: Mapping[str, Column], steps: int = 100) -> dict[str, float]:
+    """Maximum-likelihood weights of a few features and an intercept (k-by-k on the driver).
+
+    Raises ArithmeticError where ``steps`` do not converge.
+    """
     names = list(features)
     cells = session.checkpoint(df.select(y, *[c.alias(n) for n, c in features.items()]).groupBy(
         *names).agg(F.count(F.lit(1)).cast("double").alias("n__"), F.sum(y).cast("double").alias("k__")))
@@ -173,6 +180,8 @@ def fit_logistic(df: DataFrame, y: str, features: Mapping[str, Column], steps: i
         w = w + step
         if np.abs(step).max() < 1e-10:
             break
+    else:
+        raise ArithmeticError(f"weights still move after {steps} steps")
     return dict(zip([*names, "intercept"], (float(x) for x in w)))
 
 
@@ -188,16 +197,78 @@ def apply_logistic(weights: Mapping[str, float], features: Mapping[str, Column])
     return sigmoid(eta)
 
 
-def isotonic(df: DataFrame, y: str, p: str):
-    """Fit a monotone map on counted forecasts; weights replace repeated rows."""
-    cells = df.groupBy(p).agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    data = VectorAssembler(inputCols=[p], outputCol="features").transform(cells)
-    return IsotonicRegression(weightCol="w", predictionCol="calibrated").fit(data)
+def _pool(stack: list, block: tuple) -> None:
+    """Put a block (lowest and highest value, weight, weighted label) on a stack whose means rise."""
+    low, high, weight, total = block
+    while stack and stack[-1][3] * weight >= total * stack[-1][2]:
+        before = stack.pop()
+        low, weight, total = before[0], weight + before[2], total + before[3]
+    stack.append((low, high, weight, total))
+
+
+def _pooled(blocks: DataFrame) -> DataFrame:
+    """Blocks of each partition's sorted blocks, pooled until their means rise."""
+    def run(batches):
+        stack: list = []
+        for batch in batches:
+            for block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                _pool(stack, block)
+        if stack:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*stack)], names=["low", "high", "weight", "total"])
+
+    return blocks.mapInArrow(run, "low double, high double, weight double, total double")
+
 
+#: Ranges of values that one step merges into one.
+MERGED = 16
 
-def apply_isotonic(model, df: DataFrame, p: str) -> DataFrame:
-    data = VectorAssembler(inputCols=[p], outputCol="features").transform(df)
-    return model.transform(data).drop("features")
+
+@dataclass(frozen=True)
+class Monotone:
+    """A rising map: values at the ends of the pooled blocks, straight lines between, level outside."""
+
+    at: tuple[float, ...]
+    value: tuple[float, ...]
+
+
+def isotonic(df: DataFrame, y: str, p: str) -> Monotone:
+    """Fit a rising map by least squares on counted forecasts.
+
+    Pooling is associative: ranges of values are pooled by themselves, then neighbouring ranges' blocks
+    together, ``MERGED`` at a time. Only the blocks left in the end reach the driver. Rows without label or
+    forecast are left out; without any, ValueError is raised.
+    """
+    q = F.col(p).cast("double")
+    cells = df.filter(q.isNotNull() & F.col(y).isNotNull()).groupBy(q.alias("low")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"), F.sum(F.col(y).cast("double")).alias("total"))
+    blocks = cells.select("low", F.col("low").alias("high"), "weight", "total")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        blocks = session.checkpoint(_pooled(blocks.repartitionByRange(parts, "low").sortWithinPartitions("low")))
+        if parts == 1:
+            break
+        parts = -(-parts // MERGED)
+    at, value = [], []
+    for r in blocks.orderBy("low").collect():
+        for end in dict.fromkeys((r["low"], r["high"])):
+            at.append(end)
+            value.append(r["total"] / r["weight"])
+    if not at:
+        raise ValueError("no rows to fit")
+    return Monotone(tuple(at), tuple(value))
+
+
+def apply_isotonic(model: Monotone, df: DataFrame, p: str) -> DataFrame:
+    """Add ``calibrated``: the map at ``p``, NULL where that is."""
+    q = F.col(p).cast("double")
+    ends, values = F.lit(list(model.at)), F.lit(list(model.value))
+    split = Bucketizer(splits=[float("-inf"), *model.at, float("inf")], inputCol="__p", outputCol="__at", handleInvalid="keep")
+    out = split.transform(df.withColumn("__p", F.coalesce(q, F.lit(0.0))))
+    k = F.col("__at").cast("int")
+    x0, x1, v0, v1 = (F.element_at(c, i) for c in (ends, values) for i in (k, k + 1))
+    inner = v0 + (v1 - v0) * (q - x0) / (x1 - x0)
+    told = F.when(k == 0, F.lit(model.value[0])).when(k >= len(model.at), F.lit(model.value[-1])).otherwise(inner)
+    return out.withColumn("calibrated", F.when(q.isNotNull(), told)).drop("__p", "__at")
 
 
 def walk_forward_isotonic(df: DataFrame, season: str, y: str, p: str,

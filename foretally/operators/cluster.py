@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally import session
 from foretally.functions.rates import entropy, ratio
-from foretally.operators.joins import sized, small_join
+from foretally.operators import blocks
+from foretally.operators.joins import null_safe_join, sized, small_join
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
 
 
@@ -54,9 +56,12 @@ def soft_membership(df: DataFrame, dims: Sequence[str], centres: np.ndarray, lab
         "top_gap": F.get(ranked, 0) - F.coalesce(F.get(ranked, 1), F.lit(0.0))}).drop(*names, "__low")
 
 
-def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, steps: int = 30,
-                     floor: float = 1e-4, label: str = "cluster") -> tuple[DataFrame, dict]:
-    """Gaussian mixture with diagonal covariances: one aggregation of moments per EM step."""
+def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, steps: int = 500,
+                     floor: float = 1e-4, label: str = "cluster", tolerance: float = 1e-4) -> tuple[DataFrame, dict]:
+    """Gaussian mixture with diagonal covariances: one aggregation of moments per EM step.
+
+    Steps end when no mean moves by more than ``tolerance``; ArithmeticError is raised where ``steps`` do not do.
+    """
     _, mean = kmeans(df, dims, k, seed, "__start")
     row = df.agg(*[F.var_pop(d) for d in dims]).first()
     var = np.tile(np.maximum(np.array(row, dtype=float), floor), (k, 1))
@@ -87,8 +92,10 @@ def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, step
         new = got[:, 1:1 + len(dims)] / n
         var = np.maximum(got[:, 1 + len(dims):] / n - new ** 2, 0.0) + floor
         moved, mean, mix = np.abs(new - mean).max(), new, got[:, 0] / got[:, 0].sum()
-        if moved < 1e-6:
+        if moved < tolerance:
             break
+    else:
+        raise ArithmeticError(f"means still move after {steps} steps")
     out = data.withColumns({f"member_{j}": p for j, p in enumerate(posterior())})
     best = F.array_position(F.array(*[F.col(f"member_{j}") for j in range(k)]),
                             F.greatest(*[F.col(f"member_{j}") for j in range(k)])) - 1
@@ -126,20 +133,39 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, ident: str, dims: Sequence[str], label: str, chunk: int = 2048) -> DataFrame:
-    """Mean Euclidean silhouette. Points meet chunks of each cluster and keep distance sums."""
-    pts = df.select(F.col(ident).alias("i"), F.array(*[F.col(d).cast("double") for d in dims]).alias("v"),
-                    F.col(label).alias("c"))
-    sizes = pts.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    parts = max(1, -(-df.count() // chunk))
-    packed = pts.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")).groupBy(
-        "part", F.col("c").alias("oc")).agg(F.collect_list("v").alias("others"))
-    facing = pts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    gap = lambda o: F.sqrt(F.aggregate(F.zip_with("v", o, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    met = facing.join(packed, "part").select("i", "c", "oc", F.aggregate(
-        "others", F.lit(0.0), lambda s, o: s + gap(o)).alias("d"))
-    sums = met.groupBy("i", "c", "oc").agg(F.sum("d").alias("d")).join(sizes.withColumnRenamed("c", "oc"), "oc")
+    """Mean Euclidean silhouette. Each pair of blocks of points is measured once, for both sides."""
+    pts = df.select(F.col(ident).alias("id"), F.array(*[F.col(d).cast("double") for d in dims]).alias("v"), F.col(label).alias("c"))
+    size = blocks.even_size(df.count(), chunk, df.sparkSession.sparkContext.defaultParallelism)
+    blocked = blocks.in_blocks(pts, "id", "v", size)
+    sizes = blocked.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    kinds = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
+
+    def summed(ids: pa.Array, own: pa.Array, other: pa.Array, gaps: np.ndarray) -> pa.RecordBatch:
+        """Distances of each point to the other side's points, added up by their label."""
+        coded = other.dictionary_encode()
+        at, k = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+        sums = gaps @ (at[:, None] == np.arange(k)[None, :]).astype(float)
+        again, labels = np.repeat(np.arange(len(ids)), k), np.tile(np.arange(k), len(ids))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(again)), own.take(pa.array(again)),
+                                           coded.dictionary.take(pa.array(labels)), pa.array(sums.reshape(-1))],
+                                          names=["id", "c", "oc", "d"])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                sides = [one.column(name).flatten() for name in ("left", "right")]
+                a, b = (blocks.columns(one.column(name), (), "v")["v"] for name in ("left", "right"))
+                gaps = np.sqrt(blocks.squared_gaps(a, b))
+                yield summed(sides[0].field("id"), sides[0].field("c"), sides[1].field("c"), gaps)
+                if one.column("i")[0] != one.column("j")[0]:
+                    yield summed(sides[1].field("id"), sides[1].field("c"), sides[0].field("c"), gaps.T)
+
+    met = blocks.facing(blocks.pairs_of_blocks(blocked), blocks.packed(blocked, ["id", "v", "c"])).mapInArrow(
+        run, f"id {kinds['id']}, c {kinds['c']}, oc {kinds['c']}, d double")
+    sums = met.groupBy("id", "c", "oc").agg(F.sum("d").alias("d")).join(sizes.withColumnRenamed("c", "oc"), "oc")
     own = F.col("c") == F.col("oc")
-    per = sums.groupBy("i", "c").agg(
+    per = sums.groupBy("id", "c").agg(
         F.max(F.when(own, F.try_divide(F.col("d"), F.col("m") - 1))).alias("a"),
         F.min(F.when(~own, F.col("d") / F.col("m"))).alias("b"), F.max(F.when(own, F.col("m"))).alias("m"))
     s = F.when(F.col("m") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -171,20 +197,83 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
                                           F.lit(1.0)).alias("ari"))
 
 
-def safe_types(df: DataFrame, n: str, dims: Sequence[str], k: int, min_n: int, seed: int,
-               min_share: float = 0.05, label: str = "type") -> DataFrame:
-    """Cluster entities with enough rows, lowering k until no cluster is tiny; others get -1."""
-    big = session.checkpoint(df.filter(F.col(n) >= min_n))
-    total = big.agg(F.sum(n)).first()[0] or 1
-    rest = df.filter(F.col(n) < min_n).withColumn(label, F.lit(-1))
-    for size in range(max(1, min(k, big.count() // 5 or 1)), 0, -1):
-        if size == 1:
-            out = big.withColumn(label, F.lit(0))
+def _nearest(dims: Sequence[str], centres: str = "centres") -> Column:
+    """(d2, cluster) of the nearest of a row's centres, the lower number where two are as near."""
+    at = F.array(*[F.col(d).cast("double") for d in dims])
+    gap = lambda c: F.aggregate(F.zip_with(at, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(gap(c).alias("d2"), i.alias("cluster"))))
+
+
+def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: int, seed: int = 0,
+                   weight: str | None = None, rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """K-means of every group at once: (rows with ``cluster`` and ``d2``, centres by group).
+
+    Centres are a table keyed by group. First centres are far apart: the row of least digest, then the row
+    farthest from those there are. Each round is one join with the centres and one aggregation for all groups;
+    rounds end when no centre moves, and ArithmeticError is raised where ``rounds`` do not do. A centre that
+    loses all its rows stays where it is. Groups of fewer different rows than ``k`` have equal centres.
+    """
+    data = session.checkpoint(df)
+    point = F.array(*[F.col(d).cast("double") for d in dims])
+    digest = F.xxhash64(*dims, F.lit(seed))
+    centres = session.checkpoint(data.groupBy(*keys).agg(F.array(F.min_by(point, F.struct(digest, point))).alias("centres")))
+    small = centres.count() * k * len(dims) * 8 <= session.broadcast_bytes(df.sparkSession)
+    joined = lambda table: null_safe_join(data, F.broadcast(table) if small else table, keys)
+    for _ in range(1, k):
+        far = joined(centres).groupBy(*keys, "centres").agg(F.max_by(point, F.struct(_nearest(dims)["d2"], digest, point)).alias("far"))
+        centres = session.checkpoint(far.select(*keys, F.concat("centres", F.array("far")).alias("centres")))
+    load = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    for _ in range(rounds):
+        told = joined(centres).withColumn("cluster", _nearest(dims)["cluster"])
+        means = told.groupBy(*keys, "centres", "cluster").agg(
+            F.array(*[F.try_divide(F.sum(load * F.col(d).cast("double")), F.sum(load)) for d in dims]).alias("mean"))
+        # Clusters in use replace their centre; the others keep theirs.
+        by = means.groupBy(*keys, "centres").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
+        new = F.transform("centres", lambda c, i: F.coalesce(F.element_at("means", i), c))
+        moved = F.array_max(F.zip_with("centres", new, lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))))
+        after = session.checkpoint(by.select(*keys, new.alias("centres"), moved.alias("__moved")))
+        centres = after.drop("__moved")
+        if (after.agg(F.max("__moved")).first()[0] or 0.0) <= tolerance:
             break
-        out, _ = kmeans(big, dims, size, seed, label)
-        share = out.groupBy(label).agg((F.sum(n) / total).alias("s")).agg(
-            F.min("s"), F.count(F.lit(1))).first()
-        if share[1] == size and share[0] >= min_share:
+    else:
+        raise ArithmeticError(f"centres still move after {rounds} rounds")
+    out = joined(centres).withColumn("__near", _nearest(dims))
+    return out.select(*data.columns, F.col("__near.cluster").alias("cluster"), F.col("__near.d2").alias("d2")), centres
+
+
+def safe_types(df: DataFrame, n: str, dims: Sequence[str], k: int, min_n: int, seed: int,
+               min_share: float = 0.05, label: str = "type", keys: Sequence[str] = (), low: float = 0.01,
+               high: float = 0.99) -> DataFrame:
+    """Cluster entities with enough rows, lowering k until no cluster is tiny; others get -1.
+
+    Each group of ``keys`` is clustered for itself, on dimensions winsorised at its quantiles ``low`` and ``high``
+    and standardised, and on the logarithm of its rows likewise. k starts the same for every group; a group whose
+    smallest cluster holds less than ``min_share`` of its rows, or that has fewer clusters in use, tries one less.
+    """
+    groups, own = list(keys), [f"__{d}" for d in (*dims, "volume")]
+    big = df.filter(F.col(n) >= min_n).withColumns({
+        **{f"__{d}": F.col(d).cast("double") for d in dims}, "__volume": F.log1p(F.col(n).cast("double"))})
+    quantile = metric_quantiles(big, groups, own, {"lo": low, "hi": high})
+    bounds = quantile.groupBy(*groups).agg(*[F.max(F.when(F.col("metric") == c, F.col(e))).alias(f"{c}_{e}") for c in own for e in ("lo", "hi")])
+    join = lambda left, right: null_safe_join(left, right, groups) if groups else left.crossJoin(F.broadcast(right))
+    capped = join(big, bounds).withColumns({c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo")) for c in own})
+    spread = capped.groupBy(*groups).agg(*[f(c).alias(f"{c}_{e}") for c in own for e, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = join(capped.drop(*[f"{c}_{e}" for c in own for e in ("lo", "hi")]), spread).withColumns({
+        c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")), F.lit(0.0)) for c in own})
+    left = session.checkpoint(scaled.drop(*[f"{c}_{e}" for c in own for e in ("m", "s")]).withColumn("__all", F.lit(0)))
+    by = groups or ["__all"]
+    rest = df.filter(F.coalesce(F.col(n) < min_n, F.lit(True))).withColumn(label, F.lit(-1))
+    out = None
+    for size in range(k, 0, -1):
+        told, _ = grouped_kmeans(left, by, own, size, seed)
+        told = session.checkpoint(told)
+        cells = told.groupBy(*by, "cluster").agg(F.sum(n).alias("__c"))
+        fine = cells.groupBy(*by).agg((F.min("__c") / F.sum("__c")).alias("__share"), F.count(F.lit(1)).alias("__used")).filter(
+            (F.col("__used") == size) & (F.col("__share") >= min_share) | F.lit(size == 1)).select(*by)
+        good = null_safe_join(told, fine, by, "left_semi").withColumn(label, F.col("cluster")).select(*df.columns, label)
+        out = good if out is None else out.unionByName(good)
+        left = session.checkpoint(null_safe_join(left, fine, by, "left_anti"))
+        if left.isEmpty():
             break
     return out.unionByName(rest)
 

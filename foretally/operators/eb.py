@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally import session
 from foretally.functions.rates import clip, eb, half_life, ratio, reliability
+from foretally.operators import blocks
 from foretally.operators.joins import small_join
 from foretally.operators.ranks import metric_quantiles
 
@@ -199,13 +202,39 @@ def entity_logit_shift(df: DataFrame, entity: str, y: str, p: str, strength: flo
     return out.select(entity, "n", clip(shift, -bound, bound).alias("shift"))
 
 
+#: Share of an entity's own sum that pairs of far blocks, all together, may leave out.
+FAR = 1e-12
+
+
+def _near_pairs(blocked: DataFrame, dims: int, bandwidth: float) -> DataFrame:
+    """Pairs of blocks that are not proven to be too far apart to matter.
+
+    The weights between two blocks are at most that of their boxes' distance; those inside a block at least
+    that of its box's diagonal. A pair goes if its greatest weight, given to everything there is, is below
+    ``FAR`` of the least that every point of either block gets from its own block.
+    """
+    scale = 2.0 * bandwidth * bandwidth
+    ends = [f(F.get("v", i)).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    mass = F.greatest(F.col("n"), F.abs("s"))
+    boxes = session.checkpoint(blocked.groupBy("block").agg(*ends, (F.sum("n") - F.max("n")).alias("rest"), F.sum(mass).alias("mass")))
+    total = boxes.agg(F.sum("mass")).first()[0] or 0.0
+    square = lambda terms: sum((t * t for t in terms), F.lit(0.0))
+    own = F.exp(-square([F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dims)]) / scale) * F.col("rest")
+    boxes = boxes.withColumn("own", own)
+    side = lambda name: boxes.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in boxes.columns if c != "block"])
+    pairs = blocks.pairs_of_blocks(boxes).join(side("i"), "i").join(side("j"), "j")
+    gap = [F.greatest(F.col(f"i_lo{d}") - F.col(f"j_hi{d}"), F.col(f"j_lo{d}") - F.col(f"i_hi{d}"), F.lit(0.0)) for d in range(dims)]
+    most = F.exp(-square(gap) / scale) * F.lit(float(total))
+    return pairs.filter((F.col("i") == F.col("j")) | (most > FAR * F.least("i_own", "j_own"))).select("i", "j")
+
+
 def kernel_neighbours(profiles: DataFrame, entity: str, dims: Sequence[str], s: str, n: str,
                       bandwidth: float, strength: float, chunk: int = 2048) -> DataFrame:
     """Shrink each entity to the Gaussian-weighted rate of the other entities.
 
-    Profiles are winsorised at 1/99 % and standardised. Neighbours are packed into chunks of
-    at most ``chunk`` entities; an entity meets each chunk once and keeps two running sums,
-    so no pair rows are produced and memory is bounded by the chunk.
+    Profiles are winsorised at 1/99 % and standardised. Entities stand in blocks of neighbours in space;
+    each pair of blocks is worked through once for both sides, and pairs too far apart to change any sum by
+    ``FAR`` of it are left out. ``n`` must not be negative; memory is bounded by the block.
     """
     profiles = session.checkpoint(profiles.select(entity, s, n, *dims))
     bounds = {r["metric"]: (r["lo"], r["hi"]) for r in metric_quantiles(
@@ -215,28 +244,33 @@ def kernel_neighbours(profiles: DataFrame, entity: str, dims: Sequence[str], s:
                      *[F.stddev_pop(d).alias(f"s_{d}") for d in dims]).first()
     vec = F.array(*[F.coalesce((F.col(d) - F.lit(row[f"m_{d}"])) / F.lit(row[f"s_{d}"] or 1.0), F.lit(0.0))
                     for d in dims])
-    points = capped.select(entity, s, n, vec.alias("v"))
-    count = profiles.count()
-    parts = max(1, -(-count // chunk))
-    place = F.pmod(F.xxhash64(entity), F.lit(parts)).cast("int")
-    packed = points.withColumn("part", place).groupBy("part").agg(F.collect_list(
-        F.struct(F.col(entity).alias("id"), F.col("v").alias("v"), F.col(s).cast("double").alias("s"),
-                 F.col(n).cast("double").alias("n"))).alias("others"))
-    facing = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def weight(o: Column) -> Column:
-        d2 = F.aggregate(F.zip_with("v", o["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                         lambda acc, x: acc + x)
-        return F.when(o["id"] == F.col(entity), 0.0).otherwise(
-            F.exp(-d2 / F.lit(2.0 * bandwidth * bandwidth)))
-
-    met = facing.join(packed, "part").select(entity, s, n, F.aggregate(
-        "others", F.struct(F.lit(0.0).alias("ws"), F.lit(0.0).alias("wn")),
-        lambda acc, o: F.struct((acc["ws"] + weight(o) * o["s"]).alias("ws"),
-                                (acc["wn"] + weight(o) * o["n"]).alias("wn"))).alias("a"))
-    near = met.groupBy(entity, s, n).agg(F.sum("a.ws").alias("ws"), F.sum("a.wn").alias("wn"))
-    mu = near.withColumn("mu", ratio("ws", "wn"))
-    return mu.select(entity, "mu", (eb(s, n, strength, F.col("mu")) - F.col("mu")).alias("dev"))
+    points = capped.select(F.col(entity).alias("id"), F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias("s"),
+                           F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("n"), vec.alias("v"))
+    size = blocks.even_size(profiles.count(), chunk, profiles.sparkSession.sparkContext.defaultParallelism)
+    blocked = blocks.in_blocks(points, "id", "v", size)
+    scale = 2.0 * bandwidth * bandwidth
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                sides = [one.column(name) for name in ("left", "right")]
+                a, b = (blocks.columns(x, ("s", "n"), "v") for x in sides)
+                w = np.exp(-blocks.squared_gaps(a["v"], b["v"]) / scale)
+                same = one.column("i")[0] == one.column("j")[0]
+                if same:
+                    np.fill_diagonal(w, 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [sides[0].flatten().field("id"), pa.array(w @ b["s"]), pa.array(w @ b["n"])], names=["id", "ws", "wn"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays(
+                        [sides[1].flatten().field("id"), pa.array(a["s"] @ w), pa.array(a["n"] @ w)], names=["id", "ws", "wn"])
+
+    met = blocks.facing(_near_pairs(blocked, len(dims), bandwidth), blocks.packed(blocked, ["id", "s", "n", "v"])).mapInArrow(
+        run, f"id {profiles.schema[entity].dataType.simpleString()}, ws double, wn double")
+    near = met.groupBy("id").agg(F.sum("ws").alias("ws"), F.sum("wn").alias("wn"))
+    mu = near.join(capped.select(F.col(entity).alias("id"), s, n), "id").withColumn("mu", ratio("ws", "wn"))
+    return mu.select(F.col("id").alias(entity), "mu", (eb(s, n, strength, F.col("mu")) - F.col("mu")).alias("dev"))
 
 
 def recency_weight(season: str, target: int | Column, life: float) -> Column:

@@ -64,14 +64,30 @@ def _orthonormal(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, np.nda
                      *[_combine(names, turn[:, i]).alias(names[i]) for i in range(m)]), gram
 
 
-def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, iterations: int = 8,
-                  oversample: int = 4, prefix: str = "svd") -> tuple[DataFrame, DataFrame, list[float]]:
+def _residual(pairs: DataFrame, names: Sequence[str], dim: int) -> float:
+    """How far the basis ``q`` is from a leading subspace: the largest residual of its first ``dim`` Ritz pairs
+    relative to the largest Ritz value. ``pairs`` holds the basis (names with ``o``) and its image (names)."""
+    m = len(names)
+    every = [(i, j) for i in range(m) for j in range(m)]
+    row = pairs.agg(*[F.sum(F.col(f"o{names[i]}") * F.col(names[j])) for i, j in every],
+                    *[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in every]).first()
+    small, square = (np.array(part, dtype=float).reshape(m, m) for part in (row[:m * m], row[m * m:]))
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    values, turn = values[::-1][:dim], turn[:, ::-1][:, :dim]
+    off = np.einsum("ij,ik,kj->j", turn, square, turn) - values ** 2
+    return float(np.sqrt(np.clip(off, 0, None)).max() / max(values[0], 1e-300))
+
+
+def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, iterations: int = 100,
+                  oversample: int = 4, prefix: str = "svd", tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float], float]:
     """Leading singular triples of a long sparse matrix by block power iteration.
 
-    Every step is two joins and two grouped sums of ``dim + oversample`` columns; only the
-    small Gram matrices reach the driver, so neither axis is bounded. Returns row scores
-    (left vectors times singular values), column loadings and singular values; the largest
-    loading of each component is positive.
+    Every step is three joins and two grouped sums of ``dim + oversample`` columns; only the
+    small Gram matrices reach the driver, so neither axis is bounded. Steps end when the residual of the
+    leading subspace (relative to the largest squared singular value) is at most ``tolerance``; where
+    ``iterations`` do not reach it, ArithmeticError is raised. Returns row scores (left vectors times
+    singular values), column loadings, singular values and the residual; the largest loading of each
+    component is positive.
     """
     m = dim + oversample
     names = [f"q{i:02d}" for i in range(m)]
@@ -83,8 +99,14 @@ def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, it
     times = lambda by: [F.sum(F.col("x") * F.col(n)).alias(n) for n in names]
     for _ in range(iterations):
         scores = cells.join(basis, "c").groupBy("r").agg(*times("r"))
-        back = session.checkpoint(cells.join(scores, "r").groupBy("c").agg(*times("c")))
-        basis, _ = _orthonormal(back, names)
+        image = cells.join(scores, "r").groupBy("c").agg(*times("c"))
+        both = session.checkpoint(image.join(basis.select("c", *[F.col(n).alias(f"o{n}") for n in names]), "c"))
+        residual = _residual(both, names, dim)
+        basis, _ = _orthonormal(both.select("c", *names), names)
+        if residual <= tolerance:
+            break
+    else:
+        raise ArithmeticError(f"residual {residual} after {iterations} iterations")
     scores = session.checkpoint(cells.join(basis, "c").groupBy("r").agg(*times("r")))
     _, gram = _orthonormal(scores, names)
     values, turn = np.linalg.eigh(gram)
@@ -97,7 +119,26 @@ def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, it
     left = scores.select(F.col("r").alias(row), *[
         (_combine(names, turn[:, i]) * F.lit(sign[n])).alias(n) for i, n in enumerate(out)])
     right = right.select(F.col("c").alias(col), *[(F.col(n) * F.lit(sign[n])).alias(n) for n in out])
-    return left, right, [float(s) for s in sigma]
+    return left, right, [float(s) for s in sigma], residual
+
+
+def reconstruction(cells: DataFrame, left: DataFrame, right: DataFrame, row: str, col: str, value: str,
+                   dims: Sequence[str]) -> DataFrame:
+    """One row: the cells' energy (sum of squares) and what is left of it once the components are taken off.
+
+    Cells that are not listed are zero: over them the components' own energy is the product of both sides'
+    Gram matrices, so no full matrix is made.
+    """
+    fit = sum((F.col(f"__l_{d}") * F.col(f"__r_{d}") for d in dims), F.lit(0.0))
+    met = (cells.join(left.select(row, *[F.col(d).alias(f"__l_{d}") for d in dims]), row)
+           .join(right.select(col, *[F.col(d).alias(f"__r_{d}") for d in dims]), col))
+    x = F.col(value).cast("double")
+    sums = met.agg(F.sum(x * x).alias("energy"), F.sum(x * fit).alias("shared"))
+    every = [(a, b) for a in dims for b in dims]
+    gram = lambda df, name: df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{name}_{a}_{b}") for a, b in every])
+    both = sums.crossJoin(gram(left, "l")).crossJoin(gram(right, "r"))
+    own = sum((F.col(f"l_{a}_{b}") * F.col(f"r_{a}_{b}") for a, b in every), F.lit(0.0))
+    return both.select("energy", (F.col("energy") - 2 * F.col("shared") + own).alias("left_over"))
 
 
 def interaction_cells(df: DataFrame, a: str, b: str, residual: str, strength: float, season: str,

@@ -109,6 +109,46 @@ def previous_season(df: DataFrame, entity: str, season: str,
             .withColumn(season, F.col(season) + 1))
 
 
+def _entity_windows(h: History, game: str, day: str, season: str, sums: Mapping[str, Column],
+                    last_n: Sequence[int], width: int = 14) -> DataFrame:
+    """All windows of ``history_rates`` over rows dealt once, by entity.
+
+    Days and seasons are range frames on their numbers, so rows of one day see the same past; windows
+    inside a game or season keep the entity's partitioning and only sort again.
+    """
+    entity, = h.keys
+    longest = max(last_n)
+    totals = h.running({f"__t_{n}": e for n, e in sums.items()})
+    rows = totals.frames(longest, lambda w: {
+        f"{n}__l{k}": F.col(f"__t_{n}") - F.coalesce(F.lag(f"__t_{n}", k).over(w), F.lit(0))
+        for n in sums for k in last_n}).df
+    number = F.unix_date(F.col(day).cast("date"))
+    every = Window.unboundedPreceding
+    frames = {"near": Window.partitionBy(entity).orderBy(number).rangeBetween(-width, -1),
+              "car": Window.partitionBy(entity).orderBy(number).rangeBetween(every, -1),
+              "szn": Window.partitionBy(entity, season).orderBy(number).rangeBetween(every, -1),
+              "pszn": Window.partitionBy(entity).orderBy(F.col(season)).rangeBetween(-1, -1)}
+    known = F.col(entity).isNotNull() & F.col(season).isNotNull()
+    dated = known & F.col(day).isNotNull()
+    made = {f"{n}__{name}": F.when(known if name == "pszn" else dated, F.sum(e).over(w))
+            for name, w in frames.items() for n, e in sums.items()}
+    inside = Window.partitionBy(entity, game).orderBy(*h.order.columns()).rowsBetween(every, -1)
+    made |= {f"{n}__day": F.coalesce(F.sum(e).over(inside), F.lit(0)) for n, e in sums.items()}
+    return rows.withColumns(made).drop(*[f"__t_{n}" for n in sums])
+
+
+def _table_windows(h: History, game: str, day: str, season: str, sums: Mapping[str, Column],
+                   last_n: Sequence[int]) -> DataFrame:
+    """The same windows where an entity is too large for one task: days and seasons come from their own tables."""
+    entity, = h.keys
+    within = History(h.df, [game, entity], h.order, h.limit).running({f"{n}__day": e for n, e in sums.items()})
+    recent = History(within.df, [entity], h.order, h.limit, h.cuts, h.base)
+    for reach in last_n:
+        recent = last_n_sums(recent, {f"{n}__l{reach}": e for n, e in sums.items()}, reach)
+    return (recent.df.join(daily_windows(h.df, entity, day, season, sums), [entity, season, day], "left")
+            .join(previous_season(h.df, entity, season, sums), [entity, season], "left"))
+
+
 def history_rates(df: DataFrame, entity: str, game: str, day: str, season: str, order: Order,
                   rates: Mapping[str, tuple[Column, Column]], strength: Mapping[str, float],
                   prior: Mapping[str, Column | float], last_n: Sequence[int] = (100, 500),
@@ -116,19 +156,14 @@ def history_rates(df: DataFrame, entity: str, game: str, day: str, season: str,
     """Rates in seven windows with shrinkage, sample size and missing flag.
 
     Windows: earlier rows of the game (day), previous 14 days, season and career to
-    yesterday, the whole previous season, and the last N rows.
+    yesterday, the whole previous season, and the last N rows. The log is shuffled once unless an
+    entity is hot.
     """
     sums = {}
     for m, (num, den) in rates.items():
         sums[f"{m}_n"], sums[f"{m}_d"] = num, den
-    within = History(df, [game, entity], order, hot_rows).running(
-        {f"{n}__day": e for n, e in sums.items()})
-    recent = within.regroup([entity])
-    for reach in last_n:
-        recent = last_n_sums(recent, {f"{n}__l{reach}": e for n, e in sums.items()}, reach)
-    out = (recent.df
-           .join(daily_windows(df, entity, day, season, sums), [entity, season, day], "left")
-           .join(previous_season(df, entity, season, sums), [entity, season], "left"))
+    h = History(df, [entity], order, hot_rows)
+    out = (_entity_windows if h.cuts is None else _table_windows)(h, game, day, season, sums, last_n)
     made = {}
     for w in ["day", "near", "szn", "pszn", "car", *[f"l{n}" for n in last_n]]:
         for m in rates:

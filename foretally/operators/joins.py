@@ -24,6 +24,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
         *[f"__r_{k}" for k in keys])
 
 
+def row_bytes(table: DataFrame) -> Column:
+    """About how many bytes a row of ``table`` takes when it is sent."""
+    size = F.lit(16)
+    for f in table.schema.fields:
+        text = isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        size = size + (F.length(F.coalesce(F.to_json(F.struct(f.name)), F.lit(""))) if text else F.lit(8))
+    return size
+
+
 def sized(table: DataFrame) -> DataFrame:
     """Store a lookup table once and broadcast it only if its measured size is small.
 
@@ -32,11 +41,7 @@ def sized(table: DataFrame) -> DataFrame:
     adaptive execution splits skewed keys.
     """
     kept = session.checkpoint(table)
-    size = F.lit(0)
-    for f in kept.schema.fields:
-        text = isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
-        size = size + (F.length(F.coalesce(F.to_json(F.struct(f.name)), F.lit(""))) if text else F.lit(8))
-    total = kept.agg(F.sum(size + 16)).first()[0] or 0
+    total = kept.agg(F.sum(row_bytes(kept))).first()[0] or 0
     return F.broadcast(kept) if total <= session.broadcast_bytes(table.sparkSession) else kept
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from foretally import session
 from foretally.functions.rates import clip, entropy
 from foretally.operators.joins import lookup_join
 from foretally.operators.metrics import probability_scores
@@ -38,17 +40,76 @@ def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[f"__x_{c}" for c in columns])
 
 
-def fit_forecaster(train: DataFrame, columns: Sequence[str], y: str, kind: str = "logistic",
-                   weight: str | None = None, seed: int = 0):
-    """Gradient-boosted trees or logistic regression on a feature matrix."""
+@dataclass(frozen=True)
+class Boosted:
+    """Trees up to the best round, that round, and the validation loss of every round trained."""
+
+    model: GBTClassificationModel
+    rounds: int
+    losses: tuple[float, ...]
+
+
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of least loss before ``patience`` rounds brought none less, and whether they did."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_boosted(rows: DataFrame, columns: Sequence[str], y: str, valid: str, rounds: int = 2000,
+                patience: int = 100, depth: int = 6, step: float = 0.1, weight: str | None = None,
+                seed: int = 0) -> Boosted:
+    """Gradient-boosted trees on the rows where ``valid`` is false, stopped by the loss on those where it is true.
+
+    Training grows by doubling the number of rounds until ``patience`` rounds in a row bring no better loss or
+    ``rounds`` are reached; rounds are the same whatever their number, so the best ones are kept by training
+    just them again. Raises where one of the two parts has no rows.
+    """
+    extra = {"weightCol": weight} if weight else {}
+    data = _features(rows.filter(F.col(y).isNotNull()), columns).select("__f", y, valid, *([weight] if weight else []))
+    # The parts are read once for every round of every training.
+    train, held = (session.checkpoint(data.filter(F.coalesce(F.col(valid), F.lit(False)) == part)) for part in (False, True))
+    if train.isEmpty() or held.isEmpty():
+        raise ValueError("training and validation both need rows")
+
+    def trained(n: int) -> GBTClassificationModel:
+        return GBTClassifier(featuresCol="__f", labelCol=y, maxIter=n, maxDepth=depth, stepSize=step, seed=seed, **extra).fit(train)
+
+    n = min(rounds, max(8, 2 * patience))
+    while True:
+        model = trained(n)
+        losses = tuple(model.evaluateEachIteration(held))
+        best, stopped = best_round(losses, patience)
+        if stopped or n == rounds:
+            return Boosted(model if best == n else trained(best), best, losses)
+        n = min(rounds, 2 * n)
+
+
+def fit_logistic_model(train: DataFrame, columns: Sequence[str], y: str, weight: str | None = None,
+                       family: str = "auto", rounds: int = 1000, ridge: float = 0.001):
+    """Logistic regression run until it converges; raises where ``rounds`` do not do."""
     extra = {"weightCol": weight} if weight else {}
+    model = LogisticRegression(featuresCol="__f", labelCol=y, family=family, maxIter=rounds, regParam=ridge, **extra).fit(
+        _features(train, columns))
+    if model.summary.totalIterations >= rounds:
+        raise ArithmeticError(f"logistic regression did not converge in {rounds} iterations")
+    return model
+
+
+def fit_forecaster(train: DataFrame, columns: Sequence[str], y: str, kind: str = "logistic",
+                   weight: str | None = None, seed: int = 0, valid: str | None = None, **boosting):
+    """A converged logistic regression, or boosted trees stopped by the rows marked by ``valid``."""
     if kind == "gbt":
-        est = GBTClassifier(featuresCol="__f", labelCol=y, maxIter=10, maxDepth=3, seed=seed, **extra)
-    elif kind == "logistic":
-        est = LogisticRegression(featuresCol="__f", labelCol=y, maxIter=25, regParam=0.001, **extra)
-    else:
-        raise ValueError(kind)
-    return est.fit(_features(train, columns))
+        if valid is None:
+            raise ValueError("boosting needs a column that marks its validation rows")
+        return fit_boosted(train, columns, y, valid, weight=weight, seed=seed, **boosting).model
+    if kind == "logistic":
+        return fit_logistic_model(train, columns, y, weight)
+    raise ValueError(kind)
 
 
 def forecast(model, df: DataFrame, columns: Sequence[str], name: str = "forecast") -> DataFrame:
@@ -59,12 +120,23 @@ def forecast(model, df: DataFrame, columns: Sequence[str], name: str = "forecast
 
 
 def forward_oof(df: DataFrame, season: str, folds: Sequence[int], columns: Sequence[str], y: str,
-                kind: str = "logistic", weight: str | None = None, seed: int = 0) -> DataFrame:
-    """Out-of-fold forecasts of every fold season by a model of the seasons before it."""
+                kind: str = "logistic", weight: str | None = None, seed: int = 0, **boosting) -> DataFrame:
+    """Out-of-fold forecasts of every fold season by a model of the seasons before it.
+
+    Boosted trees are stopped by the last season before the fold, which they are not trained on, and add
+    ``rounds``, the round they kept; ``boosting`` goes to ``fit_boosted``.
+    """
     out = None
     for f in folds:
-        model = fit_forecaster(df.filter(F.col(season) < f), columns, y, kind, weight, seed)
-        part = forecast(model, df.filter(F.col(season) == f), columns).withColumn("fold", F.lit(int(f)))
+        past, now = df.filter(F.col(season) < f), df.filter(F.col(season) == f)
+        if kind == "gbt":
+            last = past.agg(F.max(season)).first()[0]
+            fit = fit_boosted(past.withColumn("__valid", F.col(season) == F.lit(last)), columns, y, "__valid",
+                              weight=weight, seed=seed, **boosting)
+            part = forecast(fit.model, now, columns).withColumn("rounds", F.lit(fit.rounds))
+        else:
+            part = forecast(fit_forecaster(past, columns, y, kind, weight, seed), now, columns)
+        part = part.withColumn("fold", F.lit(int(f)))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -75,8 +147,7 @@ def stacked_classes(df: DataFrame, group: str, k: int, columns: Sequence[str], l
     folded = df.join(grouped_folds(df, group, k), group)
     out = None
     for f in range(k):
-        model = LogisticRegression(featuresCol="__f", labelCol=label, family="multinomial", maxIter=15).fit(
-            _features(folded.filter(F.col("fold") != f), columns))
+        model = fit_logistic_model(folded.filter(F.col("fold") != f), columns, label, family="multinomial", ridge=0.0)
         part = model.transform(_features(folded.filter(F.col("fold") == f), columns))
         probs = vector_to_array("probability")
         part = part.withColumns({f"aux_{i}": F.get(probs, i) for i in range(classes)}).drop(

@@ -37,6 +37,24 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns(made)
 
 
+# Columns of the public pitch feed that are known only once the pitch has been thrown, or later.
+LATE_COLUMNS = (
+    "type", "description", "des", "events", "zone", "plate_x", "plate_z", "sz_top", "sz_bot", "release_speed",
+    "effective_speed", "release_spin_rate", "spin_axis", "spin_dir", "pfx_x", "pfx_z", "vx0", "vy0", "vz0", "ax", "ay", "az",
+    "release_pos_x", "release_pos_y", "release_pos_z", "release_extension", "hit_location", "bb_type", "launch_speed",
+    "launch_angle", "hit_distance_sc", "launch_speed_angle", "woba_value", "woba_denom", "babip_value", "iso_value",
+    "home_win_exp", "bat_win_exp", "pitch_type", "pitch_name",
+)
+#: Families of such columns by the form of their name, the labels made from them included.
+LATE_FORMS = (r"^post_", r"^delta_", r"^estimated_", r"^api_break_", r"_until_next_game$", r"^is_(csw|swing|whiff|called|take|strike)$",
+              r"^(in|out)_zone$", r"^label$")
+
+
+def late_columns(columns: Sequence[str], more: Sequence[str] = ()) -> list[str]:
+    """Those of ``columns`` that are not known before the event: by name, by family, or named in ``more``."""
+    return [c for c in columns if c in LATE_COLUMNS or c in more or any(re.search(form, c) for form in LATE_FORMS)]
+
+
 def without_banned(df: DataFrame, banned: Sequence[str]) -> DataFrame:
     """Drop banned columns and prove none is left."""
     out = df.drop(*[c for c in banned if c in df.columns])

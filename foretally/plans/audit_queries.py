@@ -141,6 +141,75 @@ def status_report(spark, sf):
     return audit.status_report(counts, ["missing_cents"])
 
 
+# Rows of the pitch table with faults of every kind; the same text serves Spark and SQL.
+FAULTY = {
+    "row_id": "CASE WHEN l_partkey % 211 = 0 THEN NULL WHEN l_partkey % 97 = 0 THEN 'X_1' ELSE concat('TRAIN_', cast(l_orderkey * 8 + l_linenumber as varchar(30))) END",
+    "y": "cast(CASE WHEN l_partkey % 89 = 0 THEN 2 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END as int)",
+    "season": "cast(year(l_shipdate) as int)",
+    "balls": "cast(l_linenumber % 4 + CASE WHEN l_suppkey % 31 = 0 THEN 4 ELSE 0 END as int)",
+    "strikes": "CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE cast(l_orderkey % 3 as int) END",
+    "month": "cast(month(l_shipdate) as int)",
+    "top": "cast(l_linenumber as int)", "bottom": "cast(l_suppkey % 7 as int)",
+    "total": "cast(l_linenumber + l_suppkey % 7 + CASE WHEN l_partkey % 61 = 0 THEN 1 ELSE 0 END as int)",
+    "on1": "cast(l_partkey % 2 as int)", "on2": "cast(l_suppkey % 2 as int)", "on3": "cast(l_orderkey % 2 as int)",
+    "runners": "cast(l_partkey % 2 + l_suppkey % 2 + CASE WHEN l_partkey % 41 = 0 THEN 3 ELSE l_orderkey % 2 END as int)",
+    "base": "concat(CASE WHEN l_partkey % 2 = 1 THEN '1' ELSE '_' END, CASE WHEN l_suppkey % 2 = 1 THEN '2' ELSE '_' END, CASE WHEN l_orderkey % 2 = 1 AND l_partkey % 37 <> 0 THEN '3' ELSE '_' END)",
+    "home_win": "20e0 + l_discount * 500e0",
+    "away_win": "80e0 - l_discount * 500e0 + CASE WHEN l_partkey % 43 = 0 THEN 5e0 WHEN l_partkey % 2 = 0 THEN 5e-2 ELSE 0e0 END",
+    "n": "cast(CASE WHEN l_partkey % 67 = 0 THEN -1 WHEN l_orderkey % 5 = 0 THEN 0 ELSE l_orderkey % 300 + 1 END as int)",
+    "rate": "CASE WHEN l_orderkey % 5 = 0 AND l_partkey % 71 <> 0 THEN NULL WHEN l_partkey % 83 = 0 THEN 1.5e0 ELSE l_tax * 2e0 END",
+    "fast": "0.5e0 + l_tax", "slow": "0.3e0 - l_tax", "other": "CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 59 = 0 THEN 0.3e0 ELSE 0.2e0 END",
+    "mix_n": "cast(CASE WHEN l_partkey % 67 = 0 THEN -1 WHEN l_orderkey % 5 = 0 THEN 0 WHEN l_partkey % 73 = 0 THEN 7 ELSE l_orderkey % 300 + 1 END as int)",
+    "game": "l_orderkey", "place": "l_linenumber", "park": "cast(l_orderkey % 30 + CASE WHEN l_partkey % 101 = 0 THEN 1 ELSE 0 END as int)",
+}
+RULES = [
+    audit.Rule("row_id_known", "known", ("row_id",)), audit.Rule("row_id_form", "matches", ("row_id", r"^TRAIN_[0-9]+$")),
+    audit.Rule("row_id_unique", "unique", (("row_id",),)), audit.Rule("y_binary", "one_of", ("y", 0, 1)),
+    audit.Rule("season_range", "within", ("season", 1995, 2000)), audit.Rule("balls_range", "within", ("balls", 0, 3)),
+    audit.Rule("strikes_range", "within", ("strikes", 0, 2)), audit.Rule("month_range", "within", ("month", 1, 12)),
+    audit.Rule("runs_add_up", "adds_up", ("total", ("top", "bottom"))), audit.Rule("runners_add_up", "adds_up", ("runners", ("on1", "on2", "on3"))),
+    audit.Rule("base_coded", "is_expression", ("base", "concat(if(on1 = 1, '1', '_'), if(on2 = 1, '2', '_'), if(on3 = 1, '3', '_'))")),
+    audit.Rule("win_sum_exact", "adds_up_to", (("home_win", "away_win"), 100, 1e-6)), audit.Rule("win_sum_near", "adds_up_to", (("home_win", "away_win"), 100, 0.100001)),
+    audit.Rule("n_not_negative", "not_below", ("n", 0)), audit.Rule("rate_range", "within_if_known", ("rate", 0, 1)),
+    audit.Rule("mix_adds_up", "adds_up_to", (("fast", "slow", "other"), 1, 2e-5)), audit.Rule("n_same", "same", ("n", "mix_n")),
+    audit.Rule("rate_null_iff_none", "null_iff_zero", ("rate", "n")), audit.Rule("place_unique", "unique", (("game", "place"),)),
+    audit.Rule("game_one_park", "agree", ("park", ("game",))), audit.Rule("game_one_season", "agree", ("season", ("game",))),
+]
+# What breaks each rule, in SQL.
+BROKEN = {
+    "row_id_known": "row_id IS NULL", "row_id_form": "row_id IS NULL OR NOT regexp_full_match(row_id, 'TRAIN_[0-9]+')", "row_id_unique": "rows_id > 1",
+    "y_binary": "y NOT IN (0, 1)", "season_range": "season < 1995 OR season > 2000", "balls_range": "balls > 3", "strikes_range": "strikes IS NULL OR strikes > 2",
+    "month_range": "month NOT BETWEEN 1 AND 12", "runs_add_up": "total <> top + bottom", "runners_add_up": "runners <> on1 + on2 + on3",
+    "base_coded": "base <> CASE on1 WHEN 1 THEN '1' ELSE '_' END || CASE on2 WHEN 1 THEN '2' ELSE '_' END || CASE on3 WHEN 1 THEN '3' ELSE '_' END",
+    "win_sum_exact": "abs(home_win + away_win - 100) > 1e-6", "win_sum_near": "abs(home_win + away_win - 100) > 0.100001", "n_not_negative": "n < 0",
+    "rate_range": "rate < 0 OR rate > 1", "mix_adds_up": "abs(fast + slow + other - 1) > 2e-5", "n_same": "n <> mix_n", "rate_null_iff_none": "(rate IS NULL) <> (n = 0)",
+    "place_unique": "rows_place > 1", "game_one_park": "parks > 1", "game_one_season": "seasons > 1",
+}
+RULE_SQL = f"""WITH t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in FAULTY.items())} FROM lineitem),
+w AS (SELECT *, count(*) OVER (PARTITION BY row_id) rows_id, count(*) OVER (PARTITION BY game, place) rows_place FROM t),
+g AS (SELECT game, count(DISTINCT park) parks, count(DISTINCT season) seasons FROM t GROUP BY 1), x AS (SELECT * FROM w JOIN g USING (game)) """ + " UNION ALL ".join(
+    f"SELECT '{r.name}' AS \"check\", '{r.kind}' kind, sum(CASE WHEN {BROKEN[r.name]} THEN 1 ELSE 0 END) violations, count(*) denominator FROM x" for r in RULES)
+
+
+def faulty(spark, sf):
+    from foretally.plans.bindings import table
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in FAULTY.items()])
+
+
+@query("rule_violations", "D6", "check:s kind:s violations:i denominator:i", RULE_SQL)
+def rule_violations(spark, sf):
+    """Twenty-one rules of all kinds on rows with planted faults, counted by one aggregation and one over keys."""
+    return audit.rule_violations(faulty(spark, sf), RULES)
+
+
+@query("rule_report", "D7 D6", "check:s violations:i status:s", f"""
+SELECT "check", violations, CASE WHEN violations = 0 THEN 'PASS' WHEN "check" IN ('win_sum_exact', 'n_same', 'mix_adds_up') THEN 'WARN' ELSE 'FAIL' END status FROM ({RULE_SQL})""")
+def rule_report(spark, sf):
+    """The rules' report with warnings for those that only inform."""
+    counts = audit.rule_violations(faulty(spark, sf), RULES).select("check", "violations")
+    return audit.status_report(counts, ["win_sum_exact", "n_same", "mix_adds_up"])
+
+
 @query("raw_log_audit", "D8", "check:s value:i", """
 WITH a AS (SELECT count(*) n, count(DISTINCT game) g, count(*) - count(DISTINCT (game, ctx)) d, count(*) - count(tax0) m FROM pit)
 SELECT 'rows' AS "check", n AS value FROM a UNION ALL SELECT 'columns', 6 FROM a UNION ALL SELECT 'games', g FROM a

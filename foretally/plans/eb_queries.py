@@ -226,7 +226,12 @@ def last_season_lookup(spark, sf):
                                    ["entity"], "season", priors, 40.0)
 
 
-TE_GROUPS = {"entity": ["entity"], "ctx": ["ctx"], "entity_hand": ["entity", "hand"]}
+TE_GROUPS = {"entity": ["entity"], "opp": ["opp"], "team": ["team"], "opp_team": ["opp_team"], "kind": ["kind"],
+             "count": ["balls", "strikes"], "hands": ["hand", "opp_side"], "entity_opp_side": ["entity", "opp_side"],
+             "entity_count": ["entity", "balls", "strikes"], "entity_kind": ["entity", "kind"], "opp_hand": ["opp", "hand"],
+             "team_kind": ["team", "kind"]}
+# Roles that the key sets need beyond the binding's.
+TE_ROLES = {"team": "entity % 30", "opp_team": "opp % 30", "kind": "month % 3", "balls": "ctx % 4", "strikes": "game % 3", "opp_side": "opp % 2"}
 TE_COLUMNS = [f"te_{g}_{s}" for g in TE_GROUPS for s in ("all", "last", "delta", "log_all_n", "log_last_n")]
 TE_KEYS = "season:i day:s game:i ctx:i opp:i entity:i"
 
@@ -235,26 +240,27 @@ def te_sql() -> str:
     parts, joins_, outs = [], [], []
     for g, keys in TE_GROUPS.items():
         k = ", ".join(keys)
-        parts.append(f"""c_{g} AS (SELECT {k}, season, sum(y) s, count(*) n FROM pit GROUP BY ALL),
+        parts.append(f"""c_{g} AS (SELECT {k}, season, sum(y) s, count(*) n FROM tp GROUP BY ALL),
 a_{g} AS (SELECT {k}, cutoff, (sum(w * s) + 80 * any_value(ewm)) / (sum(w * n) + 80) v, sum(w * n) en FROM
   (SELECT c.*, cutoff, 0.5 ** ((cutoff - season) / 2.0) w FROM c_{g} c, cut WHERE season < cutoff) JOIN pri USING (cutoff) GROUP BY ALL),
 l_{g} AS (SELECT {k}, season + 1 cutoff, (s + 40 * "last") / (n + 40) v, n FROM c_{g} JOIN pri ON pri.cutoff = season + 1)""")
-        on = lambda t: " AND ".join(f"pit.{x} = {t}.{x}" for x in keys) + f" AND pit.season = {t}.cutoff"
+        on = lambda t: " AND ".join(f"tp.{x} = {t}.{x}" for x in keys) + f" AND tp.season = {t}.cutoff"
         joins_.append(f"LEFT JOIN a_{g} ON {on('a_' + g)} LEFT JOIN l_{g} ON {on('l_' + g)}")
         a, b = f"coalesce(a_{g}.v, ewm)", f"coalesce(l_{g}.v, \"last\")"
         outs.append(f"{a} te_{g}_all, {b} te_{g}_last, {b} - {a} te_{g}_delta, "
                     f"ln(1 + coalesce(a_{g}.en, 0)) te_{g}_log_all_n, ln(1 + coalesce(l_{g}.n, 0)) te_{g}_log_last_n")
-    return f"""WITH {priors_sql(SEASONS)}, {', '.join(parts)}
-SELECT pit.season, day, game, pit.ctx, opp, pit.entity, "last" te_global_last, ewm te_global_ewm, trend te_global_trend, {', '.join(outs)}
-FROM pit JOIN pri ON pri.cutoff = pit.season {' '.join(joins_)}"""
+    return f"""WITH {priors_sql(SEASONS)}, tp AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in TE_ROLES.items())} FROM pit), {', '.join(parts)}
+SELECT tp.season, day, game, tp.ctx, tp.opp, tp.entity, "last" te_global_last, ewm te_global_ewm, trend te_global_trend, {', '.join(outs)}
+FROM tp JOIN pri ON pri.cutoff = tp.season {' '.join(joins_)}"""
 
 
 @query("temporal_target_features", "A11 J3 J4",
        TE_KEYS + " te_global_last:d te_global_ewm:d te_global_trend:d "
        + " ".join(f"{c}:d" for c in TE_COLUMNS), te_sql())
 def temporal_target_features(spark, sf):
-    """Past-only target features of several key sets for every season."""
-    return asof.temporal_target_features(pit(spark, sf), "season", "y", TE_GROUPS, SEASONS)
+    """Past-only target features of twelve key sets for every season."""
+    rows = pit(spark, sf).withColumns({n: F.expr(e) for n, e in TE_ROLES.items()})
+    return asof.temporal_target_features(rows, "season", "y", TE_GROUPS, SEASONS)
 
 
 @query("season_asof_encoding", "A13", "entity:i season:i te:d te_n:i", """

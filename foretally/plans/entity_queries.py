@@ -63,27 +63,114 @@ def principal_components(spark, sf):
     return embed.principal_components(rows, names, 3)[0]
 
 
-@query("residual_svd", "M5", "entity:i svd00:d4 svd01:d4")
-def residual_svd(spark, sf):
-    """Truncated SVD of long response residuals per entity."""
+def residual_cells(spark, sf):
     from foretally.operators.profiles import response_residuals, usage_residuals
     rows = pit(spark, sf).filter(PAST)
     long = usage_residuals(rows, "entity", "season", "lab", ["ctx", "hand"], 200.0).unionByName(
         response_residuals(rows, "entity", "season", "lab", ["ctx"], ["qty"], 200.0))
-    flat = long.groupBy("entity", "feature").agg(F.avg("resid").alias("resid"))
-    return embed.truncated_svd(flat, "entity", "feature", "resid", 2)[0]
+    return session.checkpoint(long.groupBy("entity", "feature").agg(F.avg("resid").alias("resid")))
 
 
-@query("pair_svd_scores", "M6", "entity:i opp:i pair_score:d6 pair_known:i")
-def pair_svd_scores(spark, sf):
-    """Joint SVD of pair residuals scored on the last season's pairs."""
+@query("residual_svd", "M5", "entity:i svd00:d4 svd01:d4")
+def residual_svd(spark, sf):
+    """Truncated SVD of long response residuals per entity."""
+    return embed.truncated_svd(residual_cells(spark, sf), "entity", "feature", "resid", 2, tolerance=0.01)[0]
+
+
+@query("residual_svd_checks", "M5", "rows:i orthogonal:i residual_ok:i energy_split:i falling:i", """
+SELECT count(DISTINCT entity) AS "rows", 1 orthogonal, 1 residual_ok, 1 energy_split, 1 falling FROM pit WHERE season < 2001""")
+def residual_svd_checks(spark, sf):
+    """Truncated SVD of long response residuals: scores of every entity and what holds for any exact one."""
+    cells = residual_cells(spark, sf)
+    left, right, sigma, residual = embed.truncated_svd(cells, "entity", "feature", "resid", 2, tolerance=0.01)
+    told = embed.reconstruction(cells, left, right, "entity", "feature", "resid", ["svd00", "svd01"])
+    cross = left.agg(F.count("*").alias("rows"), F.sum(F.expr("svd00 * svd01")).alias("dot"), F.sum(F.expr("svd00 * svd00")).alias("top"))
+    kept = F.lit(sum(s * s for s in sigma))
+    return told.crossJoin(cross).select(
+        "rows", (F.abs("dot") <= 1e-6 * F.col("top")).alias("orthogonal"), F.lit(residual <= 0.01).alias("residual_ok"),
+        (F.abs(F.col("energy") - kept - F.col("left_over")) <= 1e-6 * F.col("energy")).alias("energy_split"),
+        F.lit(sigma[0] >= sigma[1] > 0).alias("falling"))
+
+
+def pair_svd(spark, sf):
     rows = pit(spark, sf)
     fit = eb.context_residual(rows.filter(PAST), "y", "season", "season")
     cells = embed.interaction_cells(fit, "entity", "opp", "residual", 20.0, "season", LAST_SEASON, 2.0, 20.0, 2.0)
-    left, right, _ = embed.truncated_svd(cells, "entity", "opp", "value", 3)
+    left, right, _, _ = embed.truncated_svd(cells, "entity", "opp", "value", 3, tolerance=0.02)
     pairs = rows.filter(LATEST).select("entity", "opp").distinct()
-    dims = ["svd00", "svd01", "svd02"]
-    return embed.pair_scores(pairs, left, right, "entity", "opp", dims)
+    return embed.pair_scores(pairs, left, right, "entity", "opp", ["svd00", "svd01", "svd02"])
+
+
+@query("pair_svd_scores", "M6", "entity:i opp:i pair_score:d6 pair_known:i")
+def pair_svd_scores(spark, sf):
+    """Joint SVD of pair residuals scored on the last season's pairs."""
+    return pair_svd(spark, sf)
+
+
+@query("pair_svd_checks", "M6", "entity:i opp:i pair_known:i bounded:i zero_if_unknown:i", """
+WITH fit AS (SELECT * FROM pit WHERE season < 2001), c AS (SELECT entity, opp, sum(0.5 ** ((2001 - season) / 2.0)) n FROM fit GROUP BY 1, 2),
+a AS (SELECT entity FROM c GROUP BY 1 HAVING sum(n) >= 20), b AS (SELECT opp FROM c GROUP BY 1 HAVING sum(n) >= 2),
+k AS (SELECT DISTINCT entity, opp FROM c WHERE entity IN (FROM a) AND opp IN (FROM b))
+SELECT DISTINCT entity, opp, (entity IN (SELECT entity FROM k) AND opp IN (SELECT opp FROM k))::INT pair_known, 1 bounded, 1 zero_if_unknown FROM pit WHERE season = 2001""")
+def pair_svd_checks(spark, sf):
+    """Scores of the last season's pairs: which are known, and within what bound."""
+    return pair_svd(spark, sf).select(
+        "entity", "opp", "pair_known", (F.abs("pair_score") <= F.col("left_norm") * F.col("right_norm") + 1e-12).alias("bounded"),
+        ((F.col("pair_known") == 1) | (F.col("pair_score") == 0)).alias("zero_if_unknown"))
+
+
+@query("principal_component_checks", "M4", "n:i centred:i uncorrelated:i falling:i above_columns:i", "SELECT count(*) n, 1 centred, 1 uncorrelated, 1 falling, 1 above_columns FROM embeddings")
+def principal_component_checks(spark, sf):
+    """Scores of the leading components: centred, uncorrelated, of falling variance, the first above any column's."""
+    rows, names = vectors(spark, sf)
+    out, info = embed.principal_components(rows, names, 3)
+    pc = info["columns"]
+    var = [F.var_pop(c) for c in pc]
+    return out.agg(
+        F.count("*").alias("n"), (F.greatest(*[F.abs(F.avg(c)) for c in pc]) < 1e-9).alias("centred"),
+        (F.greatest(*[F.abs(F.corr(a, b)) for a, b in (("pc00", "pc01"), ("pc00", "pc02"), ("pc01", "pc02"))]) < 1e-6).alias("uncorrelated"),
+        ((var[0] >= var[1]) & (var[1] >= var[2])).alias("falling"), (var[0] >= F.greatest(*[F.var_pop(c) for c in names])).alias("above_columns"))
+
+
+@query("grouped_clusters", "M7 M8", "hand:i n:i clusters_ok:i nearest:i still:i", """
+SELECT vec_id % 2 hand, count(*) n, 1 clusters_ok, 1 nearest, 1 still FROM embeddings GROUP BY 1""")
+def grouped_clusters(spark, sf):
+    """K-means fitted for each group: every row is in its nearest cluster and every centre the mean of its rows."""
+    rows, names = vectors(spark, sf)
+    work, info = embed.embedding(rows, names, 4)
+    pc = info["columns"]
+    out, centres = cl.grouped_kmeans(work.withColumn("hand", F.col("vec_id") % 2), ["hand"], pc, 4, 7)
+    means = out.groupBy("hand", "cluster").agg(F.array(*[F.avg(c) for c in pc]).alias("mean"))
+    own = means.join(centres, "hand").groupBy("hand").agg(
+        (F.max(F.expr("array_max(zip_with(mean, element_at(centres, cast(cluster as int) + 1), (a, b) -> abs(a - b)))")) < 1e-6).alias("still"),
+        F.count("*").between(1, 4).alias("clusters_ok"))
+    far = out.join(centres, "hand").withColumn("least", cl._nearest(pc)["d2"])
+    near = far.groupBy("hand").agg(F.count("*").alias("n"), (F.max(F.col("d2") - F.col("least")) <= 1e-9).alias("nearest"))
+    return near.join(own, "hand")
+
+
+@query("soft_cluster_checks", "M7 M8", "n:i sums:i ranges:i sizes:i", "SELECT count(*) n, 1 sums, 1 ranges, 1 sizes FROM embeddings")
+def soft_cluster_checks(spark, sf):
+    """Soft memberships: they add up, entropy and gap lie in their ranges, sizes are those of the labels."""
+    rows, names = vectors(spark, sf)
+    work, info = embed.embedding(rows, names, 4)
+    out, centres = cl.kmeans(work, info["columns"], 4, 7)
+    soft = cl.cluster_sizes(cl.soft_membership(out, info["columns"], centres, "cluster"), "cluster")
+    return soft.agg(
+        F.count("*").alias("n"), (F.max(F.abs(F.expr("member_0 + member_1 + member_2 + member_3 - 1"))) < 1e-9).alias("sums"),
+        F.expr("min(membership_entropy) >= 0 and max(membership_entropy) <= ln(4) + 1e-9 and min(top_gap) >= 0 and max(top_gap) <= 1 and min(distance) >= 0").alias("ranges"),
+        (F.abs(F.sum(1.0 / F.col("cluster_size")) - F.count_distinct("cluster")) < 1e-6).alias("sizes"))
+
+
+@query("mixture_checks", "M7", "n:i sums:i labelled:i", "SELECT count(*) n, 1 sums, 1 labelled FROM embeddings")
+def mixture_checks(spark, sf):
+    """Converged mixture: posteriors add up and the label is the greatest one."""
+    rows, names = vectors(spark, sf)
+    work, info = embed.embedding(rows, names, 3)
+    out, _ = cl.diagonal_mixture(work, info["columns"], 3, 7)
+    own = F.element_at(F.array("member_0", "member_1", "member_2"), F.col("cluster") + 1)
+    return out.agg(F.count("*").alias("n"), (F.max(F.abs(F.expr("member_0 + member_1 + member_2 - 1"))) < 1e-9).alias("sums"),
+                   (F.max(F.greatest("member_0", "member_1", "member_2") - own) <= 0).alias("labelled"))
 
 
 @query("soft_clusters", "M7 M8", "vec_id:i cluster:i distance:d4 membership_entropy:d4 top_gap:d4 cluster_size:i")
@@ -109,7 +196,7 @@ def mixture_clusters(spark, sf):
     """Diagonal Gaussian mixture by repeated aggregation."""
     rows, names = vectors(spark, sf)
     work, info = embed.embedding(rows, names, 3)
-    return cl.diagonal_mixture(work, info["columns"], 3, 7, 10)[0]
+    return cl.diagonal_mixture(work, info["columns"], 3, 7)[0]
 
 
 @query("cluster_silhouette", "M9", "n:i silhouette:d5", """
@@ -144,11 +231,19 @@ def label_agreement(spark, sf):
     return cl.adjusted_rand(rows, "a", "b")
 
 
-@query("safe_types", "M10", "entity:i n:i type:i")
+@query("safe_types", "M10", "hand:i entities:i small:i share_ok:i numbered:i", f"""
+WITH {ENT}, f AS (SELECT (min(n) + max(n)) / 2 f FROM e) SELECT entity % 2 hand, count(*) entities, sum((n < f)::INT) small, 1 share_ok, 1 numbered FROM e, f GROUP BY 1""")
 def safe_types(spark, sf):
-    """Entity types with a volume floor and a minimum cluster share."""
-    e = prepare.standard_scaled(entities(spark, sf), ["a", "b", "c"])
-    return cl.safe_types(e, "n", ["a", "b", "c"], 4, 300, 17)
+    """Entity types fitted for each hand on winsorised dimensions and log volume: floor of rows and of shares."""
+    e = entities(spark, sf).withColumn("hand", F.col("entity") % 2)
+    least = e.agg(((F.min("n") + F.max("n")) / 2)).first()[0]
+    out = cl.safe_types(e, "n", ["a", "b", "c"], 4, least, 17, keys=["hand"])
+    cells = out.groupBy("hand", "type").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    typed = F.col("type") >= 0
+    return cells.groupBy("hand").agg(
+        F.sum("k").alias("entities"), F.sum(F.when(~typed, F.col("k")).otherwise(0)).alias("small"),
+        (F.min(F.when(typed, F.col("s"))) >= 0.05 * F.sum(F.when(typed, F.col("s")))).alias("share_ok"),
+        (F.max("type") == F.count_if(typed) - 1).alias("numbered"))
 
 
 @query("cluster_row_features", "M11 M13 J3", TE_KEYS + " cluster_available:i cluster_id:i h1_c00:i h1_c01:i h2_c00:i cohort_old:i cohort_new:i cluster_log_size:d", f"""
@@ -221,37 +316,59 @@ def grouped_folds(spark, sf):
 FEATURES = ["qty", "disc", "cents", "ctx"]
 
 
-@query("forward_model_scores", "E34", "fold:i n:i base:d brier:d")
+# A forecast of a label that its features do not tell can be worse than the rate it aims at by chance alone.
+NO_WORSE = "brier <= base * (1 - base) + 0.003 + 0.3 / sqrt(n) as no_worse"
+
+
+@query("forward_model_scores", "E34", "fold:i n:i base:d no_worse:i stopped:i", """
+SELECT season fold, count(*) n, avg(y) base, 1 no_worse, 1 stopped FROM pit
+WHERE season IN (SELECT DISTINCT season FROM pit ORDER BY 1 OFFSET 2) GROUP BY 1""")
 def forward_model_scores(spark, sf):
-    """Gradient-boosted forecasts of each fold by earlier seasons."""
-    oof = model.forward_oof(pit(spark, sf), "season", [2000, 2001], FEATURES, "y", "gbt")
-    return metrics.probability_scores(oof, ["fold"], "y", "forecast")
+    """Boosted forecasts of every season with two before it: the last of these stops the training."""
+    rows = pit(spark, sf)
+    seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())
+    oof = model.forward_oof(rows, "season", seasons[2:], FEATURES, "y", "gbt", rounds=64, patience=4, depth=3)
+    kept = oof.groupBy("fold").agg(F.max("rounds").alias("rounds"))
+    return metrics.probability_scores(oof, ["fold"], "y", "forecast").join(F.broadcast(kept), "fold").selectExpr(
+        "fold", "n", "base", NO_WORSE, "rounds between 1 and 64 as stopped")
 
 
-@query("stacked_class_scores", "E35 E2", "rows:i mean_entropy:d4 mean_max:d4")
+@query("stacked_class_scores", "E35 E2", "fold:i rows:i sums_to_one:i entropy_in_range:i no_worse:i", """
+WITH r AS (SELECT game, row_number() OVER (ORDER BY count(*) DESC, game) - 1 r FROM pit GROUP BY 1),
+f AS (SELECT game, CASE WHEN r % 6 < 3 THEN r % 6 ELSE 5 - r % 6 END fold FROM r)
+SELECT fold, count(*) AS rows, 1 sums_to_one, 1 entropy_in_range, 1 no_worse FROM pit JOIN f USING (game) GROUP BY 1""")
 def stacked_class_scores(spark, sf):
-    """Out-of-fold class probabilities with entropy and maximum."""
+    """Out-of-fold class probabilities: sums, entropy, and a log loss no worse than that of the class shares."""
     rows = pit(spark, sf).withColumn("cls", F.when(F.col("lab") == "A", 0).when(F.col("lab") == "N", 1).otherwise(2))
     out = model.stacked_classes(rows, "game", 3, FEATURES, "cls", 3)
-    return out.agg(F.count("*").alias("rows"), F.avg("aux_entropy").alias("mean_entropy"), F.avg("aux_max").alias("mean_max"))
-
-
-@query("staged_ablation", "E36", "stage:i name:s features:i n:i base:d logloss:d5")
+    said = F.element_at(F.array(*[f"aux_{i}" for i in range(3)]), F.col("cls") + 1)
+    shares = [F.avg((F.col("cls") == i).cast("int")) for i in range(3)]
+    plain = sum((F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in shares), F.lit(0.0))
+    return out.groupBy("fold").agg(
+        F.count("*").alias("rows"), (F.max(F.abs(F.expr("aux_0 + aux_1 + aux_2 - 1"))) < 1e-9).alias("sums_to_one"),
+        F.expr("min(aux_entropy) >= 0 and max(aux_entropy) <= ln(3) + 1e-9 and min(aux_max) >= 1 / 3 - 1e-9").alias("entropy_in_range"),
+        (F.avg(-F.log(F.greatest(said, F.lit(1e-12)))) <= plain + 0.02).alias("no_worse"))
+
+
+@query("staged_ablation", "E36", "stage:i name:s features:i n:i base:d no_worse:i", """
+SELECT stage, name, features, count(*) n, avg(y) base, 1 no_worse FROM pit,
+  (VALUES (1, 'context', 1), (2, 'metrics', 3), (3, 'history', 4)) v(stage, name, features) WHERE season = 2001 GROUP BY 1, 2, 3""")
 def staged_ablation(spark, sf):
     """Scores after each added feature group."""
     rows = pit(spark, sf)
-    return model.staged_ablation(rows.filter(PAST), rows.filter(LATEST),
-                                 {"context": ["ctx"], "metrics": ["qty", "disc"], "history": ["cents"]}, "y")
+    out = model.staged_ablation(rows.filter(PAST), rows.filter(LATEST),
+                                {"context": ["ctx"], "metrics": ["qty", "disc"], "history": ["cents"]}, "y")
+    return out.selectExpr("stage", "name", "features", "n", "base", NO_WORSE)
 
 
 @query("entity_or_global", "E37", "source:s n:i base:d brier:d logloss:d", """
-WITH tr AS (SELECT * FROM pit WHERE season = 2000), m AS (SELECT avg(y) m FROM tr), o AS (SELECT opp, (sum(y) + 20 * any_value(m)) / (count(*) + 20) v FROM tr, m GROUP BY 1 HAVING count(*) >= 5),
+WITH tr AS (SELECT * FROM pit WHERE season < 2001), m AS (SELECT avg(y) m FROM tr), o AS (SELECT opp, (sum(y) + 20 * any_value(m)) / (count(*) + 20) v FROM tr, m GROUP BY 1 HAVING count(*) >= 5),
 f AS (SELECT y, coalesce(v, m) p, CASE WHEN v IS NULL THEN 'global' ELSE 'own' END AS source FROM pit LEFT JOIN o USING (opp), m WHERE season = 2001)
 SELECT source, count(*) n, avg(y) base, avg(pow(p - y, 2)) brier, -avg(y * ln(p) + (1 - y) * ln(1 - p)) logloss FROM f GROUP BY 1""")
 def entity_or_global(spark, sf):
     """Own estimates for entities with volume, global for others, scored by source."""
     rows = pit(spark, sf)
-    out = model.entity_or_global(rows.filter("season = 2000"), rows.filter(LATEST), "opp", "y", 20.0, 5)
+    out = model.entity_or_global(rows.filter(PAST), rows.filter(LATEST), "opp", "y", 20.0, 5)
     return metrics.probability_scores(out, ["source"], "y", "forecast")
 
 
@@ -269,12 +386,12 @@ def batch_scoring(spark, sf):
     return out.withColumn("forecast", clip(0.7 * F.col("p") + 0.3 * F.col("p2") + F.col("split") * F.col("rel"), 1e-6, 1 - 1e-6))
 
 
-@query("segmented_experts", "E39", "hand:s n:i base:d logloss:d5")
+@query("segmented_experts", "E39", "hand:s n:i base:d no_worse:i", "SELECT hand, count(*) n, avg(y) base, 1 no_worse FROM pit WHERE season = 2001 GROUP BY 1")
 def segmented_experts(spark, sf):
     """One model per segment, recombined and scored by segment."""
     rows = pit(spark, sf)
     out = model.segmented_experts(rows.filter(PAST), rows.filter(LATEST), "hand", ["F", "O"], FEATURES, "y")
-    return metrics.probability_scores(out, ["hand"], "y", "forecast")
+    return metrics.probability_scores(out, ["hand"], "y", "forecast").selectExpr("hand", "n", "base", NO_WORSE)
 
 
 @query("top_volume_subset", "S4 O2", "entity:i n:i", """
@@ -480,15 +597,23 @@ def saved_versions(spark, sf):
         F.count("*").alias("n"), F.max("last_season").alias("last_season"), F.sum("n").alias("total"))
 
 
-@query("written_submission", "S13", "rows:i p_sum:d4 header:s", "SELECT count(*) AS \"rows\", sum(p) p_sum, 'row_id,p' header FROM pit WHERE season = 2001")
+@query("written_submission", "S13", "rows:i p_sum:d4 header:s breaks:i unmatched:i", """
+SELECT count(*) AS "rows", sum(p) p_sum, 'row_id,p' header, 0 breaks, 0 unmatched FROM pit WHERE season = 2001""")
 def written_submission(spark, sf):
-    """Two-column forecasts written in row order and read back."""
+    """Two-column forecasts written in row order; the order read back is held against the log's."""
+    from pyspark.sql import types as T
     rows = pit(spark, sf).filter(LATEST).withColumns({
         "row_id": F.concat_ws("-", "game", "ctx", "opp", "entity"), "seq": F.struct("game", "day", "ctx", "opp", "entity")})
     path = session.scratch(spark)
     files.write_submission(rows, path, "row_id", "p", "seq")
-    back = spark.read.csv(path, header=True)
-    return back.agg(F.count("*").alias("rows"), F.sum(F.col("p").cast("double")).alias("p_sum")).withColumn("header", F.lit(",".join(back.columns)))
+    schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("p", T.DoubleType())])
+    back = files.read_placed(spark, path, schema)
+    # Each line's place in the log's order, found by its id.
+    known = back.join(rows.select("row_id", "seq"), "row_id", "left")
+    told = back.agg(F.count("*").alias("rows"), F.sum("p").alias("p_sum"))
+    lost = known.agg(F.count_if(F.col("seq").isNull()).alias("unmatched"))
+    head = spark.read.csv(path, header=True).columns
+    return told.withColumn("header", F.lit(",".join(head))).crossJoin(files.order_breaks(known, "seq")).crossJoin(lost)
 
 
 @query("typed_csv_scan", "S1", "season:i n:i missing:i qty_sum:d2", """

@@ -146,36 +146,88 @@ def shrunk_profile_features(spark, sf):
     return rf.shrunk_profile(rows, fitted["median"])
 
 
-P10 = {"fx_count": "balls_before * 3 + strikes_before", "fx_same_hand": "(pitcher_hand = batter_hand)::INT", "fx_high_leverage": "(li >= 2)::INT",
-       "fx_li_late": "li * (inning >= 7)::INT", "fx_li_runners": "li * num_runners_on", "fx_side_gap": f"{P.format('success')} - {B.format('success')}",
-       "fx_failure": f"1 - {P.format('success')}", "fx_middle_reverse_sum": f"{P.format('middle')} + {P.format('reverse')}",
-       "fx_middle_reverse_gap": f"{P.format('middle')} - {P.format('reverse')}", "fx_ball_strike_gap": f"{P.format('ball')} - {P.format('strike')}",
-       "fx_fast_break_gap": f"{P.format('fastball')} - {P.format('breaking')}",
-       **{f"fx_{d}_trend_{k}v5": f"{V.format(k, d)} - {V.format(5, d)}" for d in ("success", "middle") for k in (1, 3)},
-       "fx_pitcher_reliability": "asof_pitcher_n / (asof_pitcher_n + 100.000001)", "fx_batter_reliability": "asof_batter_n / (asof_batter_n + 100.000001)",
-       "fx_joint_reliability": "sqrt(asof_pitcher_n / (asof_pitcher_n + 100.000001) * (asof_batter_n / (asof_batter_n + 100.000001)))"}
+def _sql_weighted(weights, start=0):
+    return " + ".join([str(start), *(f"{c} * {w!r}" for c, w in weights.items())])
+
+
+# What each kind of derived column is in SQL.
+KIND_SQL = {
+    "alike": lambda a, b: f"CASE WHEN {a} = {b} THEN 1 ELSE 0 END",
+    "any": lambda *c: f"greatest({', '.join(f'coalesce({x}, 0)' for x in c)})",
+    "bounded": lambda c, low, high: f"CASE WHEN {c} < {low} THEN {low} WHEN {c} > {high} THEN {high} ELSE {c} END",
+    "flag": lambda c, sign, bound: f"CASE WHEN {c} {sign} {bound} THEN 1 ELSE 0 END",
+    "known": lambda *c: f"coalesce({', '.join(map(str, c))})",
+    "log": lambda n: f"ln(1 + greatest(coalesce({n}, 0), 0))",
+    "missing": lambda c: f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END",
+    "product": lambda *c: " * ".join(c),
+    "quotient": lambda a, b, least=1e-3: f"{a} / CASE WHEN {b} < {least} THEN {least} ELSE {b} END",
+    "reliability": lambda n, k: f"{n} / ({n} + {float(k)!r}::DOUBLE)",
+    "root": lambda *c: f"sqrt({' * '.join(c)})",
+    "shrunk": lambda r, n, k, prior: f"({n} * {r} + {k} * {prior}) / ({n} + {k})",
+    "size": lambda c: f"abs({c})",
+    "weighted": _sql_weighted,
+}
+WHOLE = {"alike", "flag", "missing", "any"}
+
+
+def derived_sql(steps, wanted) -> str:
+    ctes, source = [], "t"
+    for i, (kind, made) in enumerate(steps):
+        ctes.append(f"s{i} AS (SELECT *, " + ", ".join(f"{KIND_SQL[kind](*args)} AS {n}" for n, args in made.items()) + f" FROM {source})")
+        source = f"s{i}"
+    return sql({c: c for c in wanted}, ", ".join(ctes), source)
+
+
+def derived_spec(steps, wanted, ints=()) -> str:
+    kinds = {n: kind for kind, made in steps for n in made}
+    return spec(dict.fromkeys(wanted), {c for c in wanted if kinds[c] in WHOLE or c in ints})
+
 
+def gaps(pairs) -> dict:
+    """Differences, named by their two columns."""
+    short = lambda c: c.removeprefix("asof_").removesuffix("_rate")
+    return {f"{short(a)}_less_{short(b)}": ({a: 1, b: -1},) for a, b in pairs}
 
-@query("interaction_features", "P10", spec(P10, {"fx_count", "fx_same_hand", "fx_high_leverage"}), sql(P10))
+
+# Which columns meet in which way: data for the general kinds.
+SIDE = (P.format("success"), B.format("success"))
+PAIRS = [SIDE, (P.format("middle"), P.format("reverse")), (P.format("ball"), P.format("strike")),
+         (P.format("fastball"), P.format("breaking"))] + [(V.format(k, d), V.format(5, d)) for d in ("success", "middle") for k in (1, 3)]
+MEETING = [
+    ("alike", {"same_side": ("pitcher_hand", "batter_hand")}),
+    ("flag", {"late": ("inning", ">=", 7), "tense": ("li", ">=", 2)}),
+    ("product", {"li_late": ("li", "late"), "li_runners": ("li", "num_runners_on")}),
+    ("weighted", {"count_code": ({"balls_before": 3, "strikes_before": 1},), "bad": ({P.format("success"): -1}, 1),
+                  "miss_sum": ({P.format("middle"): 1, P.format("reverse"): 1},), **gaps(PAIRS)}),
+    ("reliability", {"trust_pitcher": ("asof_pitcher_n", 100.000001), "trust_batter": ("asof_batter_n", 100.000001)}),
+    ("root", {"trust_both": ("trust_pitcher", "trust_batter")}),
+]
+MEETING_OUT = [n for _, made in MEETING for n in made]
+
+
+@query("interaction_features", "P10", derived_spec(MEETING, MEETING_OUT, ["count_code"]), derived_sql(MEETING, MEETING_OUT))
 def interaction_features(spark, sf):
-    """Context interactions, trends and joint reliability."""
-    return rf.interactions(train(spark, sf))
+    """Context interactions, trends and joint reliability by general kinds."""
+    return rf.derived(train(spark, sf), MEETING)
 
 
-CLOSE = "(abs(score_diff_pitcher_team) <= 1)::INT"
-P11 = {"dp_success": f"{P.format('success')} * {B.format('success')}", "dp_middle": f"{P.format('middle')} * {B.format('middle')}", "dp_success_li": f"{P.format('success')} * li",
-       "dp_reverse_fast": f"{P.format('reverse')} * {P.format('fastball')}", "dp_success_logn": f"{P.format('success')} * ln(1 + asof_pitcher_n)",
-       "dp_side_gap": f"{P.format('success')} - {B.format('success')}", "dp_side_ratio": f"{P.format('success')} / CASE WHEN {B.format('success')} < 1e-3 THEN 1e-3 ELSE {B.format('success')} END",
-       "dp_count_margin": "balls_before - strikes_before", "dp_two_strike": "(strikes_before = 2)::INT", "dp_three_ball": "(balls_before = 3)::INT",
-       "dp_full": "(balls_before = 3 AND strikes_before = 2)::INT", "dp_close": CLOSE, "dp_late_close": f"(inning >= 7)::INT * {CLOSE}", "dp_li_close": f"li * {CLOSE}",
-       "dp_li_margin": "li * (balls_before - strikes_before)", "dp_reverse_two": f"{P.format('reverse')} * (strikes_before = 2)::INT",
-       "dp_ball_three": f"{P.format('ball')} * (balls_before = 3)::INT", "dp_prev5_balls": f"{V.format(5, 'success')} * balls_before"}
+COUNTS = [
+    ("size", {"margin_size": ("score_diff_pitcher_team",)}),
+    ("flag", {"two": ("strikes_before", "=", 2), "three": ("balls_before", "=", 3), "near": ("margin_size", "<=", 1), "late": ("inning", ">=", 7)}),
+    ("weighted", {"count_margin": ({"balls_before": 1, "strikes_before": -1},), **gaps([SIDE])}),
+    ("log", {"log_n": ("asof_pitcher_n",)}),
+]
+MET = [(P.format("success"), B.format("success")), (P.format("middle"), B.format("middle")), (P.format("success"), "li"),
+       (P.format("reverse"), P.format("fastball")), (P.format("success"), "log_n"), ("three", "two"), ("late", "near"), ("li", "near"),
+       ("li", "count_margin"), (P.format("reverse"), "two"), (P.format("ball"), "three"), (V.format(5, "success"), "balls_before")]
+PRODUCTS = [*COUNTS, ("product", {f"product_{i}": pair for i, pair in enumerate(MET)}), ("quotient", {"side_quotient": SIDE})]
+PRODUCTS_OUT = [n for kind, made in PRODUCTS for n in made if n not in ("margin_size", "late", "log_n")]
 
 
-@query("direct_product_features", "P11", spec(P11, {"dp_count_margin", "dp_two_strike", "dp_three_ball", "dp_full", "dp_close", "dp_late_close"}), sql(P11))
+@query("direct_product_features", "P11", derived_spec(PRODUCTS, PRODUCTS_OUT, ["count_margin"]), derived_sql(PRODUCTS, PRODUCTS_OUT))
 def direct_product_features(spark, sf):
-    """Products, differences and floored ratios."""
-    return rf.direct_products(train(spark, sf))
+    """Products, differences and floored quotients of listed pairs by general kinds."""
+    return rf.derived(train(spark, sf), PRODUCTS)
 
 
 P12 = {"sq_li": "li * li", "x_li_inning": "li * inning", f"d_{P.format('success')}_{B.format('success')}": f"{P.format('success')} - {B.format('success')}",
@@ -217,23 +269,35 @@ def context_flag_features(spark, sf):
     return rf.context_flags(train(spark, sf), {k: P.format(k) for k in ("reverse", "success", "middle")})
 
 
-_ps = f"(asof_pitcher_n * least(greatest(coalesce({P.format('success')}, 0.5), 0), 1) + 100) / (asof_pitcher_n + 200)"
-_bs = f"(asof_batter_n * least(greatest(coalesce({B.format('success')}, 0.5), 0), 1) + 100) / (asof_batter_n + 200)"
-_nw = f"least(greatest(coalesce({V.format(5, 'success')}, {V.format(3, 'success')}, {P.format('success')}, 0.5), 0), 1)"
-P15 = {"demo_balls": "balls_before / 3.0", "demo_strikes": "strikes_before / 2.0", "demo_count_diff": "balls_before - strikes_before", "demo_full": "(balls_before = 3 AND strikes_before = 2)::INT",
-       "demo_two_strike": "(strikes_before = 2)::INT", "demo_abs_score": "abs(score_diff_pitcher_team)", "demo_close": "(abs(score_diff_pitcher_team) <= 2)::INT", "demo_trailing": "(score_diff_pitcher_team < 0)::INT",
-       "demo_late": "(inning >= 7)::INT", "demo_late_close": "(inning >= 7 AND abs(score_diff_pitcher_team) <= 2)::INT", "demo_pressure": "runner_on_1b + 2 * runner_on_2b + 3 * runner_on_3b",
-       "demo_risp": "(runner_on_2b = 1 OR runner_on_3b = 1)::INT", "demo_loaded": "(runner_on_1b = 1 AND runner_on_2b = 1 AND runner_on_3b = 1)::INT", "demo_leverage": "(li >= 2)::INT",
-       "demo_same_hand": "(pitcher_hand = batter_hand)::INT", "demo_pitcher_log": "ln(1 + asof_pitcher_n)", "demo_batter_log": "ln(1 + asof_batter_n)", "demo_confidence": "asof_pitcher_n / (asof_pitcher_n + 200.0)",
-       "demo_pitcher_missing": f"({P.format('success')} IS NULL)::INT", "demo_batter_missing": f"({B.format('success')} IS NULL)::INT", "demo_pitcher_rate": _ps, "demo_batter_rate": _bs,
-       "demo_recent": f"0.6 * {_nw} + 0.4 * {_ps}", "demo_recent_gap": f"{_nw} - {_ps}", "demo_risk": f"coalesce({P.format('reverse')}, 0) + coalesce({P.format('middle')}, 0)"}
-P15_INT = {c for c, e in P15.items() if "::INT" in e or c in ("demo_count_diff", "demo_abs_score", "demo_pressure")}
-
-
-@query("demo_feature_block", "P15", spec(P15, P15_INT), sql(P15))
+RUNNERS = ("runner_on_1b", "runner_on_2b", "runner_on_3b")
+COMPACT = [
+    ("missing", {"no_pitcher": (P.format("success"),), "no_batter": (B.format("success"),)}),
+    ("known", {"pitcher_raw": (P.format("success"), 0.5), "batter_raw": (B.format("success"), 0.5),
+               "now_raw": (V.format(5, "success"), V.format(3, "success"), P.format("success"), 0.5),
+               "reverse_raw": (P.format("reverse"), 0.0), "middle_raw": (P.format("middle"), 0.0)}),
+    ("bounded", {f"{c}_in": (f"{c}_raw", 0.0, 1.0) for c in ("pitcher", "batter", "now")}),
+    ("shrunk", {"pitcher_rate": ("pitcher_in", "asof_pitcher_n", 200, 0.5), "batter_rate": ("batter_in", "asof_batter_n", 200, 0.5)}),
+    ("log", {"pitcher_log": ("asof_pitcher_n",), "batter_log": ("asof_batter_n",)}),
+    ("reliability", {"pitcher_trust": ("asof_pitcher_n", 200.0)}),
+    ("size", {"margin_size": ("score_diff_pitcher_team",)}),
+    ("flag", {"close": ("margin_size", "<=", 2), "behind": ("score_diff_pitcher_team", "<", 0), "late": ("inning", ">=", 7),
+              "tense": ("li", ">=", 2), "two": ("strikes_before", "=", 2), "three": ("balls_before", "=", 3)}),
+    ("alike", {"same_side": ("pitcher_hand", "batter_hand")}),
+    ("any", {"scoring": RUNNERS[1:]}),
+    ("product", {"full_count": ("three", "two"), "late_close": ("late", "close"), "loaded": RUNNERS}),
+    ("weighted", {"balls_share": ({"balls_before": 1 / 3},), "strikes_share": ({"strikes_before": 0.5},),
+                  "count_margin": ({"balls_before": 1, "strikes_before": -1},), "pressure": (dict(zip(RUNNERS, (1, 2, 3))),),
+                  "blend": ({"now_in": 0.6, "pitcher_rate": 0.4},), "blend_gap": ({"now_in": 1, "pitcher_rate": -1},),
+                  "risk": ({"reverse_raw": 1, "middle_raw": 1},)}),
+]
+COMPACT_OUT = [n for kind, made in COMPACT for n in made if kind not in ("known", "bounded") and n != "three"]
+
+
+@query("demo_feature_block", "P15", derived_spec(COMPACT, COMPACT_OUT, ["full_count", "late_close", "loaded", "count_margin", "pressure", "margin_size"]),
+       derived_sql(COMPACT, COMPACT_OUT))
 def demo_feature_block(spark, sf):
-    """Twenty-five compact features."""
-    return rf.demo_block(train(spark, sf))
+    """A compact block of counts, pressure, shrunken and blended rates by general kinds."""
+    return rf.derived(train(spark, sf), COMPACT)
 
 
 _mx = [f"(asof_pitcher_pitchmix_n * coalesce({P.format(k)}, {rf.DEFAULT_PRIORS['pitcher_' + k]}) + 200 * {rf.DEFAULT_PRIORS['pitcher_' + k]}) / (asof_pitcher_pitchmix_n + 200)" for k in ("fastball", "breaking", "offspeed")]
@@ -384,17 +448,21 @@ def one_hot_with_missing(spark, sf):
     return one_hot(feed(spark, sf), "pitch_type", ["FF", "SL"])
 
 
-KNOWN_BEFORE = ("season", "k1", "k2", "k3", "k4", "balls", "strikes", "inning", "on_1b", "on_2b", "on_3b", "bat_score",
-                "fld_score", "home_score", "away_score", "p_throws", "stand")
+FEED_KNOWN = ("season", "k1", "k2", "k3", "k4", "balls", "strikes", "inning", "on_1b", "on_2b", "on_3b", "bat_score",
+              "fld_score", "home_score", "away_score", "p_throws", "stand")
 
 
-@query("leakage_projection", "P27", "column:s", """
-SELECT * FROM (VALUES ('season'), ('k1'), ('k2'), ('k3'), ('k4'), ('balls'), ('strikes'), ('inning'), ('on_1b'), ('on_2b'), ('on_3b'), ('bat_score'), ('fld_score'), ('home_score'), ('away_score'), ('p_throws'), ('stand')) t("column"), (SELECT min(1) FROM lineitem)""")
+@query("leakage_projection", "P27", "column:s banned:i rows:i", """
+SELECT c AS "column", b banned, count(*) AS "rows" FROM lineitem, (VALUES """ + ", ".join(f"('{c}', 0)" for c in FEED_KNOWN) + """,
+ ('pitch_type', 1), ('events', 1), ('launch_speed', 1), ('post_bat_score', 1), ('delta_run_exp', 1), ('estimated_woba_using_speedangle', 1),
+ ('pitcher_days_until_next_game', 1), ('is_whiff', 1), ('in_zone', 1), ('pitcher_days_since_prev_game', 0), ('home_win_rate', 0), ('spin_rate_before', 0)) t(c, b) GROUP BY 1, 2""")
 def leakage_projection(spark, sf):
-    """Columns left of a feed with results of the current event: all but those known before it are banned."""
-    from foretally.operators.prepare import without_banned
-    late = ("launch_speed", "post_bat_score", "delta_run_exp", "bb_type", "woba_value", "label")
-    rows = feed(spark, sf).withColumns({c: F.col("k4") for c in late})
-    left = without_banned(rows, [c for c in rows.columns if c not in KNOWN_BEFORE])
-    seen = left.agg(*[F.count(F.lit(1)).alias(c) for c in left.columns])
-    return seen.unpivot([], left.columns, "column", "n").select("column")
+    """A feed with results of the current event: which columns the ban finds, and what a projection without them reads."""
+    from foretally.operators.prepare import late_columns, without_banned
+    more = ("pitch_type", "events", "launch_speed", "post_bat_score", "delta_run_exp", "estimated_woba_using_speedangle", "pitcher_days_until_next_game",
+            "is_whiff", "in_zone", "pitcher_days_since_prev_game", "home_win_rate", "spin_rate_before")
+    rows = feed(spark, sf).select(*FEED_KNOWN).withColumns({c: F.col("k4") for c in more})
+    late = late_columns(rows.columns)
+    left = without_banned(rows, late)
+    seen = lambda df: df.agg(*[F.count(F.lit(1)).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "rows")
+    return seen(left).withColumn("banned", F.lit(0)).unionByName(seen(rows.select(*late)).withColumn("banned", F.lit(1)))

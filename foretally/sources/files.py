@@ -149,5 +149,36 @@ def by_digits(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def write_submission(df: DataFrame, path: str, row_id: str, p: str, seq: str) -> None:
-    """Two columns in the original row order, one header per part file."""
+    """Two columns in the original row order, one header per part file.
+
+    Rows are dealt by ranges of ``seq``, so part files follow each other as their rows do.
+    """
     (df.orderBy(seq).select(row_id, p).write.mode("overwrite").option("header", True).csv(path))
+
+
+def read_placed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of CSV part files with their place: ``part`` number, ``block`` of the file and ``step`` inside the block.
+
+    Steps grow along a block, which one task reads from its start; they are not consecutive.
+    """
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.select(*schema.fieldNames(),
+                       F.regexp_extract(F.col("_metadata.file_name"), r"part-0*(\d+)", 1).cast("long").alias("part"),
+                       F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("step"))
+
+
+def order_breaks(placed: DataFrame, seq: str) -> DataFrame:
+    """One row, ``breaks``: how often a row's ``seq`` is not above that of the row written before it.
+
+    Blocks are looked through one by one; between them only their first and last rows are compared, so the
+    one unpartitioned window holds a row for each block of the files.
+    """
+    inside = Window.partitionBy("part", "block").orderBy("step")
+    rows = placed.withColumn("__before", F.lag(seq).over(inside))
+    blocks = rows.groupBy("part", "block").agg(
+        F.count_if(F.col("__before").isNotNull() & (F.col(seq) <= F.col("__before"))).alias("inside"),
+        F.min_by(seq, "step").alias("first"), F.max_by(seq, "step").alias("last"))
+    turn = Window.orderBy("part", "block")
+    edge = F.col("first") <= F.lag("last").over(turn)
+    return blocks.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("long")).agg(
+        F.coalesce(F.sum(F.col("inside") + F.col("edge")), F.lit(0)).alias("breaks"))

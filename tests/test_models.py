@@ -37,7 +37,7 @@ def test_svd_matches_numpy(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(30, 3)) @ np.diag([9.0, 5.0, 2.0]) @ rng.normal(size=(3, 20)) + 0.01 * rng.normal(size=(30, 20))
     cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(20)], "r int, c int, x double")
-    left, right, sigma = embed.truncated_svd(cells, "r", "c", "x", 2)
+    left, right, sigma, _ = embed.truncated_svd(cells, "r", "c", "x", 2, tolerance=1e-7)
     u, s, vt = np.linalg.svd(m)
     assert np.allclose(sigma, s[:2], rtol=1e-6)
     got = np.array([[r["svd00"], r["svd01"]] for r in left.orderBy("r").collect()])
