@@ -297,8 +297,8 @@ def test_mixing(spark, odd, empty):
 
 def test_numbering_in_parts(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS", 10)
-    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("a").alias("source"))
-    assert sorted(r._rank for r in mixing._numbered(df, "source").collect()) == list(range(400))
+    df = spark.range(400).select(F.xxhash64("id").alias("code"), F.lit("a").alias("source"))
+    assert sorted(r["rank"] for r in mixing._numbered(df, "source").collect()) == list(range(400))
 
 
 def test_queries_with_sql(spark, sf):

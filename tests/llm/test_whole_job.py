@@ -7,11 +7,12 @@ from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foretally.llm import licenses, mixing
+from foretally.llm import licenses, linededup, mixing, neardup
 
 
 def test_mixing_keeps_to_the_weights_asked_for(spark):
@@ -113,3 +114,98 @@ def test_pipeline_stages_row_by_row(spark, tmp_path):
     assert clean.dtypes == docs.dtypes
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(
         r for r in before if len(part & shingles(r[1])) * 100 < 80 * len(part))
+
+
+CLASHING = ["_lines", "_host", "_codes", "_source", "_rank", "_part", "_code", "_of", "_row", "_slots", "_before", "_kept", "_leak", "Slot",
+            "row", "key", "site", "lines", "codes", "left", "code", "rank", "origin", "part", "size", "before", "of", "run", "slots", "a.b"]
+
+
+def test_callers_names_meet_none_of_ours(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}\nline", "s" if i % 3 else None) for i in range(12)],
+                                 "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    spark.createDataFrame([(1, "zz yy xx ww vv uu")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lines = linededup.drop_boilerplate(docs, "source", "text")
+    mixed = mixing.mixed_order(docs)
+    copies = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    clean = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    for out, n in ((lines, 12), (mixed, 12), (copies, 6), (clean, 12)):
+        rows = out.collect()
+        assert len(rows) == n and set(docs.columns) <= set(out.columns)
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert sorted(r.doc_id for r in mixed.collect()) == list(range(12))
+
+
+def test_mixing_splits_rows_without_or_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 50)
+    docs = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"))
+    base = docs.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("code"))
+    assert base.groupBy(F.pmod("code", F.lit(20))).count().agg(F.max("count")).first()[0] < 100
+    out = mixing.mixed_order(docs).collect()
+    assert sorted(r.position for r in out) == list(range(1000))
+
+
+def cloud(spark, n):
+    """Variants of one text, most of them a little below the threshold from each other."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(150, 3, replace=False):
+            w[at] = f"x{rng.integers(1_000_000_000)}"
+        rows.append((i, " ".join(w)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_clouds_of_near_texts_leave_few_pairs(spark, monkeypatch):
+    """Pairs that leave the lists stay in proportion to the links, and no link is lost."""
+    made = []
+    real = neardup._confirmed
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "_confirmed", counted)
+    shingles = lambda text: {tuple(text.split()[j:j + 4]) for j in range(147)}
+    for n in (150, 300):
+        made.clear()
+        rows, df = cloud(spark, n)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 4).collect()}
+        sets = [shingles(t) for _, t in rows]
+        links = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        label = list(range(n))
+        for _ in range(n):
+            before = list(label)
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+            if before == label:
+                break
+        assert got == dict(enumerate(label))
+        assert sum(made) < 12 * n + 4 * len(links)
+
+
+def test_bit_fields_bound_the_overlap_from_above():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 400)) for _ in range(2)]
+    for _ in range(40):
+        base = sets[0]
+        other = np.unique(np.concatenate([rng.choice(base, rng.integers(100, 400), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 120))]))
+        common = len(np.intersect1d(base, other))
+        alike = 100 * common >= 80 * (len(base) + len(other) - common)
+
+        def side(hashes, name, label, size):
+            field = np.zeros(size, dtype=bool)
+            field[hashes & (size - 1)] = True
+            return {"node": np.array([name]), "n": np.array([len(hashes)]), "label": np.array([label]), "side": np.array([0]),
+                    "place": np.array([0]), "few": np.array([True]), "bits": [np.packbits(field).tobytes()]}
+
+        a, _ = neardup._survivors(side(base, 1, 1, 2048), side(other, 2, 2, 1024), False, 80)
+        assert len(a) or not alike
+        if common * 180 < 0.9 * 80 * (len(base) + len(other)):
+            assert not len(a)
+
+
+def test_percent_decides_what_a_sketch_must_keep():
+    assert neardup.least_common(80, 64) == pytest.approx(0.5)
+    assert neardup.least_common(60, 64) < 0.24 and neardup.least_common(99, 64) > 0.9
