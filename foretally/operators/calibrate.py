@@ -37,12 +37,13 @@ def with_params(cells: DataFrame, params: DataFrame, keys: Sequence[str]) -> Dat
 
 def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
            moments: Mapping[str, Column], update: Mapping[str, Column], steps: int = 100,
-           tolerance: float = 1e-10, within: float = 30.0) -> DataFrame:
+           tolerance: float = 1e-10, within: float = 15.0) -> DataFrame:
     """Iterate per-group parameters: aggregate ``moments`` over cells, then ``update``.
 
-    Parameters stay a DataFrame with one row per group; each step cuts its lineage. A parameter that runs
-    beyond ``within`` has no finite optimum (a group of one outcome) and is held there. Raises
-    ArithmeticError where ``steps`` leave a parameter moving.
+    Parameters stay a DataFrame with one row per group; each step cuts its lineage. Parameters are held
+    within ``within``; a group of which one passes half of that has no finite optimum (one outcome only, or
+    outcomes that the logit separates) and is waited for no longer. Raises ArithmeticError where ``steps``
+    leave any other group moving.
     """
     cells = session.checkpoint(cells)
     params = session.checkpoint(cells.groupBy(*keys).agg(F.lit(1)).select(
@@ -57,8 +58,8 @@ def newton(cells: DataFrame, keys: Sequence[str], start: Mapping[str, float],
         held = {n: F.when(F.isnan(update[n]), F.col(n)).otherwise(clip(update[n], -within, within)) for n in start}
         moved = session.checkpoint(sums.select(
             *keys, *[held[n].alias(n) for n in start],
-            F.greatest(*[F.abs(held[n] - F.col(n)) for n in start],
-                       F.lit(0.0)).alias("__move")))
+            F.when(F.greatest(*[F.abs(held[n]) for n in start], F.lit(0.0)) < within / 2,
+                   F.greatest(*[F.abs(held[n] - F.col(n)) for n in start], F.lit(0.0))).otherwise(0.0).alias("__move")))
         params = moved.drop("__move")
         if (moved.agg(F.max("__move")).first()[0] or 0.0) < tolerance:
             return params

@@ -57,10 +57,11 @@ def soft_membership(df: DataFrame, dims: Sequence[str], centres: np.ndarray, lab
 
 
 def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, steps: int = 500,
-                     floor: float = 1e-4, label: str = "cluster", tolerance: float = 1e-4) -> tuple[DataFrame, dict]:
+                     floor: float = 1e-4, label: str = "cluster", tolerance: float = 1e-3) -> tuple[DataFrame, dict]:
     """Gaussian mixture with diagonal covariances: one aggregation of moments per EM step.
 
-    Steps end when no mean moves by more than ``tolerance``; ArithmeticError is raised where ``steps`` do not do.
+    Steps end when the mean log likelihood of a row grows by less than ``tolerance``; ArithmeticError is raised
+    where ``steps`` do not do.
     """
     _, mean = kmeans(df, dims, k, seed, "__start")
     row = df.agg(*[F.var_pop(d) for d in dims]).first()
@@ -68,35 +69,44 @@ def diagonal_mixture(df: DataFrame, dims: Sequence[str], k: int, seed: int, step
     mix = np.full(k, 1.0 / k)
     data = session.checkpoint(df)
 
-    def posterior() -> list[Column]:
-        logs = []
+    def logs() -> list[Column]:
+        out = []
         for j in range(k):
             e = F.lit(float(np.log(mix[j]) - 0.5 * np.log(2 * np.pi * var[j]).sum()))
             for d, m, v in zip(dims, mean[j], var[j]):
                 e = e - (F.col(d) - F.lit(float(m))) * (F.col(d) - F.lit(float(m))) / F.lit(float(2 * v))
-            logs.append(e)
-        top = F.greatest(*logs) if k > 1 else logs[0]
-        weights = [F.exp(e - top) for e in logs]
+            out.append(e)
+        return out
+
+    def posterior() -> tuple[list[Column], Column]:
+        """Shares of the components and the row's log likelihood."""
+        each = logs()
+        top = F.greatest(*each) if k > 1 else each[0]
+        weights = [F.exp(e - top) for e in each]
         total = sum(weights[1:], weights[0])
-        return [w / total for w in weights]
+        return [w / total for w in weights], top + F.log(total)
 
+    likelihood = -np.inf
     for _ in range(steps):
-        work = data.withColumns({f"__p{j}": p for j, p in enumerate(posterior())})
-        aggs = []
+        shares, said = posterior()
+        work = data.withColumns({**{f"__p{j}": p for j, p in enumerate(shares)}, "__said": said})
+        aggs = [F.avg("__said")]
         for j in range(k):
             p = F.col(f"__p{j}")
             aggs.append(F.sum(p))
             aggs += [F.sum(p * F.col(d)) for d in dims] + [F.sum(p * F.col(d) * F.col(d)) for d in dims]
-        got = np.array(work.agg(*aggs).first(), dtype=float).reshape(k, 1 + 2 * len(dims))
+        mean_said, *sums = work.agg(*aggs).first()
+        got = np.array(sums, dtype=float).reshape(k, 1 + 2 * len(dims))
         n = np.maximum(got[:, :1], 1e-12)
         new = got[:, 1:1 + len(dims)] / n
         var = np.maximum(got[:, 1 + len(dims):] / n - new ** 2, 0.0) + floor
-        moved, mean, mix = np.abs(new - mean).max(), new, got[:, 0] / got[:, 0].sum()
-        if moved < tolerance:
+        mean, mix = new, got[:, 0] / got[:, 0].sum()
+        if mean_said - likelihood < tolerance:
             break
+        likelihood = mean_said
     else:
-        raise ArithmeticError(f"means still move after {steps} steps")
-    out = data.withColumns({f"member_{j}": p for j, p in enumerate(posterior())})
+        raise ArithmeticError(f"the likelihood still grows after {steps} steps")
+    out = data.withColumns({f"member_{j}": p for j, p in enumerate(posterior()[0])})
     best = F.array_position(F.array(*[F.col(f"member_{j}") for j in range(k)]),
                             F.greatest(*[F.col(f"member_{j}") for j in range(k)])) - 1
     return out.withColumn(label, best.cast("int")), {"mean": mean, "var": var, "mix": mix}

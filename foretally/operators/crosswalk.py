@@ -1,20 +1,23 @@
 """Entity resolution between two logs by the cosine of their state counts.
 
-Entities are packed into chunks; each task multiplies one chunk of either side and returns
-only the best few matches per entity, so neither a hot state nor a large group produces
-rows per pair. The final ranking over chunks is exact.
+Entities stand in chunks; each task multiplies one chunk of either side and returns only the best few
+matches per entity, so neither a hot state nor a large group produces rows per pair. Pairs of chunks that
+cannot hold a better match are not met. The final ranking over chunks is exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from foretally import session
 from foretally.operators.joins import null_safe_join
+from foretally.operators.ordered import History
+from foretally.roles import Order
 
 CHUNK = 512
 STATE_SLICE = 4096
@@ -31,58 +34,98 @@ def unit_vectors(df: DataFrame, keys: Sequence[str], entity: str, state: str,
         "v", F.col("v") / F.greatest(F.col("__norm"), F.lit(1e-9))).drop("__norm")
 
 
-def _best(left: pd.DataFrame, right: pd.DataFrame, top: int) -> pd.DataFrame:
-    a_ids, a_pos = np.unique(left["a"].to_numpy(), return_inverse=True)
-    b_ids, b_pos = np.unique(right["b"].to_numpy(), return_inverse=True)
+def _best(left: dict, right: dict, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of the best ``top`` of the right side for every entity of the left."""
+    a_ids, a_pos = np.unique(left["id"], return_inverse=True)
+    b_ids, b_pos = np.unique(right["id"], return_inverse=True)
     states, pos = np.unique(np.concatenate([left["state"], right["state"]]), return_inverse=True)
-    la, rb = pos[:len(left)], pos[len(left):]
+    la, rb = pos[:len(left["state"])], pos[len(left["state"]):]
     sims = np.zeros((len(a_ids), len(b_ids)))
     for start in range(0, len(states), STATE_SLICE):
         width = min(STATE_SLICE, len(states) - start)
         x, z = np.zeros((len(a_ids), width)), np.zeros((len(b_ids), width))
         m = (la >= start) & (la < start + width)
-        x[a_pos[m], la[m] - start] = left["v"].to_numpy()[m]
+        x[a_pos[m], la[m] - start] = left["v"][m]
         m = (rb >= start) & (rb < start + width)
-        z[b_pos[m], rb[m] - start] = right["v"].to_numpy()[m]
+        z[b_pos[m], rb[m] - start] = right["v"][m]
         sims += x @ z.T
     k = min(top, len(b_ids))
     # Rounding makes equal scores tie, so the smaller id wins on every run.
     order = np.lexsort((np.broadcast_to(np.arange(len(b_ids)), sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-    return pd.DataFrame({"a": np.repeat(a_ids, k), "b": b_ids[order.ravel()],
-                         "similarity": np.take_along_axis(sims, order, 1).ravel()})
+    return np.repeat(a_ids, k), b_ids[order.ravel()], np.take_along_axis(sims, order, 1).ravel()
+
+
+def _packed(vectors: DataFrame, keys: Sequence[str], entity: str, state: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, part, cells) and (keys, part, state, peak): entities in chunks of one row, and their greatest weights.
+
+    A chunk holds at most ``chunk`` entities of one key, those with the same heaviest state side by side.
+    """
+    heavy = vectors.groupBy(*keys, entity).agg(F.max_by(state, F.struct("v", state)).alias("__heavy"))
+    placed = History(heavy, list(keys), Order(("__heavy", entity))).position("__place").df.withColumn(
+        "part", F.floor(F.col("__place") / chunk)).drop("__heavy", "__place")
+    cells = null_safe_join(vectors.select(*keys, F.col(entity).alias("id"), F.col(state).alias("state"), "v"),
+                           placed.withColumnRenamed(entity, "id"), [*keys, "id"])
+    cells = session.checkpoint(cells)
+    peaks = cells.groupBy(*keys, "part", "state").agg(F.max("v").alias("peak"))
+    return cells.groupBy(*keys, "part").agg(F.collect_list(F.struct("id", "state", "v")).alias("cells")), peaks
 
 
 def best_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str,
                  state: str, top: int, chunk: int = CHUNK) -> DataFrame:
-    """Top matches by cosine for every left entity among right entities with equal keys."""
-    sizes = [df.select(*keys, e).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-             for df, e in ((left, a), (right, b))]
-    parts = [max(1, math.ceil(s / chunk)) for s in sizes]
-    # Keys get fresh names on both sides: the logs may stem from the same table.
+    """Top matches by cosine for every left entity among right entities with equal keys.
+
+    An inverted index over the chunks' greatest weights bounds the cosine of any two of their members from
+    above. Every left chunk meets the right chunk of highest bound first; what its members have found
+    there bounds what they still need, and only right chunks whose bound reaches that are met after it.
+    Weights must not be negative. Entities that share no state with enough others find the smallest ids, at 0.
+    """
     names = list(keys)
     lk, rk = [f"l_{k}" for k in names], [f"r_{k}" for k in names]
-    lx = left.select(*[F.col(k).alias(n) for k, n in zip(names, lk)], F.col(a).alias("a"), F.col(state).alias("state"), "v").withColumns({
-        "ca": F.pmod(F.xxhash64("a"), F.lit(parts[0])).cast("int"),
-        "cb": F.explode(F.sequence(F.lit(0), F.lit(parts[1] - 1)))})
-    rx = right.select(*[F.col(k).alias(n) for k, n in zip(names, rk)], F.col(b).alias("b"), F.col(state).alias("state"), "v").withColumns({
-        "cb": F.pmod(F.xxhash64("b"), F.lit(parts[1])).cast("int"),
-        "ca": F.explode(F.sequence(F.lit(0), F.lit(parts[0] - 1)))})
-    types = {f.name: f.dataType.simpleString() for f in lx.schema.fields}
-    b_type = {f.name: f.dataType.simpleString() for f in rx.schema.fields}["b"]
-    schema = ", ".join([f"{k} {types[n]}" for k, n in zip(names, lk)] + [f"a {types['a']}", f"b {b_type}", "similarity double"])
-
-    def match(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({c: [] for c in [*names, "a", "b", "similarity"]})
-        out = _best(one, two, top)
-        for i, n in enumerate(names):
-            out.insert(i, n, key[i])
-        return out
-
-    found = lx.groupBy(*lk, "ca", "cb").cogroup(rx.groupBy(*rk, "ca", "cb")).applyInPandas(
-        match, schema)
-    w = Window.partitionBy(*keys, "a").orderBy(F.desc(F.round("similarity", 12)), "b")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    lc, lp = _packed(left, names, a, state, chunk)
+    rc, rp = _packed(right, names, b, state, chunk)
+    types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    b_type = right.schema[b].dataType.simpleString()
+    schema = ", ".join([f"{k} {types[k]}" for k in names] + ["l long", f"a {types[a]}", f"b {b_type}", "similarity double"])
+    lc = lc.select(*[F.col(k).alias(n) for k, n in zip(names, lk)], F.col("part").alias("l"), F.col("cells").alias("mine"))
+    rc = rc.select(*[F.col(k).alias(n) for k, n in zip(names, rk)], F.col("part").alias("r"), F.col("cells").alias("theirs"))
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(lk, rk)])
+    pairs = lc.drop("mine").join(rc.drop("theirs"), same)
+    bounds = (lp.select(*[F.col(k).alias(n) for k, n in zip(names, lk)], F.col("part").alias("l"), "state", F.col("peak").alias("x"))
+              .join(rp.select(*[F.col(k).alias(n) for k, n in zip(names, rk)], F.col("part").alias("r"), "state", F.col("peak").alias("y")),
+                    "state").filter(same).groupBy(*lk, "l", "r").agg(F.sum(F.col("x") * F.col("y")).alias("bound")))
+    pairs = session.checkpoint(null_safe_join(pairs.drop(*rk), bounds, [*lk, "l", "r"]).withColumn("bound", F.coalesce("bound", F.lit(0.0))))
+    home = pairs.groupBy(*lk, "l").agg(F.max_by("r", F.struct("bound", -F.col("r"))).alias("r"), F.count(F.lit(1)).alias("__met"))
+
+    def met(which: DataFrame) -> DataFrame:
+        rows = null_safe_join(null_safe_join(which.select(*lk, "l", "r"), lc, [*lk, "l"]),
+                              rc.withColumnsRenamed(dict(zip(rk, lk))), [*lk, "r"])
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = batch.slice(i, 1)
+                    sides = []
+                    for column in ("mine", "theirs"):
+                        flat = one.column(column).flatten()
+                        sides.append({f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("id", "state", "v")})
+                    out = _best(*sides, top)
+                    n = pa.array(np.zeros(len(out[0]), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(one.column(k).take(n) for k in lk), one.column("l").take(n), *map(pa.array, out)],
+                        names=[*names, "l", "a", "b", "similarity"])
+
+        return rows.select(*lk, "l", "mine", "theirs").mapInArrow(run, schema)
+
+    found = met(home)
+    if not home.filter("__met > 1").isEmpty():
+        found = session.checkpoint(found)
+        each = found.groupBy(*names, "l", "a").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("k"))
+        need = each.groupBy(*names, "l").agg(F.min(F.when(F.col("k") < top, 0.0).otherwise(F.col("least"))).alias("need"))
+        others = null_safe_join(pairs, home.drop("__met"), [*lk, "l", "r"], "left_anti")
+        open_ = null_safe_join(others, need.withColumnsRenamed(dict(zip(names, lk))), [*lk, "l"])
+        found = found.unionByName(met(open_.filter((F.col("need") <= 1e-11) | (F.col("bound") >= F.col("need") - 1e-11))))
+    w = Window.partitionBy(*names, "a").orderBy(F.desc(F.round("similarity", 12)), "b")
+    ranked = found.drop("l").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.withColumnsRenamed({"a": a, "b": b})
 
 
@@ -92,10 +135,11 @@ def match_seasons(left: DataFrame, right: DataFrame, season: str, hand: str, a:
 
     Seasons with fewer than two right entities are left out.
     """
-    right_n = right.select(season, b).distinct().groupBy(season).count().filter("count >= 2")
-    right = right.join(right_n.select(season), season, "left_semi")
     keys = [season, hand]
-    lv, rv = (unit_vectors(d, keys, e, state) for d, e in ((left, a), (right, b)))
+    # Vectors are small beside the logs; each log is read once.
+    lv, rv = (session.checkpoint(unit_vectors(d, keys, e, state)) for d, e in ((left, a), (right, b)))
+    enough = rv.groupBy(season).agg(F.count_distinct(b).alias("__n")).filter("__n >= 2").select(season)
+    rv = rv.join(F.broadcast(enough), season, "left_semi")
     ranked = best_matches(lv, rv, keys, a, b, state, top, chunk)
     sizes_a = lv.groupBy(*keys, a).agg(F.first("rows").cast("long").alias("a_n"))
     sizes_b = rv.groupBy(*keys, b).agg(F.first("rows").cast("long").alias("b_n"))

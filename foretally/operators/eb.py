@@ -16,6 +16,7 @@ from foretally import session
 from foretally.functions.rates import clip, eb, half_life, ratio, reliability
 from foretally.operators import blocks
 from foretally.operators.joins import small_join
+from foretally.operators.ordered import by_value
 from foretally.operators.ranks import metric_quantiles
 
 
@@ -114,18 +115,30 @@ def axis_splits(df: DataFrame, entity: str, axes: Sequence[str], y: str,
 
 
 def screened_axes(df: DataFrame, splits: DataFrame, entity: str, axes: Sequence[str],
-                  floor: float, min_rel: float = 0.5) -> DataFrame:
-    """Spread of each axis over rows with reliable splits, and whether it clears the floor."""
+                  floor: float, min_rel: float = 0.5, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Spread and outer percentiles of each axis over rows with reliable splits, and whether it clears the floor."""
     long = df.select(entity, *[F.col(a).cast("string").alias(a) for a in axes]).unpivot(
         [entity], list(axes), "axis", "level")
     weights = long.groupBy(entity, "axis", "level").count()
-    rows = weights.join(splits, [entity, "axis", "level"]).filter(F.col("rel") > min_rel)
+    rows = session.checkpoint(weights.join(splits, [entity, "axis", "level"]).filter(F.col("rel") > min_rel))
     n, x = F.col("count"), F.col("split")
     out = rows.groupBy("axis").agg(F.sum("count").alias("n_rows"), F.sum(n * x).alias("__s"),
                                    F.sum(n * x * x).alias("__q"))
     sd = F.sqrt(F.greatest(F.col("__q") / F.col("n_rows")
                            - F.pow(F.col("__s") / F.col("n_rows"), 2), F.lit(0.0)))
-    return out.select("axis", "n_rows", sd.alias("sd"), (sd > floor).cast("int").alias("kept"))
+    # Rows stand as counts of distinct splits; a percentile lies between the two values around its place.
+    cells = rows.groupBy("axis", "split").agg(F.sum("count").alias("n"))
+    ranked = by_value(cells, ["axis"], "split").running({"below": F.col("n")}, totals={"t": F.col("n")}).df
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("split")))
+    picks = []
+    for name, p in (("p_low", low), ("p_high", high)):
+        spot = F.lit(p) * (F.col("t") - 1)
+        picks += [at(F.floor(spot)).alias(f"{name}_a"), at(F.least(F.floor(spot) + 1, F.col("t") - 1)).alias(f"{name}_b"),
+                  F.max(spot - F.floor(spot)).alias(f"{name}_f")]
+    ends = ranked.groupBy("axis").agg(*picks)
+    return out.join(ends, "axis").select(
+        "axis", "n_rows", sd.alias("sd"), (sd > floor).cast("int").alias("kept"),
+        *[(F.col(f"{e}_a") + F.col(f"{e}_f") * (F.col(f"{e}_b") - F.col(f"{e}_a"))).alias(e) for e in ("p_low", "p_high")])
 
 
 def shrink_table(df: DataFrame, keys: Sequence[str], residual: str, y: str, strength: float,

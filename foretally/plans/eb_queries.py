@@ -124,11 +124,12 @@ def reactivity_axes(spark, sf):
     return eb.axis_splits(rows, "entity", list(AXES), "y", 200.0)
 
 
-@query("axis_screening", "A34", "axis:s n_rows:i sd:d kept:i", f"""
+@query("axis_screening", "A34", "axis:s n_rows:i sd:d kept:i p_low:d p_high:d", f"""
 WITH {FIT_CTE}, {AXES_SQL}, {AXES_SPLIT},
 g AS (SELECT axis, sum(n) n_rows, sqrt(greatest(sum(n * split * split) / sum(n) - (sum(n * split) / sum(n)) ** 2, 0)) sd
-      FROM sp WHERE rel > 0.2 GROUP BY 1)
-SELECT axis, n_rows, sd, CASE WHEN sd > 0.005 THEN 1 ELSE 0 END kept FROM g""")
+      FROM sp WHERE rel > 0.2 GROUP BY 1),
+q AS (SELECT axis, quantile_cont(split, 0.01) p_low, quantile_cont(split, 0.99) p_high FROM lng JOIN sp USING (entity, axis, "level") WHERE rel > 0.2 GROUP BY 1)
+SELECT axis, n_rows, sd, CASE WHEN sd > 0.005 THEN 1 ELSE 0 END kept, p_low, p_high FROM g JOIN q USING (axis)""")
 def axis_screening(spark, sf):
     """Spread of every axis over reliable rows against a floor."""
     rows = pit(spark, sf).filter(PAST).selectExpr("*", *[f"{e} AS {n}" for n, e in AXES.items()])

@@ -139,20 +139,27 @@ def outing_weights(spark, sf):
     return prof.outing_weights(rows, "entity", "mo", "ctx", F.col("hand") == "F")
 
 
-@query("response_profile", "A36", "entity:i season:i feature:s resid:d", f"""
-WITH {USE}, b AS (SELECT *, CASE WHEN qty < 15 THEN 0 WHEN qty < 35 THEN 1 ELSE 2 END ax FROM pit),
-c2 AS (SELECT entity, season, lab, ax, count(*) n, avg(cents) m, count(cents) k FROM b GROUP BY ALL), t2 AS (SELECT entity, season, ax, sum(n) t FROM c2 GROUP BY ALL),
-l2 AS (SELECT season, lab, ax, count(*) / sum(count(*)) OVER (PARTITION BY season, ax) lg, avg(cents) lm FROM b GROUP BY season, lab, ax),
-c1 AS (SELECT entity, season, lab, ctx, avg(cents) m, count(cents) k, count(*) n FROM pit GROUP BY ALL), t1 AS (SELECT entity, season, ctx, sum(n) t FROM c1 GROUP BY ALL),
-l1 AS (SELECT season, lab, ctx, count(*) / sum(count(*)) OVER (PARTITION BY season, ctx) lg, avg(cents) lm FROM pit GROUP BY season, lab, ctx)
-SELECT entity, season, 'v:' || concat_ws('_', 'u', lab, ax) feature, (n + 200 * lg) / (t + 200) - lg resid FROM c2 JOIN t2 USING (entity, season, ax) JOIN l2 USING (season, lab, ax)
-UNION ALL SELECT entity, season, 'v:' || concat_ws('_', 'p_cents', lab, ax), k / (k + 200.0) * (m - lm) FROM c2 JOIN l2 USING (season, lab, ax) WHERE m IS NOT NULL
-UNION ALL SELECT entity, season, 'c:' || concat_ws('_', 'u', lab, ctx) feature, (n + 200 * lg) / (t + 200) - lg FROM c1 JOIN t1 USING (entity, season, ctx) JOIN l1 USING (season, lab, ctx)
-UNION ALL SELECT entity, season, 'c:' || concat_ws('_', 'p_cents', lab, ctx), k / (k + 200.0) * (m - lm) FROM c1 JOIN l1 USING (season, lab, ctx) WHERE m IS NOT NULL""")
+# Four context axes, each within the hand, as the same text for Spark and SQL.
+RESPONSE_AXES = {"v": "CASE WHEN qty < 15 THEN 0 WHEN qty < 35 THEN 1 ELSE 2 END", "c": "ctx", "m": "month % 4", "d": "CASE WHEN disc < 0.05 THEN 0 ELSE 1 END"}
+
+
+def response_sql() -> str:
+    parts, out = ["b AS (SELECT *, " + ", ".join(f"{e} AS ax_{t}" for t, e in RESPONSE_AXES.items()) + " FROM pit)"], []
+    for t in RESPONSE_AXES:
+        x = f"ax_{t}, hand"
+        parts += [f"c_{t} AS (SELECT entity, season, lab, {x}, count(*) n, avg(cents) m, count(cents) k FROM b GROUP BY ALL)",
+                  f"t_{t} AS (SELECT entity, season, {x}, sum(n) t FROM c_{t} GROUP BY ALL)",
+                  f"l_{t} AS (SELECT season, lab, {x}, count(*) / sum(count(*)) OVER (PARTITION BY season, {x}) lg, avg(cents) lm FROM b GROUP BY season, lab, {x})"]
+        out += [f"SELECT entity, season, '{t}:' || concat_ws('_', 'u', lab, {x}) feature, (n + 200 * lg) / (t + 200) - lg resid FROM c_{t} JOIN t_{t} USING (entity, season, {x}) JOIN l_{t} USING (season, lab, {x})",
+                f"SELECT entity, season, '{t}:' || concat_ws('_', 'p_cents', lab, {x}), k / (k + 200.0) * (m - lm) FROM c_{t} JOIN l_{t} USING (season, lab, {x}) WHERE m IS NOT NULL"]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(out)
+
+
+@query("response_profile", "A36", "entity:i season:i feature:s resid:d", response_sql())
 def response_profile(spark, sf):
-    """Usage and response residuals over two context axes, stacked."""
-    rows = pit(spark, sf).withColumn("ax", digitize(F.col("qty"), [15, 35]))
-    return prof.response_profile(rows, "entity", "season", "lab", {"v": ["ax"], "c": ["ctx"]}, ["cents"], 200.0)
+    """Usage and response residuals over four context axes within the hand, stacked."""
+    rows = pit(spark, sf).withColumns({f"ax_{t}": F.expr(e) for t, e in RESPONSE_AXES.items()})
+    return prof.response_profile(rows, "entity", "season", "lab", {t: [f"ax_{t}", "hand"] for t in RESPONSE_AXES}, ["cents"], 200.0)
 
 
 STATE_SQL = "((month - 1) * 8 + ctx) * 3 + CASE lab WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"

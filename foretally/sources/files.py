@@ -128,10 +128,15 @@ def capped_sample(df: DataFrame, keys: Sequence[str], ident: Sequence[str], cap:
                   hot_rows: int | None = None) -> DataFrame:
     """Fixed-seed sample of at most ``cap`` rows per key, by smallest digest of the row id.
 
-    Rows are first counted per leading digest digits; only rows up to the digits where the
+    Up to the cap for which Spark limits groups before it shuffles them, one window does: a task sends on no
+    more than ``cap`` rows of a key. For larger caps, rows are first counted per leading digest digits; only rows up to the digits where the
     count reaches the cap are ordered, so the full table is never sorted.
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident])
+    if cap <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        first = Window.partitionBy(*keys).orderBy("__h", *ident)
+        return df.withColumn("__h", F.md5(text)).withColumn("__r", F.row_number().over(first)).filter(
+            F.col("__r") <= cap).drop("__h", "__r")
     rows = df.withColumn("__h", F.md5(text)).withColumn("__b", F.substring("__h", 1, 4))
     counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = by_digits(counts, keys)
