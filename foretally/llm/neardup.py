@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foretally.llm import tokens
 from foretally.llm.components import connected, extended
-from foretally.llm.store import stored
+from foretally.llm.store import small_batches, stored
 
 K = 64
 #: Size bands of the full sets' lists in the range that the threshold leaves to a partner.
@@ -153,8 +153,9 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     mine = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = stored(_sets(mine, width, None).select(F.col("doc_id").alias("node"), "hashes"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(_estimated(pairs, sketches, k, percent), sets, percent))
+    def linked(pairs: DataFrame, rows: int = 512) -> DataFrame:
+        with small_batches(docs.sparkSession, rows):
+            return stored(_confirmed(_estimated(pairs, sketches, k, percent), sets, percent))
 
     key = ["value", "band", "gap"]
     lists = lists.select("value", "band", F.lit(0).alias("gap"), F.lit(0).alias("side"), F.lit(0).alias("place"), "node", "n")
@@ -175,7 +176,8 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
         # A representative that leaves most of the work has little to settle: the rest is paired.
         last = turn == ROUNDS or work <= ENOUGH * size or work > before * GAIN
         before = work
-        labels = extended(labels, linked(_apart(apart, main, fields, key, percent) if last else _to_heads(apart, key, turn, percent)))
+        labels = extended(labels, linked(_apart(apart, main, fields, key, percent), 16) if last
+                          else linked(_to_heads(apart, key, turn, percent)))
         if last:
             return labels
 
