@@ -530,9 +530,9 @@ def assembled_blocks(spark, sf):
 def row_independence(spark, sf):
     """Features of a row do not depend on other rows."""
     from foretally.functions import rowfeatures as rf
-    from foretally.plans.row_queries import train
+    from foretally.plans.row_queries import COMPACT, train
     rows = train(spark, sf)
-    return reg.row_independent(lambda d: rf.demo_block(d).select("k1", "k2", "k3", "k4", "demo_recent", "demo_risk"), rows, ["k1", "k2"], F.col("k1") % 2 == 0)
+    return reg.row_independent(lambda d: rf.derived(d, COMPACT).select("k1", "k2", "k3", "k4", "blend", "risk"), rows, ["k1", "k2"], F.col("k1") % 2 == 0)
 
 
 @query("method_audit", "X7", "check:s violations:i", "SELECT * FROM (VALUES ('fold_overlap', 0), ('rows_equal_across_folds', 0), ('inclusion_exclusion', 0)) t(\"check\", violations), (SELECT min(1) FROM lineitem)")
