@@ -35,6 +35,8 @@ GAIN = 0.5
 #: Members of a list that meet others in one step, about, and bits of a field: at least and at most.
 BLOCK = 512
 FIELD = (1 << 8, 1 << 16)
+#: Rows of an Arrow batch that hold a whole text or a full set, a pair of full sets, and a pair of blocks.
+TEXTS, PAIRS, MEETINGS = 1024, 512, 4
 
 
 def least_common(percent: int, k: int) -> float:
@@ -151,9 +153,10 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     nodes = lists.select("node").distinct()
     sketches = stored(classes.select("node", "hashes").join(nodes, "node"))
     mine = docs.select(F.col("doc_id").cast("long"), "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = stored(_sets(mine, width, None).select(F.col("doc_id").alias("node"), "hashes"))
+    with small_batches(docs.sparkSession, TEXTS):
+        sets = stored(_sets(mine, width, None).select(F.col("doc_id").alias("node"), "hashes"))
 
-    def linked(pairs: DataFrame, rows: int = 512) -> DataFrame:
+    def linked(pairs: DataFrame, rows: int = PAIRS) -> DataFrame:
         with small_batches(docs.sparkSession, rows):
             return stored(_confirmed(_estimated(pairs, sketches, k, percent), sets, percent))
 
@@ -164,7 +167,8 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
     apart = _unsettled(_labelled(lists, labels), key)
     open_nodes = stored(apart.select("node").distinct())
     lists = _exact_lists(sets.join(open_nodes, "node"), percent)
-    fields = stored(_fields(sets.join(open_nodes, "node")))
+    with small_batches(docs.sparkSession, TEXTS):
+        fields = stored(_fields(sets.join(open_nodes, "node")))
     before = math.inf
     for turn in range(1, ROUNDS + 1):
         apart = stored(_unsettled(_labelled(lists, labels), key))
@@ -176,7 +180,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int
         # A representative that leaves most of the work has little to settle: the rest is paired.
         last = turn == ROUNDS or work <= ENOUGH * size or work > before * GAIN
         before = work
-        labels = extended(labels, linked(_apart(apart, main, fields, key, percent), 16) if last
+        labels = extended(labels, linked(_apart(apart, main, fields, key, percent), MEETINGS) if last
                           else linked(_to_heads(apart, key, turn, percent)))
         if last:
             return labels
@@ -297,7 +301,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     repeat a doc_id all get the least component that any of them reaches. Rows without doc_id are
     compared with nothing: component_id is null, kept is true. An empty table gives an empty result.
     """
-    sets = stored(_sets(docs, width, k))
+    with small_batches(docs.sparkSession, TEXTS):
+        sets = stored(_sets(docs, width, k))
     named = sets.filter("doc_id is not null")
     first = stored(named.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     classes = stored(named.join(first.withColumnRenamed("node", "doc_id"), ["d1", "d2", "doc_id"])
