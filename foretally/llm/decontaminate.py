@@ -27,7 +27,7 @@ def _shingled(docs: DataFrame, key: str, widths: list[int] | None, width: int) -
     """(key, width, hashes): each text's distinct shingles, at its own width or at each of ``widths``."""
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in tokens.chunks(batch.column(1)):
+            for lo, hi, data, offsets in tokens.chunks(batch.column(1), tokens.SMALL):
                 data = tokens.lowered(data)
                 starts, stops, rows = tokens.word_bounds(data, offsets)
                 codes, length = tokens.word_codes(data, starts, stops), np.diff(rows)

@@ -50,7 +50,7 @@ def _sets(docs: DataFrame, width: int, k: int | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in tokens.chunks(batch.column(1)):
+            for lo, hi, data, offsets in tokens.chunks(batch.column(1), tokens.SMALL):
                 data = tokens.lowered(data)
                 starts, stops, rows = tokens.word_bounds(data, offsets)
                 hashes, ends = tokens.shingles(tokens.word_codes(data, starts, stops), rows, width)

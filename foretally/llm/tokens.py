@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; one longer document is worked on alone.
-CHUNK = 1 << 21
+#: Bytes of text worked on at once, and where tasks of several kinds follow each other in one worker; one longer document
+#: is worked on alone.
+CHUNK, SMALL = 1 << 21, 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -38,7 +39,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest asked for is kept."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK + 64), base, dtype=np.uint64)
+        steps = np.full((n | (1 << 18) - 1) + 1, base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[int(base)] = np.multiply.accumulate(steps)
     return have[:n]
@@ -65,7 +66,7 @@ class Rolling:
         return mixed(raw + np.uint64(width * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets of the rows in them); null texts are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
@@ -73,7 +74,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
         yield row, end, data[ends[row]:ends[end]], ends[row:end + 1] - ends[row]
         row = end
 
