@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foretally import session
 from foretally.functions.rates import half_life
@@ -15,6 +16,8 @@ from foretally.operators.joins import sized
 from foretally.operators.prepare import robust_scaled, standard_scaled
 
 MAX_DIMS = 512
+#: Cells of one Arrow batch of packs.
+PACKED_CELLS = 1 << 20
 
 
 def _combine(cols: Sequence[str], weights: np.ndarray) -> Column:
@@ -49,6 +52,12 @@ def array_columns(df: DataFrame, array: str, size: int, prefix: str = "v") -> tu
     return df.withColumns({n: F.get(F.col(array), i).cast("double") for i, n in enumerate(names)}), names
 
 
+def _turn(gram: np.ndarray) -> np.ndarray:
+    """What columns of this Gram matrix are multiplied by to be orthonormal."""
+    values, vectors = np.linalg.eigh(gram)
+    return vectors / np.sqrt(np.maximum(values, 1e-30))
+
+
 def _orthonormal(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
     """Columns rotated to an orthonormal set through their small Gram matrix."""
     m = len(names)
@@ -57,9 +66,7 @@ def _orthonormal(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, np.nda
     gram = np.zeros((m, m))
     for (i, j), v in zip(pairs, row):
         gram[i, j] = gram[j, i] = v
-    values, vectors = np.linalg.eigh(gram)
-    keep = np.maximum(values, 1e-30)
-    turn = vectors / np.sqrt(keep)
+    turn = _turn(gram)
     return df.select(*[c for c in df.columns if c not in names],
                      *[_combine(names, turn[:, i]).alias(names[i]) for i in range(m)]), gram
 
@@ -72,18 +79,116 @@ def _residual(pairs: DataFrame, names: Sequence[str], dim: int) -> float:
     row = pairs.agg(*[F.sum(F.col(f"o{names[i]}") * F.col(names[j])) for i, j in every],
                     *[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in every]).first()
     small, square = (np.array(part, dtype=float).reshape(m, m) for part in (row[:m * m], row[m * m:]))
+    return _ritz_residual(small, square, dim)
+
+
+def _ritz_residual(small: np.ndarray, square: np.ndarray, dim: int) -> float:
+    """``_residual`` from the products of basis and image and of the image with itself."""
     values, turn = np.linalg.eigh((small + small.T) / 2)
     values, turn = values[::-1][:dim], turn[:, ::-1][:, :dim]
     off = np.einsum("ij,ik,kj->j", turn, square, turn) - values ** 2
     return float(np.sqrt(np.clip(off, 0, None)).max() / max(values[0], 1e-300))
 
 
+def _numbered(cells: DataFrame, side: str) -> DataFrame:
+    """(id, p): the ids of one side, numbered from 0; stored."""
+    ids = cells.select(F.col(side).alias("id")).filter("id IS NOT NULL").distinct()
+    return session.checkpoint(ids.withColumn("p", F.row_number().over(Window.orderBy("id")) - 1))
+
+
+def _packs(cells: DataFrame, big: str, small: str, ids: DataFrame) -> DataFrame:
+    """One row for each id of the big side: numbers of the small side's ids it meets, and the values; stored."""
+    met = cells.filter(F.col(big).isNotNull()).join(F.broadcast(ids), F.col(small) == F.col("id"))
+    each = met.groupBy(big, "p").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"))
+    return session.checkpoint(each.groupBy(big).agg(F.collect_list(F.struct("p", "x")).alias("cells")).select("cells"))
+
+
+def _there_and_back(packs: DataFrame, vectors: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the matrix M of packs: the Gram matrix of M times ``vectors``, and M transposed times that product.
+
+    ``vectors`` has a row for each id of the small side. Every pack is worked through where it stands; a task
+    returns one row for each small id, and these are summed by Spark.
+    """
+    m = vectors.shape[1]
+    names = [f"q{i:02d}" for i in range(m)]
+    spark = packs.sparkSession
+    sent = spark.sparkContext.broadcast(np.ascontiguousarray(vectors.T))
+
+    def run(batches):
+        v = sent.value
+        back, gram, any_row = np.zeros_like(v), np.zeros((m, m)), False
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            any_row = True
+            flat, edges = lists.flatten(), lists.offsets.to_numpy()
+            sizes, starts = np.diff(edges), edges[:-1] - edges[0]
+            p, x = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("p", "x"))
+            there = np.empty((m, len(lists)))
+            for j in range(m):
+                there[j] = np.add.reduceat(x * v[j][p], starts)
+                back[j] += np.bincount(p, weights=x * np.repeat(there[j], sizes), minlength=v.shape[1])
+            gram += there @ there.T
+        if any_row:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.arange(v.shape[1]), -1 - np.arange(m)]))]
+                + [pa.array(np.concatenate([back[j], gram[j]])) for j in range(m)], names=["p", *names])
+
+    try:
+        with session.arrow_rows(spark, rows):
+            sums = packs.mapInArrow(run, "p long, " + ", ".join(f"{n} double" for n in names)).groupBy("p").agg(
+                *[F.sum(n).alias(n) for n in names]).toArrow()
+    finally:
+        sent.unpersist()
+    at = sums["p"].to_numpy()
+    told = np.column_stack([sums[n].to_numpy() for n in names])
+    back, gram = np.zeros_like(vectors), np.zeros((m, m))
+    back[at[at >= 0]] = told[at >= 0]
+    gram[-1 - at[at < 0]] = told[at < 0]
+    return gram, back
+
+
+def _packed_image(cells: DataFrame, basis: DataFrame, names: Sequence[str], dim: int, iterations: int,
+                  tolerance: float, small: str, n: int) -> tuple[DataFrame, float]:
+    """The steps of ``truncated_svd`` where one side's vectors may be sent: (image of the last basis, residual).
+
+    Cells stand in packs of the other side's ids, so that a step is one pass over them without a join.
+    """
+    big = "c" if small == "r" else "r"
+    ids = _numbered(cells, small)
+    packs = _packs(cells, big, small, ids)
+    longest = packs.agg(F.max(F.size("cells"))).first()[0] or 1
+    rows = max(1, min(10_000, PACKED_CELLS // longest))
+    times = [F.sum(F.col("x") * F.col(c)).alias(c) for c in names]
+    # Either side's vectors of the first basis.
+    first = basis if small == "c" else cells.join(basis, "c").groupBy("r").agg(*times)
+    drawn = first.join(F.broadcast(ids), F.col(small) == F.col("id")).select("p", *names).toArrow()
+    vectors = np.zeros((n, len(names)))
+    vectors[drawn["p"].to_numpy()] = np.column_stack([drawn[c].fill_null(0.0).to_numpy() for c in names])
+    for _ in range(iterations):
+        gram, back = _there_and_back(packs, vectors, rows)
+        square = gram if small == "r" else back.T @ back
+        residual = _ritz_residual(vectors.T @ vectors if small == "r" else gram, square, dim)
+        if residual <= tolerance:
+            break
+        vectors = back @ _turn(square)
+    else:
+        raise ArithmeticError(f"residual {residual} after {iterations} iterations")
+    table = pa.table({"p": np.arange(n), **{c: np.ascontiguousarray((vectors if small == "r" else back)[:, j]) for j, c in enumerate(names)}})
+    told = cells.sparkSession.createDataFrame(table).join(F.broadcast(ids), "p").select(F.col("id").alias(small), *names)
+    if small == "c":
+        return session.checkpoint(told), residual
+    return session.checkpoint(cells.filter("c IS NOT NULL").join(F.broadcast(told), "r").groupBy("c").agg(*times)), residual
+
+
 def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, iterations: int = 100,
                   oversample: int = 4, prefix: str = "svd", tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float], float]:
     """Leading singular triples of a long sparse matrix by block power iteration.
 
-    Every step is three joins and two grouped sums of ``dim + oversample`` columns; only the
-    small Gram matrices reach the driver, so neither axis is bounded. Steps end when the residual of the
+    Where the vectors of the shorter axis are small enough to be sent, every step is one pass over the cells,
+    packed by the longer axis; otherwise it is three joins and two grouped sums of ``dim + oversample`` columns
+    and only the small Gram matrices reach the driver, so neither axis is bounded. Steps end when the residual of the
     leading subspace (relative to the largest squared singular value) is at most ``tolerance``; where
     ``iterations`` do not reach it, ArithmeticError is raised. Returns row scores (left vectors times
     singular values), column loadings, singular values and the residual; the largest loading of each
@@ -97,6 +202,12 @@ def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, it
     basis = cells.select("c").distinct().select("c", *[seed(i).alias(n) for i, n in enumerate(names)])
     basis, _ = _orthonormal(session.checkpoint(basis), names)
     times = lambda by: [F.sum(F.col("x") * F.col(n)).alias(n) for n in names]
+    counts = cells.agg(F.count_distinct("r").alias("r"), F.count_distinct("c").alias("c")).first()
+    small = "r" if counts["r"] < counts["c"] else "c"
+    if 0 < counts[small] * (16 + 8 * (m + 1)) <= session.broadcast_bytes(cells.sparkSession):
+        image, residual = _packed_image(cells, basis, names, dim, iterations, tolerance, small, counts[small])
+        basis, _ = _orthonormal(image, names)
+        iterations = 0
     for _ in range(iterations):
         scores = cells.join(basis, "c").groupBy("r").agg(*times("r"))
         image = cells.join(scores, "r").groupBy("c").agg(*times("c"))
@@ -106,7 +217,8 @@ def truncated_svd(cells: DataFrame, row: str, col: str, value: str, dim: int, it
         if residual <= tolerance:
             break
     else:
-        raise ArithmeticError(f"residual {residual} after {iterations} iterations")
+        if iterations:
+            raise ArithmeticError(f"residual {residual} after {iterations} iterations")
     scores = session.checkpoint(cells.join(basis, "c").groupBy("r").agg(*times("r")))
     _, gram = _orthonormal(scores, names)
     values, turn = np.linalg.eigh(gram)

@@ -189,6 +189,31 @@ def test_svd_raises_before_it_converges(spark):
     assert told["left_over"] == pytest.approx((m ** 2).sum() - sum(s * s for s in sigma), rel=1e-6)
 
 
+@pytest.mark.parametrize("shape", [(30, 20), (20, 30)])
+def test_svd_steps_need_no_join_of_the_cells(spark, shape, monkeypatch):
+    """Packs of the longer axis give what joins give, repeated, null and missing cells included."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=shape) * (rng.random(shape) < 0.6)
+    rows = [(i, j, float(m[i, j])) for i in range(shape[0]) for j in range(shape[1]) if m[i, j]]
+    cells = spark.createDataFrame([*rows, rows[0], (None, 1, 2.0), (1, None, 2.0), (2, 2, None)], "r int, c int, x double")
+    calls = []
+    step = embed._there_and_back
+    monkeypatch.setattr(embed, "_there_and_back", lambda *a: calls.append(1) or step(*a))
+    told = []
+    for most in ("1000000", "0"):
+        spark.conf.set("spark.foretally.broadcastBytes", most)
+        try:
+            left, right, sigma, residual = embed.truncated_svd(cells, "r", "c", "x", 2, tolerance=1e-6)
+        finally:
+            spark.conf.unset("spark.foretally.broadcastBytes")
+        told.append((len(calls), sigma, [sorted((str(r[0]), *r[1:]) for r in side.collect()) for side in (left, right)]))
+    assert told[0][0] > 1 and told[1][0] == told[0][0]
+    assert np.allclose(told[0][1], told[1][1])
+    for one, two in zip(told[0][2], told[1][2]):
+        assert [r[0] for r in one] == [r[0] for r in two]
+        assert np.allclose([r[1:] for r in one], [r[1:] for r in two], atol=1e-6)
+
+
 RULES = [audit.Rule("known", "known", ("a",)), audit.Rule("form", "matches", ("t", "^x")), audit.Rule("of", "one_of", ("a", 1, 2)),
          audit.Rule("in", "within", ("a", 1, 2)), audit.Rule("in_known", "within_if_known", ("a", 1, 2)), audit.Rule("low", "not_below", ("b", 0)),
          audit.Rule("same", "same", ("a", "b")), audit.Rule("sum", "adds_up", ("c", ("a", "b"))), audit.Rule("to", "adds_up_to", (("a", "b"), 2, 0.5)),
