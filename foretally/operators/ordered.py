@@ -23,6 +23,8 @@ from foretally.roles import Order
 BLOCK, SLICE, HALO, GROUP = "__cut_block", "__cut_slice", "__cut_halo", "__cut_group"
 #: Sampled rows for each block, and blocks for each full one, so that sampling leaves none above the limit.
 SAMPLED, FINER = 64, 2
+#: Cuts up to which a row's block is found by halving them in one expression.
+HALVED = 512
 
 Cut = tuple[str | None, ...]
 
@@ -57,7 +59,7 @@ def assign_block(df: DataFrame, order: Order, cuts: Sequence[Cut]) -> DataFrame:
     wide = math.isqrt(len(cuts)) + 1
     runs = [cuts[i:i + wide] for i in range(0, len(cuts), wide)]
 
-    def tuples(nested: list, depth: int) -> Column:
+    def tuples(nested: list | dict, depth: int) -> Column:
         """One constant for any number of cuts: read as text, cast to the columns' types."""
         text = T.StructType([T.StructField(c, T.StringType()) for c in order.cols])
         own = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order.cols])
@@ -68,6 +70,15 @@ def assign_block(df: DataFrame, order: Order, cuts: Sequence[Cut]) -> DataFrame:
     def named(cut: Cut) -> dict[str, str | None]:
         return dict(zip(order.cols, cut))
 
+    if len(cuts) <= HALVED:
+        def halved(low: int, high: int) -> Column:
+            """How many cuts are at or before the row, where at least ``low`` and at most ``high`` are."""
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(row < tuples(named(cuts[middle]), 0), halved(low, middle)).otherwise(halved(middle + 1, high))
+
+        return df.withColumn(BLOCK, halved(0, len(cuts)))
     # First the run of cuts, then the place in it.
     run = F.size(F.filter(tuples([named(r[0]) for r in runs], 1), lambda e: e <= row))
     mine = F.element_at(tuples([[named(c) for c in r] for r in runs], 2), F.greatest(run, F.lit(1)))
@@ -154,12 +165,15 @@ class History:
             n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__c_{n}"), zero) for n in sums}
         ).drop(GROUP, BLOCK, *[f"__c_{n}" for n in sums]))
 
-    def position(self, name: str = "seq") -> "History":
-        """Add the 0-based position of the row in its group."""
+    def position(self, name: str = "seq", size: str | None = None) -> "History":
+        """Add the 0-based position of the row in its group, and the group's size where it is named."""
+        sizes = {size: F.lit(1).cast("long")} if size else {}
         if self.cuts is None:
-            return self.replace(self.df.withColumn(
-                name, (F.row_number().over(self.window) - 1).cast("long")))
-        return self.running({name: F.lit(1).cast("long")})
+            whole = Window.partitionBy(*self.keys)
+            return self.replace(self.df.withColumns({
+                name: (F.row_number().over(self.window) - 1).cast("long"),
+                **{n: F.sum(e).over(whole) for n, e in sizes.items()}}))
+        return self.running({name: F.lit(1).cast("long")}, totals=sizes)
 
     def frames(self, back: int, build: Callable[[WindowSpec], Mapping[str, Column]],
                ahead: int = 0) -> "History":

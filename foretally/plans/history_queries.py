@@ -104,9 +104,8 @@ SELECT season, greatest(ceil((r - 1) * 10 / (n - 1)::DOUBLE) - 1, 0) decile, cou
 def row_decile(spark, sf):
     """Outcome rate by decile of row order inside each season."""
     from foretally.operators.ranks import row_bucket
-    rows = History(pit(spark, sf), ["season"], PIT_ORDER).position("r").df
-    total = rows.groupBy("season").agg(F.count("*").alias("t"))
-    out = rows.join(total, "season").withColumn("decile", row_bucket(F.col("r"), F.col("t"), 10))
+    rows = History(pit(spark, sf), ["season"], PIT_ORDER).position("r", "t").df
+    out = rows.filter("season IS NOT NULL").withColumn("decile", row_bucket(F.col("r"), F.col("t"), 10))
     return out.groupBy("season", "decile").agg(F.count("*").alias("n"), F.sum("y").alias("hits"),
                                                F.avg("y").alias("rate"))
 

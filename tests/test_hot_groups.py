@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretally.operators import history as hist
-from foretally.operators import ranks
+from foretally.operators import ordered, ranks
 from foretally.operators.ordered import BLOCK, History, hot_cuts
 from foretally.plans.bindings import PIT_ORDER, pit
 from foretally.roles import Order
@@ -43,6 +43,26 @@ def test_position(rows):
     both(rows, ["entity"], lambda h: h.position("seq"))
 
 
+def test_position_with_group_size(rows):
+    both(rows, ["entity"], lambda h: h.position("seq", "size"))
+    told = History(rows, ["entity"], PIT_ORDER, hot_rows=150).position("seq", "size").df
+    assert told.groupBy("entity").agg(F.max("seq").alias("s"), F.max("size").alias("n"), F.count("*").alias("k")).filter(
+        "s + 1 <> n OR n <> k").isEmpty()
+
+
+def test_blocks_are_halved_to_without_lists(spark, monkeypatch):
+    """The halving expression and the lists of cuts number blocks alike, and few cuts need no list for each row."""
+    order = Order(("a", "b"))
+    df = spark.createDataFrame([(i % 7 if i % 5 else None, f"{i % 11}" if i % 3 else None) for i in range(300)], "a int, b string")
+    cuts = [tuple(r) for r in df.distinct().orderBy("a", "b").select(F.col("a").cast("string"), "b").collect()][::4]
+    halved = ordered.assign_block(df, order, cuts)
+    assert "lambda" not in halved._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(ordered, "HALVED", 0)
+    listed = ordered.assign_block(df, order, cuts)
+    same(halved, listed)
+    assert halved.agg(F.max(BLOCK)).first()[0] == len(cuts)
+
+
 def test_frames_back_and_ahead(rows):
     both(rows, ["entity"], lambda h: h.frames(7, lambda w: {
         "l3": F.lag("qty", 3).over(w), "ld": F.lead("qty", 2).over(w),
