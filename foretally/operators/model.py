@@ -40,6 +40,14 @@ def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[f"__x_{c}" for c in columns])
 
 
+def _weighted(df: DataFrame, columns: Sequence[str], others: Sequence[str], weight: str | None) -> DataFrame:
+    """Rows with equal features and ``others`` as one row with their summed weight ``__w``; a loss over them is the same."""
+    known = df.select(*others, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"), *[
+        (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + F.lit(0.0)).alias(f"__x_{c}") for c in columns])
+    cells = known.groupBy(*[f"__x_{c}" for c in columns], *others).agg(F.sum("__w").alias("__w"))
+    return VectorAssembler(inputCols=[f"__x_{c}" for c in columns], outputCol="__f").transform(cells).select("__f", "__w", *others)
+
+
 @dataclass(frozen=True)
 class Boosted:
     """Trees up to the best round, that round, and the validation loss of every round trained."""
@@ -67,17 +75,17 @@ def fit_boosted(rows: DataFrame, columns: Sequence[str], y: str, valid: str, rou
 
     Training grows by doubling the number of rounds until ``patience`` rounds in a row bring no better loss or
     ``rounds`` are reached; rounds are the same whatever their number, so the best ones are kept by training
-    just them again. Raises where one of the two parts has no rows.
+    just them again. Rows with equal features and label are one row with their weight. Raises where one of the
+    two parts has no rows.
     """
-    extra = {"weightCol": weight} if weight else {}
-    data = _features(rows.filter(F.col(y).isNotNull()), columns).select("__f", y, valid, *([weight] if weight else []))
+    data = _weighted(rows.filter(F.col(y).isNotNull()).withColumn(valid, F.coalesce(F.col(valid), F.lit(False))), columns, [y, valid], weight)
     # The parts are read once for every round of every training.
-    train, held = (session.checkpoint(data.filter(F.coalesce(F.col(valid), F.lit(False)) == part)) for part in (False, True))
+    train, held = (session.checkpoint(data.filter(F.col(valid) == part)) for part in (False, True))
     if train.isEmpty() or held.isEmpty():
         raise ValueError("training and validation both need rows")
 
     def trained(n: int) -> GBTClassificationModel:
-        return GBTClassifier(featuresCol="__f", labelCol=y, maxIter=n, maxDepth=depth, stepSize=step, seed=seed, **extra).fit(train)
+        return GBTClassifier(featuresCol="__f", labelCol=y, maxIter=n, maxDepth=depth, stepSize=step, seed=seed, weightCol="__w").fit(train)
 
     n = min(rounds, max(8, 2 * patience))
     while True:
@@ -93,8 +101,11 @@ def fit_logistic_model(train: DataFrame, columns: Sequence[str], y: str, weight:
                        family: str = "auto", rounds: int = 1000, ridge: float = 0.001):
     """Logistic regression run until it converges; raises where ``rounds`` do not do."""
     extra = {"weightCol": weight} if weight else {}
-    model = LogisticRegression(featuresCol="__f", labelCol=y, family=family, maxIter=rounds, regParam=ridge, **extra).fit(
-        _features(train, columns))
+    # Equal rows may only be one with their weight where no penalty depends on the columns' spread.
+    data = _features(train, columns) if ridge or weight else _weighted(train, columns, [y], None)
+    if not (ridge or weight):
+        extra, data = {"weightCol": "__w"}, session.checkpoint(data)
+    model = LogisticRegression(featuresCol="__f", labelCol=y, family=family, maxIter=rounds, regParam=ridge, **extra).fit(data)
     if model.summary.totalIterations >= rounds:
         raise ArithmeticError(f"logistic regression did not converge in {rounds} iterations")
     return model

@@ -19,6 +19,27 @@ def test_best_round():
     assert model.best_round([3, 3, 3], 2) == (1, True)
 
 
+def test_training_reads_equal_rows_once(spark, monkeypatch):
+    """Trees and class models are fitted on distinct rows with weights, with the losses and shares of all rows."""
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(rng.random() < 0.2 + 0.2 * a), i % 4 == 0, i) for i, (a, b) in enumerate(rng.integers(0, 3, (900, 2)))]
+    df = spark.createDataFrame(rows, "a int, b int, y int, held boolean, g int")
+    seen = []
+    keep = model.session.checkpoint
+    monkeypatch.setattr(model.session, "checkpoint", lambda d: seen.append(keep(d)) or seen[-1])
+    fit = model.fit_boosted(df, ["a", "b"], "y", "held", rounds=8, patience=8, depth=2, step=0.3)
+    assert [d.count() for d in seen] == [18, 18]
+    assert [d.agg(F.sum("__w")).first()[0] for d in seen] == [675.0, 225.0]
+    held = model._features(df.filter("held"), ["a", "b"]).withColumn("__w", F.lit(1.0))
+    assert np.allclose(fit.losses, fit.model.evaluateEachIteration(held) + list(fit.losses[fit.rounds:]))
+    seen.clear()
+    made = model.fit_logistic_model(df, ["a", "b"], "y", family="multinomial", ridge=0.0)
+    assert seen[0].count() == 18
+    plain = model.LogisticRegression(featuresCol="__f", labelCol="y", family="multinomial", maxIter=1000, regParam=0.0).fit(
+        model._features(df, ["a", "b"]))
+    assert np.allclose(made.coefficientMatrix.toArray(), plain.coefficientMatrix.toArray(), atol=1e-4)
+
+
 def test_boosting_stops_and_learns(spark):
     rng = np.random.default_rng(2)
     x = rng.random((1500, 2))
