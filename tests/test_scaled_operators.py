@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretally.functions import rowfeatures as rf
-from foretally.operators import audit, blend, blocks, calibrate as cal, cluster as cl, eb, embed, history as hist, model, prepare
+from foretally.operators import (asof, audit, blend, blocks, calibrate as cal, cluster as cl, crosswalk as cw, eb, embed, history as hist,
+                                 metrics, model, prepare, profiles as prof, registry as reg)
+from foretally.operators.ordered import History
 from foretally.roles import Order
 from foretally.sources import files
 
@@ -283,3 +285,30 @@ def test_matches_skip_chunks_that_cannot_win(spark):
     whole = run(512)
     assert whole == run(3) and len(whole) == 3 * 53  # rows without hand have no match
     assert [r for r in whole if r.startswith("(1, 100,")] == [f"(1, 100, {1001 + 3 * i}, {i + 1}, 0.0, 0.0)" for i in range(3)]
+
+
+@pytest.fixture
+def small_tasks(spark):
+    spark.conf.set("spark.foretally.taskRows", "100")
+    yield spark
+    spark.conf.unset("spark.foretally.taskRows")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_target_tables_join_by_coarser_key_sets(spark):
+    rows = spark.range(900).selectExpr("id % 40 e", "id % 3 k", "nullif(id % 5, 4) o", "cast(2000 + id % 4 as int) season", "cast(id % 7 = 0 as int) y")
+    groups = {"e": ["e"], "ek": ["e", "k"], "o": ["o"], "ok": ["k", "o"]}
+    sets = {asof._set_number(k, ["e", "k", "o"]): n for k, n in zip(groups.values(), (120, 360, 20, 60))}
+    versions = asof.target_versions(asof.season_cells(rows, ["e", "k", "o"], "season", "y"), groups, "season",
+                                    asof.season_priors(rows, "season", "y", [2002, 2003]), [2002, 2003], 80.0, 40.0, 2.0)
+    assert asof._leads(versions, groups, ["e", "k", "o"], sets, list(groups)) == {"e": ["e", "ek"], "o": ["o", "ok"]}
+    run = lambda: sorted(str(r) for r in asof.temporal_target_features(rows, "season", "y", groups, [2001, 2002, 2003]).collect())
+    sent = run()
+    spark.conf.set("spark.foretally.broadcastBytes", "0")
+    try:
+        assert run() == sent
+    finally:
+        spark.conf.unset("spark.foretally.broadcastBytes")
