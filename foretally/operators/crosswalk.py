@@ -1,6 +1,6 @@
 """Entity resolution between two logs by the cosine of their state counts.
 
-Entities stand in chunks; each task multiplies one chunk of either side and returns only the best few
+Entities stand in chunks; each task multiplies chunks of either side and returns only the best few
 matches per entity, so neither a hot state nor a large group produces rows per pair. Pairs of chunks that
 cannot hold a better match are not met. The final ranking over chunks is exact.
 """
@@ -8,7 +8,6 @@ cannot hold a better match are not met. The final ranking over chunks is exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,10 @@ from foretally.roles import Order
 
 CHUNK = 512
 STATE_SLICE = 4096
+#: Chunks of a block at most, and cells of a block, unless one chunk has more.
+CHUNKS, CELLS = 32, 1 << 20
+#: Best matches up to which they are taken one after the other.
+ARGMAX = 16
 
 
 def unit_vectors(df: DataFrame, keys: Sequence[str], entity: str, state: str,
@@ -34,31 +37,78 @@ def unit_vectors(df: DataFrame, keys: Sequence[str], entity: str, state: str,
         "v", F.col("v") / F.greatest(F.col("__norm"), F.lit(1e-9))).drop("__norm")
 
 
-def _best(left: dict, right: dict, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity) of the best ``top`` of the right side for every entity of the left."""
+def _ranked(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest of every row; rounding makes equal scores tie, so the smaller column wins on every run."""
+    even = np.round(sims, 12)
+    if k > ARGMAX:
+        return np.lexsort((np.broadcast_to(np.arange(sims.shape[1]), sims.shape), -even), axis=1)[:, :k]
+    order, rows = np.empty((len(sims), k), dtype=np.int64), np.arange(len(sims))
+    for i in range(k):
+        order[:, i] = even.argmax(axis=1)
+        even[rows, order[:, i]] = -np.inf
+    return order
+
+
+def _products(left: dict, right: dict, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of the left, ids of the right, their products) where states are numbered up to ``states``."""
     a_ids, a_pos = np.unique(left["id"], return_inverse=True)
     b_ids, b_pos = np.unique(right["id"], return_inverse=True)
-    states, pos = np.unique(np.concatenate([left["state"], right["state"]]), return_inverse=True)
-    la, rb = pos[:len(left["state"])], pos[len(left["state"]):]
+    la, rb = left["at"], right["at"]
+    if states > STATE_SLICE:
+        kept, pos = np.unique(np.concatenate([la, rb]), return_inverse=True)
+        la, rb, states = pos[:len(la)], pos[len(la):], len(kept)
     sims = np.zeros((len(a_ids), len(b_ids)))
-    for start in range(0, len(states), STATE_SLICE):
-        width = min(STATE_SLICE, len(states) - start)
+    for start in range(0, states, STATE_SLICE):
+        width = min(STATE_SLICE, states - start)
         x, z = np.zeros((len(a_ids), width)), np.zeros((len(b_ids), width))
         m = (la >= start) & (la < start + width)
         x[a_pos[m], la[m] - start] = left["v"][m]
         m = (rb >= start) & (rb < start + width)
         z[b_pos[m], rb[m] - start] = right["v"][m]
         sims += x @ z.T
+    return a_ids, b_ids, sims
+
+
+def _best(left: dict, right: dict, states: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of the best ``top`` of the right side for every entity of the left."""
+    a_ids, b_ids, sims = _products(left, right, states)
     k = min(top, len(b_ids))
-    # Rounding makes equal scores tie, so the smaller id wins on every run.
-    order = np.lexsort((np.broadcast_to(np.arange(len(b_ids)), sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
+    order = _ranked(sims, k)
     return np.repeat(a_ids, k), b_ids[order.ravel()], np.take_along_axis(sims, order, 1).ravel()
 
 
+def _kept(found: list[tuple], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``top`` of every left entity over what several right chunks gave."""
+    if len(found) == 1:
+        return found[0]
+    a, b, sims = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, -np.round(sims, 12), a))
+    a, b, sims = a[order], b[order], sims[order]
+    first = np.r_[True, a[1:] != a[:-1]]
+    nth = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    return a[nth < top], b[nth < top], sims[nth < top]
+
+
+def _sides(row: pa.RecordBatch) -> tuple[dict, dict, int]:
+    """The chunks of either side by part, their states numbered alike, and how many states there are."""
+    sides = [{f: row.column(f"{side}_{f}").flatten() for f in ("part", "id", "state", "v")} for side in ("mine", "theirs")]
+    coded = pa.concat_arrays([s.pop("state") for s in sides]).dictionary_encode("encode")
+    at = coded.indices.to_numpy()
+    sides = [{f: c.to_numpy(zero_copy_only=False) for f, c in s.items()} for s in sides]
+    sides[0]["at"], sides[1]["at"] = np.split(at, [len(sides[0]["id"])])
+    chunks = []
+    for s in sides:
+        order = np.argsort(s["part"], kind="stable")
+        parts, starts = np.unique(s["part"][order], return_index=True)
+        chunks.append({p: {f: s[f][i] for f in ("id", "at", "v")} for p, i in zip(parts.tolist(), np.split(order, starts[1:]))})
+    return chunks[0], chunks[1], len(coded.dictionary)
+
+
 def _packed(vectors: DataFrame, keys: Sequence[str], entity: str, state: str, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(keys, part, cells) and (keys, part, state, peak): entities in chunks of one row, and their greatest weights.
+    """(keys, part, id, state, v) and (keys, part, id, state, v): entities in chunks, and the chunks' greatest weights.
 
-    A chunk holds at most ``chunk`` entities of one key, those with the same heaviest state side by side.
+    A chunk holds at most ``chunk`` entities of one key, those with the same heaviest state side by side. A row of
+    the second table is a chunk in the place of an entity.
     """
     heavy = vectors.groupBy(*keys, entity).agg(F.max_by(state, F.struct("v", state)).alias("__heavy"))
     placed = History(heavy, list(keys), Order(("__heavy", entity))).position("__place").df.withColumn(
@@ -66,8 +116,27 @@ def _packed(vectors: DataFrame, keys: Sequence[str], entity: str, state: str, ch
     cells = null_safe_join(vectors.select(*keys, F.col(entity).alias("id"), F.col(state).alias("state"), "v"),
                            placed.withColumnRenamed(entity, "id"), [*keys, "id"])
     cells = session.checkpoint(cells)
-    peaks = cells.groupBy(*keys, "part", "state").agg(F.max("v").alias("peak"))
-    return cells.groupBy(*keys, "part").agg(F.collect_list(F.struct("id", "state", "v")).alias("cells")), peaks
+    peaks = cells.groupBy(*keys, "part", "state").agg(F.max("v").alias("v"))
+    return cells, session.checkpoint(peaks.withColumn("id", F.col("part")))
+
+
+def _width(cells: DataFrame, keys: Sequence[str]) -> int:
+    """How many chunks go into a block, so that the largest chunks still keep it under ``CELLS`` cells."""
+    most = cells.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return int(max(1, min(CHUNKS, CELLS // most)))
+
+
+def _blocks(cells: DataFrame, keys: Sequence[str], width: int, side: str) -> DataFrame:
+    """One row for each ``width`` chunks: their cells as four arrays."""
+    rows = cells.groupBy(*keys, F.floor(F.col("part") / width).alias(f"{side}_block")).agg(
+        F.collect_list(F.struct("part", "id", "state", "v")).alias("__cells"))
+    return rows.select(*keys, f"{side}_block", *[F.col(f"__cells.{f}").alias(f"{side}_{f}") for f in ("part", "id", "state", "v")])
+
+
+def _dealt_pairs(pairs: DataFrame, keys: Sequence[str], left: int, right: int) -> DataFrame:
+    """Pairs of chunks ``l`` and ``r`` as one row for each pair of blocks that has any."""
+    return pairs.groupBy(*keys, F.floor(F.col("l") / left).alias("mine_block"), F.floor(F.col("r") / right).alias("theirs_block")).agg(
+        F.collect_list(F.struct("l", "r")).alias("pairs"))
 
 
 def best_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str,
@@ -77,53 +146,80 @@ def best_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str,
     An inverted index over the chunks' greatest weights bounds the cosine of any two of their members from
     above. Every left chunk meets the right chunk of highest bound first; what its members have found
     there bounds what they still need, and only right chunks whose bound reaches that are met after it.
+    Chunks travel in blocks where a pair of blocks has many pairs to meet, and only the best of a block's pairs leave it.
     Weights must not be negative. Entities that share no state with enough others find the smallest ids, at 0.
     """
     names = list(keys)
-    lk, rk = [f"l_{k}" for k in names], [f"r_{k}" for k in names]
     lc, lp = _packed(left, names, a, state, chunk)
     rc, rp = _packed(right, names, b, state, chunk)
     types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
     b_type = right.schema[b].dataType.simpleString()
-    schema = ", ".join([f"{k} {types[k]}" for k in names] + ["l long", f"a {types[a]}", f"b {b_type}", "similarity double"])
-    lc = lc.select(*[F.col(k).alias(n) for k, n in zip(names, lk)], F.col("part").alias("l"), F.col("cells").alias("mine"))
-    rc = rc.select(*[F.col(k).alias(n) for k, n in zip(names, rk)], F.col("part").alias("r"), F.col("cells").alias("theirs"))
-    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(lk, rk)])
-    pairs = lc.drop("mine").join(rc.drop("theirs"), same)
-    bounds = (lp.select(*[F.col(k).alias(n) for k, n in zip(names, lk)], F.col("part").alias("l"), "state", F.col("peak").alias("x"))
-              .join(rp.select(*[F.col(k).alias(n) for k, n in zip(names, rk)], F.col("part").alias("r"), "state", F.col("peak").alias("y")),
-                    "state").filter(same).groupBy(*lk, "l", "r").agg(F.sum(F.col("x") * F.col("y")).alias("bound")))
-    pairs = session.checkpoint(null_safe_join(pairs.drop(*rk), bounds, [*lk, "l", "r"]).withColumn("bound", F.coalesce("bound", F.lit(0.0))))
-    home = pairs.groupBy(*lk, "l").agg(F.max_by("r", F.struct("bound", -F.col("r"))).alias("r"), F.count(F.lit(1)).alias("__met"))
-
-    def met(which: DataFrame) -> DataFrame:
-        rows = null_safe_join(null_safe_join(which.select(*lk, "l", "r"), lc, [*lk, "l"]),
-                              rc.withColumnsRenamed(dict(zip(rk, lk))), [*lk, "r"])
-
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    one = batch.slice(i, 1)
-                    sides = []
-                    for column in ("mine", "theirs"):
-                        flat = one.column(column).flatten()
-                        sides.append({f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("id", "state", "v")})
-                    out = _best(*sides, top)
-                    n = pa.array(np.zeros(len(out[0]), dtype=np.int64))
+    wide = (_width(lc, names), _width(rc, names))
+    head = [f"{k} {types[k]}" for k in names]
+
+    def together(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, width: tuple[int, int]) -> DataFrame:
+        rows = null_safe_join(pairs, _blocks(lefts, names, width[0], "mine"), [*names, "mine_block"], "inner")
+        return null_safe_join(rows, _blocks(rights, names, width[1], "theirs"), [*names, "theirs_block"], "inner")
+
+    def one_by_one(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1)
+
+    def bounded(batches):
+        for one in one_by_one(batches):
+            mine, theirs, states = _sides(one)
+            for l in mine.values():
+                for r in theirs.values():
+                    l_ids, r_ids, sums = _products(l, r, states)
+                    n = pa.array(np.zeros(sums.size, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [*(one.column(k).take(n) for k in lk), one.column("l").take(n), *map(pa.array, out)],
-                        names=[*names, "l", "a", "b", "similarity"])
-
-        return rows.select(*lk, "l", "mine", "theirs").mapInArrow(run, schema)
-
-    found = met(home)
+                        [*(one.column(k).take(n) for k in names), pa.array(np.repeat(l_ids, len(r_ids))),
+                         pa.array(np.tile(r_ids, len(l_ids))), pa.array(sums.ravel())], names=[*names, "l", "r", "bound"])
+
+    # Chunks of chunks: the same blocks, with the greatest weights of a chunk in the place of an entity's.
+    lp, rp = (p.withColumn("part", F.floor(F.col("id") / chunk)) for p in (lp, rp))
+    over = (_width(lp, names), _width(rp, names))
+    blocks = [p.select(*names, F.floor(F.col("part") / w).alias(f"{side}_block")).distinct()
+              for p, w, side in ((lp, over[0], "mine"), (rp, over[1], "theirs"))]
+    meeting = null_safe_join(blocks[0], blocks[1], names, "inner")
+    pairs = session.checkpoint(together(meeting, lp, rp, over).drop("mine_block", "theirs_block").mapInArrow(
+        bounded, ", ".join([*head, "l long", "r long", "bound double"])))
+    home = pairs.groupBy(*names, "l").agg(F.max_by("r", F.struct("bound", -F.col("r"))).alias("r"), F.count(F.lit(1)).alias("__met"))
+    schema = ", ".join([*head, "l long", f"a {types[a]}", f"b {b_type}", "similarity double"])
+
+    def run(batches):
+        for one in one_by_one(batches):
+            mine, theirs, states = _sides(one)
+            wanted = one.column("pairs").flatten()
+            found = {}
+            for l, r in zip(wanted.field("l").to_pylist(), wanted.field("r").to_pylist()):
+                found.setdefault(l, []).append(_best(mine[l], theirs[r], states, top))
+                if len(found[l]) > 8:
+                    found[l] = [_kept(found[l], top)]
+            for l, parts in found.items():
+                out = _kept(parts, top)
+                n = np.zeros(len(out[0]), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(one.column(k).take(pa.array(n)) for k in names), pa.array(n + l), *map(pa.array, out)],
+                    names=[*names, "l", "a", "b", "similarity"])
+
+    def met(which: DataFrame, width: tuple[int, int]) -> DataFrame:
+        return together(_dealt_pairs(which, names, *width), lc, rc, width).drop("mine_block", "theirs_block").mapInArrow(run, schema)
+
+    found = met(home, (1, 1))
     if not home.filter("__met > 1").isEmpty():
         found = session.checkpoint(found)
-        each = found.groupBy(*names, "l", "a").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("k"))
-        need = each.groupBy(*names, "l").agg(F.min(F.when(F.col("k") < top, 0.0).otherwise(F.col("least"))).alias("need"))
-        others = null_safe_join(pairs, home.drop("__met"), [*lk, "l", "r"], "left_anti")
-        open_ = null_safe_join(others, need.withColumnsRenamed(dict(zip(names, lk))), [*lk, "l"])
-        found = found.unionByName(met(open_.filter((F.col("need") <= 1e-11) | (F.col("bound") >= F.col("need") - 1e-11))))
+        each = found.groupBy(*names, "l", "a").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("__had"))
+        need = each.groupBy(*names, "l").agg(F.min(F.when(F.col("__had") < top, 0.0).otherwise(F.col("least"))).alias("need"))
+        others = null_safe_join(pairs, home.drop("__met"), [*names, "l", "r"], "left_anti")
+        open_ = null_safe_join(others, need, [*names, "l"])
+        open_ = session.checkpoint(open_.filter((F.col("need") <= 1e-11) | (F.col("bound") >= F.col("need") - 1e-11)).select(*names, "l", "r"))
+        # A pair of blocks travels whole where that sends less than its pairs of chunks would.
+        size = _dealt_pairs(open_, names, *wide).select(*names, "mine_block", "theirs_block", (F.size("pairs") >= max(wide)).alias("__many"))
+        at = {"mine_block": F.floor(F.col("l") / wide[0]), "theirs_block": F.floor(F.col("r") / wide[1])}
+        told = session.checkpoint(null_safe_join(open_.withColumns(at), size, [*names, *at]).drop(*at))
+        found = found.unionByName(met(told.filter("__many"), wide)).unionByName(met(told.filter("NOT __many"), (1, 1)))
     w = Window.partitionBy(*names, "a").orderBy(F.desc(F.round("similarity", 12)), "b")
     ranked = found.drop("l").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.withColumnsRenamed({"a": a, "b": b})

@@ -298,6 +298,28 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_chunks_travel_in_blocks(spark):
+    """Pairs of chunks stand in one row for each pair of blocks, and the matches are those of brute force."""
+    pairs = spark.range(20).withColumnRenamed("id", "l").crossJoin(spark.range(20).withColumnRenamed("id", "r")).withColumn("k", F.lit(None).cast("int"))
+    dealt = cw._dealt_pairs(pairs, ["k"], 10, 5).collect()
+    assert len(dealt) == 8 and sum(len(r["pairs"]) for r in dealt) == 400
+    rng = np.random.default_rng(3)
+    x, z = rng.random((40, 6)) * (rng.random((40, 6)) < 0.6) + 0.01, rng.random((50, 6)) * (rng.random((50, 6)) < 0.6) + 0.01
+    x, z = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, z))
+    long = lambda m, e: spark.createDataFrame([(1, i, f"s{j}", float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], f"k int, {e} int, state string, v double")
+    got = cw.best_matches(long(x, "a"), long(z, "b"), ["k"], "a", "b", "state", 3, chunk=3)
+    best = sorted((a, r + 1, int(b)) for a, row in enumerate(x @ z.T) for r, b in enumerate(np.lexsort((np.arange(50), -np.round(row, 12)))[:3]))
+    assert sorted((r["a"], r["rank"], r["b"]) for r in got.collect()) == best
+
+
+def test_best_of_several_chunks():
+    one = (np.array([1, 1, 2, 2]), np.array([5, 6, 5, 6]), np.array([0.9, 0.4, 0.3, 0.2]))
+    two = (np.array([1, 1, 2, 2]), np.array([7, 8, 7, 8]), np.array([0.9, 0.1, 0.8, 0.3]))
+    a, b, sims = cw._kept([one, two], 2)
+    assert list(zip(a, b, sims)) == [(1, 5, 0.9), (1, 7, 0.9), (2, 7, 0.8), (2, 5, 0.3)]
+    assert cw._ranked(np.array([[0.2, 0.7, 0.7]]), 2).tolist() == [[1, 2]] == cw._ranked(np.array([[0.2, 0.7, 0.7]] * 1), 3)[:, :2].tolist()
+
+
 def test_target_tables_join_by_coarser_key_sets(spark):
     rows = spark.range(900).selectExpr("id % 40 e", "id % 3 k", "nullif(id % 5, 4) o", "cast(2000 + id % 4 as int) season", "cast(id % 7 = 0 as int) y")
     groups = {"e": ["e"], "ek": ["e", "k"], "o": ["o"], "ok": ["k", "o"]}
