@@ -35,20 +35,25 @@ def hot_cuts(df: DataFrame, keys: Sequence[str], order: Order, limit: int) -> li
     The tuples are quantiles of a sample of the hot groups' rows, so they follow every order
     column: equal first columns, long common prefixes and any size of number are cut alike.
     """
+    return measured_cuts(df, keys, order, limit)[0]
+
+
+def measured_cuts(df: DataFrame, keys: Sequence[str], order: Order, limit: int) -> tuple[list[Cut] | None, int]:
+    """The cuts of ``hot_cuts``, and how many rows all groups hold."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = sizes.filter(F.col("__n") > limit)
-    total = hot.agg(F.sum("__n")).first()[0]
+    every, total = sizes.agg(F.sum("__n"), F.sum(F.when(F.col("__n") > limit, F.col("__n")))).first()
     if not total:
-        return None
+        return None, every or 0
     rows = null_safe_join(df, hot, keys, "left_semi") if keys else df
     blocks = math.ceil(FINER * total / limit)
     share = min(1.0, SAMPLED * blocks / total)
     drawn = rows.filter(F.rand(7) < share).select(*order.cols)
     # The sample has a bounded number of rows for each block; its quantiles are one row for each.
     turn = Window.orderBy(*order.columns())
-    every = max(1, round(total * share / blocks))
-    picked = drawn.withColumn("__at", F.row_number().over(turn)).filter(F.col("__at") % every == 0)
-    return [tuple(r) for r in picked.orderBy("__at").select(*[F.col(c).cast("string") for c in order.cols]).collect()]
+    step = max(1, round(total * share / blocks))
+    picked = drawn.withColumn("__at", F.row_number().over(turn)).filter(F.col("__at") % step == 0)
+    return [tuple(r) for r in picked.orderBy("__at").select(*[F.col(c).cast("string") for c in order.cols]).collect()], every
 
 
 def assign_block(df: DataFrame, order: Order, cuts: Sequence[Cut]) -> DataFrame:
@@ -90,25 +95,32 @@ class History:
     """Rows with an order inside groups, to which past-only columns are added.
 
     Group sizes are measured on the rows the first step started from, so regrouping does not
-    run the steps in between again.
+    run the steps in between again. Without a hot group, rows are dealt by key to as many tasks as
+    their number needs (``spark.foretally.taskRows``); finer keys stay on those tasks.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Order,
                  hot_rows: int | None = None, cuts: list[Cut] | None | str = "measure",
-                 base: DataFrame | None = None):
+                 base: DataFrame | None = None, dealt: Sequence[str] = ()):
         self.df, self.keys, self.order = df, list(keys), order
         self.base = df if base is None else base
         self.limit = hot_rows or session.hot_rows(df.sparkSession)
-        self.cuts = (hot_cuts(self.base, self.keys, order, self.limit)
-                     if cuts == "measure" else cuts)
+        self.cuts, self.dealt = cuts, list(dealt)
+        if cuts != "measure":
+            return
+        self.cuts, rows = measured_cuts(self.base, self.keys, order, self.limit)
+        tasks = session.tasks_for(df.sparkSession, rows)
+        there = self.dealt and set(self.dealt) <= set(self.keys)
+        if self.cuts is None and self.keys and tasks > 1 and not there:
+            self.df, self.dealt = df.repartition(tasks, *[F.col(k) for k in self.keys]), self.keys
 
     def replace(self, df: DataFrame) -> "History":
         """The same keys and order over a frame with more columns."""
-        return History(df, self.keys, self.order, self.limit, self.cuts, self.base)
+        return History(df, self.keys, self.order, self.limit, self.cuts, self.base, self.dealt)
 
     def regroup(self, keys: Sequence[str]) -> "History":
         """The same rows and order under other keys, which the starting rows must have."""
-        return History(self.df, keys, self.order, self.limit, base=self.base)
+        return History(self.df, keys, self.order, self.limit, base=self.base, dealt=self.dealt)
 
     @property
     def window(self) -> WindowSpec:

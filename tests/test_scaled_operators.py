@@ -320,6 +320,19 @@ def test_best_of_several_chunks():
     assert cw._ranked(np.array([[0.2, 0.7, 0.7]]), 2).tolist() == [[1, 2]] == cw._ranked(np.array([[0.2, 0.7, 0.7]] * 1), 3)[:, :2].tolist()
 
 
+def test_history_deals_rows_by_their_number(small_tasks):
+    rows = small_tasks.range(1000).selectExpr("id % 50 e", "id % 3 s", "id t", "id % 7 v")
+    h = History(rows, ["e"], Order(("t",)))
+    assert h.df.rdd.getNumPartitions() == 10
+    finer = h.running({"a": F.col("v")}).regroup(["e", "s"]).running({"b": F.col("v")}).df
+    assert plan_of(finer).count("RepartitionByExpression") == 1
+    games = rows.selectExpr("e", "t game", "cast(date_add(date'2000-01-01', cast(t % 900 as int)) as date) day")
+    assert hist.workload(games, "e", "game", "day").rdd.getNumPartitions() == 10
+    got = finer.collect()
+    want = {r["t"]: sum(x["v"] for x in got if x["e"] == r["e"] and x["t"] < r["t"]) for r in got}
+    assert all(r["a"] == want[r["t"]] for r in got)
+
+
 def test_target_tables_join_by_coarser_key_sets(spark):
     rows = spark.range(900).selectExpr("id % 40 e", "id % 3 k", "nullif(id % 5, 4) o", "cast(2000 + id % 4 as int) season", "cast(id % 7 = 0 as int) y")
     groups = {"e": ["e"], "ek": ["e", "k"], "o": ["o"], "ok": ["k", "o"]}
