@@ -320,6 +320,22 @@ def test_best_of_several_chunks():
     assert cw._ranked(np.array([[0.2, 0.7, 0.7]]), 2).tolist() == [[1, 2]] == cw._ranked(np.array([[0.2, 0.7, 0.7]] * 1), 3)[:, :2].tolist()
 
 
+def test_fold_overlap_groups_seasons(spark):
+    """Only the two tables are joined, never the rows of a season."""
+    rows = spark.range(300).selectExpr("cast(2000 + id % 3 as int) season", "cast(id % 2 as int) y", "0 m", "1 r", "id % 5 entity")
+    out = reg.method_audit(rows, "season", 2002, "y", "m", "r", lambda d: d.groupBy("entity").agg(F.avg("y").alias("v")))
+    assert sum("Join LeftSemi" in line for line in plan_of(out).splitlines()) == 1
+    assert {r["check"]: r["violations"] for r in out.collect()}["fold_overlap"] == 0
+
+
+def test_row_independence_deals_by_number_of_rows(small_tasks):
+    rows = small_tasks.range(3000).selectExpr("id g", "id % 4 c", "id * 2 q")
+    out = reg.row_independent(lambda d: d.withColumn("f", F.col("q") + 1), rows, ["g", "c"], F.col("g") % 2 == 0)
+    plan = plan_of(out)
+    assert plan.count("RepartitionByExpression [g") == 2 and plan.count(", 30") >= 2
+    assert sorted((r["check"], r["violations"]) for r in out.collect()) == [("part_of_rows", 0), ("reordered", 0)]
+
+
 def test_history_deals_rows_by_their_number(small_tasks):
     rows = small_tasks.range(1000).selectExpr("id % 50 e", "id % 3 s", "id t", "id % 7 v")
     h = History(rows, ["e"], Order(("t",)))
