@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foretally import session
 from foretally.functions.rates import entropy, half_life, ratio, reliability
 from foretally.operators.joins import sized, small_join, spread_to_cutoffs
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
@@ -191,14 +192,42 @@ def response_residuals(df: DataFrame, entity: str, season: str, choice: str, con
 def response_profile(df: DataFrame, entity: str, season: str, choice: str,
                      axes: Mapping[str, Sequence[str]], metrics: Sequence[str],
                      strength: float) -> DataFrame:
-    """Usage and response residuals over several context axes, stacked in long form."""
-    out = None
-    for tag, context in axes.items():
-        part = usage_residuals(df, entity, season, choice, context, strength).unionByName(
-            response_residuals(df, entity, season, choice, context, metrics, strength))
-        part = part.withColumn("feature", F.concat_ws(":", F.lit(tag), F.col("feature")))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(entity, season, "feature").agg(F.avg("resid").alias("resid"))
+    """Usage and response residuals over several context axes, stacked in long form.
+
+    What ``usage_residuals`` and ``response_residuals`` give for every axis, over cells that are dealt once, by entity
+    and season; the league's cells come from one more pass. Context levels stand as an array of texts beside their axis.
+    """
+    used = [c for c in dict.fromkeys(c for context in axes.values() for c in context) if c not in (entity, season, choice)]
+    names = ["n", *[f"{p}_{m}" for m in metrics for p in ("s", "k")]]
+    counted = [F.count(F.lit(1)).alias("n"), *[f(m).alias(f"{p}_{m}") for m in metrics for p, f in (("s", F.sum), ("k", F.count))]]
+    axis = F.array(*[F.struct(F.lit(tag).alias("axis"), F.array(*[F.col(c).cast("string") for c in context]).cast("array<string>").alias("at"))
+                     for tag, context in axes.items()])
+
+    def by_axis(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+        long = cells.withColumn("__x", F.explode(axis)).select(*keys, choice, *names, "__x.axis", "__x.at").filter(
+            F.col(season).isNotNull() & ~F.exists("at", lambda v: v.isNull()))
+        return long.groupBy(*keys, "axis", "at", choice).agg(*[F.sum(n).alias(n) for n in names])
+
+    league = by_axis(df.groupBy(season, choice, *used).agg(*counted), [season])
+    whole = F.sum("n").over(Window.partitionBy(season, "axis", "at"))
+    league = sized(league.select(season, "axis", "at", choice, (F.col("n") / whole).alias("lg"),
+                                 *[ratio(f"s_{m}", f"k_{m}").alias(f"l_{m}") for m in metrics]))
+    cells = df.groupBy(entity, season, choice, *used).agg(*counted)
+    tasks = session.tasks_for(df.sparkSession, df.count())
+    mine = by_axis(cells.repartition(tasks, entity, season) if tasks > 1 else cells, [entity, season])
+    rows = mine.withColumn("t", F.sum("n").over(Window.partitionBy(entity, season, "axis", "at"))).join(
+        league, [season, "axis", "at", choice])
+    rate = (F.col("n") + strength * F.col("lg")) / (F.col("t") + strength)
+    level = F.col(choice).cast("string")
+    # Rows without an entity have responses but no usage.
+    usage = F.when(F.col(entity).isNotNull(), rate - F.col("lg"))
+    made = [F.struct(F.concat_ws("_", F.lit("u"), level, "at").alias("feature"), usage.alias("resid"))]
+    for m in metrics:
+        gap = reliability(f"k_{m}", strength) * (ratio(f"s_{m}", f"k_{m}") - F.col(f"l_{m}"))
+        made.append(F.struct(F.concat_ws("_", F.lit("p"), F.lit(m), level, "at").alias("feature"), gap.alias("resid")))
+    out = rows.select(entity, season, "axis", F.explode(F.array(*made)).alias("__f")).select(
+        entity, season, F.concat_ws(":", "axis", "__f.feature").alias("feature"), "__f.resid")
+    return out.filter(F.col("resid").isNotNull()).groupBy(entity, season, "feature").agg(F.avg("resid").alias("resid"))
 
 
 def opponent_profile(df: DataFrame, keys: Sequence[str], residual: str, strength: float,

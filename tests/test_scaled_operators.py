@@ -363,3 +363,13 @@ def test_target_tables_join_by_coarser_key_sets(spark):
         assert run() == sent
     finally:
         spark.conf.unset("spark.foretally.broadcastBytes")
+
+
+def test_profile_of_all_axes_reads_cells_once(spark):
+    rows = spark.range(800).selectExpr("nullif(id % 20, 7) e", "cast(2000 + id % 3 as int) s", "nullif(concat('L', id % 3), 'L2') c", "nullif(id % 4, 3) x", "concat('h', id % 2) h", "nullif(cast(id % 6 as double), 5) v")
+    axes = {"p": ["x", "h"], "q": ["h"]}
+    out = prof.response_profile(rows, "e", "s", "c", axes, ["v"], 20.0)
+    assert plan_of(out).count("Range (") == 1
+    parts = [prof.usage_residuals(rows, "e", "s", "c", ctx, 20.0).unionByName(prof.response_residuals(rows, "e", "s", "c", ctx, ["v"], 20.0)).withColumn("feature", F.concat_ws(":", F.lit(t), "feature")) for t, ctx in axes.items()]
+    show = lambda d: sorted(((r["e"], r["s"], r["feature"], round(r["resid"], 9)) for r in d.collect()), key=str)
+    assert show(out) == show(parts[0].unionByName(parts[1]))
