@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from foretally import session
 from foretally.functions.rates import ratio, wilson
 from foretally.operators.joins import null_safe_join
 from foretally.operators.ordered import History, by_value, value_cells
@@ -110,23 +111,31 @@ def numeric_audit(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
 def transfer_clip_audit(df: DataFrame, season: str, metrics: Sequence[str],
                         targets: Sequence[int], low: float = 0.001,
                         high: float = 0.999) -> DataFrame:
-    """Bounds learned from earlier seasons, applied to each target season."""
-    cells = long_metrics(df, [season], metrics).filter("value IS NOT NULL").groupBy(
-        season, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    later = F.filter(F.array(*[F.lit(int(t)) for t in targets]), lambda t: t > F.col(season))
-    past = cells.withColumn("target", F.explode(later)).groupBy("target", "metric", "value").agg(
-        F.sum("n").alias("n"))
-    ranked = by_value(past, ["target", "metric"], "value").running(
-        {"below": F.col("n")}, totals={"t": F.col("n")}).df
-    bounds, picks = [], []
-    for name, p in (("past_low", low), ("past_high", high)):
-        spot = F.lit(p) * (F.col("t") - 1)
-        at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("value")))
-        a, b = F.floor(spot), F.least(F.floor(spot) + 1, F.col("t") - 1)
-        picks += [at(a).alias(f"{name}_a"), at(b).alias(f"{name}_b"), F.max(spot - a).alias(f"{name}_f")]
-        bounds.append((F.col(f"{name}_a") + F.col(f"{name}_f")
-                       * (F.col(f"{name}_b") - F.col(f"{name}_a"))).alias(name))
-    limits = ranked.groupBy("target", "metric").agg(*picks).select("target", "metric", *bounds)
+    """Bounds learned from earlier seasons, applied to each target season.
+
+    The log is read once, into counts of values by season; all targets' ranks come from one running total.
+    """
+    cells = session.checkpoint(long_metrics(df, [season], metrics).filter("value IS NOT NULL").groupBy(
+        season, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
+    past = cells.groupBy("metric", "value").agg(*[
+        F.coalesce(F.sum(F.when(F.col(season) < int(t), F.col("n"))), F.lit(0)).alias(f"n_{i}") for i, t in enumerate(targets)])
+    counts = [f"n_{i}" for i in range(len(targets))]
+    ranked = by_value(past, ["metric"], "value").running(
+        {f"below_{n}": F.col(n) for n in counts}, totals={f"t_{n}": F.col(n) for n in counts}).df
+    picks, each = [], []
+    for n, target in zip(counts, targets):
+        below, total, bounds = F.col(f"below_{n}"), F.col(f"t_{n}"), []
+        at = lambda k: F.max(F.when((below <= k) & (k < below + F.col(n)), F.col("value")))
+        for name, p in (("past_low", low), ("past_high", high)):
+            spot = F.lit(p) * (total - 1)
+            a, b = F.floor(spot), F.least(F.floor(spot) + 1, total - 1)
+            picks += [at(a).alias(f"{name}_a_{n}"), at(b).alias(f"{name}_b_{n}"), F.max(spot - a).alias(f"{name}_f_{n}")]
+            bounds.append((F.col(f"{name}_a_{n}") + F.col(f"{name}_f_{n}")
+                           * (F.col(f"{name}_b_{n}") - F.col(f"{name}_a_{n}"))).alias(name))
+        picks.append(F.max(total).alias(f"all_{n}"))
+        each.append(F.struct(F.lit(int(target)).alias("target"), *bounds, F.col(f"all_{n}").alias("past")))
+    limits = F.broadcast(ranked.groupBy("metric").agg(*picks).select("metric", F.explode(F.array(*each)).alias("e")).select(
+        "metric", "e.*").filter("past > 0").drop("past"))
     now = cells.withColumnRenamed(season, "target").join(limits, ["target", "metric"])
     under, over = F.col("value") < F.col("past_low"), F.col("value") > F.col("past_high")
     share = lambda c: ratio(F.sum(c.cast("int") * F.col("n")), F.sum("n"))

@@ -373,3 +373,15 @@ def test_profile_of_all_axes_reads_cells_once(spark):
     parts = [prof.usage_residuals(rows, "e", "s", "c", ctx, 20.0).unionByName(prof.response_residuals(rows, "e", "s", "c", ctx, ["v"], 20.0)).withColumn("feature", F.concat_ws(":", F.lit(t), "feature")) for t, ctx in axes.items()]
     show = lambda d: sorted(((r["e"], r["s"], r["feature"], round(r["resid"], 9)) for r in d.collect()), key=str)
     assert show(out) == show(parts[0].unionByName(parts[1]))
+
+
+def test_clip_audit_reads_the_log_once(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("cast(2000 + id % 4 as int) season", "cast(id % 90 as double) v")
+    seen, keep = [], audit.session.checkpoint
+    monkeypatch.setattr(audit.session, "checkpoint", lambda d: seen.append(1) or keep(d))
+    out = audit.transfer_clip_audit(rows, "season", ["v"], [2000, 2002, 2003], 0.1, 0.9)
+    assert seen == [1] and "Range (" not in plan_of(out)
+    got = {r["target"]: (r["past_low"], r["past_high"]) for r in out.collect()}
+    past = lambda t: [i % 90 for i in range(500) if 2000 + i % 4 < t]
+    assert set(got) == {2002, 2003}
+    assert all(np.allclose(got[t], np.quantile(past(t), [0.1, 0.9])) for t in got)
