@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from foretally import session
 from foretally.functions.rates import eb, non_negative, ratio
 from foretally.operators.joins import null_safe_join, small_join
-from foretally.operators.ordered import History
+from foretally.operators.ordered import BLOCK, FINER, History, assign_block, hot_cuts
 from foretally.roles import Order
 
 # Shrink strength per rate.
@@ -276,6 +277,32 @@ def forward_filled_std(df: DataFrame, entity: str, order: Order, subset: Column,
     return h.df.drop(*names)
 
 
+def _both_totals(whole: History, state: Sequence[str], x: Column, seen: Column) -> DataFrame:
+    """Sums and counts before each row, of its state and of all rows, with rows dealt once, by block of the order.
+
+    What earlier blocks contribute is a table of a row for each block and state.
+    """
+    # Blocks hold all rows of a stretch of the order, so they are cut to what a task holds.
+    limit = min(whole.limit, FINER * session.task_rows(whole.df.sparkSession))
+    cuts = whole.cuts if limit == whole.limit else hot_cuts(whole.df, [], whole.order, limit) or []
+    rows = assign_block(whole.df, whole.order, cuts)
+    cells = session.checkpoint(rows.groupBy(BLOCK, *state).agg(F.sum(x).alias("__ts"), F.sum(seen).alias("__tn")))
+    every = Window.unboundedPreceding
+    earlier = Window.partitionBy(*state).orderBy(BLOCK).rowsBetween(every, -1)
+    blocks = Window.orderBy(BLOCK).rowsBetween(every, -1)
+    mine = cells.select(BLOCK, *state, F.sum("__ts").over(earlier).alias("__cs"), F.sum("__tn").over(earlier).alias("__cn"))
+    of_all = cells.groupBy(BLOCK).agg(F.sum("__ts").alias("__ts"), F.sum("__tn").alias("__tn")).select(
+        BLOCK, F.sum("__ts").over(blocks).alias("__cgs"), F.sum("__tn").over(blocks).alias("__cgn"))
+    inside = Window.partitionBy(BLOCK).orderBy(*whole.order.columns()).rowsBetween(every, -1)
+    alike = Window.partitionBy(BLOCK, *state).orderBy(*whole.order.columns()).rowsBetween(every, -1)
+    local = rows.repartition(len(cuts) + 1, BLOCK).withColumns({
+        "__s": F.sum(x).over(alike), "__n": F.sum(seen).over(alike), "__gs": F.sum(x).over(inside), "__gn": F.sum(seen).over(inside)})
+    out = small_join(small_join(local, mine, [BLOCK, *state]), of_all, [BLOCK])
+    zero = F.lit(0)
+    return out.withColumns({n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(c), zero) for n, c in (
+        ("__s", "__cs"), ("__n", "__cn"), ("__gs", "__cgs"), ("__gn", "__cgn"))}).drop(BLOCK, "__cs", "__cn", "__cgs", "__cgn")
+
+
 def prequential_ratio(df: DataFrame, state: Sequence[str], delta: str, fit: Column,
                       order: Order, strength: float, prior: Column | float,
                       hot_rows: int | None = None) -> DataFrame:
@@ -283,8 +310,12 @@ def prequential_ratio(df: DataFrame, state: Sequence[str], delta: str, fit: Colu
     ratio by state (other rows); clipped to [0, 10] and classed low/medium/high."""
     x = F.when(fit, F.col(delta))
     seen = x.isNotNull().cast("long")
-    by_state = History(df, list(state), order, hot_rows).running({"__s": x, "__n": seen})
-    both = by_state.regroup([]).running({"__gs": x, "__gn": seen}).df
+    whole = History(df, [], order, hot_rows)
+    if whole.cuts is None:
+        by_state = History(df, list(state), order, hot_rows).running({"__s": x, "__n": seen})
+        both = by_state.regroup([]).running({"__gs": x, "__gn": seen}).df
+    else:
+        both = _both_totals(whole, state, x, seen)
     mean_all = df.agg(F.avg(x)).scalar()
     base = F.coalesce(ratio("__gs", "__gn"), F.lit(prior) if not isinstance(prior, Column) else prior)
     frozen = df.filter(fit).groupBy(*state).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("__fs"),

@@ -349,6 +349,15 @@ def test_history_deals_rows_by_their_number(small_tasks):
     assert all(r["a"] == want[r["t"]] for r in got)
 
 
+def test_two_running_totals_share_one_shuffle(spark):
+    rows = spark.range(600).selectExpr("id t", "id % 4 c", "cast(id % 9 as double) / 8 + 0.1 d", "id < 500 fit")
+    run = lambda hot: hist.prequential_ratio(rows, ["c"], "d", F.col("fit"), Order(("t",)), 5.0, 0.5, hot)
+    cut = run(60)
+    assert plan_of(cut).count("RepartitionByExpression") == 1
+    show = lambda d: sorted((r["t"], round(r["leverage"], 9), r["leverage_class"]) for r in d.collect())
+    assert show(cut) == show(run(None))
+
+
 def test_target_tables_join_by_coarser_key_sets(spark):
     rows = spark.range(900).selectExpr("id % 40 e", "id % 3 k", "nullif(id % 5, 4) o", "cast(2000 + id % 4 as int) season", "cast(id % 7 = 0 as int) y")
     groups = {"e": ["e"], "ek": ["e", "k"], "o": ["o"], "ok": ["k", "o"]}
