@@ -115,11 +115,14 @@ def long_forecasts(df: DataFrame, ids: Sequence[str], models: Sequence[str]) ->
 def wide_forecasts(long: DataFrame, keys: Sequence[str], models: Sequence[str],
                    prefix: str) -> DataFrame:
     """Pivot a long prediction table after proving (keys, model) unique."""
-    dup = long.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    if not dup.isEmpty():
+    # Rows of one key lie together, so counts and forecasts by key leave a task as one row for all models.
+    mine = lambda m: F.coalesce(F.col("model") == m, F.lit(False))
+    listed = F.coalesce(F.col("model").isin(list(models)), F.lit(False))
+    counts = long.groupBy(*keys).agg(*[F.count_if(mine(m)).alias(f"__{i}") for i, m in enumerate(models)])
+    others = long.filter(~listed).groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not counts.filter(F.greatest(F.lit(0), F.lit(0), *[F.col(f"__{i}") for i in range(len(models))]) > 1).isEmpty() or not others.isEmpty():
         raise ValueError("prediction table repeats a row and model")
-    wide = long.groupBy(*keys).pivot("model", list(models)).agg(F.first("p"))
-    return wide.withColumnsRenamed({m: f"{prefix}{m}" for m in models})
+    return long.groupBy(*keys).agg(*[F.first(F.when(mine(m), F.col("p")), ignorenulls=True).alias(f"{prefix}{m}") for m in models])
 
 
 def segment_scores(df: DataFrame, y: str, models: Sequence[str], baseline: str,

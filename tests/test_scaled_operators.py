@@ -394,3 +394,13 @@ def test_clip_audit_reads_the_log_once(spark, monkeypatch):
     past = lambda t: [i % 90 for i in range(500) if 2000 + i % 4 < t]
     assert set(got) == {2002, 2003}
     assert all(np.allclose(got[t], np.quantile(past(t), [0.1, 0.9])) for t in got)
+
+
+def test_wide_forecasts_group_by_key_alone(spark):
+    rows = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.2), (2, "a", None), (None, "b", 0.4), (3, "z", 0.5)], "k int, model string, p double")
+    wide = metrics.wide_forecasts(rows, ["k"], ["a", "b"], "m_")
+    assert plan_of(wide).count("Aggregate [") == 1
+    assert sorted(map(str, wide.collect())) == sorted(map(str, rows.groupBy("k").pivot("model", ["a", "b"]).agg(F.first("p")).withColumnsRenamed({"a": "m_a", "b": "m_b"}).collect()))
+    for model in ("a", "z"):
+        with pytest.raises(ValueError):
+            metrics.wide_forecasts(rows.unionByName(rows.filter(F.col("model") == model)), ["k"], ["a", "b"], "m_")
