@@ -10,6 +10,7 @@ from foretally.functions import rowfeatures as rf
 from foretally.operators import (asof, audit, blend, blocks, calibrate as cal, cluster as cl, crosswalk as cw, eb, embed, history as hist,
                                  metrics, model, prepare, profiles as prof, registry as reg)
 from foretally.operators.ordered import History
+from foretally.plans import catalog
 from foretally.roles import Order
 from foretally.sources import files
 
@@ -42,6 +43,25 @@ def test_training_reads_equal_rows_once(spark, monkeypatch):
     assert np.allclose(made.coefficientMatrix.toArray(), plain.coefficientMatrix.toArray(), atol=1e-4)
 
 
+def test_wide_results_round_alike(spark, monkeypatch):
+    """Results of many columns hold the doubles that ``F.round`` gives, at middles, signs, sizes and no numbers too."""
+    rng = np.random.default_rng(8)
+    values = [*(rng.normal(size=2000) * 10.0 ** rng.integers(-8, 18, 2000)), *(rng.integers(-4000, 4000, 2000) / 2 + 0.5) / 1e6, 0.0, -0.0,
+              -1e-9, 2.675, 1.0000005, 0.9999995, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double").coalesce(1)
+    fields = [(f"c{i}", f"d{i % 7}") for i in range(catalog.WIDE + 1)]
+    wide = df.select(*[F.col("x").alias(name) for name, _ in fields])
+    seen = []
+    monkeypatch.setattr(catalog, "rounded", lambda *a, keep=catalog.rounded: seen.append(a) or keep(*a))
+    got = [tuple(map(repr, r)) for r in catalog.shaped(wide, fields).collect()]
+    assert len(seen) == len(fields)
+    assert got == [tuple(map(repr, r)) for r in wide.select(
+        *[(F.round(name, int(kind[1:])) + F.lit(0.0)).alias(name) for name, kind in fields]).collect()]
+    seen.clear()
+    catalog.shaped(wide, fields[:catalog.WIDE])
+    assert not seen
+
+
 def test_boosting_stops_and_learns(spark):
     rng = np.random.default_rng(2)
     x = rng.random((1500, 2))
