@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foretally import session
 from foretally.functions.rates import entropy, ratio
@@ -219,7 +219,8 @@ def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: i
     """K-means of every group at once: (rows with ``cluster`` and ``d2``, centres by group).
 
     Centres are a table keyed by group. First centres are far apart: the row of least digest, then the row
-    farthest from those there are. Each round is one join with the centres and one aggregation for all groups;
+    farthest from those there are. Each round is one join with the centres and one aggregation for all groups. A
+    table below an eighth of the broadcast limit is kept on the driver between rounds, a larger one checkpointed;
     rounds end when no centre moves, and ArithmeticError is raised where ``rounds`` do not do. A centre that
     loses all its rows stays where it is. Groups of fewer different rows than ``k`` have equal centres.
     """
@@ -227,23 +228,44 @@ def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: i
     point = F.array(*[F.col(d).cast("double") for d in dims])
     digest = F.xxhash64(*dims, F.lit(seed))
     centres = session.checkpoint(data.groupBy(*keys).agg(F.array(F.min_by(point, F.struct(digest, point))).alias("centres")))
-    small = centres.count() * k * len(dims) * 8 <= session.broadcast_bytes(df.sparkSession)
+    size = centres.count() * k * len(dims) * 8
+    small = size <= session.broadcast_bytes(df.sparkSession)
+    held = 8 * size <= session.broadcast_bytes(df.sparkSession)
     joined = lambda table: null_safe_join(data, F.broadcast(table) if small else table, keys)
     for _ in range(1, k):
         far = joined(centres).groupBy(*keys, "centres").agg(F.max_by(point, F.struct(_nearest(dims)["d2"], digest, point)).alias("far"))
         centres = session.checkpoint(far.select(*keys, F.concat("centres", F.array("far")).alias("centres")))
     load = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    for _ in range(rounds):
-        told = joined(centres).withColumn("cluster", _nearest(dims)["cluster"])
-        means = told.groupBy(*keys, "centres", "cluster").agg(
+
+    def means(table: DataFrame) -> DataFrame:
+        """Mean of the rows of each cluster in use."""
+        told = joined(table).withColumn("cluster", _nearest(dims)["cluster"])
+        return told.groupBy(*keys, *([] if held else ["centres"]), "cluster").agg(
             F.array(*[F.try_divide(F.sum(load * F.col(d).cast("double")), F.sum(load)) for d in dims]).alias("mean"))
-        # Clusters in use replace their centre; the others keep theirs.
-        by = means.groupBy(*keys, "centres").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
-        new = F.transform("centres", lambda c, i: F.coalesce(F.element_at("means", i), c))
-        moved = F.array_max(F.zip_with("centres", new, lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))))
-        after = session.checkpoint(by.select(*keys, new.alias("centres"), moved.alias("__moved")))
-        centres = after.drop("__moved")
-        if (after.agg(F.max("__moved")).first()[0] or 0.0) <= tolerance:
+
+    # Clusters in use replace their centre; the others keep theirs.
+    at = {}
+    if held:  # as small as what a broadcast sends, so the driver keeps the table and a round is one aggregation
+        schema = T.StructType([*[data.schema[c] for c in keys], T.StructField("centres", T.ArrayType(T.ArrayType(T.DoubleType())))])
+        name = lambda r: repr([r[c] for c in keys])
+        at = {name(r): tuple(r) for r in centres.collect()}
+    for _ in range(rounds):
+        if held:
+            moved = 0.0
+            for r in means(centres).collect():
+                own = at[name(r)][-1]
+                gaps = [abs(a - b) for a, b in zip(own[r["cluster"]], r["mean"]) if a is not None and b is not None]
+                moved = max([moved, *gaps], key=lambda x: (x != x, x))
+                own[r["cluster"]] = r["mean"]
+            centres = df.sparkSession.createDataFrame(list(at.values()), schema)
+        else:
+            by = means(centres).groupBy(*keys, "centres").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
+            new = F.transform("centres", lambda c, i: F.coalesce(F.element_at("means", i), c))
+            far = F.array_max(F.zip_with("centres", new, lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))))
+            after = session.checkpoint(by.select(*keys, new.alias("centres"), far.alias("__moved")))
+            centres = after.drop("__moved")
+            moved = after.agg(F.max("__moved")).first()[0] or 0.0
+        if moved <= tolerance:
             break
     else:
         raise ArithmeticError(f"centres still move after {rounds} rounds")
@@ -261,6 +283,7 @@ def safe_types(df: DataFrame, n: str, dims: Sequence[str], k: int, min_n: int, s
     smallest cluster holds less than ``min_share`` of its rows, or that has fewer clusters in use, tries one less.
     """
     groups, own = list(keys), [f"__{d}" for d in (*dims, "volume")]
+    df = session.checkpoint(df)  # read by the quantiles, the spread, the points and the rest
     big = df.filter(F.col(n) >= min_n).withColumns({
         **{f"__{d}": F.col(d).cast("double") for d in dims}, "__volume": F.log1p(F.col(n).cast("double"))})
     quantile = metric_quantiles(big, groups, own, {"lo": low, "hi": high})

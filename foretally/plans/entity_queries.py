@@ -235,7 +235,7 @@ def label_agreement(spark, sf):
 WITH {ENT}, f AS (SELECT (min(n) + max(n)) / 2 f FROM e) SELECT entity % 2 hand, count(*) entities, sum((n < f)::INT) small, 1 share_ok, 1 numbered FROM e, f GROUP BY 1""")
 def safe_types(spark, sf):
     """Entity types fitted for each hand on winsorised dimensions and log volume: floor of rows and of shares."""
-    e = entities(spark, sf).withColumn("hand", F.col("entity") % 2)
+    e = session.checkpoint(entities(spark, sf).withColumn("hand", F.col("entity") % 2))
     least = e.agg(((F.min("n") + F.max("n")) / 2)).first()[0]
     out = cl.safe_types(e, "n", ["a", "b", "c"], 4, least, 17, keys=["hand"])
     cells = out.groupBy("hand", "type").agg(F.count("*").alias("k"), F.sum("n").alias("s"))

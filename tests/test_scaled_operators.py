@@ -220,6 +220,37 @@ def test_grouped_clusters_and_types(spark):
         assert sorted(sizes) == list(range(len(sizes))) and min(sizes.values()) >= 0.05 * sum(sizes.values())
 
 
+def test_cluster_rounds_and_reads(spark, monkeypatch):
+    """Small tables of centres take no checkpoint a round and give what checkpointed rounds give; types read their rows once."""
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 7 == 0 else float("nan") if i % 7 == 1 else 1.0, i, *map(float, rng.normal(size=2)), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "g double, i int, a double, b double, w double")
+    calls = []
+    keep = cl.session.checkpoint
+    monkeypatch.setattr(cl.session, "checkpoint", lambda d: calls.append(1) or keep(d))
+    told, seen = [], []
+    for most in ("1000000", "0"):
+        calls.clear()
+        spark.conf.set("spark.foretally.broadcastBytes", most)
+        try:
+            out, centres = cl.grouped_kmeans(df, ["g"], ["a", "b"], 4, 1, weight="w")
+            told.append((sorted((str(r["g"]), r["i"], r["cluster"]) for r in out.collect()),
+                         sorted((str(r["g"]), [[round(x, 9) for x in c] for c in r["centres"]]) for r in centres.collect())))
+        finally:
+            spark.conf.unset("spark.foretally.broadcastBytes")
+        seen.append(len(calls))
+    assert told[0] == told[1] and seen[0] == 5 < seen[1]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    source = df.select("i", "a", "b", (F.col("i") + 10).alias("n")).mapInArrow(counted, "i int, a double, b double, n int")
+    assert cl.safe_types(source, "n", ["a", "b"], 3, 15, 1).count() == 320 and reads.value == 320
+
+
 def test_svd_raises_before_it_converges(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(30, 20))
