@@ -8,7 +8,7 @@ either.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,13 @@ def in_blocks(points: DataFrame, ident: str, values: str, size: int) -> DataFram
     ends = points.agg(*[f(F.get(values, i)) for i in range(width) for f in (F.min, F.max)]).first() if width else []
     low, high = [float(v or 0) for v in ends[::2]], [float(v or 0) for v in ends[1::2]]
     placed = points.withColumn("__curve", _curve(values, low, high))
-    ranked = History(placed, [], Order(("__curve", ident))).position("__place").df
-    return session.checkpoint(ranked.withColumn("block", F.floor(F.col("__place") / size)).drop("__curve", "__place"))
+    return numbered(placed, Order(("__curve", ident)), size).drop("__curve")
+
+
+def numbered(points: DataFrame, order: Order, size: int) -> DataFrame:
+    """``points`` with ``block``: at most ``size`` that follow each other share one; stored."""
+    ranked = History(points, [], order).position("__place").df
+    return session.checkpoint(ranked.withColumn("block", F.floor(F.col("__place") / size)).drop("__place"))
 
 
 def packed(blocked: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -81,6 +86,34 @@ def squared_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def gap_tiles(a: np.ndarray, b: np.ndarray, rows: int = 256, width: int = 1024) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Distances of the rows of ``a`` and ``b`` in tiles: (rows of a, rows of b, distances).
+
+    A tile is one matrix product, about the points' middle. Where that would lose digits (points near each other for
+    their size, or not finite), distances come from differences.
+    """
+    with np.errstate(all="ignore"):
+        middle = (a.mean(axis=0) + b.mean(axis=0)) / 2
+        middle = np.where(np.isfinite(middle), middle, 0.0)
+        x, y = a - middle, b - middle
+        nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        for i in (slice(s, s + rows) for s in range(0, len(a), rows)):
+            for j in (slice(s, s + width) for s in range(0, len(b), width)):
+                around = nx[i, None] + ny[None, j]
+                gaps = x[i] @ y[j].T
+                gaps *= -2.0
+                gaps += around
+                around *= 1e-4
+                again = ~((gaps > around) & (gaps < np.inf))
+                if again.any():
+                    at, to = np.nonzero(again)
+                    if 8 * len(at) > again.size:
+                        gaps = squared_gaps(a[i], b[j])
+                    else:
+                        gaps[at, to] = ((a[i][at] - b[j][to]) ** 2).sum(axis=1)
+                yield i, j, np.sqrt(gaps, out=gaps)
+
+
 def even_size(points: int, most: int, tasks: int) -> int:
     """Points of a block: at most ``most``, and few enough that there are about ``tasks`` pairs of blocks."""
     blocks = max(1, math.ceil((math.sqrt(8 * tasks + 1) - 1) / 2))

@@ -15,6 +15,7 @@ from foretally.functions.rates import entropy, ratio
 from foretally.operators import blocks
 from foretally.operators.joins import null_safe_join, sized, small_join
 from foretally.operators.ranks import exact_quantiles, metric_quantiles
+from foretally.roles import Order
 
 
 def kmeans(df: DataFrame, dims: Sequence[str], k: int, seed: int, label: str = "cluster",
@@ -142,38 +143,46 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.join(sized(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))), label)
 
 
-def silhouette(df: DataFrame, ident: str, dims: Sequence[str], label: str, chunk: int = 2048) -> DataFrame:
-    """Mean Euclidean silhouette. Each pair of blocks of points is measured once, for both sides."""
-    pts = df.select(F.col(ident).alias("id"), F.array(*[F.col(d).cast("double") for d in dims]).alias("v"), F.col(label).alias("c"))
-    size = blocks.even_size(df.count(), chunk, df.sparkSession.sparkContext.defaultParallelism)
-    blocked = blocks.in_blocks(pts, "id", "v", size)
-    sizes = blocked.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    kinds = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
+def silhouette(df: DataFrame, ident: str, dims: Sequence[str], label: str, chunk: int = 16384) -> DataFrame:
+    """Mean Euclidean silhouette. Each pair of blocks of points is measured once, for both sides.
 
-    def summed(ids: pa.Array, own: pa.Array, other: pa.Array, gaps: np.ndarray) -> pa.RecordBatch:
+    Blocks hold neighbours of one label where they can, so a point meets few labels in a block and leaves one
+    sum for each of them.
+    """
+    pts = session.checkpoint(df.select(F.col(ident).alias("id"), F.array(*[F.col(d).cast("double") for d in dims]).alias("v"), F.col(label).alias("c")))
+    # More pairs than tasks, as pairs are dealt by one of their blocks and so not evenly.
+    size = blocks.even_size(pts.count(), chunk, 8 * df.sparkSession.sparkContext.defaultParallelism)
+    kinds = {f.name: f.dataType.simpleString() for f in pts.schema.fields}
+    blocked = blocks.numbered(pts, Order(("c", "id")), size)
+    sizes = pts.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+
+    def summed(mine: pa.Array, labels: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
         """Distances of each point to the other side's points, added up by their label."""
-        coded = other.dictionary_encode()
-        at, k = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
-        sums = gaps @ (at[:, None] == np.arange(k)[None, :]).astype(float)
-        again, labels = np.repeat(np.arange(len(ids)), k), np.tile(np.arange(k), len(ids))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(again)), own.take(pa.array(again)),
-                                           coded.dictionary.take(pa.array(labels)), pa.array(sums.reshape(-1))],
-                                          names=["id", "c", "oc", "d"])
+        k = len(labels)
+        again, each = np.repeat(np.arange(len(mine)), k), np.tile(np.arange(k), len(mine))
+        return pa.RecordBatch.from_arrays([mine.field("id").take(pa.array(again)), mine.field("c").take(pa.array(again)),
+                                           labels.take(pa.array(each)), pa.array(sums.reshape(-1))], names=["id", "c", "oc", "d"])
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
-                sides = [one.column(name).flatten() for name in ("left", "right")]
+                left, right = (one.column(name).flatten() for name in ("left", "right"))
                 a, b = (blocks.columns(one.column(name), (), "v")["v"] for name in ("left", "right"))
-                gaps = np.sqrt(blocks.squared_gaps(a, b))
-                yield summed(sides[0].field("id"), sides[0].field("c"), sides[1].field("c"), gaps)
+                codes = [side.field("c").dictionary_encode(null_encoding="encode") for side in (left, right)]
+                ours, theirs = (np.eye(len(c.dictionary))[c.indices.to_numpy(zero_copy_only=False)] for c in codes)
+                to_right, to_left = np.zeros((len(a), theirs.shape[1])), np.zeros((len(b), ours.shape[1]))
+                for i, j, gaps in blocks.gap_tiles(a, b):
+                    to_right[i] += gaps @ theirs[j]
+                    to_left[j] += gaps.T @ ours[i]
+                yield summed(left, codes[1].dictionary, to_right)
                 if one.column("i")[0] != one.column("j")[0]:
-                    yield summed(sides[1].field("id"), sides[1].field("c"), sides[0].field("c"), gaps.T)
+                    yield summed(right, codes[0].dictionary, to_left)
 
-    met = blocks.facing(blocks.pairs_of_blocks(blocked), blocks.packed(blocked, ["id", "v", "c"])).mapInArrow(
-        run, f"id {kinds['id']}, c {kinds['c']}, oc {kinds['c']}, d double")
-    sums = met.groupBy("id", "c", "oc").agg(F.sum("d").alias("d")).join(sizes.withColumnRenamed("c", "oc"), "oc")
+    with session.arrow_rows(df.sparkSession, 1):
+        met = session.checkpoint(blocks.facing(blocks.pairs_of_blocks(blocked), blocks.packed(blocked, ["id", "v", "c"])).mapInArrow(
+            run, f"id {kinds['id']}, c {kinds['c']}, oc {kinds['c']}, d double").groupBy("id", "c", "oc").agg(F.sum("d").alias("d")))
+    sums = met.join(sizes.withColumnRenamed("c", "oc"), "oc")
     own = F.col("c") == F.col("oc")
     per = sums.groupBy("id", "c").agg(
         F.max(F.when(own, F.try_divide(F.col("d"), F.col("m") - 1))).alias("a"),

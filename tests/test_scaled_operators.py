@@ -220,6 +220,39 @@ def test_grouped_clusters_and_types(spark):
         assert sorted(sizes) == list(range(len(sizes))) and min(sizes.values()) >= 0.05 * sum(sizes.values())
 
 
+def test_distances_by_matrix_products(spark, monkeypatch):
+    """Tiles give the distances that differences give, and the silhouette takes the slow way for near points only."""
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(300, 8)) + 1e6, rng.normal(size=(1100, 8)) + 1e6
+    a[3], a[4], a[5, 0] = b[9], b[1050] + 1e-7, np.nan
+    b[7, 2], b[8] = np.inf, b[8] + 1e3
+    got = np.zeros((300, 1100))
+    for i, j, gaps in blocks.gap_tiles(a, b):
+        got[i, j] = gaps
+    assert np.allclose(got, np.sqrt(blocks.squared_gaps(a, b)), rtol=1e-9, atol=0, equal_nan=True)
+    slow = []
+    monkeypatch.setattr(blocks, "squared_gaps", lambda *p: slow.append(1))
+    assert sum(g.size for _, _, g in blocks.gap_tiles(a[10:], a[10:])) == 290 * 290 and not slow
+
+
+def test_silhouette_of_odd_rows(spark):
+    """Points without a label are counted and measured only; repeated ids add up; a label of one point counts nought."""
+    rng = np.random.default_rng(9)
+    x, c = rng.normal(size=(60, 3)) + 100, rng.integers(0, 3, 60).tolist()
+    c[0], c[1] = None, 7
+    rows = [(i, *map(float, v), k) for i, (v, k) in enumerate(zip(x, c))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, d double, c int")
+    gaps, code = np.linalg.norm(x[:, None] - x[None], axis=2), np.array([-1 if k is None else k for k in c])
+    said = [0.0]
+    for i in range(2, 60):
+        mean = {k: gaps[i, code == k].sum() / ((code == k).sum() - (k == code[i])) for k in (0, 1, 2, 7)}
+        own, other = mean.pop(code[i]), min(v for k, v in mean.items() if k != code[i])
+        said.append((other - own) / max(own, other))
+    for chunk in (7, 16384):
+        got = cl.silhouette(df, "id", ["a", "b", "d"], "c", chunk=chunk).first()
+        assert got["n"] == 60 and got["silhouette"] == pytest.approx(np.mean(said), rel=1e-9)
+
+
 def test_cluster_rounds_and_reads(spark, monkeypatch):
     """Small tables of centres take no checkpoint a round and give what checkpointed rounds give; types read their rows once."""
     rng = np.random.default_rng(6)
