@@ -382,26 +382,36 @@ def soft_crosswalk(matches: DataFrame, season: str, hand: str, a: str, b: str, t
     return out.filter(F.col("w") > min_weight).select(season, a, b, "w", "top1_sim", "margin", "entropy")
 
 
-def share_fingerprint(df: DataFrame, entity: str, features: Sequence[str]) -> DataFrame:
-    """Share of every feature level per entity in long form."""
-    long = df.select(entity, *[F.col(c).cast("string").alias(c) for c in features]).unpivot(
-        [entity], list(features), "feature", "level").filter("level IS NOT NULL")
-    cells = long.groupBy(entity, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.groupBy(entity, "feature").agg(F.sum("n").alias("t"))
-    return cells.join(total, [entity, "feature"]).select(
-        entity, F.concat_ws("=", "feature", "level").alias("state"), (F.col("n") / F.col("t")).alias("share"))
+def level_counts(df: DataFrame, entity: str, features: Sequence[str]) -> DataFrame:
+    """Rows of every known feature level per entity in long form, and of the entity where feature is NULL; one pass over ``df``."""
+    names, last = [entity, *features], len(features) - 1
+    cells = df.groupingSets([[F.col(c) for c in names if c in (entity, f)] for f in (*features, entity)], *[F.col(c) for c in names]).agg(
+        F.count(F.lit(1)).alias("__n"), F.grouping_id(*names).alias("__set"))
+    number = {f: sum(1 << (last - i) for i, c in enumerate(features) if c != f) for f in features}
+    told = lambda value: F.coalesce(*[F.when(F.col("__set") == number[f], value(f)) for f in features])
+    long = cells.select(entity, told(F.lit).alias("feature"), told(lambda f: F.col(f).cast("string")).alias("level"), "__n")
+    # Different values may read alike, so their counts are added up.
+    return long.filter("level IS NOT NULL OR feature IS NULL").groupBy(entity, "feature", "level").agg(F.sum("__n").alias("n"))
+
+
+def share_fingerprint(df: DataFrame, entity: str, features: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Share of every feature level per entity in long form; ``counts`` are the table's ``level_counts`` where they are at hand."""
+    cells = (level_counts(df, entity, features) if counts is None else counts).filter("feature IS NOT NULL")
+    total = F.sum("n").over(Window.partitionBy(entity, "feature"))
+    return cells.filter(F.col(entity).isNotNull()).select(
+        entity, F.concat_ws("=", "feature", "level").alias("state"), (F.col("n") / total).alias("share"))
 
 
 def team_candidates(left: DataFrame, right: DataFrame, a: str, b: str, features: Sequence[str],
                     top: int = 3) -> DataFrame:
-    """Most similar teams of two logs by level shares both logs know."""
-    fa, fb = share_fingerprint(left, a, features), share_fingerprint(right, b, features)
+    """Most similar teams of two logs by level shares both logs know. Each log is read once."""
+    ca, cb = (session.stored(level_counts(d, e, features)) for d, e in ((left, a), (right, b)))
+    fa, fb = share_fingerprint(left, a, features, ca), share_fingerprint(right, b, features, cb)
     common = fa.select("state").distinct().intersect(fb.select("state").distinct())
     va, vb = (unit_vectors(f.join(common, "state", "left_semi").withColumn("__k", F.lit(0)),
                            ["__k"], e, "state", "share") for f, e in ((fa, a), (fb, b)))
     out = best_matches(va, vb, ["__k"], a, b, "state", top).drop("__k")
-    na = left.groupBy(a).agg(F.count(F.lit(1)).alias("a_n"))
-    nb = right.groupBy(b).agg(F.count(F.lit(1)).alias("b_n"))
+    na, nb = (c.filter("feature IS NULL").select(e, F.col("n").alias(n)) for c, e, n in ((ca, a, "a_n"), (cb, b, "b_n")))
     return out.join(na, a).join(nb, b).withColumn("volume_ratio", F.col("b_n") / F.col("a_n"))
 
 

@@ -101,3 +101,20 @@ def test_matches_are_packed_once(spark, monkeypatch):
     best = out.filter("rank = 1").select("season", "a", "b", "similarity").collect()
     assert len(best) == 60 and all(round(r["similarity"], 9) == 1 for r in best)
 
+
+def test_level_counts_in_one_pass(spark):
+    rows = spark.range(200).selectExpr("nullif(id % 7, 3) e", "cast(id % 3 as int) x", "nullif(concat('l', id % 4), 'l2') y", "cast(id % 5 as double) z")
+    got = {(r["e"], r["feature"], r["level"]): r["n"] for r in cw.level_counts(rows, "e", ["x", "y", "z"]).collect()}
+    want = {}
+    for r in rows.collect():
+        for f in ("x", "y", "z"):
+            if r[f] is not None:
+                key = (r["e"], f, str(r[f]))
+                want[key] = want.get(key, 0) + 1
+        want[r["e"], None, None] = want.get((r["e"], None, None), 0) + 1
+    assert got == want
+    shares = cw.share_fingerprint(rows, "e", ["x", "y"]).collect()
+    assert {(r["e"], r["state"]): r["share"] for r in shares} == pytest.approx({
+        (e, f"{f}={v}"): n / sum(m for (e2, f2, _), m in want.items() if (e2, f2) == (e, f))
+        for (e, f, v), n in want.items() if e is not None and f in ("x", "y")})
+    assert cw.level_counts(rows, "e", ["x", "y", "z"])._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
