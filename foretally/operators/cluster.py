@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from foretally.operators.ranks import exact_quantiles, metric_quantiles
 from foretally.roles import Order
 
 
+#: Numbers of one group's points and centres up to which a task holds the group through all rounds.
+LOCAL = 1 << 23
+
+
 def kmeans(df: DataFrame, dims: Sequence[str], k: int, seed: int, label: str = "cluster",
            weight: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """Labels and centres of Spark's k-means on columns."""
@@ -223,14 +228,33 @@ def _nearest(dims: Sequence[str], centres: str = "centres") -> Column:
     return F.array_min(F.transform(centres, lambda c, i: F.struct(gap(c).alias("d2"), i.alias("cluster"))))
 
 
+def _settled(points: np.ndarray, load: np.ndarray, centres: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """Centres of one group after at most ``rounds`` rounds of k-means, and how far the last round moved them."""
+    moved = np.inf
+    for _ in range(rounds):
+        gaps = np.zeros((len(points), len(centres)))
+        for j in range(points.shape[1]):
+            gaps += (points[:, j, None] - centres[None, :, j]) ** 2
+        own = gaps.argmin(axis=1)
+        weight = np.bincount(own, load, minlength=len(centres))
+        sums = np.stack([np.bincount(own, load * x, minlength=len(centres)) for x in points.T], axis=1)
+        used = (np.bincount(own, minlength=len(centres)) > 0)[:, None]
+        before, centres = centres, np.where(used, sums / np.where(used, weight[:, None], 1), centres)
+        moved = float(np.abs(centres - before).max())
+        if moved <= tolerance:
+            break
+    return centres, moved
+
+
 def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: int, seed: int = 0,
                    weight: str | None = None, rounds: int = 200, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """K-means of every group at once: (rows with ``cluster`` and ``d2``, centres by group).
 
     Centres are a table keyed by group. First centres are far apart: the row of least digest, then the row
     farthest from those there are. Each round is one join with the centres and one aggregation for all groups. A
-    table below an eighth of the broadcast limit is kept on the driver between rounds, a larger one checkpointed;
-    rounds end when no centre moves, and ArithmeticError is raised where ``rounds`` do not do. A centre that
+    table below an eighth of the broadcast limit is kept on the driver between rounds, a larger one checkpointed.
+    Rounds end when no centre moves, and ArithmeticError is raised where ``rounds`` passes over the table do not do. A pass
+    is one round, or up to ``rounds`` of them where one task can hold a group's points and the driver keeps the centres. A centre that
     loses all its rows stays where it is. Groups of fewer different rows than ``k`` have equal centres.
     """
     data = session.checkpoint(df)
@@ -258,8 +282,37 @@ def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: i
         schema = T.StructType([*[data.schema[c] for c in keys], T.StructField("centres", T.ArrayType(T.ArrayType(T.DoubleType())))])
         name = lambda r: repr([r[c] for c in keys])
         at = {name(r): tuple(r) for r in centres.collect()}
+
+    def in_tasks() -> float:
+        """Move the kept centres by one pass, each group in one task; how far the last round moved any."""
+        def run(key, table):
+            points = np.stack([table.column(f"__x{i}").to_numpy() for i in range(len(dims))], axis=1)
+            first = np.array(table.column("centres")[0].as_py(), dtype=float)
+            last, far = _settled(points, table.column("__load").to_numpy(), first, rounds, tolerance)
+            return pa.table([*(pa.array([v.as_py()] * k, v.type) for v in key), pa.array(range(len(last)), pa.int32()),
+                             *map(pa.array, np.ascontiguousarray(last.T)), pa.array([far] * len(last))], names=[f.name for f in told])
+
+        told = T.StructType([*[data.schema[c] for c in keys], *[T.StructField(c, t) for c, t in (
+            ("__nth", T.IntegerType()), *((f"__x{i}", T.DoubleType()) for i in range(len(dims))), ("__far", T.DoubleType()))]])
+        rows = joined(centres).select(*keys, "centres", load.alias("__load"), *[F.col(d).cast("double").alias(f"__x{i}") for i, d in enumerate(dims)])
+        far = 0.0
+        for r in rows.groupBy(*keys).applyInArrow(run, told).collect():
+            at[name(r)][-1][r["__nth"]] = [r[f"__x{i}"] for i in range(len(dims))]
+            far = max(far, r["__far"])
+        return far
+
+    known = [*[F.col(d).cast("double") for d in dims], load]
+    odd = F.max(reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in known]) | (load <= 0))
+    if held and keys and at:
+        most, strange = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), odd.alias("odd")).agg(F.max("n"), F.max("odd")).first()
+        local = not strange and most * len(dims) * (k + 1) <= LOCAL
+    else:
+        local = False
     for _ in range(rounds):
-        if held:
+        if local:
+            moved = in_tasks()
+            centres = df.sparkSession.createDataFrame(list(at.values()), schema)
+        elif held:
             moved = 0.0
             for r in means(centres).collect():
                 own = at[name(r)][-1]
@@ -277,7 +330,7 @@ def grouped_kmeans(df: DataFrame, keys: Sequence[str], dims: Sequence[str], k: i
         if moved <= tolerance:
             break
     else:
-        raise ArithmeticError(f"centres still move after {rounds} rounds")
+        raise ArithmeticError(f"centres still move after {rounds} passes")
     out = joined(centres).withColumn("__near", _nearest(dims))
     return out.select(*data.columns, F.col("__near.cluster").alias("cluster"), F.col("__near.d2").alias("d2")), centres
 
